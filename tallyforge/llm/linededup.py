@@ -32,7 +32,7 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TAG, "\n")
-    return F.coalesce(F.filter(F.transform(F.split(bare, "\n"), F.trim), lambda x: F.length(x) > 0), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0), F.array().cast("array<string>"))
 
 
 def remove_boilerplate(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
