@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyforge.plans import statistics
+
+_MODULES = (statistics,)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "rate_by_condition"
