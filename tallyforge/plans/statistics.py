@@ -12,7 +12,7 @@ Z = "1.959963984540054"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(c).cast("string").alias(c) if t in ("date", "timestamp", "timestamp_ntz") else F.col(c) for c, t in df.dtypes))
 
 
 def on_trace(f):
