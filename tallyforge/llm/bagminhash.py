@@ -10,8 +10,9 @@ Jaccard similarity.  A process stops once its time passes the document's bound.
 
 Equal bands make candidates, exact overlap decides, and classes are the
 connected components of the links.  A band's bucket is first held against one
-pivot; only where that leaves several classes in it are the pairs between
-classes held against each other, so no pair of one class is ever listed.
+pivot.  Where the documents that met one pivot are still of several classes,
+those outside the largest are indexed and the others stream past them; pairs
+that meet in a bucket meet there too, but no candidate pair is ever a row.
 
 Texts that are null, empty or only white space are a class of their own.  Rows
 of one doc_id are one document; null ids have a null class.
@@ -34,8 +35,9 @@ from tallyforge.llm.components import components
 BANDS, ROWS = 24, 4
 SHINGLE = 5
 THRESHOLD = (4, 5)
-#: Members that one task holds against a pivot.
+#: Members that one task holds against a pivot, or against a block of indexed ones.
 SLICE = 2000
+BLOCK = 2048
 
 
 def multisets(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +153,75 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, threshold: tu
     return dealt.mapInArrow(_held(k, *threshold), "a long, b long").distinct()
 
 
+def _crossed(k: int, over: int, under: int):
+    """Links across components in a stream of blocks: the indexed members of one, then those held against them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index = None, [], None
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            side, ids, component = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            a_out, b_out = [], []
+            for a, b, h, doc, weight in _grams(batch.column(6), k):
+                at = np.searchsorted(doc, np.arange(b - a + 1))
+                for x in range(b - a):
+                    if keys[a + x] != key:
+                        key, held, index = keys[a + x], [], None
+                        parent.clear()
+                    mh, mw = h[at[x] : at[x + 1]], weight[at[x] : at[x + 1]]
+                    if side[a + x] == 0:
+                        held.append((int(ids[a + x]), int(component[a + x]), mh, mw))
+                        continue
+                    if not held:
+                        continue
+                    if index is None:
+                        grams = np.concatenate([m[2] for m in held])
+                        order = np.argsort(grams, kind="stable")
+                        index = grams[order], np.repeat(np.arange(len(held)), [len(m[2]) for m in held])[order], np.concatenate([m[3] for m in held])[order], np.array([m[3].sum() for m in held]), np.array([m[1] for m in held])
+                    grams, of, weights, sizes, classes = index
+                    low = np.searchsorted(grams, mh)
+                    n = np.searchsorted(grams, mh, "right") - low
+                    where = K.ranges(low, n)
+                    shared = np.bincount(of[where], np.minimum(weights[where], np.repeat(mw, n)), len(held))
+                    for y in np.flatnonzero((under * shared >= over * (sizes + mw.sum() - shared)) & (classes != component[a + x])).tolist():
+                        one, other = root(int(component[a + x])), root(held[y][1])
+                        if one != other:  # a link between classes that others join already changes nothing
+                            parent[one] = other
+                            a_out.append(int(ids[a + x]))
+                            b_out.append(held[y][0])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
+def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between different components inside the groups (pivot, doc_id).
+
+    A group's largest component needs no test within itself. The members outside
+    it are indexed by gram in blocks, and all of the group's members stream past
+    each block, a few thousand a task; only links leave the task.
+    """
+    rows = groups.join(placed, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    shares = rows.groupBy("pivot", "component").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("component", F.struct(F.col("c"), -F.col("component"))).alias("main"))
+    shares = shares.where("n > 2 and n > top").select(F.col("pivot").alias("p"), "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    rows = rows.join(shares, F.col("pivot") == F.col("p"))
+    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("doc_id")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    indexed = rows.where("component <> main").select("pivot", deal("block", "blocks").alias("block"), every("slices").alias("slice"), F.lit(0).alias("side"), "doc_id", "component")
+    passing = rows.select("pivot", every("blocks").alias("block"), deal("slice", "slices").alias("slice"), F.lit(1).alias("side"), "doc_id", "component")
+    # a slice without indexed members has nothing to do
+    sent = indexed.unionByName(passing).join(texts.select(F.col("doc_id").alias("of"), "text"), F.col("doc_id") == F.col("of")).drop("of")
+    dealt = sent.repartition("pivot", "block", "slice").sortWithinPartitions("pivot", "block", "slice", "side", "doc_id")
+    return dealt.mapInArrow(_crossed(k, *threshold), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its class)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -166,14 +237,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = written(crowd.where("doc_id <> pivot").select("doc_id", "pivot", "size").distinct().join(sizes, F.col("pivot") == F.col("of")).where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "tested")
     links = written(verified(tested, texts, k, threshold), "verified")
     first = components(links)
-    # buckets that still hold several classes: their pairs between classes
-    placed = crowd.where("n > 2").join(first, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = written(placed.join(mixed, "bucket"), "mixed")
-    other = rest.select(F.col("bucket").alias("of_bucket"), F.col("doc_id").alias("other"), F.col("size").alias("of_size"), F.col("component").alias("of_component"))
-    across = rest.join(other, (F.col("bucket") == F.col("of_bucket")) & (F.col("component") < F.col("of_component")) & near)
-    across = across.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(verified(across, texts, k, threshold), "verified")
+    more = written(across(crowd.select("pivot", "doc_id").distinct(), first, texts, k, threshold), "verified")
     final = first if more.isEmpty() else components(links.unionByName(more))
     of_copy = copies.select(F.col("digest").alias("of_digest"), "rep")
     own = signed.select("doc_id", F.when(F.col("size") > 0, F.col("digest")).alias("digest"))
