@@ -17,6 +17,8 @@ CHUNK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second, independent draw, for spans that need more than 64 bits.
+OTHER_BYTES = np.random.default_rng(20241031).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -104,11 +106,11 @@ def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTES) -> np.ndarray:
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they lie."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

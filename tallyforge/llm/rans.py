@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 
-SCALE = 20
+SCALE = 18
 LANES = 2048
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIIIQ")
@@ -28,7 +28,8 @@ class Table:
         self.freq = freq.astype(np.uint64)
         self.cum = np.zeros(len(freq), np.uint64)
         np.cumsum(self.freq[:-1], out=self.cum[1:])
-        self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.of_slot = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq.astype(np.int64))
+        self.both = (self.freq << np.uint64(32)) | self.cum
 
     @staticmethod
     def from_counts(counts: np.ndarray) -> "Table":
@@ -57,7 +58,8 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = 256)
     shift, room = np.uint64(SCALE), np.uint64(63 - SCALE)
     for t in range(steps - 1, -1, -1):
         sym = ids[t * lanes : (t + 1) * lanes]
-        f, c = table.freq[sym], table.cum[sym]
+        both = table.both[sym]
+        f, c = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         a = x[: len(sym)]
         full = np.flatnonzero(a >= (f << room))
         out[t] = a[full].astype(np.uint32)
@@ -94,7 +96,8 @@ def decode(block: bytes, table: Table, start: int = 0, stop: int | None = None)
         a = x[: min(lanes, n - t * lanes)]
         slot = a & mask
         sym = table.of_slot[slot]
-        a = table.freq[sym] * (a >> shift) + slot - table.cum[sym]
+        both = table.both[sym]
+        a = (both >> np.uint64(32)) * (a >> shift) + slot - (both & np.uint64(0xFFFFFFFF))
         low = np.flatnonzero(a < LOW)
         a[low] = (a[low] << np.uint64(32)) | words[at : at + len(low)]
         at += len(low)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +21,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm import kernels as K
 from tallyforge.llm import rans
 from tallyforge.llm.common import fresh_path
 
 BLOCK_TOKENS = 1 << 19
-#: Words whose ids a Python worker remembers; others are encoded again.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again.
+REMEMBERED = 1_000_000
 
 _BLOCKS = "part int, block int, before long, n_tokens long, doc_ids array<bigint>, counts array<bigint>, ids binary"
 _FILE = "part int, block int, before long, n_tokens long, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
-class _Known(dict):
-    """Ids of words as bytes; a word that isn't remembered is looked up in ``fresh``."""
-
-    fresh: dict = {}
+class Store:
+    """Ids of words by 96 bits of hash: an open-addressed table in arrays, looked up for many words at once."""
+
+    def __init__(self, wide: np.dtype):
+        self.size, self.pool, self.used = 0, np.zeros(1 << 16, wide), 0
+        self._allot(1 << 16)
+
+    def _allot(self, slots: int) -> None:
+        self.mask = np.uint64(slots - 1)
+        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
+        self.start, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.uint16)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slots of words, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot, left = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            key = self.key[slot]
+            hit = (key == h[left]) & (self.check[slot] == check[left])
+            out[left[hit]] = slot[hit]
+            on = ~hit & (key != 0)
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+        return out
 
-    def __missing__(self, word):
-        return self.fresh[word]
+    def _place(self, h: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        slot, left = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = h[left[free]]
+            self.check[slot[free]] = check[left[free]]
+            mine = free & (self.key[slot] == h[left]) & (self.check[slot] == check[left])
+            self.start[slot[mine]], self.count[slot[mine]] = start[left[mine]], count[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & int(self.mask)
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Words that aren't there yet, each once; ``ids`` are theirs in a row."""
+        if 2 * (self.size + len(h)) > len(self.key):
+            full = np.flatnonzero(self.key)
+            old = self.key[full], self.check[full], self.start[full], self.count[full]
+            slots = len(self.key)
+            while 2 * (self.size + len(h)) > slots:
+                slots *= 2
+            self._allot(slots)
+            self._place(*old)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.pool.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self._place(h, check, (self.used + np.cumsum(count) - count).astype(np.int32), count.astype(np.uint16))
+        self.used += len(ids)
+        self.size += len(h)
 
 
 class WordEncoder:
@@ -57,38 +102,76 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end_id], self.wide).tobytes()
-        self.known = _Known()
+        self.model = self.tokenizer.model
+        self.end, self.store = end_id, Store(self.wide)
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        #: The printable character that stands for each byte in the vocabulary: the byte's own, or one after 255 in order.
+        self.shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
 
     @staticmethod
     def plain(word: bytes) -> tuple[bytes, bytes]:
         """The word that has the same pieces as this one up to a closing mark, and the mark."""
+        if b"<|" in word:
+            return word, b""
+        if word.isascii():
+            low = word.lower()
+            return (low[:-1], low[-1:]) if low[-1] in b".," and low[-2:-1].isalpha() else (low, b"")
         text = word.decode()
-        if max(text) >= "̀" or "<|" in text:
+        if max(text) >= "\u0300" or "\u0130" in text:
             return word, b""
-        word = word.lower()
-        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
-            return word[:-1], word[-1:]
-        return word, b""
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        known, docs = self.known, [t.split() for t in texts]
-        new = [w for w in set().union(*docs) if w not in known]
-        parts = [self.plain(w) for w in new]
-        need = list({p for pair in parts for p in pair if p and p not in known})
-        fresh = dict(zip(need, self._encode(need)))
-        known.fresh = fresh
-        for w, (base, mark) in zip(new, parts):
-            fresh[w] = known[base] + known[mark] if mark else known[base]
-        out = [b"".join(map(known.__getitem__, d)) + self.end for d in docs]
-        if len(known) < REMEMBERED:
-            known.update(fresh)
-        known.fresh = {}
+        low = text.lower()
+        return (low[:-1].encode(), low[-1:].encode()) if low[-1] in ".," and low[-2].isalpha() else (low.encode(), b"")
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of plain words. One of lower-case letters alone is a single piece, which the model takes as it is."""
+        out: list[list[int]] = [[]] * len(words)
+        rest, tokenize = [], self.model.tokenize
+        for k, word in enumerate(words):
+            if word.isascii():
+                if word.isalpha() and word.islower():
+                    out[k] = [t.id for t in tokenize(word.decode())]
+                    continue
+            else:
+                text = word.decode()
+                if text.isalpha() and max(text) < "\u0300" and text.lower() == text:
+                    out[k] = [t.id for t in tokenize(word.decode("latin-1").translate(self.shown))]
+                    continue
+            rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
         return out
 
+    def _fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
+        parts = [self.plain(w) for w in words]
+        need = list({p for pair in parts for p in pair if p})
+        found = dict(zip(need, self._encode(need)))
+        found[b""] = []
+        ids = [found[base] + found[mark] for base, mark in parts]
+        return np.fromiter(chain.from_iterable(ids), self.wide), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk of documents in a row, the end id after each, and how many each has."""
+        s, e, wo = K.words(data, offs, K.SPACE)
+        h = np.maximum(K.span_hashes(data, s, e), 1)
+        check = (K.span_hashes(data, s, e, K.OTHER_BYTES) >> np.uint64(32)).astype(np.uint32)
+        slot = self.store.find(h, check)
+        start, count, pool = self.store.start[slot].astype(np.int64), self.store.count[slot].astype(np.int64), self.store.pool
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            _, first, back = np.unique(h[new] ^ (check[new].astype(np.uint64) << np.uint64(16)), return_index=True, return_inverse=True)
+            own, text = new[first], data.tobytes()
+            ids, n = self._fresh([text[a:b] for a, b in zip(s[own].tolist(), e[own].tolist())])
+            start[new], count[new] = (len(pool) + np.cumsum(n) - n)[back], n[back]
+            pool = np.concatenate([pool, ids])
+            if self.store.size < REMEMBERED:
+                self.store.add(h[own], check[own], ids, n)
+        docs = len(wo) - 1
+        ends = np.cumsum(np.concatenate([[0], count]))[wo[1:]] + np.arange(1, docs + 1)
+        out = np.full(int(ends[-1]) if docs else 0, self.end, self.wide)
+        out[K.ranges(np.cumsum(count) - count + np.repeat(np.arange(docs), np.diff(wo)), count)] = pool[K.ranges(start, count)]
+        return out, np.diff(np.concatenate([[0], ends]))
+
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
@@ -120,16 +203,15 @@ def _tokenised(name: str, end_id: int, block_tokens: int):
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                piece = batch.slice(a, 256)
-                for doc, got in zip(piece.column(0).to_pylist(), encode([(t or "").encode() for t in piece.column(1).to_pylist()])):
-                    n = len(got) // encode.wide.itemsize
-                    ids.append(got)
-                    docs.append(doc)
-                    counts.append(n)
-                    held += n
-                    if held >= block_tokens:
-                        yield flush()
+            data, offs = K.flat(batch.column(1))
+            for a, b, d, o in K.chunks(data, offs):
+                got, n = encode(d, o)
+                ids.append(got.tobytes())
+                docs += batch.column(0).slice(a, b - a).to_pylist()
+                counts += n.tolist()
+                held += len(got)
+                if held >= block_tokens:
+                    yield flush()
         if docs:
             yield flush()
 
