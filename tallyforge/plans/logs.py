@@ -242,7 +242,7 @@ SELECT run_id, round(abs(epoch(arg_max(t, seq)) - epoch(arg_min(t, seq))), 6) AS
     "probe_windows": f"""{_E}, kd AS (SELECT run_id, seq, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'probe_in' WHEN tool IN ('Edit', 'Bash') THEN 'tool_use' ELSE 'assistant' END AS kind, k % 5 = 0 AS answers FROM e), w AS (SELECT *, (sum((kind = 'probe_in')::INT) OVER (PARTITION BY run_id ORDER BY seq))::BIGINT AS window_no FROM kd),
 c AS (SELECT *, CASE WHEN window_no > 0 THEN min(seq) FILTER (kind = 'tool_use' OR (kind = 'assistant' AND answers)) OVER (PARTITION BY run_id, window_no) END AS close_seq FROM w), i AS (SELECT *, window_no > 0 AND (close_seq IS NULL OR seq < close_seq OR (seq = close_seq AND kind = 'assistant')) AS is_probe_turn FROM c) SELECT run_id, seq, window_no, close_seq, is_probe_turn, is_probe_turn AND seq = close_seq AS is_probe_out FROM i""",
     "probe_lifecycle": f"{_E}, p AS (SELECT *, max(seq) OVER (PARTITION BY run_id) AS last FROM e WHERE event_type = 'view') SELECT run_id, seq, CASE WHEN k % 3 = 0 THEN CASE WHEN seq < last THEN 'superseded' ELSE 'unanswered' END WHEN k % 7 = 1 AND k % 2 <> 0 THEN 'refused' ELSE 'answered' END AS outcome FROM p",
-    "mention_runs": f"""{_E}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS i FROM e WHERE event_type = 'view'), o AS (SELECT run_id, i, seq, k % 3 <> 0 AS m FROM q WHERE i < 12 AND k % 8 <> 5),
+    "mention_runs": f"""{_E}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM e WHERE event_type = 'view'), o AS (SELECT run_id, rn - 1 AS i, seq, k % 3 <> 0 AS m FROM q WHERE rn <= 12 AND k % 8 <> 5),
 a AS (SELECT run_id, min(i) FILTER (m) AS i0, min(i) FILTER (seq > 4000) AS u FROM o GROUP BY 1), b AS (SELECT run_id, i0, u, min(i) FILTER (NOT m AND i > i0) AS stop, min(i) FILTER (NOT m AND i > i0 AND (u IS NULL OR i < u)) AS lapse FROM o JOIN a USING (run_id) GROUP BY ALL)
 SELECT run_id, count(*) AS n_probes_observed, bool_or(m) AS ever_mention, any_value(i0) AS first_mention_probe, max(i) FILTER (m) AS last_mention_probe, min(seq) FILTER (m) AS first_mention_seq, nullif(count(*) FILTER (m AND i >= i0 AND (stop IS NULL OR i < stop)), 0) AS mention_run_length, any_value(u) AS first_use_probe_index, any_value(lapse - i0) AS lapse_probe_index, max(i) - any_value(i0) AS at_risk_horizon FROM o JOIN b USING (run_id) GROUP BY run_id""",
     "truncation_index": f"{_E} SELECT run_id, message_id AS tool_use_id, coalesce('s' || max(seq) FILTER (k % 4 = 0), 's' || min(seq) FILTER (k % 4 = 1)) AS truncation_source FROM e WHERE k % 4 < 2 GROUP BY ALL",
