@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import ledger, logs, statistics
+from tallyforge.plans import ledger, logs, more, statistics
 
-_MODULES = (statistics, ledger, logs)
+_MODULES = (statistics, ledger, logs, more)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
 FLAGSHIP = "rate_by_condition"
