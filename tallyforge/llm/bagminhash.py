@@ -232,6 +232,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = written(leaders.select("doc_id", "size", F.explode("bands").alias("bucket")), "banded")
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     crowd = written(banded.join(buckets, "bucket"), "crowd")
+    # the texts of documents that meet another: they cross the network whole once, and later joins read these alone
+    texts = written(texts.join(crowd.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi"), "crowd-texts")
     near = F.least(F.col("size"), F.col("of_size")) * threshold[1] >= F.greatest(F.col("size"), F.col("of_size")) * threshold[0]
     sizes = leaders.select(F.col("doc_id").alias("of"), F.col("size").alias("of_size"))
     tested = written(crowd.where("doc_id <> pivot").select("doc_id", "pivot", "size").distinct().join(sizes, F.col("pivot") == F.col("of")).where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "tested")

@@ -89,7 +89,7 @@ def workspace_files(spark: SparkSession, root: str, *, most: int = 2_000_000) ->
     """(path, text) of the text files below a folder: not too large, no NUL in the first 8 KiB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
     head = F.substring("content", 1, 8192)
-    return files.where(~F.contains(F.hex(head), F.lit("00")) | (F.position(F.lit(b"\x00"), head) == 0)).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(~F.hex(head).rlike("^(?:..)*00")).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 # schemas compiled to rules
