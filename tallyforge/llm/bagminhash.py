@@ -148,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, threshold: tu
     slices = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("p"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     members = pairs.join(slices, F.col("a") == F.col("p")).select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("side"))
     pivots = slices.select(F.col("p").alias("id"), F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"))
-    rows = members.unionByName(pivots).join(texts.select(F.col("doc_id").alias("of"), "text"), F.col("id") == F.col("of"))
+    rows = members.unionByName(pivots).join(texts.select(F.col("doc_id").alias("of"), "text").hint("merge"), F.col("id") == F.col("of"))
     dealt = rows.select("a", "slice", "side", "id", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "side", "id")
     return dealt.mapInArrow(_held(k, *threshold), "a long, b long").distinct()
 
@@ -217,7 +217,7 @@ def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, thres
     indexed = rows.where("component <> main").select("pivot", deal("block", "blocks").alias("block"), every("slices").alias("slice"), F.lit(0).alias("side"), "doc_id", "component")
     passing = rows.select("pivot", every("blocks").alias("block"), deal("slice", "slices").alias("slice"), F.lit(1).alias("side"), "doc_id", "component")
     # a slice without indexed members has nothing to do
-    sent = indexed.unionByName(passing).join(texts.select(F.col("doc_id").alias("of"), "text"), F.col("doc_id") == F.col("of")).drop("of")
+    sent = indexed.unionByName(passing).join(texts.select(F.col("doc_id").alias("of"), "text").hint("merge"), F.col("doc_id") == F.col("of")).drop("of")
     dealt = sent.repartition("pivot", "block", "slice").sortWithinPartitions("pivot", "block", "slice", "side", "doc_id")
     return dealt.mapInArrow(_crossed(k, *threshold), "a long, b long").distinct()
 
@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = written(leaders.select("doc_id", "size", F.explode("bands").alias("bucket")), "banded")
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     crowd = written(banded.join(buckets, "bucket"), "crowd")
-    # the texts of documents that meet another: they cross the network whole once, and later joins read these alone
-    texts = written(texts.join(crowd.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi"), "crowd-texts")
+    # the texts of documents that meet another: they cross the network whole once, and later joins read these alone;
+    # joins of texts are merged at every size, so that what a small input shows holds for a large one
+    texts = written(texts.join(crowd.select(F.col("doc_id").alias("of")).distinct().hint("merge"), F.col("doc_id") == F.col("of"), "left_semi"), "crowd-texts")
     near = F.least(F.col("size"), F.col("of_size")) * threshold[1] >= F.greatest(F.col("size"), F.col("of_size")) * threshold[0]
     sizes = leaders.select(F.col("doc_id").alias("of"), F.col("size").alias("of_size"))
     tested = written(crowd.where("doc_id <> pivot").select("doc_id", "pivot", "size").distinct().join(sizes, F.col("pivot") == F.col("of")).where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "tested")
