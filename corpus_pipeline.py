@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bagminhash, langid, mixing, tokens, wumanber
-from tallyforge.llm.common import table, written
+from tallyforge.llm.common import table, unused, written
 
 #: A predicted language below this score is rejected, as is a text without letters.
 LEAST_SCORE = 0.5
@@ -43,7 +43,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("of_doc")), F.col("doc_id") == F.col("of_doc"), "left_semi")
+    key = unused(docs, "of_doc")
+    return docs.join(ids.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_semi")
 
 
 STAGES = [("language ID", known_language), ("MinHash near-dedup", without_copies), ("benchmark decontamination", decontaminated), ("mixing sources to target weights", mixed), ("token-ID output", token_output)]

@@ -46,3 +46,10 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it if the table has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

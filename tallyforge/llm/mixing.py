@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import unused
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -74,6 +76,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
     """Rows of ``docs`` as often as the mix takes them; one cut at the end counts if half of it is taken."""
     taken = mix(docs, id_col=id_col, **options)
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
-    times = taken.where("taken > 0").groupBy(F.col("doc_id").alias("of_doc")).agg(F.max(times).alias("of_times")).where("of_times > 0")
-    rows = docs.join(times, F.col(id_col) == F.col("of_doc"))
-    return rows.withColumn("of_times", F.explode(F.sequence(F.lit(1), F.col("of_times")))).drop("of_doc", "of_times")
+    key, count = unused(docs, "of_doc"), unused(docs, "of_times")
+    times = taken.where("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(times).alias(count)).where(F.col(count) > 0)
+    rows = docs.join(times, F.col(id_col) == F.col(key))
+    return rows.withColumn(count, F.explode(F.sequence(F.lit(1), F.col(count)))).drop(key, count)
