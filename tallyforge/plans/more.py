@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text as X
 from tallyforge.operators import design as DS
 from tallyforge.operators import detectors as D
+from tallyforge.operators import grading as G
+from tallyforge.operators import ledger as L
+from tallyforge.operators import regions as RG
 from tallyforge.operators import tables as TB
-from tallyforge.plans import frames, logs
+from tallyforge.plans import frames, ledger, logs
 from tallyforge.plans.statistics import rounded
 from tallyforge.streaming import rates as ST
 
@@ -59,7 +62,40 @@ def _hits(e: DataFrame) -> DataFrame:
     return e.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("condition_id"), F.when(k % 11 != 0, F.col("value") > 40).alias("hit"), F.concat(F.lit("u"), "user_id").alias("run_id"), F.concat(F.lit("m"), k % 17).alias("message_id"), F.col("event_id").alias("seq"), ((F.col("event_type") == "purchase") & (k % 9 == 0)).alias("is_edit"), k.cast("bigint").alias("tokens_in"))
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return v.select(F.concat(F.lit("d"), F.col("doc_id") % 50).alias("run_id"), F.concat(F.lit("c"), F.col("doc_id") % 3).alias("criterion_id"), F.when(F.col("doc_id") % 7 != 0, F.col("quality") == 1).alias("met"))
+
+
+def _fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return v.select(F.concat(F.lit("f"), F.col("doc_id") % 40).alias("fact_id"), (F.col("toxic") == 1).alias("fired"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw records: assistants speak and call tools, users answer them or write."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    block = lambda **k: F.struct(*(v.alias(n) for n, v in k.items()))
+    call = F.to_json(block(type=F.lit("tool_use"), name=F.when(F.col("turn") % 4 == 1, "Read").otherwise("Bash"), id=F.concat(F.lit("k"), F.col("turn")), input=block(command=F.lit("ls"))))
+    said = F.concat(F.lit("["), F.to_json(block(type=F.lit("text"), text=F.col("text"))), F.lit(","), call, F.lit("]"))
+    answer = F.to_json(block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("k"), F.col("turn") - 1), content=F.col("text")))
+    wrote = F.concat(F.lit("["), F.to_json(block(type=F.lit("text"), text=F.concat("text", F.lit("<system-reminder>x</system-reminder>")))), F.lit(","), answer, F.lit("]"))
+    role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
+    line = F.concat(F.lit('{"type":"'), role, F.lit('","message":{"role":"'), role, F.lit('","content":'), F.when(role == "assistant", said).otherwise(wrote), F.lit("}}"))
+    return c.select(F.concat(F.lit("c"), "conv_id").alias("run_id"), (F.col("turn") + 1).alias("line_no"), line.alias("line"))
+
+
 QUERIES = {
+    "majority": lambda s, d: rounded(G.majority(_votes(s, d))),
+    "judged": lambda s, d: rounded(G.judged(G.majority(_votes(s, d)))),
+    "admission": lambda s, d: rounded(G.admission(_fires(s, d))),
+    "length_report": lambda s, d: rounded(G.length_report(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "text"))),
+    "length_balance": lambda s, d: rounded(G.length_balance(s.read.parquet(f"{d}/documents.parquet").where("text rlike '[a-z]'"), "source")),
+    "content_hash": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", "n_name")),
+    "leaks": lambda s, d: rounded(G.leaks(logs.regions(s, d).select(F.concat("run_id", F.lit("/"), "seq").alias("name"), "text"), logs.cards(s))),
+    "stream_regions": lambda s, d: rounded(RG.stream_regions(_records(s, d)).groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))),
+    "record_kinds": lambda s, d: rounded(_records(s, d).groupBy(RG.record_kind().alias("kind")).agg(F.count("*").alias("n"))),
+    "accounts_used": lambda s, d: rounded(L.in_period(ledger.postings(s, d), ledger.YEAR).groupBy("currency").agg(F.countDistinct("account").alias("n_accounts"), F.min("date").alias("first"), F.max("date").alias("last"))),
     "diff_files": lambda s, d: rounded(D.changed_files(_diffs(s, d)).select("run_id", "path", "status", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))),
     "added_lines": lambda s, d: rounded(D.added_lines(D.changed_files(_diffs(s, d)))),
     "shell_segments": lambda s, d: rounded(D.run_segments(_commands(s, d)).groupBy("segment").agg(F.count("*").alias("n"))),
@@ -84,7 +120,22 @@ QUERIES = {
 _O = "WITH o AS (SELECT 'o' || o_orderkey AS run_id, o_orderkey AS k FROM orders)"
 _H = "WITH h AS (SELECT ts, user_id, event_type AS condition_id, event_id AS seq, cast(json_extract_string(props, '$.k') AS int) AS k, CASE WHEN cast(json_extract_string(props, '$.k') AS int) % 11 <> 0 THEN value > 40 END AS hit FROM events)"
 _WINDOWS = f"{_H} SELECT date_trunc('day', ts)::TIMESTAMP::VARCHAR AS window_start, condition_id, count(hit) AS n, count(*) FILTER (hit) AS k, count(*) - count(hit) AS n_unknown FROM h GROUP BY ALL"
+_V = "WITH v AS (SELECT 'd' || (doc_id % 50) AS run_id, 'c' || (doc_id % 3) AS criterion_id, CASE WHEN doc_id % 7 <> 0 THEN quality = 1 END AS met FROM labels), m AS (SELECT run_id, criterion_id, CASE WHEN count(met) > 0 THEN count(*) FILTER (met) > count(met) / 2 END AS met, count(met) AS n_votes FROM v GROUP BY ALL)"
 ORACLE_SQL = {
+    "majority": f"{_V} SELECT * FROM m",
+    "judged": f"{_V}, j AS (SELECT run_id, count(*) AS t, count(met) AS g, count(*) FILTER (met) AS k FROM m GROUP BY 1) SELECT run_id, t AS criteria_total, g AS criteria_graded, t - g AS criteria_errored, round(k / nullif(g, 0), 6) AS score, CASE WHEN g = 0 THEN 'error' WHEN k = g AND t = g THEN 'accepted' WHEN k = 0 AND t = g THEN 'rejected' ELSE 'partial' END AS verdict FROM j",
+    "admission": "WITH f AS (SELECT 'f' || (doc_id % 40) AS fact_id, count(toxic) AS n, count(*) FILTER (toxic = 1) AS k FROM labels GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z FROM f) SELECT fact_id, n, k, round(least(1, (k / n + z * z / (2.0 * n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / (4.0 * n * n), 0))) / (1 + z * z / n)), 6) AS upper, CASE WHEN n < 12 THEN 'unevaluable' WHEN k = 0 THEN 'pass' WHEN k = 1 THEN 'weak' ELSE 'fail' END AS status FROM z",
+    "length_report": r"SELECT doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_words FROM documents",
+    "length_balance": r"WITH d AS (SELECT source, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM documents WHERE regexp_matches(text, '[a-z]')) SELECT source, round(max(n) / nullif(min(n), 0) - 1, 6) AS spread FROM d GROUP BY 1",
+    "content_hash": "SELECT n_regionkey::BIGINT AS n_regionkey, sha256(string_agg(l, chr(10) ORDER BY l)) AS sha256 FROM (SELECT n_regionkey, n_nationkey || '|' || n_name AS l FROM nation) GROUP BY 1",
+    "leaks": logs._REG + " SELECT run_id || '/' || seq AS name, fact_id FROM hits WHERE form IN ('exact', 'lower', 'nohyphen')",
+    "stream_regions": """WITH c AS (SELECT *, coalesce(text, '') AS t FROM conversations), r AS (
+SELECT 'self_text' AS channel, strlen(t) AS b FROM c WHERE role = 'assistant' UNION ALL SELECT 'tool_input', strlen('{"command":"ls"}') FROM c WHERE role = 'assistant'
+UNION ALL SELECT 'harness_task_prompt', strlen(t) FROM c WHERE role <> 'assistant' AND trim(t) <> '' UNION ALL SELECT 'system_reminder', strlen('<system-reminder>x</system-reminder>') FROM c WHERE role <> 'assistant'
+UNION ALL SELECT CASE WHEN p.turn IS NULL THEN 'unknown_visible' WHEN p.turn % 4 = 1 THEN 'tool_read' ELSE 'bash_stdout' END, strlen(c.t) FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'assistant' WHERE c.role <> 'assistant')
+SELECT channel, count(*) AS n, sum(b)::BIGINT AS n_bytes FROM r GROUP BY 1""",
+    "record_kinds": "SELECT CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS kind, count(*) AS n FROM conversations GROUP BY 1",
+    "accounts_used": f"WITH p AS ({frames.POSTINGS}) SELECT currency, count(DISTINCT account) AS n_accounts, min(date)::VARCHAR AS first, max(date)::VARCHAR AS last FROM p WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY 1",
     "diff_files": f"{_O} SELECT run_id, 'src/m' || (k % 9) || '.py' AS path, 'modified' AS status, 2::BIGINT AS n_added, 1::BIGINT AS n_removed FROM o UNION ALL SELECT run_id, 'docs/x.md', 'added', 1, 0 FROM o WHERE k % 3 = 0",
     "added_lines": f"{_O} SELECT run_id, 'src/m' || (k % 9) || '.py' AS path, 4::BIGINT AS line_no, 'total = ' || (k % 4) AS text FROM o UNION ALL SELECT run_id, 'src/m' || (k % 9) || '.py', 5, 'done' FROM o UNION ALL SELECT run_id, 'docs/x.md', 1, 'note ' || (k % 5) FROM o WHERE k % 3 = 0",
     "shell_segments": f"""{_O}, s AS (SELECT unnest(CASE k % 4 WHEN 0 THEN ['git add .', 'git commit -m ''a; b'''] WHEN 1 THEN ['pytest -q', 'tail -1', 'git commit -m x'] WHEN 2 THEN ['echo "$(ls; pwd)" > out'] ELSE ['git commit -m y', 'pytest'] END) AS segment FROM o) SELECT segment, count(*) AS n FROM s GROUP BY 1""",
