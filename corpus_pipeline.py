@@ -18,18 +18,19 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the machines know."""
-    found = langid.predict(docs, langid.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return _only(docs, found)
+    return langid.known(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each class of near-duplicates."""
-    return _only(docs, bagminhash.near_duplicates(docs).where("doc_id = class_id")).dropDuplicates(["doc_id"])
+    key = unused(docs, "of_doc")
+    first = bagminhash.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(key))
+    return docs.join(first, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark windows."""
-    return _only(docs, wumanber.occurrences(docs, table(spark, sf_dir, "benchmark")).where(~wumanber.contaminated()))
+    return wumanber.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +43,6 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return tokens.token_digest(docs)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    key = unused(docs, "of_doc")
-    return docs.join(ids.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_semi")
-
-
 STAGES = [("language ID", known_language), ("MinHash near-dedup", without_copies), ("benchmark decontamination", decontaminated), ("mixing sources to target weights", mixed), ("token-ID output", token_output)]
 
 #: The stages are models, sketches and a codec, which SQL can't express; tests hold them against plain versions.

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
+from tallyforge.llm.common import kept_rows
 from tallyforge.llm.samples import held_out, sample_by_class
 
 BUCKETS = 1 << 15
@@ -132,29 +133,44 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return Model(languages, families, duels, weights.astype(np.float32), scale, default)
 
 
+def judged(texts: pa.Array, m: Model) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first, after the last, languages, scores) for runs of texts."""
+    data, offs = K.flat(texts)
+    for a, b, d, o in K.chunks(data, offs):
+        lettered = np.diff(np.concatenate([[0], np.cumsum(_LETTER[d], dtype=np.int64)])[o]) > 0
+        for x in np.flatnonzero(~lettered):
+            own = d[o[x] : o[x + 1]]
+            lettered[x] = bool((own >= 0x80).any()) and any(map(str.isalpha, own.tobytes().decode()))
+        grams = features(d) if len(d) else []
+        margins = np.zeros((b - a, len(m.duels)))
+        for k, w in enumerate(m.weights):
+            for n, f in enumerate(grams, 1):
+                sums = np.concatenate([[0], np.cumsum(w[f], dtype=np.float64)])
+                lo = np.minimum(o[:-1], len(f))
+                margins[:, k] += sums[np.maximum(np.minimum(o[1:] - n + 1, len(f)), lo)] - sums[lo]
+            margins[:, k] = margins[:, k] * (SHARPNESS / np.maximum(np.diff(o), 1)) + w[-1]
+        langs, score = m.decide(margins) if m.languages else (["und"] * (b - a), np.zeros(b - a))
+        yield a, b, [v if ok else "und" for v, ok in zip(langs, lettered)], np.where(lettered, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            data, offs = K.flat(batch.column(1))
-            for a, b, d, o in K.chunks(data, offs):
-                lettered = np.diff(np.concatenate([[0], np.cumsum(_LETTER[d], dtype=np.int64)])[o]) > 0
-                for x in np.flatnonzero(~lettered):
-                    own = d[o[x] : o[x + 1]]
-                    lettered[x] = bool((own >= 0x80).any()) and any(map(str.isalpha, own.tobytes().decode()))
-                grams = features(d) if len(d) else []
-                margins = np.zeros((b - a, len(m.duels)))
-                for k, w in enumerate(m.weights):
-                    for n, f in enumerate(grams, 1):
-                        sums = np.concatenate([[0], np.cumsum(w[f], dtype=np.float64)])
-                        lo = np.minimum(o[:-1], len(f))
-                        margins[:, k] += sums[np.maximum(np.minimum(o[1:] - n + 1, len(f)), lo)] - sums[lo]
-                    margins[:, k] = margins[:, k] * (SHARPNESS / np.maximum(np.diff(o), 1)) + w[-1]
-                langs, score = m.decide(margins) if m.languages else (["und"] * (b - a), np.zeros(b - a))
-                langs = [v if ok else "und" for v, ok in zip(langs, lettered)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+            for a, b, langs, score in judged(batch.column(1), shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def known(docs: DataFrame, model: Model, least: float, *, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language, at a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        parts = [np.array([v != "und" for v in langs]) & (score >= least) for _, _, langs, score in judged(texts, shared.value)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    return kept_rows(docs, text_col, keep)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import text_bytes
+from tallyforge.llm.common import kept_rows, text_bytes
 from tallyforge.llm.repeats import canonical_words
 
 LENGTH = 13
@@ -98,36 +98,56 @@ def searches(items: list[tuple[object, str | None]], length: int = LENGTH) -> li
     return [Search(size, patterns) for size, patterns in sorted(by.items())]
 
 
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> list:
+    """Broadcast tables of the benchmark, a bounded block of its items each."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
+    place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    return [benchmark.sparkSession.sparkContext.broadcast(searches([(r["item"], r["text"]) for r in items.where(place == k).collect()], length)) for k in range(blocks)]
+
+
+def found(texts: pa.Array, shared: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[str]]]]:
+    """(first, after the last, words, words hit, items) for runs of texts."""
+    data, offs = K.flat(texts)
+    for a, b, d, o in K.chunks(data, offs):
+        text, s, e, wo, h = cut(d, o)
+        edge = np.zeros(len(s) + 1, np.int64)
+        listed: dict[int, set] = {}
+        for block in shared:
+            for search in block.value:
+                for first, ids in search.run(text, s, e, wo, h):
+                    edge[first] += 1
+                    edge[first + search.length] -= 1
+                    listed.setdefault(int(np.searchsorted(wo, first, "right")) - 1, set()).update(ids)
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        yield a, b, np.diff(wo), (hit[wo[1:]] - hit[wo[:-1]]).astype(np.int64), [sorted(listed.get(x, ())) for x in range(b - a)]
+
+
 _OUT = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted) of every row; no shuffle."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
-    place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    shared = [spark.sparkContext.broadcast(searches([(r["item"], r["text"]) for r in items.where(place == k).collect()], length)) for k in range(blocks)]
+    shared = blocks_of(benchmark, item_col, item_text_col, length, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = K.flat(batch.column(1))
-            for a, b, d, o in K.chunks(data, offs):
-                text, s, e, wo, h = cut(d, o)
-                edge = np.zeros(len(s) + 1, np.int64)
-                listed: dict[int, set] = {}
-                for block in shared:
-                    for search in block.value:
-                        for first, ids in search.run(text, s, e, wo, h):
-                            edge[first] += 1
-                            edge[first + search.length] -= 1
-                            listed.setdefault(int(np.searchsorted(wo, first, "right")) - 1, set()).update(ids)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(wo)), pa.array((hit[wo[1:]] - hit[wo[:-1]]).astype(np.int64)), pa.array([sorted(listed.get(x, ())) for x in range(b - a)], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+            for a, b, n, hit, items in found(batch.column(1), shared):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(hit), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that the rule doesn't call contaminated."""
+    shared = blocks_of(benchmark, **options)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *((hit == 0) | (20 * hit < n) for _, _, n, hit, _ in found(texts, shared))])
+
+    return kept_rows(docs, text_col, keep)
+
+
 def contaminated() -> Column:
     """The rule: a twentieth of a document's words or more lie in windows of the benchmark."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
