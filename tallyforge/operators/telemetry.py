@@ -205,3 +205,17 @@ def success_of(verdict_: Column, errored: Column) -> Column:
     """Three-valued success: an error, or a partial grade with errors, is unknown."""
     v = F.lower(F.trim(verdict_))
     return F.when(v.isin("accepted", "pass", "passed", "success", "ok"), True).when(v.isin("rejected", "timeout", "fail", "failed"), False).when(v == "partial", F.when(F.coalesce(errored, F.lit(0)) == 0, False))
+
+
+def job_scorecard(runs: DataFrame, baseline: str) -> dict[str, DataFrame]:
+    """Tables of a job's report. Runs: run_id, task_id, condition_id, terminal_state, total_effective, accounting_version, grader_sha, regraded_state, seen (their order)."""
+    accepted = F.avg(F.when(F.col("terminal_state").isNotNull(), (F.col("terminal_state") == "accepted").cast("int")))
+    cost = by_condition(runs)
+    base = cost.where(F.col("condition_id") == baseline).select(F.col("tokens_upper_median").alias("base"))
+    return {
+        "acceptance by task": runs.groupBy("task_id").agg(F.min("seen").alias("seen"), F.count("*").alias("n_runs"), accepted.alias("accept_rate")).orderBy("seen").drop("seen"),
+        "cost by condition": cost.join(base, F.lit(True), "left").select("*", F.try_divide("tokens_upper_median", "base").alias("ratio")).drop("base"),  # one row
+        "versions": runs.groupBy(F.coalesce("accounting_version", F.lit("unset")).alias("version")).agg(F.count("*").alias("n")),
+        "graders": runs.groupBy("task_id").agg(F.countDistinct("grader_sha").alias("n_graders")),
+        "regrade drift": runs.where("regraded_state is not null and regraded_state <> terminal_state").select("run_id", "terminal_state", "regraded_state"),
+    }

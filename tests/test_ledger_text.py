@@ -146,3 +146,25 @@ def test_chart(spark, tmp_path):
         S.read_chart(spark, str(tmp_path / "d.csv")).collect()
     (tmp_path / "r.csv").write_text("base,quote,rate\neur,usd,3/2\n")
     assert [(r["base"], int(r["num"]), int(r["den"])) for r in S.read_rates(spark, str(tmp_path / "r.csv")).collect()] == [("EUR", 3, 2)]
+
+
+def test_payroll_year(spark):
+    p = S.payroll_ledger(spark)
+    assert p.select("txn_id").distinct().count() == 24 and L.residual(p).first()["residual_minor"] == 0
+    got = {r["account"]: r["balance_minor"] for r in L.trial_balance(p).collect()}
+    assert got == {"expenses.rent": 12 * 320_000, "expenses.salaries": 9 * 1_760_000 + 3 * 1_840_000, "assets.cash.checking": -(12 * 320_000 + 9 * 1_760_000 + 3 * 1_840_000)}
+    assert L.with_tag(p, "closing").first()["description"] == "December payroll"
+    usd = L.converted(p, S.rate_table(spark, list(S.EXTENDED_RATES)), "EUR")
+    assert usd.where("amount_minor = 256000").count() == 12
+
+
+def test_scorecard(spark):
+    from tallyforge.operators import telemetry as T
+
+    rows = [("r1", "b", "E0", "accepted", 10, "v2", "g", None, 1), ("r2", "a", "E1", "rejected", 30, None, "g", "accepted", 2), ("r3", "a", "E1", "accepted", 20, "v2", "h", "accepted", 3), ("r4", "b", "E0", None, 40, "v2", "g", None, 4)]
+    runs = spark.createDataFrame(rows, "run_id string, task_id string, condition_id string, terminal_state string, total_effective long, accounting_version string, grader_sha string, regraded_state string, seen int")
+    got = T.job_scorecard(runs, "E0")
+    assert [r["task_id"] for r in got["acceptance by task"].collect()] == ["b", "a"]
+    assert {r["condition_id"]: (r["tokens_upper_median"], r["ratio"]) for r in got["cost by condition"].collect()} == {"E0": (40, 1.0), "E1": (30, 0.75)}
+    assert got["regrade drift"].first()["run_id"] == "r2" and got["versions"].count() == 2
+    assert {r["task_id"]: r["n_graders"] for r in got["graders"].collect()} == {"a": 2, "b": 1}
