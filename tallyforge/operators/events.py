@@ -50,8 +50,9 @@ def next_tool_after(points: DataFrame, tools: DataFrame) -> DataFrame:
     Both sides meet in one sort of their run; nothing is paired.
     """
     both = points.select("run_id", F.col("at").alias("seq"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("long").alias("tool_seq")).unionByName(tools.select("run_id", "seq", F.lit(-1).alias("side"), "tool", F.col("seq").cast("long").alias("tool_seq")))
-    after = by_run().orderBy("seq", "side").rowsBetween(1, Window.unboundedFollowing)
-    got = F.first(F.when(F.col("side") == -1, F.struct("tool_seq", "tool")), ignorenulls=True).over(after)
+    # from the end backwards, so that the frame grows by a row at a time
+    after = by_run().orderBy(F.desc("seq"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    got = F.last(F.when(F.col("side") == -1, F.struct("tool_seq", "tool")), ignorenulls=True).over(after)
     return both.withColumn("next", got).where("side = 0").select("run_id", F.col("seq").alias("at"), F.col("next.tool_seq").alias("next_seq"), F.col("next.tool").alias("next_tool"))
 
 
