@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import written
+from tallyforge.llm.common import bounded_batches, written
 from tallyforge.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -224,6 +224,7 @@ def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, thres
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its class)."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_signed(k, bands, rows), "doc_id long, digest binary, size long, bands array<bigint>"), "signed")
     full = signed.where("size > 0 and doc_id is not null")

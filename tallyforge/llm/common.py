@@ -17,6 +17,18 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
+#: Bytes of rows that one Arrow batch to or from Python holds, about; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session by bytes, so that memory doesn't follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key).lower().rstrip("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES or int(have) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -61,6 +73,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of ``docs``, all their columns, for whose texts ``keep`` is true; no shuffle and no join."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import textstats as S
+from tallyforge.llm.common import bounded_batches
 from tallyforge.llm.samples import held_out, sample_by_class
 
 #: Labelled rows of each quality that fitting takes, about.
@@ -154,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def judge(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, COUNTS, base_failed, kept of every row; no shuffle."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(S.batches_of_counts, S.SCHEMA)
     rows = rows.withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
 from tallyforge.llm import textstats as S
+from tallyforge.llm.common import bounded_batches
 from tallyforge.llm.samples import held_out, sample_by_class
 
 WORDS = 1 << 14
@@ -128,6 +129,7 @@ def _arrow_slices(df: DataFrame) -> Iterator[pa.Table]:
 
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

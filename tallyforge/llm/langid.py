@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import kept_rows
+from tallyforge.llm.common import bounded_batches, kept_rows
 from tallyforge.llm.samples import held_out, sample_by_class
 
 BUCKETS = 1 << 15
@@ -155,6 +155,7 @@ def judged(texts: pa.Array, m: Model) -> Iterator[tuple[int, int, list[str], np.
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import text_bytes
+from tallyforge.llm.common import bounded_batches, text_bytes
 
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 20
@@ -348,6 +348,7 @@ def removed_mask(n_units: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 def repeated_places(docs: DataFrame, units: Units, order: Callable, finish: Callable, schema: str, *, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """``finish(ordered documents, row, at, n)`` of every group, with the repeated windows' places in it."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = text_bytes(docs, text_col)
     groups, buckets, strings_in = (max(1, -(-total // size)) for size in (group_bytes, 4 * group_bytes, bucket_bytes))
     own = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
 from tallyforge.llm import rans
-from tallyforge.llm.common import fresh_path
+from tallyforge.llm.common import bounded_batches, fresh_path
 
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again.
@@ -240,6 +240,7 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_4
     blocks beside the file, because the shared table needs all counts first.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     wide = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -277,6 +278,7 @@ def _vocabulary(tokenizer: str) -> int:
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a token file: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32."""
+    bounded_batches(spark)
     rows = spark.read.parquet(f"{path}/table").collect()  # a row for each id of the vocabulary at most
     freq = np.zeros(max([0, *(r["symbol"] for r in rows)]) + 1, np.int64)
     for r in rows:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import kept_rows, text_bytes
+from tallyforge.llm.common import bounded_batches, kept_rows, text_bytes
 from tallyforge.llm.repeats import canonical_words
 
 LENGTH = 13
@@ -128,6 +128,7 @@ _OUT = "doc_id long, n_words long, n_hit long, items array<string>"
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted) of every row; no shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = blocks_of(benchmark, item_col, item_text_col, length, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
