@@ -8,6 +8,8 @@ becomes one ordered Spark conditional expression; what no rule takes is kept.
 
 Base rules come first: fewer than 10 words, or more than a fifth of the words in
 five-word windows that the text has twice or more, fail.  Null texts have no words.
+Rows are judged one by one, repeated and null ids included; without labels only the
+base rules hold.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ length as metadata, each cut at quantiles into one-hot cells.  Pairs of inputs
 interact through low-rank factors, summed in linear time as
 ``0.5 * ((sum v x)^2 - sum (v x)^2)``.  Labels, language, source and id are never inputs.
 
-Null texts are empty; an empty text gets the score of its cells.
+Null texts are empty; an empty text gets the score of its cells.  Rows are scored one
+by one, repeated and null ids included; without labels every score is one half.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     size = WORDS + CELLS * len(RATIOS)
     m = Machine(edges, 0.0, np.zeros(size), rng.normal(0, 0.02, (size, RANK)))
     if not n:
-        return m
+        return Machine(edges, 0.0, np.zeros(size), np.zeros((size, RANK)))
     y = np.asarray(y, np.float64)
     positive = y.mean()
     m.bias = float(np.log((positive + 1e-3) / (1 - positive + 1e-3)))

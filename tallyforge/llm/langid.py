@@ -4,7 +4,9 @@ A text's features are its 1-, 2- and 3-byte grams (A-Z lowered), hashed, as
 shares of its length.  Linear support vector machines first choose a language
 family, then one-versus-one machines separate the languages within it.
 
-A text that is null or has no letter is ``und`` with score 0.  Texts of which
+Rows are judged one by one: repeated rows and ids get equal results, null ids are
+kept, an empty table gives none. Without labelled rows all is ``und``.  A text that
+is null or has no letter is ``und`` with score 0.  Texts of which
 no machine knows anything get the commonest language at a low score.
 """
 

@@ -10,7 +10,7 @@ boilerplate lines, and they travel to the pages as one short array a host.  A ho
 third of all pages is dealt to ``SALTS`` keys in both joins.
 
 Null HTML has no lines; a null or odd URL has the host ''.  Repeated rows are
-pages of their own.
+pages of their own, null ids are kept, and an empty table gives none.
 """
 
 from __future__ import annotations
