@@ -352,7 +352,8 @@ def repeated_places(docs: DataFrame, units: Units, order: Callable, finish: Call
     total = text_bytes(docs, text_col)
     groups, buckets, strings_in = (max(1, -(-total // size)) for size in (group_bytes, 4 * group_bytes, bucket_bytes))
     own = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups // 8, 20_000))
+    # a hundred megabytes a task or so, whatever the session asks for
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups // 32, 200_000))
     own = own.repartition(parts, "g")
     listed = own.groupBy("g").applyInArrow(_listed(units, buckets), "bucket long, g long, keys binary")
     answers = listed.groupBy("bucket").applyInArrow(_shared(hot), "g long, bucket long, keys binary, hot_keys binary")
