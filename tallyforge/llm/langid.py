@@ -57,7 +57,7 @@ def _shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text, np.uint8)
     found = np.bincount(np.concatenate(features(data)), minlength=1)
     at = np.flatnonzero(found)
-    return at, found[at] * (SHARPNESS / max(1, len(data)))
+    return at.astype(np.int32), (found[at] * (SHARPNESS / max(1, len(data)))).astype(np.float32)
 
 
 def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, decay: float = 1e-4) -> np.ndarray:
