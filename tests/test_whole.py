@@ -43,3 +43,9 @@ def test_transactions_json(spark, con):
 def test_ledger_text(spark, con):
     got = Counter((r["date"], r["line_no"], len(r["text"].split("\n")) - 1) for r in ledger.QUERIES["ledger_text"](spark, DIR).collect())
     assert got == Counter(con.execute("select min(date)::varchar, min(line_no), count(*) from p group by txn_id").fetchall())
+
+
+def test_transaction_sums(spark, con):
+    want = con.execute(ledger.ORACLE_SQL["transaction_sums"].partition(" HAVING ")[0]).fetch_df()
+    assert len(want) == con.execute("select count(distinct (txn_id, currency)) from p").fetchone()[0]
+    assert rows(ledger.QUERIES["transaction_sums"](spark, DIR).toPandas()) == rows(want)
