@@ -104,7 +104,7 @@ _REPLY = '{"probe_id":"WURP-0123abcd-001","facts":[{"fact":"QX-01-AB is due","so
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as a reply in one of five shapes, parsed."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
-    prose = F.substring("text", 1, 40)
+    prose = F.col("text")
     shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
     raw = F.when(shape == 0, F.concat(prose, F.lit(f"\n```json\n{_REPLY}\n```"))).when(shape == 1, F.concat(prose, F.lit(f" {_REPLY} "), prose)).when(shape == 2, F.lit(f"```\n{_REPLY[:-1]},}}\n```")).when(shape == 3, F.lit("WURP-0123abcd-002 later")).otherwise(prose)
     got = c.select("conv_id", "turn", P.parse_answer(raw, F.lit("WURP-0123abcd-001")).alias("a"))

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tallyforge.plans import frames, ledger
+from tallyforge.plans import frames, ledger, logs
 from tests.compare import rows
 
 DIR = "/root/testdata/sf0.001"
@@ -49,3 +49,15 @@ def test_transaction_sums(spark, con):
     want = con.execute(ledger.ORACLE_SQL["transaction_sums"].partition(" HAVING ")[0]).fetch_df()
     assert len(want) == con.execute("select count(distinct (txn_id, currency)) from p").fetchone()[0]
     assert rows(ledger.QUERIES["transaction_sums"](spark, DIR).toPandas()) == rows(want)
+
+
+def test_answers(spark, tmp_path):
+    """What comes after the fortieth character of a turn counts; a turn's own fence or id comes first."""
+    far = "a word " * 20
+    own = '{"probe_id":"WURP-0123abcd-009","facts":[],"next_action":""}'
+    turns = [(1, 4, "assistant", far + own), (2, 7, "assistant", far + "WURP-0123abcd-008"), (3, 6, "assistant", far + "```json\n{}\n```"), (4, 1, "assistant", far), (5, 4, "assistant", None), (6, 4, "user", own), (7, 4, "assistant", far + own)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: (r["parse_ok"], r["parse_tier"], r["probe_id"]) for r in logs.QUERIES["answers"](spark, str(tmp_path)).collect()}
+    # shapes: conv_id + turn modulo 5: fenced, fenced or bare after it, no reply
+    reply = "WURP-0123abcd-001"
+    assert got == {1: (True, "strict", reply), 2: (False, "failed", "WURP-0123abcd-008"), 3: (False, "failed", None), 4: (True, "strict", reply), 5: (False, "failed", None), 7: (True, "lenient", "WURP-0123abcd-009")}
