@@ -80,8 +80,8 @@ def _lifecycle(rows: DataFrame) -> DataFrame:
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """Each run's first twelve views as probes."""
-    p = rows.where("event_type = 'view'").withColumn("probe_idx", F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1).where("probe_idx < 12")
+    """Each run's views as probes."""
+    p = rows.where("event_type = 'view'").withColumn("probe_idx", F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1)
     return TR.mention_runs(p.select("run_id", "probe_idx", F.col("seq").alias("sent_seq"), (F.col("k") % 8 != 5).alias("observed"), (F.col("k") % 3 != 0).alias("mentioned"), F.lit(4000).alias("first_used_seq")))
 
 

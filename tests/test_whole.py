@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.plans import frames, ledger, logs
 from tests.compare import rows
@@ -61,3 +62,15 @@ def test_answers(spark, tmp_path):
     # shapes: conv_id + turn modulo 5: fenced, fenced or bare after it, no reply
     reply = "WURP-0123abcd-001"
     assert got == {1: (True, "strict", reply), 2: (False, "failed", "WURP-0123abcd-008"), 3: (False, "failed", None), 4: (True, "strict", reply), 5: (False, "failed", None), 7: (True, "lenient", "WURP-0123abcd-009")}
+
+
+def _events(path, spark, kinds):
+    """events of one user: (type, k) in order."""
+    spark.createDataFrame([(i, 1, kind, float(i), json.dumps({"k": k})) for i, (kind, k) in enumerate(kinds)], "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds(F.col("event_id"))).write.parquet(f"{path}/events.parquet")
+
+
+def test_mention_runs(spark, tmp_path):
+    """Thirty views, the first twelve and the last not mentioned."""
+    _events(tmp_path, spark, [("view", 3)] * 12 + [("view", 1)] * 17 + [("view", 3)])
+    got = logs.QUERIES["mention_runs"](spark, str(tmp_path)).first()
+    assert (got["n_probes_observed"], got["ever_mention"], got["first_mention_probe"], got["last_mention_probe"], got["mention_run_length"], got["lapse_probe_index"], got["at_risk_horizon"]) == (30, True, 12, 28, 17, 17, 17)
