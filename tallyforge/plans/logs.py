@@ -138,7 +138,7 @@ QUERIES = {
     "phase_activity": on_log(TM.phase_activity),
     "file_access": on_log(TM.file_access),
     "token_curve": on_log(TM.token_curve),
-    "read_sequence": on_log(lambda log: TM.read_sequence(log, 5).select("run_id", F.array_join("files_read_sequence", "|").alias("files"))),
+    "read_sequence": on_log(lambda log: TM.read_sequence(log).select("run_id", F.array_join("files_read_sequence", "|").alias("files"))),
     "run_record": on_events(lambda e: TM.run_record(e).select("run_id", F.col("tokens.total_input"), F.col("operations.tool_calls_total"), F.col("navigation.file_reads_unique"), F.col("context.context_acquisition"))),
     "score_by_condition": on_flat(lambda r: TM.by_condition(_runs(r))),
     "score_totals": on_flat(lambda r: TM.totals(_runs(r), "condition_id", "task_id")),

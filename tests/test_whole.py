@@ -74,3 +74,11 @@ def test_mention_runs(spark, tmp_path):
     _events(tmp_path, spark, [("view", 3)] * 12 + [("view", 1)] * 17 + [("view", 3)])
     got = logs.QUERIES["mention_runs"](spark, str(tmp_path)).first()
     assert (got["n_probes_observed"], got["ever_mention"], got["first_mention_probe"], got["last_mention_probe"], got["mention_run_length"], got["lapse_probe_index"], got["at_risk_horizon"]) == (30, True, 12, 28, 17, 17, 17)
+
+
+@pytest.mark.parametrize(("made", "kept"), [(30, 30), (230, 200)])
+def test_read_sequence(spark, tmp_path, made, kept):
+    """All reads of a run up to the operator's own 200."""
+    _events(tmp_path, spark, [("click", k) for k in range(made)])
+    files = logs.QUERIES["read_sequence"](spark, str(tmp_path)).first()["files"].split("|")
+    assert files == ["memory/n.md" if k % 10 == 0 else f"src/f{k % 12}.py" for k in range(kept)]
