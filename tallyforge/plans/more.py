@@ -90,7 +90,7 @@ QUERIES = {
     "judged": lambda s, d: rounded(G.judged(G.majority(_votes(s, d)))),
     "admission": lambda s, d: rounded(G.admission(_fires(s, d))),
     "length_report": lambda s, d: rounded(G.length_report(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "text"))),
-    "length_balance": lambda s, d: rounded(G.length_balance(s.read.parquet(f"{d}/documents.parquet").where("text rlike '[a-z]'"), "source")),
+    "length_balance": lambda s, d: rounded(G.length_balance(s.read.parquet(f"{d}/documents.parquet"), "source")),
     "content_hash": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", "n_name")),
     "leaks": lambda s, d: rounded(G.leaks(logs.regions(s, d).select(F.concat("run_id", F.lit("/"), "seq").alias("name"), "text"), logs.cards(s))),
     "stream_regions": lambda s, d: rounded(RG.stream_regions(_records(s, d)).groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))),

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.plans import frames, ledger, logs
+from tallyforge.plans import frames, ledger, logs, more
 from tests.compare import rows
 
 DIR = "/root/testdata/sf0.001"
@@ -82,3 +82,11 @@ def test_read_sequence(spark, tmp_path, made, kept):
     _events(tmp_path, spark, [("click", k) for k in range(made)])
     files = logs.QUERIES["read_sequence"](spark, str(tmp_path)).first()["files"].split("|")
     assert files == ["memory/n.md" if k % 10 == 0 else f"src/f{k % 12}.py" for k in range(kept)]
+
+
+def test_length_balance(spark, tmp_path):
+    """Upper-case and other scripts have words; null and empty texts have none; every source stays."""
+    docs = [("a", "one two three four"), ("a", "ONE"), ("b", "один два"), ("b", "один"), ("c", "one"), ("c", ""), ("d", None), ("e", "one two"), ("e", "1 2 3")]
+    spark.createDataFrame(docs, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: r["spread"] for r in more.QUERIES["length_balance"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 3.0, "b": 1.0, "c": None, "d": None, "e": 0.5}
