@@ -19,7 +19,7 @@ def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("first_finish")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_bagminhash, op3_fair_mix
 ORACLE_SQL = {
     "op3_fair_mix": r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight
@@ -81,15 +81,18 @@ WITH RECURSIVE sized AS (
 ), aims AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT level FROM water), cap::DOUBLE)) AS target FROM capped
 ), queued AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS start
+  SELECT s.r, s.source, s.doc_id, s.size, a.source_size, a.target,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size, s.r ROWS UNBOUNDED PRECEDING) - s.size AS start
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+), entries AS (
+  SELECT r, source, size, p * source_size + start AS place, (p * source_size + start + size)::DOUBLE / target AS finish
+  FROM queued, (VALUES (0), (1), (2)) passes(p) WHERE size > 0 AND target > 0
+), used AS (
+  SELECT r, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, place ROWS UNBOUNDED PRECEDING) - size AS used, (SELECT sum(source_size) FROM sources) AS budget FROM entries
+), taken AS (
+  SELECT r, sum(least(size, budget - used)) AS taken FROM used WHERE used < budget GROUP BY r
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target) - start))
-        + greatest(0, least(size, floor(target) - source_size - start))
-        + greatest(0, least(size, floor(target) - 2 * source_size - start)))::BIGINT AS taken
-FROM queued""",
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued LEFT JOIN taken USING (r)""",
     "op10_site_lines": r"""
 WITH cut AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '') AS host,
