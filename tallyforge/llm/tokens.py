@@ -6,7 +6,8 @@ documents each, in ascending document order over ``part`` and ``block``) and
 writes to can hold it, and every block decodes by itself.
 
 Null texts are empty: they have the end id only.  Rows with equal or null ids
-are kept, ordered by text (null ids first).  An empty table gives an empty file.
+are kept, ordered by a hash of their text and the text (null ids first), and can lie in several ranges.
+An empty table gives an empty file; a very long text or word is encoded whole; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
 from tallyforge.llm import rans
-from tallyforge.llm.common import bounded_batches, fresh_path
+from tallyforge.llm.common import bounded_batches, deleted, fresh_path, text_bytes
 
 BLOCK_TOKENS = 1 << 19
-#: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again.
+#: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again, each time they come.
 REMEMBERED = 1_000_000
+#: Ids that all remembered words of a worker may have together, and that one may have.
+REMEMBERED_IDS, WORD_IDS = 16_000_000, 255
+#: Bytes of text that a range of documents holds, about, where the session's partitions would hold more.
+RANGE_BYTES = 128 << 20
 
 _BLOCKS = "part int, block int, before long, n_tokens long, doc_ids array<bigint>, counts array<bigint>, ids binary"
 _FILE = "part int, block int, before long, n_tokens long, doc_ids array<bigint>, counts array<bigint>, payload binary"
@@ -43,7 +48,7 @@ class Store:
     def _allot(self, slots: int) -> None:
         self.mask = np.uint64(slots - 1)
         self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
-        self.start, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.uint16)
+        self.start, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
 
     def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Slots of words, or -1."""
@@ -68,7 +73,7 @@ class Store:
             left, slot = left[~mine], (slot[~mine] + 1) & int(self.mask)
 
     def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Words that aren't there yet, each once; ``ids`` are theirs in a row."""
+        """Words that aren't there yet, each once; ``ids`` are theirs in a row, WORD_IDS a word at most."""
         if 2 * (self.size + len(h)) > len(self.key):
             full = np.flatnonzero(self.key)
             old = self.key[full], self.check[full], self.start[full], self.count[full]
@@ -80,7 +85,7 @@ class Store:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.pool.dtype)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self._place(h, check, (self.used + np.cumsum(count) - count).astype(np.int32), count.astype(np.uint16))
+        self._place(h, check, (self.used + np.cumsum(count) - count).astype(np.int32), count.astype(np.uint8))
         self.used += len(ids)
         self.size += len(h)
 
@@ -164,8 +169,9 @@ class WordEncoder:
             ids, n = self._fresh([text[a:b] for a, b in zip(s[own].tolist(), e[own].tolist())])
             start[new], count[new] = (len(pool) + np.cumsum(n) - n)[back], n[back]
             pool = np.concatenate([pool, ids])
-            if self.store.size < REMEMBERED:
-                self.store.add(h[own], check[own], ids, n)
+            if self.store.size < REMEMBERED and self.store.used < REMEMBERED_IDS:
+                short = n <= WORD_IDS
+                self.store.add(h[own[short]], check[own[short]], ids if short.all() else ids[np.repeat(short, n)], n[short])
         docs = len(wo) - 1
         ends = np.cumsum(np.concatenate([[0], count]))[wo[1:]] + np.arange(1, docs + 1)
         out = np.full(int(ends[-1]) if docs else 0, self.end, self.wide)
@@ -242,8 +248,9 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_4
     spark = docs.sparkSession
     bounded_batches(spark)
     wide = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs, text_col) // RANGE_BYTES))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     plain = f"{path}/plain"
     ordered.mapInArrow(_tokenised(tokenizer, end_id, block_tokens), _BLOCKS).write.option("compression", "zstd").parquet(plain)
     blocks = spark.read.schema(_BLOCKS).parquet(plain)
@@ -267,6 +274,7 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_4
     starts = totals.select(F.col("part").alias("of_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
     file = blocks.mapInArrow(encoded, _FILE)
     file.join(F.broadcast(starts), F.col("part") == F.col("of_part")).withColumn("start", F.col("start") + F.col("before")).drop("of_part", "before").write.option("compression", "none").parquet(f"{path}/blocks")
+    deleted(spark, plain)
     return path
 
 
