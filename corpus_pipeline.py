@@ -17,29 +17,50 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the machines know."""
+    """Documents in a language that the machines know; rows are judged one by one, whatever their ids.
+
+    Null and empty texts and those without letters go, as do texts of which the machines know too
+    little. Very long texts are judged whole. Repeated rows share a verdict, an empty
+    table stays empty, and extra columns stay, whatever their names.
+    """
     return langid.known(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates."""
-    key = unused(docs, "of_doc")
-    first = bagminhash.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(key))
-    return docs.join(first, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class of near-duplicates: that of the least id, null ids last.
+
+    Of different texts under that id (or without id) the least by MD5 stays; of rows equal in id and text, one.
+    Rows whose text has no words all stay. Null ids and repeated ids are no reason to
+    go. Very long texts are compared whole; an empty table stays empty, extra columns stay.
+    """
+    return bagminhash.without_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark windows."""
+    """Documents of which less than a twentieth lies in benchmark windows.
+
+    Rows are judged one by one: null and empty texts stay, as do null and repeated ids; a very long text is
+    searched whole; an empty table or benchmark removes nothing; extra columns stay.
+    """
     return wumanber.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them: no time to three times each.
+
+    Every row is a document, null and repeated ids included; a null source is a source. A text without
+    words has size 0 and isn't taken. The one document that the budget cuts counts if half of it
+    is taken. An empty table stays empty; extra columns stay.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the token file of all documents."""
+    """The digest of the token file of all rows, in ascending id order (null ids first, ties by text).
+
+    A null or empty text has the end id alone; every repeat of a row is written;
+    an empty table gives an empty file; other columns aren't read.
+    """
     return tokens.token_digest(docs)
 
 

@@ -14,8 +14,13 @@ pivot.  Where the documents that met one pivot are still of several classes,
 those outside the largest are indexed and the others stream past them; pairs
 that meet in a bucket meet there too, but no candidate pair is ever a row.
 
-Texts that are null, empty or only white space are a class of their own.  Rows
-of one doc_id are one document; null ids have a null class.
+The result is classes, so links that join nothing new are not looked for: within
+a component, or inside one task between components that another of its links joins.
+
+Every row counts: rows get numbers, equal texts are one text, and neither null ids
+nor different texts under one id are dropped.  A row whose text is null, empty or
+only white space is a class of its own.  An empty table has no classes, a very long
+text is signed whole, and columns with names of this module's own stay as they are.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import bounded_batches, written
+from tallyforge.llm.common import Scratch, bounded_batches, numbered, unused, written
 from tallyforge.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -98,15 +104,17 @@ def _grams(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.
         yield a, b, *multisets(*K.shingles(K.span_hashes(d, s, e), wo, k))
 
 
-def _signed(k: int, bands: int, rows: int):
+def _signed(at: int, k: int, bands: int, rows: int):
+    """Batches with the digest, the number of grams and the band keys of each row's text (column ``at``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, h, doc, weight in _grams(batch.column(1), k):
+            for a, b, h, doc, weight in _grams(batch.column(at), k):
                 keys = band_keys(signatures(h, doc, weight, b - a, bands * rows), bands, rows)
-                digest = [hashlib.md5(t.as_buffer() or b"").digest() if t.is_valid else b"" for t in batch.column(1).slice(a, b - a)]
+                digest = [hashlib.md5(t.as_buffer() or b"").digest() if t.is_valid else b"" for t in batch.column(at).slice(a, b - a)]
                 size = np.bincount(doc, weight, b - a).astype(np.int64) if len(doc) else np.zeros(b - a, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(size), lists], names=["doc_id", "digest", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(digest, pa.binary()), pa.array(size), lists], names=[*batch.schema.names, "digest", "size", "bands"])
 
     return run
 
@@ -139,16 +147,17 @@ def _held(k: int, over: int, under: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose gram multisets overlap enough.
+    """Those of the written, distinct pairs (a, b) whose gram multisets overlap enough.
 
     Members travel to their pivot; a pivot with many is dealt to several tasks,
-    and each streams its members, so no group is ever held.
+    and each streams its members, so no group is ever held.  The number of slices
+    of a pivot is a written table of one row each: in its join with the pairs Spark
+    can split a pivot's rows, which it can't where the count is made in the same stage.
     """
-    pairs = written(pairs.select("a", "b"), "pairs")
-    slices = pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("p"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    slices = written(pairs.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("p"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "slices")
     members = pairs.join(slices, F.col("a") == F.col("p")).select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("side"))
     pivots = slices.select(F.col("p").alias("id"), F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"))
-    rows = members.unionByName(pivots).join(texts.select(F.col("doc_id").alias("of"), "text").hint("merge"), F.col("id") == F.col("of"))
+    rows = members.unionByName(pivots).join(texts.hint("merge"), F.col("id") == F.col("of"))
     dealt = rows.select("a", "slice", "side", "id", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "side", "id")
     return dealt.mapInArrow(_held(k, *threshold), "a long, b long").distinct()
 
@@ -192,7 +201,7 @@ def _crossed(k: int, over: int, under: int):
                     shared = np.bincount(of[where], np.minimum(weights[where], np.repeat(mw, n)), len(held))
                     for y in np.flatnonzero((under * shared >= over * (sizes + mw.sum() - shared)) & (classes != component[a + x])).tolist():
                         one, other = root(int(component[a + x])), root(held[y][1])
-                        if one != other:  # a link between classes that others join already changes nothing
+                        if one != other:  # between classes that links of this task join already nothing changes
                             parent[one] = other
                             a_out.append(int(ids[a + x]))
                             b_out.append(held[y][0])
@@ -202,47 +211,88 @@ def _crossed(k: int, over: int, under: int):
 
 
 def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between different components inside the groups (pivot, doc_id).
+    """Links between different components inside the groups (pivot, node), as many as join the components.
 
     A group's largest component needs no test within itself. The members outside
     it are indexed by gram in blocks, and all of the group's members stream past
     each block, a few thousand a task; only links leave the task.
     """
-    rows = groups.join(placed, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rows = groups.join(placed.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("pivot", "node", F.coalesce("component", "node").alias("component"))
     shares = rows.groupBy("pivot", "component").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("component", F.struct(F.col("c"), -F.col("component"))).alias("main"))
-    shares = shares.where("n > 2 and n > top").select(F.col("pivot").alias("p"), "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    shares = written(shares.where("n > 2 and n > top").select(F.col("pivot").alias("p"), "main", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "shares")
     rows = rows.join(shares, F.col("pivot") == F.col("p"))
-    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("doc_id")), F.col(n)).cast("int")
+    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("node")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    indexed = rows.where("component <> main").select("pivot", deal("block", "blocks").alias("block"), every("slices").alias("slice"), F.lit(0).alias("side"), "doc_id", "component")
-    passing = rows.select("pivot", every("blocks").alias("block"), deal("slice", "slices").alias("slice"), F.lit(1).alias("side"), "doc_id", "component")
+    indexed = rows.where("component <> main").select("pivot", deal("block", "blocks").alias("block"), every("slices").alias("slice"), F.lit(0).alias("side"), "node", "component")
+    passing = rows.select("pivot", every("blocks").alias("block"), deal("slice", "slices").alias("slice"), F.lit(1).alias("side"), "node", "component")
     # a slice without indexed members has nothing to do
-    sent = indexed.unionByName(passing).join(texts.select(F.col("doc_id").alias("of"), "text").hint("merge"), F.col("doc_id") == F.col("of")).drop("of")
-    dealt = sent.repartition("pivot", "block", "slice").sortWithinPartitions("pivot", "block", "slice", "side", "doc_id")
+    sent = indexed.unionByName(passing).join(texts.hint("merge"), F.col("node") == F.col("of")).drop("of")
+    dealt = sent.repartition("pivot", "block", "slice").sortWithinPartitions("pivot", "block", "slice", "side", "node")
     return dealt.mapInArrow(_crossed(k, *threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its class)."""
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signed(k, bands, rows), "doc_id long, digest binary, size long, bands array<bigint>"), "signed")
-    full = signed.where("size > 0 and doc_id is not null")
-    copies = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    leaders = full.join(copies, "digest").where("doc_id = rep").select("doc_id", "size", "bands").dropDuplicates(["doc_id"])
-    banded = written(leaders.select("doc_id", "size", F.explode("bands").alias("bucket")), "banded")
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    crowd = written(banded.join(buckets, "bucket"), "crowd")
+def classed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of ``docs`` in a written table, the classes of their texts, and the table's own four columns.
+
+    The four are a row's number, its text's digest, number of grams and band keys.
+    A class has a row for each of its texts: (of_digest, node, class_id, first); node
+    is the number of the text's first row by (doc_id, null last; row), and ``first``
+    marks the text of the class that is least by (doc_id, null last; digest).
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
+    counted, row = numbered(docs)
+    own = [row, *(unused(counted, name) for name in ("digest", "size", "bands"))]
+    schema = T.StructType([*counted.schema.fields, T.StructField(own[1], T.BinaryType()), T.StructField(own[2], T.LongType()), T.StructField(own[3], T.ArrayType(T.LongType()))])
+    signed = written(counted.mapInArrow(_renamed(_signed(counted.columns.index(text_col), k, bands, rows), schema.names), schema), "signed")
+    full = signed.where(F.col(own[2]) > 0).select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(n) for c, n in zip(own[1:], ("digest", "size", "bands"))))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    digests = full.groupBy("digest").agg(least.alias("f"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    digests = scratch.written(digests.select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("doc_id"), "size", "bands"), "digests")
+    banded = scratch.written(digests.select("node", "size", F.explode("bands").alias("bucket")), "banded")
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("of_size"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = scratch.written(buckets, "buckets")  # in a stage of its own, so that a large bucket can be split in the join
+    crowd = scratch.written(banded.join(buckets, "bucket").select("node", "size", "pivot", "of_size").distinct(), "crowd")
     # the texts of documents that meet another: they cross the network whole once, and later joins read these alone;
     # joins of texts are merged at every size, so that what a small input shows holds for a large one
-    texts = written(texts.join(crowd.select(F.col("doc_id").alias("of")).distinct().hint("merge"), F.col("doc_id") == F.col("of"), "left_semi"), "crowd-texts")
-    near = F.least(F.col("size"), F.col("of_size")) * threshold[1] >= F.greatest(F.col("size"), F.col("of_size")) * threshold[0]
-    sizes = leaders.select(F.col("doc_id").alias("of"), F.col("size").alias("of_size"))
-    tested = written(crowd.where("doc_id <> pivot").select("doc_id", "pivot", "size").distinct().join(sizes, F.col("pivot") == F.col("of")).where(near).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "tested")
-    links = written(verified(tested, texts, k, threshold), "verified")
+    met = crowd.select("node").distinct().hint("merge")
+    texts = scratch.written(signed.select(F.col(row).alias("of"), F.col(text_col).alias("text")).join(met, F.col("of") == F.col("node"), "left_semi"), "crowd-texts")
+    near = F.least("size", "of_size") * threshold[1] >= F.greatest("size", "of_size") * threshold[0]
+    tested = scratch.written(crowd.where((F.col("node") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "tested")
+    links = scratch.written(verified(tested, texts, k, threshold), "verified")
     first = components(links)
-    more = written(across(crowd.select("pivot", "doc_id").distinct(), first, texts, k, threshold), "verified")
+    more = scratch.written(across(crowd.select("pivot", "node"), first, texts, k, threshold), "verified")
     final = first if more.isEmpty() else components(links.unionByName(more))
-    of_copy = copies.select(F.col("digest").alias("of_digest"), "rep")
-    own = signed.select("doc_id", F.when(F.col("size") > 0, F.col("digest")).alias("digest"))
-    return own.join(of_copy, F.col("digest") == F.col("of_digest"), "left").join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"))
+    placed = digests.select("digest", "node", "doc_id").join(final.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("digest", "node", "doc_id", F.coalesce("component", "node").alias("component"))
+    firsts = placed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
+    firsts = scratch.written(firsts.select("c", F.col("f.doc_id").alias("class_id"), F.col("f.digest").alias("d")), "firsts")
+    classes = placed.join(firsts, F.col("component") == F.col("c")).select(F.col("digest").alias("of_digest"), "node", "class_id", (F.col("digest") == F.col("d")).alias("first"))
+    classes = written(classes, "classes")
+    scratch.clear()
+    return signed, classes, own
+
+
+def _renamed(run, names: list[str]):
+    return lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=names) for b in run(batches))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its class; null if all are null)."""
+    signed, classes, (_, digest, size, _) = classed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), **options)
+    rows = signed.select("doc_id", F.when(F.col(size) > 0, F.col(digest)).alias("digest"))
+    found = rows.join(classes, F.col("digest") == F.col("of_digest"), "left")
+    return found.select("doc_id", F.when(F.col("of_digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all their columns: one of each class, and every row whose text has no words.
+
+    It is the row of least doc_id (null ids last; of one id's texts the least by digest; of
+    rows that are equal in both, one).
+    """
+    signed, classes, (row, _, size, _) = classed(docs, id_col=id_col, text_col=text_col, **options)
+    node = unused(signed, "node")
+    first = classes.where("first").select(F.col("node").alias(node))
+    rows = signed.join(first, F.col(row) == F.col(node), "left").where(F.col(node).isNotNull() | (F.col(size) == 0))
+    return rows.select(*(signed[c] for c in docs.columns))

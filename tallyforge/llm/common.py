@@ -56,6 +56,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call in the shared folder; ``clear`` deletes them once what they led to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            deleted(self.spark, path)
+        self.paths = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store by way of Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(docs: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and that column's name.
+
+    The numbers are fixed only once the result is written: read the written table, don't compute them twice.
+    """
+    row = unused(docs, name)
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import written
+from tallyforge.llm.common import Scratch
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,15 +17,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the other can be split.  Nodes without links have no row.
     """
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = written(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    kept, rounds = Scratch(links.sparkSession), Scratch(links.sparkSession)
+    both = kept.written(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = written(labels, "labels")
+    labels = rounds.written(labels, "labels")
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("m"))
         spread = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         roots = labels.select(F.col("node").alias("root"), F.col("component").alias("of_root"))
         jumped = spread.join(roots, F.col("component") == F.col("root"), "left").select("node", "old", F.least("component", F.coalesce("of_root", "component")).alias("component"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", "component")
+        now = Scratch(links.sparkSession)
+        jumped = now.written(jumped, "labels")
+        rounds.clear()
+        labels, rounds = jumped.select("node", "component"), now
         if jumped.where("old <> component").isEmpty():
+            kept.clear()
             return labels

@@ -105,3 +105,39 @@ def test_stages_decide(spark, corpus, words, tmp_path):
     assert set(ids(mixed)) <= set(ids(clean))
     end = corpus_pipeline.STAGES[4][1](spark, mixed, at)
     assert ids(end) == ids(mixed)
+
+
+NAMELESS = [
+    (1, "alpha beta gamma delta epsilon zeta eta", "en", "a", 1),
+    (1, "one two three four five six seven", "en", "a", 2),
+    (1, "one two three four five six seven", "en", "a", 2),
+    (None, "alpha beta gamma delta epsilon zeta eta", "de", "a", 3),
+    (None, "red green blue white black brown pink", "en", "b", 4),
+    (None, "red green blue white black brown pink", "en", "b", 5),
+    (None, "north east south west up down left", "en", "b", 6),
+    (3, "red green blue white black brown pink", "fr", "b", 7),
+    (4, "", "en", "c", 8),
+    (4, None, "en", "c", 9),
+    (None, " ", "en", "c", 10),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_copies_without_ids(spark, tmp_path):
+    """Near-dedup, row by row: one of each text, whatever its ids, and every text without words."""
+    docs = spark.createDataFrame(NAMELESS, COLUMNS)
+    kept = sorted((r["doc_id"] or 0, r["n_chars"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect())
+    assert kept == sorted([(1, 1), (1, 2), (3, 7), (0, 6), (4, 8), (4, 9), (0, 10)])
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in bagminhash.near_duplicates(docs).collect())
+    assert got == sorted([("1", "1")] * 3 + [("None", "1"), ("None", "3"), ("None", "3"), ("None", "None"), ("3", "3"), ("4", "4"), ("4", "4"), ("None", "None")])
+
+
+def test_mix_without_ids(spark, tmp_path):
+    """Mixing takes rows without id and different texts of one id like any others; words alone decide."""
+    docs = spark.createDataFrame([r for r in NAMELESS if r[3] == "b" and r[4] != 5] + NAMELESS[:2] + NAMELESS[8:], COLUMNS)
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == docs.count() and sum(r["taken"] for r in taken) == 5 * 7
+    stage = sorted(r["n_chars"] for r in corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect())
+    assert len(stage) == 5 and set(stage) <= {1, 2, 4, 6, 7}
+    one = spark.createDataFrame([(None, "a b c", "en", None, 1), (None, "d e", "en", None, 2), (7, "f", "en", None, 3), (7, "g h", "en", None, 4)], COLUMNS)
+    assert sorted(r["n_chars"] for r in corpus_pipeline.STAGES[3][1](spark, one, str(tmp_path)).collect()) == [1, 2, 3, 4]
