@@ -6,7 +6,9 @@ its distance, deals suffixes to buckets (see ``repeats``); there each pass order
 every group by eight more bytes and drops the suffixes that are alone.  The
 groups that are left after the last pass are exactly the repeated strings.
 
-Null texts are empty.  Rows with equal ids are ordered by text; null ids are first.
+Null texts are empty; very long ones are sorted whole.  Null ids are first.  Rows with equal ids are ordered
+by their group (a hash of id and text), then by text, so that one of two equal rows keeps its bytes.
+An empty table gives none; columns with this module's own names don't matter.
 """
 
 from __future__ import annotations

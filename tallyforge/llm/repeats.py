@@ -7,21 +7,26 @@ bytes), in what counts as "elsewhere", and in how a bucket orders its windows.
    known by its minimiser, the least hash of the k-grams inside it; equal windows
    have equal minimisers.  The minimisers go, four bytes each, to the bucket of
    their hash, which answers with those that several groups have.
-2. Runs of consecutive windows that share such a minimiser travel as one packed
+2. A minimiser that more than ``HOT`` groups have says little: most of its windows
+   hold a common passage's edge and are met once.  The same question is asked again
+   of its windows, eight bytes of hash each, and only those that are met again go on.
+3. Runs of consecutive windows that share a minimiser travel as one packed
    string (a super-k-mer) to the minimiser's bucket.  A string that its group has
    already is not sent again: it is known to be repeated.
-3. The bucket compares the windows themselves and answers with the places of
-   those that aren't the first.
-4. Each group merges the places and cuts the bytes.
-
-The groups' texts cross the network once: the same exchange serves steps 1, 2
-and 4.  A minimiser that more than ``HOT`` groups have isn't sent to one bucket:
-its windows go by their own 128-bit digests to as many, one of each from a group.
+4. The bucket sorts and compares the windows themselves and answers with the places of
+   those that aren't the first.  Strings of a hot minimiser are compared in two
+   rounds, as in a tournament: those of a share of the groups first (about the
+   square root of all groups each), then those that are first in their share.
+5. Each group merges the places and cuts the bytes.
+
+The groups' texts cross the network once: the same exchange serves steps 1, 2, 3
+and 5.  Hashes only tell which windows needn't be compared; what is removed has been
+compared.  A group is chosen by id and text, so that neither null ids nor a repeated id
+fill one group; rows equal in both share a group.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,7 +41,8 @@ from tallyforge.llm.common import bounded_batches, text_bytes
 
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 20
-HOT = 1000
+#: A minimiser of more groups than this is asked for by window, and compared in two rounds.
+HOT = 32
 
 
 @dataclass(frozen=True)
@@ -169,76 +175,124 @@ def _shared(hot: int):
     return run
 
 
-_BLOBS = ("local", "minimisers", "rows", "ats", "counts", "leads", "sizes", "strings", "warm", "warm_rows", "warm_ats")
-_PACKED = pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("ids", pa.list_(pa.int64())), ("warm_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in _BLOBS)])
-_PACKED_SQL = "bucket long, g long, ids array<bigint>, warm_ids array<bigint>, " + ", ".join(f"{c} binary" for c in _BLOBS)
+def _answered(answers: pa.Table, column: str) -> np.ndarray:
+    """Sorted keys of a group's answers, each with its bucket in the upper half."""
+    bits = [np.uint64(b << 32) for b in answers.column("bucket").to_pylist()]
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | b for x, b in zip(answers.column(column), bits))]))
+
+
+def _cut_runs(units: Units, buckets: int, data: np.ndarray, offs: np.ndarray):
+    """Chunks of a group: first document, bytes, unit starts and ends, unit offsets, super-k-mers, their full keys."""
+    for a, _, d, o in K.chunks(data, offs):
+        canon, us, ue, uo, grams = units.cut(d, o)
+        m, doc, start, n, lead = runs(units, uo, grams)
+        bucket, key = _keys(m, buckets)
+        yield a, canon, us, ue, uo, (m, doc, start, n, lead), key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
+
+
+def _window_hashes(units: Units, canon: np.ndarray, us, ue, first: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at the units ``first``."""
+    last = first + units.length - 1
+    return K.span_hashes(canon, first, last + 1) if us is None else K.span_hashes(canon, us[first], ue[last])
+
+
+def _hot_listed(units: Units, buckets: int):
+    """Step 2: (bucket, g, keys) with the hashes of windows that have a hot minimiser; twice where the group has two."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        hot = _answered(answers, "hot_keys")
+        found = []
+        if docs.num_rows and len(hot):
+            for _, canon, us, ue, _, (_, _, start, n, _), full in _cut_runs(units, buckets, *K.flat(docs.column("text"))):
+                take = _among(full, hot)
+                found.append(_window_hashes(units, canon, us, ue, K.ranges(start[take], n[take])))
+        h, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        if not len(h):
+            return pa.table({"bucket": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
+        h = np.repeat(h, np.minimum(count, 2))
+        bucket = (K.mix(h) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h = bucket[order], h[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "g": pa.array([docs.column("g")[0].as_py()] * len(at), pa.int64()), "keys": pa.array([x.tobytes() for x in np.split(h, at[1:])], pa.binary())})
+
+    return run
+
+
+def _hot_shared(table: pa.Table) -> pa.Table:
+    """Step 2, a bucket: (g, windows) with the hashes that are met again, in the group or another."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    every, count = np.unique(np.concatenate(keys), return_counts=True)
+    again = every[count > 1]
+    return pa.table({"g": table.column("g").cast(pa.int64()), "windows": pa.array([np.unique(k[_among(k, again)]).tobytes() for k in keys], pa.binary())})
+
+
+_BLOBS = ("local", "minimisers", "rows", "ats", "counts", "leads", "sizes", "strings")
+_PACKED = pa.schema([("bucket", pa.int64()), ("share", pa.int64()), ("g", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in _BLOBS)])
+_PACKED_SQL = "bucket long, share long, g long, ids array<bigint>, " + ", ".join(f"{c} binary" for c in _BLOBS)
+
 
+def _strings(own: list[tuple]) -> dict:
+    """Packed columns of strings (row, at, windows, string, minimiser, lead, id)."""
+    whole = lambda c, kind: np.array([s[c] for s in own], kind).tobytes()
+    return {"minimisers": whole(4, np.uint64), "ids": [s[6] for s in own], "rows": whole(0, np.int64), "ats": whole(1, np.int64), "counts": whole(2, np.int32), "leads": whole(5, np.int32), "sizes": np.array([len(s[3]) for s in own], np.int32).tobytes(), "strings": b"".join(s[3] for s in own)}
 
-def _packed(units: Units, buckets: int, strings_in: int):
-    """Step 2: packed strings by bucket; places already known to be repeated go in a bucket of their group's own."""
+
+def _packed(units: Units, buckets: int, strings_in: int, shares: int):
+    """Step 3: packed strings by bucket; places already known to be repeated go in a bucket of their group's own."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _PACKED.empty_table()
         g = docs.column("g")[0].as_py()
         docs = _ordered(docs)
-        bits = [np.uint64(b << 32) for b in answers.column("bucket").to_pylist()]
-        shared, hot = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | b for x, b in zip(answers.column(c), bits))])) for c in ("keys", "hot_keys"))
+        minimisers = answers.filter(answers.column("bucket").is_valid())
+        shared, hot = _answered(minimisers, "keys"), _answered(minimisers, "hot_keys")
+        again = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("windows") if x.is_valid)]))
         data, offs = K.flat(docs.column("text"))
         ids = docs.column("doc_id").to_pylist()
-        pieces = []
-        for a, _, d, o in K.chunks(data, offs):
-            canon, us, ue, uo, grams = units.cut(d, o)
-            m, doc, start, n, lead = runs(units, uo, grams)
-            bucket, key = _keys(m, buckets)
-            pieces.append((a, canon, us, ue, uo, m, doc, start, n, lead, key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))))
-        values, count = np.unique(np.concatenate([x[5] for x in pieces] or [np.zeros(0, np.uint64)]), return_counts=True)
+        pieces = list(_cut_runs(units, buckets, data, offs))
+        values, count = np.unique(np.concatenate([x[5][0] for x in pieces] or [np.zeros(0, np.uint64)]), return_counts=True)
         twice = values[count > 1]
         seen: dict[bytes, int] = {}
-        local, sent, warm = [], [], []
-        for a, canon, us, ue, uo, m, doc, start, n, lead, full in pieces:
+        local: list[tuple[int, int, int]] = []
+        sent: dict[bool, list[tuple]] = {False: [], True: []}
+        for a, canon, us, ue, uo, (m, doc, start, n, lead), full in pieces:
             take = np.flatnonzero(_among(full, shared) | _among(m, twice))
+            warm = _among(full[take], hot)
+            first, off, n = start[take], np.zeros(len(take), np.int64), n[take]
+            if warm.any():  # of hot minimisers the runs of windows that are met again
+                which = np.repeat(np.flatnonzero(warm), n[warm])
+                place = K.ranges(np.zeros(int(warm.sum()), np.int64), n[warm])
+                on = _among(_window_hashes(units, canon, us, ue, first[which] + place), again)
+                which, place = which[on], place[on]
+                which, place, k = joined_places(place, which, 1)
+                cold = np.flatnonzero(~warm)
+                take, first, off, n = (np.concatenate(x) for x in ((take[cold], take[which]), (first[cold], first[which] + place), (off[cold], place), (n[cold], k)))
+                warm = np.arange(len(take)) >= len(cold)
+                order = np.argsort(first, kind="stable")  # a document's earlier rows are seen first
+                take, first, off, n, warm = take[order], first[order], off[order], n[order], warm[order]
             text = canon.tobytes()
-            last = start[take] + n[take] + units.length - 2
-            lo, hi = (start[take], last + 1) if us is None else (us[start[take]], ue[last])
-            for x, b, e, warmer, row, at, k in zip(take.tolist(), lo.tolist(), hi.tolist(), _among(full[take], hot).tolist(), (doc[take] + a).tolist(), (start[take] - uo[doc[take]]).tolist(), n[take].tolist()):
+            last = first + n + units.length - 2
+            lo, hi = (first, last + 1) if us is None else (us[first], ue[last])
+            for x, b, e, hotter, row, at, k, ahead in zip(take.tolist(), lo.tolist(), hi.tolist(), warm.tolist(), (doc[take] + a).tolist(), (first - uo[doc[take]]).tolist(), n.tolist(), (lead[take] - off).tolist()):
                 string = text[b:e]
-                first = seen.get(string)
-                if first is None:
+                before = seen.get(string)
+                if before is None:
                     seen[string] = row
-                elif units.same_document or ids[first] != ids[row]:
+                elif units.same_document or ids[before] != ids[row]:
                     local.append((row, at, k + units.length - 1))
                     continue
-                if not warmer:
-                    sent.append((x, row, at, k, string, m[x], int(lead[x])))
-                    continue
-                for y in range(k):
-                    s = int(start[x]) + y
-                    window = text[s : s + units.length] if us is None else text[us[s] : ue[s + units.length - 1]]
-                    digest = hashlib.md5(window).digest()
-                    first = seen.get(digest)
-                    if first is None:
-                        seen[digest] = row
-                    elif units.same_document or ids[first] != ids[row]:
-                        local.append((row, at + y, units.length))
-                        continue
-                    warm.append((digest, row, at + y))
-        out: dict[int, dict] = {}
-        if local:
-            out[-1 - g] = {"local": np.array(local, np.int64).tobytes()}
-        by: dict[int, list] = {}
-        if sent:
-            for w, s in zip((K.mix(np.array([s[5] for s in sent], np.uint64) + np.uint64(1)) % np.uint64(strings_in)).tolist(), sent):
-                by.setdefault(w, []).append(s)
-        for w, own in by.items():
-            whole = lambda c, kind: np.array([s[c] for s in own], kind).tobytes()
-            out[w] = {"minimisers": whole(5, np.uint64), "ids": [ids[s[1]] for s in own], "rows": whole(1, np.int64), "ats": whole(2, np.int64), "counts": whole(3, np.int32), "leads": whole(6, np.int32), "sizes": np.array([len(s[4]) for s in own], np.int32).tobytes(), "strings": b"".join(s[4] for s in own)}
-        by = {}
-        for x in warm:
-            by.setdefault(int.from_bytes(x[0][:7], "little") % strings_in, []).append(x)
-        for w, own in by.items():
-            out.setdefault(w, {}).update(warm=b"".join(x[0] for x in own), warm_ids=[ids[x[1]] for x in own], warm_rows=np.array([x[1] for x in own], np.int64).tobytes(), warm_ats=np.array([x[2] for x in own], np.int64).tobytes())
-        return pa.Table.from_pylist([{"bucket": w, "g": g, **row} for w, row in out.items()], schema=_PACKED)
+                sent[hotter].append((row, at, k, string, m[x], ahead, ids[row]))
+        out = [{"bucket": -1 - g, "share": -1, "g": g, "local": np.array(local, np.int64).tobytes()}] if local else []
+        for hotter, own in sent.items():
+            by: dict[int, list] = {}
+            if own:
+                for w, s in zip((K.mix(np.array([s[4] for s in own], np.uint64) + np.uint64(1)) % np.uint64(strings_in)).tolist(), own):
+                    by.setdefault(w, []).append(s)
+            share = int(K.mix(np.array([g], np.uint64))[0] % np.uint64(shares)) if hotter else -1
+            out += [{"bucket": w, "share": share, "g": g, **_strings(x)} for w, x in by.items()]
+        return pa.Table.from_pylist(out, schema=_PACKED)
 
     return run
 
@@ -262,42 +316,37 @@ def _ranked(ids: pa.Array, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(order: Callable, units: Units):
-    """Step 3, a bucket: (g, spots) of the windows that ``order`` finds repeated."""
+    """Step 4, a bucket: rows with the spots (``local``) in a group that ``order`` finds repeated.
+
+    Of a share of a hot bucket's strings, also those that go on: with a window that isn't repeated there.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.table({"g": table.column("g"), "local": table.column("local")})
-        cat = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer() or b"", kind) for x in table.column(name)])
-        size = lambda name: [len(x.as_buffer() or b"") // 8 for x in table.column(name)]
-        of_g = table.column("g").to_numpy()
-        found = []
-        m = cat("minimisers", np.uint64)
-        if len(m):
-            rows, ats, counts, leads, sizes = cat("rows", np.int64), cat("ats", np.int64), cat("counts", np.int32), cat("leads", np.int32), cat("sizes", np.int32)
-            g = np.repeat(of_g, size("rows"))
-            data = b"".join(x.as_py() or b"" for x in table.column("strings"))
-            begin = np.cumsum(sizes.astype(np.int64)) - sizes
-            rank, doc = _ranked(pa.concat_arrays([x.values for x in table.column("ids") if x.is_valid]), g, rows, ats)
-            which, at, n = order(data, begin[rank], sizes[rank], counts[rank].astype(np.int64), leads[rank], m[rank], doc)
-            place = rank[which]
-            found.append(np.stack([g[place], rows[place], ats[place] + at, n], axis=1))
-        rows = cat("warm_rows", np.int64)
-        if len(rows):
-            ats, g = cat("warm_ats", np.int64), np.repeat(of_g, size("warm_rows"))
-            digest = np.frombuffer(b"".join(x.as_py() or b"" for x in table.column("warm")), np.uint64).reshape(-1, 2)
-            rank, doc = _ranked(pa.concat_arrays([x.values for x in table.column("warm_ids") if x.is_valid]), g, rows, ats)
-            digest = digest[rank]
-            same = np.lexsort((digest[:, 1], digest[:, 0]))  # stable: the first of each is the earliest
-            new = np.concatenate([[True], (digest[same][1:] != digest[same][:-1]).any(axis=1)])
-            lead = same[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late = (same != lead) if units.same_document else doc[same] > doc[lead]
-            place = rank[same[late]]
-            found.append(np.stack([g[place], rows[place], ats[place], np.full(len(place), units.length)], axis=1))
-        spots = np.concatenate(found)
+        bucket, share = table.column("bucket")[0].as_py(), table.column("share")[0].as_py()
+        if bucket < 0:
+            return pa.Table.from_pylist([{"bucket": bucket, "share": -1, "g": -1 - bucket, "local": b"".join(x.as_py() for x in table.column("local"))}], schema=_PACKED)
+        cat = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+        m, rows, ats, counts, leads, sizes = cat("minimisers", np.uint64), cat("rows", np.int64), cat("ats", np.int64), cat("counts", np.int32), cat("leads", np.int32), cat("sizes", np.int32)
+        g = np.repeat(table.column("g").to_numpy(), [len(x.as_buffer()) // 8 for x in table.column("rows")])
+        data = b"".join(x.as_py() for x in table.column("strings"))
+        begin = np.cumsum(sizes.astype(np.int64)) - sizes
+        ids = pa.concat_arrays([x.values for x in table.column("ids")])
+        rank, doc = _ranked(ids, g, rows, ats)
+        which, at, n = order(data, begin[rank], sizes[rank], counts[rank].astype(np.int64), leads[rank], m[rank], doc)
+        place = rank[which]
+        spots = np.stack([g[place], rows[place], ats[place] + at, n], axis=1)
         spots = spots[np.argsort(spots[:, 0], kind="stable")]
-        at = np.flatnonzero(np.concatenate([[True], spots[1:, 0] != spots[:-1, 0]])) if len(spots) else np.zeros(0, np.int64)
-        return pa.table({"g": pa.array(spots[at, 0], pa.int64()), "local": pa.array([np.ascontiguousarray(x[:, 1:], np.int64).tobytes() for x in np.split(spots, at[1:])] if len(at) else [], pa.binary())})
+        cuts = np.flatnonzero(np.concatenate([[True], spots[1:, 0] != spots[:-1, 0]])) if len(spots) else np.zeros(0, np.int64)
+        out = [{"bucket": -1 - int(x[0, 0]), "share": -1, "g": int(x[0, 0]), "local": np.ascontiguousarray(x[:, 1:], np.int64).tobytes()} for x in np.split(spots, cuts[1:])] if len(cuts) else []
+        if share >= 0:
+            late = np.bincount(place, n - units.length + 1, len(rows))
+            on = np.flatnonzero(late < counts)
+            ids, by = ids.to_pylist(), {}
+            for x in on.tolist():
+                by.setdefault(int(g[x]), []).append((rows[x], ats[x], counts[x], data[begin[x] : begin[x] + sizes[x]], m[x], leads[x], ids[x]))
+            out += [{"bucket": bucket, "share": -1, "g": k, **_strings(own)} for k, own in by.items()]
+        return pa.Table.from_pylist(out, schema=_PACKED)
 
     return run
 
@@ -351,14 +400,22 @@ def repeated_places(docs: DataFrame, units: Units, order: Callable, finish: Call
     bounded_batches(spark)
     total = text_bytes(docs, text_col)
     groups, buckets, strings_in = (max(1, -(-total // size)) for size in (group_bytes, 4 * group_bytes, bucket_bytes))
-    own = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # a hundred megabytes a task or so, whatever the session asks for
+    shares = max(1, int(groups**0.5))
+    own = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # a hundred megabytes a task or so, whatever the session asks for; a task holds one group at a time, so that
+    # memory doesn't follow the tasks' size where the bound on their number makes them larger
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups // 32, 200_000))
     own = own.repartition(parts, "g")
-    listed = own.groupBy("g").applyInArrow(_listed(units, buckets), "bucket long, g long, keys binary")
+    keys = "bucket long, g long, keys binary"
+    listed = own.groupBy("g").applyInArrow(_listed(units, buckets), keys)
     answers = listed.groupBy("bucket").applyInArrow(_shared(hot), "g long, bucket long, keys binary, hot_keys binary")
-    packed = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_packed(units, buckets, strings_in), _PACKED_SQL)
-    places = packed.groupBy("bucket").applyInArrow(_compared(order, units), "g long, local binary")
+    warm = answers.where(F.octet_length("hot_keys") > 0).select("g", "bucket", "hot_keys")
+    hashes = own.groupBy("g").cogroup(warm.groupBy("g")).applyInArrow(_hot_listed(units, buckets), keys)
+    windows = hashes.groupBy("bucket").applyInArrow(_hot_shared, "g long, windows binary")
+    answers = answers.unionByName(windows, allowMissingColumns=True)
+    packed = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_packed(units, buckets, strings_in, shares), _PACKED_SQL)
+    first = packed.groupBy("bucket", "share").applyInArrow(_compared(order, units), _PACKED_SQL)
+    places = first.groupBy("bucket").applyInArrow(_compared(order, units), _PACKED_SQL).select("g", "local")
 
     def last(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:

@@ -4,8 +4,9 @@ Super-k-mer partitioning: consecutive windows that share a minimiser travel as
 one packed string to its bucket, where the windows are sorted by their words and
 so counted exactly (see ``repeats``).
 
-Null texts have no words.  Rows with equal ids are one document for the rule, so
-they don't remove each other's words; null ids count as smallest.
+Null and empty texts have no words; very long ones are cut into windows whole.  Rows with equal ids are
+one document for the rule, so they don't remove each other's words; null ids count as smallest
+(and are one document).  An empty table gives none; columns with this module's own names don't matter.
 """
 
 from __future__ import annotations
