@@ -198,8 +198,10 @@ def test_wu_manber(spark, words):
     items = [(k, " ".join(draw(rng.randint(1, 40)))) for k in range(25)] + [(90, "Big Fish"), (91, None), (92, "..."), (90, "other words"), (93, "ÉT été"), (94, "the " * 20)]
     docs = [(k, " ".join(draw(rng.randint(0, 60)) + (rng.choice(items)[1] or "x").split() + draw(5))) for k in range(60)] + [(100, None), (101, ""), (102, "BIG-fish; big"), (103, "ét été Ét"), (104, "the " * 900)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8 << 20, 200):
-        got = {r["doc_id"]: r for r in wumanber.digest(frame(spark, docs), bench, block_bytes=block).collect()}
+    for options in ({}, {"block_bytes": 200, "resident": 100}, {"block_bytes": 1500, "resident": 1}):
+        clean = wumanber.clean(frame(spark, docs), bench, **options)
+        assert sorted(r["doc_id"] for r in clean.collect()) == [i for i, t in docs for n, hit, _ in [hits(t, items)] if not hit or 20 * hit < n]
+        got = {r["doc_id"]: r for r in wumanber.digest(frame(spark, docs), bench, **options).collect()}
         for i, t in docs:
             n, hit, found = hits(t, items)
             r = got[i]
