@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from tallyforge.llm import bagminhash, langid, mixing, tokens, wumanber
 from tallyforge.llm.common import table, unused, written
 
-#: A predicted language below this score is rejected, as is a text without letters.
-LEAST_SCORE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the machines know; rows are judged one by one, whatever their ids.
@@ -23,7 +20,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     little. Very long texts are judged whole. Repeated rows share a verdict, an empty
     table stays empty, and extra columns stay, whatever their names.
     """
-    return langid.known(docs, langid.fit(docs), LEAST_SCORE)
+    return langid.known(docs, langid.fit(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

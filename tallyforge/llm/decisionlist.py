@@ -8,8 +8,9 @@ becomes one ordered Spark conditional expression; what no rule takes is kept.
 
 Base rules come first: fewer than 10 words, or more than a fifth of the words in
 five-word windows that the text has twice or more, fail.  Null texts have no words.
-Rows are judged one by one, repeated and null ids included; without labels only the
-base rules hold.
+Rows are judged one by one, repeated and null ids included, very long texts whole; an empty table gives none,
+and columns with this module's own names don't matter.  Without labels only the base rules hold;
+documents with contradictory labels are judged, but not learned from.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import textstats as S
 from tallyforge.llm.common import bounded_batches
-from tallyforge.llm.samples import held_out, sample_by_class
+from tallyforge.llm.samples import agreed, sample_by_class
 
 #: Labelled rows of each quality that fitting takes, about.
 EACH = 6000
 #: Of the rows a rule takes in pruning, so many must be junk.
 PRECISION = 0.9
 LEAST = 5
+#: Conditions of a rule and rules of a list at most, so that a list can be read; pruning and precision mostly end both sooner.
+CONDITIONS, RULES = 4, 24
 #: Ratios that rules may use, as (name, numerator, denominator).
 RATIOS = (
     ("words", "n_words", None),
@@ -80,7 +83,7 @@ def grow(x: np.ndarray, junk: np.ndarray) -> Rule:
     """Conditions that gain most, until a rule takes nothing but junk or nothing gains."""
     rule: Rule = ()
     inside = np.ones(len(x), bool)
-    while len(rule) < 4:
+    while len(rule) < CONDITIONS:
         p, n = junk[inside].sum(), (~junk[inside]).sum()
         if not p or not n:
             break
@@ -120,7 +123,7 @@ def learn(x: np.ndarray, junk: np.ndarray, precision: float = PRECISION) -> list
     x, junk = x[order], junk[order]
     third = np.arange(len(x)) % 3 == 0
     rules: list[Rule] = []
-    while junk[~third].sum() >= LEAST and len(rules) < 24:
+    while junk[~third].sum() >= LEAST and len(rules) < RULES:
         rule = grow(x[~third], junk[~third])
         if not rule:
             break
@@ -146,11 +149,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH) -> list[Rule]:
     """Rules from a sample of labelled rows that aren't held out; base failures are left to the base rules."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).alias("label")).dropDuplicates(["doc_id"])
-    chosen = sample_by_class(marked, "label", "doc_id", each).select(F.col("doc_id").alias("of_doc"), "label")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc"))  # 2.6 times ``each`` rows at most
-    label = rows.select("doc_id", "label").distinct()
-    found = rows.select("doc_id", "text").mapInArrow(S.batches_of_counts, S.SCHEMA).where(~base_failed()).join(F.broadcast(label.withColumnRenamed("doc_id", "of_doc")), F.col("doc_id") == F.col("of_doc")).orderBy("doc_id", *S.COUNTS).limit(4 * each).toPandas()
+    chosen = sample_by_class(agreed(labels, label_col), "label", "doc_id", each).select(F.col("doc_id").alias("of_doc"), "label")
+    chosen = F.broadcast(chosen)  # 2.6 times ``each`` rows at most
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("of_doc"))
+    counted = rows.select("doc_id", "text").mapInArrow(S.batches_of_counts, S.SCHEMA).where(~base_failed()).distinct()
+    found = counted.join(chosen, F.col("doc_id") == F.col("of_doc")).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", *S.COUNTS).limit(4 * each).toPandas()
     x = np.stack([found[over].to_numpy() / (np.maximum(found[under].to_numpy(), 1) if under else 1) for _, over, under in RATIOS], axis=1).astype(np.float64)
     return learn(x, found["label"].to_numpy() == 0)
 

@@ -6,7 +6,9 @@ interact through low-rank factors, summed in linear time as
 ``0.5 * ((sum v x)^2 - sum (v x)^2)``.  Labels, language, source and id are never inputs.
 
 Null texts are empty; an empty text gets the score of its cells.  Rows are scored one
-by one, repeated and null ids included; without labels every score is one half.
+by one, repeated and null ids included, very long texts whole; an empty table gives none, and columns
+with this module's own names don't matter.  Without labels every score is one half; documents with
+contradictory labels are scored, but not learned from.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import kernels as K
 from tallyforge.llm import textstats as S
 from tallyforge.llm.common import bounded_batches
-from tallyforge.llm.samples import held_out, sample_by_class
+from tallyforge.llm.samples import agreed, sample_by_class, texts_to_fit
 
 WORDS = 1 << 14
 CELLS = 12
@@ -73,20 +75,18 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, epochs: int = 8) -> Machine:
     """A machine fitted by Adagrad on a sample of labelled rows that aren't held out."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label_col).alias("label")).dropDuplicates(["doc_id"])
-    chosen = F.broadcast(sample_by_class(marked, "label", "doc_id", each))  # 2.6 times ``each`` rows at most
-    got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").orderBy("doc_id", "text").limit(4 * each)
-    stats, parts, y = [], [], []
+    chosen = F.broadcast(sample_by_class(agreed(labels, label_col), "label", "doc_id", each).withColumnRenamed("doc_id", "of_doc"))  # 2.6 times ``each`` rows at most
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("of_doc"))
+    got = texts_to_fit(rows.where("text is not null"), 4 * each)
+    stats, parts, y = [], [], [label for _, label in got]
     n = 0
-
-    for batch in _arrow_slices(got):
-        data, offs = K.flat(batch.column("text"))
+    for first in range(0, len(got), 1000):
+        data, offs = K.flat(pa.array([text for text, _ in got[first : first + 1000]], pa.string()))
         for _, _, d, o in K.chunks(data, offs):
             a, (doc, bucket, share) = inputs(d, o)
             stats.append(a)
             parts.append((doc + n, bucket, share))
             n += len(a)
-        y += batch.column("label").to_pylist()
     stats = np.concatenate(stats) if stats else np.zeros((0, len(RATIOS)))
     edges = np.stack([np.quantile(stats[:, k], np.linspace(0, 1, CELLS + 1)[1:-1]) if n else np.zeros(CELLS - 1) for k in range(len(RATIOS))])
     rng = np.random.default_rng(11)
@@ -121,13 +121,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return m
 
 
-def _arrow_slices(df: DataFrame) -> Iterator[pa.Table]:
-    """The bounded sample, a thousand rows at a time."""
-    table = df.toArrow()
-    for a in range(0, table.num_rows, 1000):
-        yield table.slice(a, 1000)
-
-
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
     bounded_batches(docs.sparkSession)
