@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -141,3 +143,50 @@ def test_mix_without_ids(spark, tmp_path):
     assert len(stage) == 5 and set(stage) <= {1, 2, 4, 6, 7}
     one = spark.createDataFrame([(None, "a b c", "en", None, 1), (None, "d e", "en", None, 2), (7, "f", "en", None, 3), (7, "g h", "en", None, 4)], COLUMNS)
     assert sorted(r["n_chars"] for r in corpus_pipeline.STAGES[3][1](spark, one, str(tmp_path)).collect()) == [1, 2, 3, 4]
+
+
+def test_unknown_languages(spark, tmp_path):
+    """A text in a language that no row is labelled with is rejected; clean ones and short ones stay."""
+    rng = random.Random(12)
+    common = {"en": "the and of thing with that", "de": "der und ung schen keit nicht"}
+    rows = [(k, " ".join(rng.choice(common[v].split()) for _ in range(rng.randint(1, 40))), v, "a", 0) for k, v in enumerate(rng.choices(list(common), k=600))]
+    odd = [(1000, "日本語のテキストはここにあります。これは長い文章です。", None, "a", 0), (1001, "Это русский текст, который не принадлежит ни к одному языку", None, "a", 0), (1002, "Zażółć gęślą jaźń", None, "a", 0), (1003, None, "en", "a", 0), (1004, "12 !", "en", "a", 0), (None, "the thing", None, "a", 0)]
+    kept = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows + odd, COLUMNS), str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(r[0]) for r in [*rows, odd[-1]])
+
+
+def test_clashing_labels(spark, odd):
+    """A document with two labels is not learned from, whichever comes first; it is judged like any other."""
+    docs = odd.where("doc_id is not null")
+    one = labels(spark, [(1, 1, 0), (7, 0, 0), (9, 1, 0), (9, 0, 0), (8, 0, 1)])
+    other = labels(spark, [(9, 0, 0), (8, 0, 1), (9, 1, 0), (7, 0, 0), (1, 1, 0)])
+    without = labels(spark, [(1, 1, 0), (7, 0, 0), (8, 0, 1)])
+    scores = [sorted((r["doc_id"], r["score"]) for r in fm.score(docs, fm.fit(docs, x)).collect()) for x in (one, other, without)]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == docs.count()
+
+
+def test_bounded_samples(spark):
+    """Fitting gathers no more rows and bytes than it says, equal rows once, and the same ones each time."""
+    from tallyforge.llm import samples
+
+    df = spark.createDataFrame([(k % 50, f"{k % 50} " + "x" * (10 * (k % 50)), k % 2) for k in range(200)], "doc_id long, text string, label int").repartition(3)
+    got = samples.texts_to_fit(df, 30, total=4000, longest=400)
+    assert got == samples.texts_to_fit(df.repartition(2), 30, total=4000, longest=400)
+    assert 0 < len(got) <= 30 and sum(len(t) for t, _ in got) <= 4000 and len(set(got)) == len(got) and max(len(t) for t, _ in got) <= 400
+    assert samples.texts_to_fit(df.where("false"), 30) == [] and samples.texts_to_fit(df, 30, total=0) == []
+
+
+def test_hot_groups(spark, words):
+    """A third of all rows without id, one id, one text, one host and one source: results as for any others."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, texts[0] if k % 2 else texts[k % 60], "en", "a" if k % 3 else "b", k) for k in range(240)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    for name in ("tokens", "near", "mix", "words", "bytes"):
+        assert len(OPERATORS[name](docs, spark).collect()) == len(rows), name
+    cut = radix.digest(docs, group_bytes=2000, bucket_bytes=2000, hot=0).collect()
+    assert sum(r["n_removed"] == 0 for r in cut) >= len({r[1] for r in rows}) > sum(r["n_bytes"] - r["n_removed"] > 0 for r in cut) - 5
+    classes = {r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
+    assert 7 in classes
+    kept = bagminhash.without_copies(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted({r[1] for r in rows})
