@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyforge.llm import kernels as K
 from tallyforge.llm.common import Scratch, bounded_batches, numbered, unused, written
@@ -104,17 +103,15 @@ def _grams(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.
         yield a, b, *multisets(*K.shingles(K.span_hashes(d, s, e), wo, k))
 
 
-def _signed(at: int, k: int, bands: int, rows: int):
-    """Batches with the digest, the number of grams and the band keys of each row's text (column ``at``)."""
-
+def _signed(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, h, doc, weight in _grams(batch.column(at), k):
+            for a, b, h, doc, weight in _grams(batch.column(2), k):
                 keys = band_keys(signatures(h, doc, weight, b - a, bands * rows), bands, rows)
-                digest = [hashlib.md5(t.as_buffer() or b"").digest() if t.is_valid else b"" for t in batch.column(at).slice(a, b - a)]
+                digest = [hashlib.md5(t.as_buffer() or b"").digest() if t.is_valid else b"" for t in batch.column(2).slice(a, b - a)]
                 size = np.bincount(doc, weight, b - a).astype(np.int64) if len(doc) else np.zeros(b - a, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(digest, pa.binary()), pa.array(size), lists], names=[*batch.schema.names, "digest", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(size), lists], names=["row", "doc_id", "digest", "size", "bands"])
 
     return run
 
@@ -231,24 +228,20 @@ def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, thres
     return dealt.mapInArrow(_crossed(k, *threshold), "a long, b long").distinct()
 
 
-def classed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The rows of ``docs`` in a written table, the classes of their texts, and the table's own four columns.
+def classed(rows: DataFrame, *, k: int = SHINGLE, bands: int = BANDS, rows_a_band: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Signed rows and the classes of their texts, from a written table (row, doc_id, text) of numbered rows.
 
-    The four are a row's number, its text's digest, number of grams and band keys.
-    A class has a row for each of its texts: (of_digest, node, class_id, first); node
-    is the number of the text's first row by (doc_id, null last; row), and ``first``
-    marks the text of the class that is least by (doc_id, null last; digest).
+    ``signed`` has (row, doc_id, digest, size, bands).  A class has a row for each of its
+    texts: (of_digest, node, class_id, first); node is the number of the text's first row by
+    (doc_id, null last; row), and ``first`` marks the text of the class that is least by
+    (doc_id, null last; digest).
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    counted, row = numbered(docs)
-    own = [row, *(unused(counted, name) for name in ("digest", "size", "bands"))]
-    schema = T.StructType([*counted.schema.fields, T.StructField(own[1], T.BinaryType()), T.StructField(own[2], T.LongType()), T.StructField(own[3], T.ArrayType(T.LongType()))])
-    signed = written(counted.mapInArrow(_renamed(_signed(counted.columns.index(text_col), k, bands, rows), schema.names), schema), "signed")
-    full = signed.where(F.col(own[2]) > 0).select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(n) for c, n in zip(own[1:], ("digest", "size", "bands"))))
+    signed = written(rows.mapInArrow(_signed(k, bands, rows_a_band), "row long, doc_id long, digest binary, size long, bands array<bigint>"), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    digests = full.groupBy("digest").agg(least.alias("f"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    digests = signed.where("size > 0").groupBy("digest").agg(least.alias("f"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     digests = scratch.written(digests.select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("doc_id"), "size", "bands"), "digests")
     banded = scratch.written(digests.select("node", "size", F.explode("bands").alias("bucket")), "banded")
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.min_by("size", "node").alias("of_size"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -257,7 +250,7 @@ def classed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # the texts of documents that meet another: they cross the network whole once, and later joins read these alone;
     # joins of texts are merged at every size, so that what a small input shows holds for a large one
     met = crowd.select("node").distinct().hint("merge")
-    texts = scratch.written(signed.select(F.col(row).alias("of"), F.col(text_col).alias("text")).join(met, F.col("of") == F.col("node"), "left_semi"), "crowd-texts")
+    texts = scratch.written(rows.select(F.col("row").alias("of"), "text").join(met, F.col("of") == F.col("node"), "left_semi"), "crowd-texts")
     near = F.least("size", "of_size") * threshold[1] >= F.greatest("size", "of_size") * threshold[0]
     tested = scratch.written(crowd.where((F.col("node") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "tested")
     links = scratch.written(verified(tested, texts, k, threshold), "verified")
@@ -270,18 +263,16 @@ def classed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = placed.join(firsts, F.col("component") == F.col("c")).select(F.col("digest").alias("of_digest"), "node", "class_id", (F.col("digest") == F.col("d")).alias("first"))
     classes = written(classes, "classes")
     scratch.clear()
-    return signed, classes, own
-
-
-def _renamed(run, names: list[str]):
-    return lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=names) for b in run(batches))
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least doc_id of its class; null if all are null)."""
-    signed, classes, (_, digest, size, _) = classed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), **options)
-    rows = signed.select("doc_id", F.when(F.col(size) > 0, F.col(digest)).alias("digest"))
-    found = rows.join(classes, F.col("digest") == F.col("of_digest"), "left")
+    rows, _ = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    scratch = Scratch(docs.sparkSession)
+    signed, classes = classed(scratch.written(rows.select("row", "doc_id", "text"), "rows"), **options)
+    scratch.clear()
+    found = signed.select("doc_id", F.when(F.col("size") > 0, F.col("digest")).alias("digest")).join(classes, F.col("digest") == F.col("of_digest"), "left")
     return found.select("doc_id", F.when(F.col("of_digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
@@ -291,8 +282,9 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     It is the row of least doc_id (null ids last; of one id's texts the least by digest; of
     rows that are equal in both, one).
     """
-    signed, classes, (row, _, size, _) = classed(docs, id_col=id_col, text_col=text_col, **options)
-    node = unused(signed, "node")
-    first = classes.where("first").select(F.col("node").alias(node))
-    rows = signed.join(first, F.col(row) == F.col(node), "left").where(F.col(node).isNotNull() | (F.col(size) == 0))
-    return rows.select(*(signed[c] for c in docs.columns))
+    rows, row = numbered(docs)
+    rows = written(rows, "rows")
+    signed, classes = classed(rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), **options)
+    stay = unused(rows, "stay")
+    kept = classes.where("first").select("node").unionByName(signed.where("size = 0").select(F.col("row").alias("node"))).select(F.col("node").alias(stay))
+    return rows.join(kept, F.col(row) == F.col(stay), "left_semi").drop(row)
