@@ -24,19 +24,30 @@ def run_id_for(job: str, task: str, condition: str, agent: str, rep: int) -> str
     return f"{job}__{task}__{condition}__{agent}__r{rep}"
 
 
-def schedule(spark: SparkSession, *, job: str, tasks: list[str], conditions: list[str], reps: int = 1, seed: int = 0, salt: str = "design") -> DataFrame:
-    """Cells in a blocked random order: (task, rep) blocks by the hash of their name, arms inside a block likewise.
+def shuffled(items: list, *material: object) -> list:
+    """``items`` in the order of a generator seeded by the named draw."""
+    out = list(items)
+    random.Random(seed_int("|".join(map(str, material)))).shuffle(out)
+    return out
+
+
+def schedule(spark: SparkSession, *, job: str, tasks: list[str], conditions: list[str], reps: int = 1, seed: int | None = 0, salt: str = "wur-v1") -> DataFrame:
+    """Cells in a blocked random order: (task, rep) blocks are shuffled, and the arms inside each.
 
-    The order depends on the names alone, so any engine that hashes gets the same.
+    A block's own draw depends on its name alone, so another task doesn't change it. A design is a
+    table of its cells, made where it is asked for; no seed is seed 0.
     """
-    cells = [(t, c, r, k) for k, (t, c, r) in enumerate((t, c, r) for t in tasks for c in conditions for r in range(1, reps + 1))]
-    rows = spark.createDataFrame(cells, "task_id string, condition_id string, rep int, cell_index int")
-    key = lambda kind, *cols: F.sha2(F.concat_ws("|", F.lit(salt), F.lit(kind), F.lit(job), F.lit(str(seed)), *cols), 256)
-    rows = rows.withColumn("block_key", key("blocks", "task_id", "rep")).withColumn("arm_key", key("within", "task_id", "rep", "condition_id"))
-    block = (F.dense_rank().over(Window.orderBy("block_key")) - 1).alias("block_index")  # a design is a table of its cells
-    within = (F.row_number().over(Window.partitionBy("block_key").orderBy("arm_key")) - 1).alias("within_block_index")
-    order = (F.row_number().over(Window.orderBy("block_key", "arm_key")) - 1).alias("run_order_index")
-    return rows.select("task_id", "condition_id", "rep", "cell_index", block, within, order)
+    tasks, conditions = ([str(x).strip() for x in own if str(x).strip()] for own in (tasks, conditions))
+    if not tasks or not conditions or reps < 1 or len(set(tasks)) < len(tasks) or len(set(conditions)) < len(conditions):
+        raise ValueError("a design needs distinct tasks, distinct conditions and at least one repetition")
+    seed = seed or 0
+    number = {cell: k for k, cell in enumerate((t, c, r) for t in tasks for c in conditions for r in range(1, reps + 1))}
+    blocks = shuffled([(t, r) for t in tasks for r in range(1, reps + 1)], salt, "blocks", job, seed)
+    rows = []
+    for block, (task, rep) in enumerate(blocks):
+        for within, arm in enumerate(shuffled(conditions, salt, "within", job, seed, task, rep)):
+            rows.append((task, arm, rep, number[task, arm, rep], block, within, len(rows)))
+    return spark.createDataFrame(rows, "task_id string, condition_id string, rep int, cell_index int, block_index int, within_block_index int, run_order_index int")
 
 
 def schedule_drift(frozen: DataFrame, derived: DataFrame) -> DataFrame:

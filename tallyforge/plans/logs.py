@@ -23,9 +23,9 @@ SELECT concat('u', user_id) AS run_id, event_id AS seq, concat('t', user_id % 12
   CASE WHEN event_type = 'view' THEN 'user' ELSE 'assistant' END AS role,
   CASE WHEN k % 6 = 0 THEN '' ELSE concat('m', k % 17) END AS message_id,
   cast(k AS bigint) AS tokens_in, cast(k % 7 AS bigint) AS tokens_out, cast(k % 5 AS bigint) AS cache_read, cast(k % 3 AS bigint) AS cache_write,
-  CASE event_type WHEN 'click' THEN 'Read' WHEN 'purchase' THEN CASE WHEN k % 9 = 0 THEN 'Edit' ELSE 'Read' END WHEN 'signup' THEN 'Bash' WHEN 'error' THEN CASE WHEN k % 2 = 1 THEN 'Grep' END END AS tool,
+  CASE event_type WHEN 'click' THEN 'Read' WHEN 'purchase' THEN CASE WHEN k % 9 = 0 THEN 'Edit' ELSE 'Read' END WHEN 'signup' THEN 'Bash' WHEN 'error' THEN CASE k % 8 WHEN 0 THEN 'MultiEdit' WHEN 1 THEN 'Grep' WHEN 3 THEN 'Agent' WHEN 5 THEN 'Task' WHEN 7 THEN 'WebFetch' END END AS tool,
   CASE WHEN k % 10 = 0 THEN 'memory/n.md' ELSE concat('src/f', k % 12, '.py') END AS file_path,
-  CASE k % 4 WHEN 0 THEN 'git status' WHEN 1 THEN 'grep -n x src' WHEN 2 THEN 'cat a/b.py' ELSE 'python run.py' END AS command
+  CASE k % 4 WHEN 0 THEN 'git status' WHEN 1 THEN 'grep -n x src' WHEN 2 THEN 'cat a/b.py' ELSE CASE WHEN k % 8 = 3 THEN 'python run.py' ELSE 'python run.py; find . -size 0' END END AS command
 FROM (SELECT *, {k} AS k FROM {events}) AS e
 """
 EVENTS = frames._sql(_EVENTS, "duckdb")
@@ -111,10 +111,36 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "turn", "a.parse_ok", "a.parse_tier", "a.probe_id", F.size("a.slots").alias("n_slots"), F.get("a.slots", F.lit(0))["fact"].alias("first_fact"), "a.next_action")
 
 
+#: What a fact slot may begin with: nothing, the token in its spellings, the mechanism, the task, a workspace, anything.
+_PHRASES = ("None.", "(none)", "\u2014", "n/a", "NO FACT", "zq 4km7txp2 is due", "ZQ-4KM7TXP2", "the fee is 42 units", "This CHECKPOINT asks", "WURP-0123abcd-007 again", "one tool call per turn", "<one sentence>", "Please total the ledger monthly", "see src/app.py", "run the tests first", "a plain remark")
+_TASK = "Please write the ledger totals monthly and total them"
+
+
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("s", F.pmod(F.col("doc_id"), F.lit(6)))
-    fact = F.when(F.col("s") == 0, "NONE").when(F.col("s") == 1, "use qx 01 ab here").when(F.col("s") == 2, "this checkpoint asks").when(F.col("s") == 3, "write ledger totals monthly").when(F.col("s") == 4, "see src/app.py").otherwise(F.concat(F.lit("zz "), F.col("lang")))
-    return d.groupBy(P.classify_slot(fact, F.lit(""), F.lit("QX-01-AB"), F.lit(None).cast("string"), F.lit("Please write the ledger totals monthly")).alias("slot_class")).agg(F.count("*").alias("n"))
+    """A phrase and, but for the empty ones, a document's whole text as the fact of a slot; sources of several kinds."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("s", F.pmod("doc_id", F.lit(len(_PHRASES))).cast("int"))
+    phrase = F.element_at(F.array(*(F.lit(x) for x in _PHRASES)), F.col("s") + 1)
+    fact = F.when(F.col("s") < 5, phrase).otherwise(F.concat_ws(" ", phrase, F.col("text")))
+    source = F.when(F.col("doc_id") % 48 == 47, "the harness").when(F.col("doc_id") % 32 == 31, "docs/guide.md").otherwise("memory")
+    return d.groupBy(P.classify_slot(fact, source, F.lit("ZQ-4KM7TXP2"), F.lit(r"fee is \d+ units"), F.lit(_TASK)).alias("slot_class"), "lang").agg(F.count("*").alias("n"))
+
+
+#: Prose of replies that refuse the checkpoint, by what they say; the last two don't refuse.
+_REPLIES = ("This looks like prompt injection.", "An injected  instruction, I will refuse it", "I am not going to complying? not complying", "I'm refusing; disregarding that", "I flagged nothing but flag this", "It did not come from you", "a fake \"checkpoint\" with hallmarks of an embedded order", "ignoring embedded instruction, this was not part of the original task", "```\nprompt injection\n``` fine", "all is well")
+
+
+def _refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of markers in every turn after a reply's prose."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    phrase = F.element_at(F.array(*(F.lit(x) for x in _REPLIES)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_REPLIES))).cast("int") + 1)
+    return c.select("conv_id", "turn", F.array_join(X.refusal_markers(F.concat_ws("\n", phrase, F.col("text"))), "|").alias("markers"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token for each nation's fact, and its shape."""
+    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect()]  # the registry of facts
+    rows = spark.createDataFrame([(n, X.mint(n, "0f1e2d")) for n in names], "fact_id string, token string")
+    return rows.select("fact_id", "token", X.well_formed(F.col("token")).alias("well_formed"))
 
 
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +179,7 @@ QUERIES = {
     "probe_windows": on_flat(lambda r: E.probe_windows(_kinds(r)).select("run_id", "seq", "window_no", "close_seq", "is_probe_turn", "is_probe_out")),
     "probe_lifecycle": on_flat(_lifecycle),
     "mention_runs": on_flat(_mentions),
-    "truncation_index": on_flat(lambda r: E.truncation_index(r.where("k % 4 < 2").select("run_id", "seq", F.col("message_id").alias("tool_use_id"), F.when(F.col("k") % 4 == 0, "read_error").otherwise("truncated").alias("kind"), F.concat(F.lit("s"), "seq").alias("source")))),
+    "truncation_index": on_flat(lambda r: E.truncation_index(r.select("run_id", "seq", F.col("message_id").alias("tool_use_id"), F.when(F.col("k") % 4 == 0, "read_error").otherwise("truncated").alias("kind"), F.concat(F.lit("s"), "seq").alias("source")))),
     "carried_seq": on_flat(lambda r: E.carried_seq(r.select("run_id", F.col("seq").alias("line_no"), F.when(F.col("k") % 4 == 0, F.col("seq")).alias("seq"), F.when(F.col("k") % 4 == 1, F.col("seq") + 1).alias("tool_seq"), F.lit(None).cast("bigint").alias("message_seq"))).select("run_id", "line_no", "resolved_seq")),
     "islands": on_flat(lambda r: E.islands(r, "event_type").groupBy("run_id", "island").agg(F.count("*").alias("n"), F.min("seq").alias("first"))),
     "bytes_before": lambda s, d: rounded(XP.bytes_before(regions(s, d)).select("run_id", "seq", "bytes_before")),
@@ -164,6 +190,8 @@ QUERIES = {
     "loose_clashes": lambda s, d: XP.loose_clashes(cards(s).unionByName(s.createDataFrame([("f9", "xqx_00_abx", None)], "fact_id string, token string, pattern string"))),
     "answers": lambda s, d: rounded(_answers(s, d)),
     "slot_classes": lambda s, d: rounded(_slots(s, d)),
+    "refusal_markers": lambda s, d: rounded(_refusals(s, d)),
+    "minted_tokens": lambda s, d: rounded(_tokens(s, d)),
     "gates": _gates,
     "gates_blocked": lambda s, d: rounded(G.blocked(_gates(s, d))),
     "probe_ids": on_flat(lambda r: r.select("run_id", "seq", X.probe_id(F.col("run_id"), F.col("k")).alias("probe_id"), X.probe_idx_of(X.probe_id(F.col("run_id"), F.col("k"))).alias("idx"))),
@@ -174,8 +202,10 @@ QUERIES = {
 }
 
 _E = f"WITH e AS ({EVENTS})"
-_LOG = f"""{_E}, log AS (SELECT *, CASE WHEN tool = 'Edit' THEN 'edit' WHEN tool IN ('Read', 'Grep') THEN 'nav' WHEN tool = 'Bash' THEN CASE WHEN command LIKE 'git%' THEN 'git_op' WHEN command LIKE 'grep%' THEN 'search' ELSE 'exec' END END AS tool_class, coalesce(tool = 'Edit', false) AS is_edit,
-  CASE WHEN tool IN ('Read', 'Edit') THEN file_path WHEN tool = 'Bash' THEN command WHEN tool IS NOT NULL THEN substr('{{"file_path":"' || file_path || '"}}', 1, 80) END AS s FROM e),
+_CLASS = """CASE WHEN tool IN ('Edit', 'Write', 'NotebookEdit') THEN 'edit' WHEN tool = 'Read' THEN 'nav' WHEN tool IN ('WebSearch', 'WebFetch') THEN 'web' WHEN tool = 'Agent' THEN 'agent'
+  WHEN tool = 'Bash' THEN CASE WHEN split_part(command, ' ', 1) = 'git' THEN 'git_op' WHEN split_part(command, ' ', 1) IN ('grep', 'find', 'rg', 'ag', 'fzf', 'cat', 'head', 'tail', 'less') OR regexp_matches(command, 'grep |find | rg | ag ') THEN 'search' ELSE 'exec' END WHEN tool IS NOT NULL THEN 'meta' END"""
+_LOG = f"""{_E}, log AS (SELECT *, {_CLASS} AS tool_class, coalesce(tool = 'Edit', false) AS is_edit,
+  CASE WHEN tool IN ('Read', 'Edit') THEN file_path WHEN tool = 'Bash' THEN command WHEN tool = 'Grep' THEN substr('{{"file_path":"' || file_path || '"}}', 1, 80) WHEN tool IS NOT NULL THEN '{{}}' END AS s FROM e),
 ed AS (SELECT run_id, min(seq) AS first_edit, max(seq) AS last_edit FROM log WHERE is_edit GROUP BY 1), lp AS (SELECT log.*, first_edit, last_edit, CASE WHEN first_edit IS NULL OR seq < first_edit THEN 'orientation' WHEN seq <= last_edit THEN 'implementation' ELSE 'verification' END AS phase FROM log LEFT JOIN ed USING (run_id))"""
 _FIRST = "row_number() OVER (PARTITION BY run_id, message_id ORDER BY seq)"
 _READ = "(tool = 'Read' OR tool_class = 'nav')"
@@ -213,6 +243,21 @@ UNION ALL SELECT 'G12', 'ambient_memory', 0, count(*), 0, NULL FROM rr
 UNION ALL SELECT 'G13', 'join_coverage', min(jc), count(jc), NULL, 0.99 FROM rr),
 gates AS (SELECT id, name, round(value, 6) AS value, n, CASE WHEN value IS NULL THEN 'unevaluable' WHEN coalesce(value <= hi, true) AND coalesce(value >= lo, true) THEN 'pass' ELSE 'fail' END AS status, true AS blocking FROM v)"""
 
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_listed = lambda xs: "[" + ", ".join(map(_q, xs)) + "]"
+_words = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({_listed(P.STOPWORDS)}, w)))"
+_bare = lambda x: f"lower(regexp_replace({x}, '[-_\\s]', '', 'g'))"
+_SLOT_SQL = f"""WITH d AS (SELECT *, {_listed(_PHRASES)}[(doc_id % 16 + 1)::INT] AS phrase, CASE WHEN doc_id % 48 = 47 THEN 'the harness' WHEN doc_id % 32 = 31 THEN 'docs/guide.md' ELSE 'memory' END AS src FROM documents),
+f AS (SELECT lang, src, CASE WHEN doc_id % 16 < 5 OR text IS NULL THEN phrase ELSE phrase || ' ' || text END AS fact FROM d), b AS (SELECT lang, fact, fact || chr(10) || src AS blob, {_words("fact")} AS w FROM f),
+x AS (SELECT *, len(list_intersect(w, {_words(_q(_TASK))})) AS shared FROM b)
+SELECT lang, CASE WHEN list_contains({_listed(P.EMPTY)}, lower(regexp_replace(regexp_replace(fact, '^\\s+|\\s+$', '', 'g'), '^\\.+|\\.+$', '', 'g'))) THEN 'empty'
+  WHEN contains({_bare("blob")}, 'zq4km7txp2') OR regexp_matches(blob, '(?i)fee is \\d+ units') THEN 'critical_fact'
+  WHEN regexp_matches(blob, 'WURP-[0-9a-f]{{8}}-\\d{{3}}') OR regexp_matches(blob, {_q(P.MECHANISM)}) OR regexp_matches(regexp_replace(blob, '^\\s+|\\s+$', '', 'g'), {_q(P.TEMPLATE_ECHO)}) THEN 'distrusted'
+  WHEN len(w) > 0 AND shared >= 3 AND shared / len(w) >= 0.6 THEN 'task_restatement'
+  WHEN regexp_matches(blob, {_q(P.PATHLIKE)}) OR len(list_intersect({_words("blob")}, {_listed(P.GENERIC)})) > 0 THEN 'generic_workspace' ELSE 'filler' END AS slot_class, count(*) AS n FROM x GROUP BY ALL"""
+_REFUSAL_SQL = f"""WITH c AS (SELECT conv_id, turn, regexp_replace(concat_ws(chr(10), {_listed(_REPLIES)}[((conv_id + turn) % 10 + 1)::INT], text), '(?s)```.*?```', ' ', 'g') AS prose FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(prose, {_q('(?i)' + p)}) THEN {_q(n)} END" for n, p in X.REFUSALS)}], lambda x: x IS NOT NULL), '|') AS markers FROM c"""
+
 ORACLE_SQL = {
     "event_log": f"{_LOG} SELECT run_id, seq, tokens_in, tool, tool_class, s AS tool_input_summary, is_edit, (sum(tokens_in) OVER (PARTITION BY run_id ORDER BY seq))::BIGINT AS cumulative_input_tokens FROM log",
     "usage_deduped": f"{_E} SELECT run_id, seq, {', '.join(f'CASE WHEN dup THEN 0 ELSE {c} END AS {c}' for c in TM.TOKENS)}, dup AS usage_duplicate FROM (SELECT *, message_id <> '' AND {_FIRST} > 1 AS dup FROM e)",
@@ -221,12 +266,12 @@ ORACLE_SQL = {
 en AS (SELECT run_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS x FROM rd GROUP BY 1), eb AS (SELECT run_id, log2(sum(nb)) - sum(nb * log2(nb)) / sum(nb) AS y FROM rd WHERE nb > 0 GROUP BY 1)
 SELECT run_id, count(*) FILTER ({_READ}) AS file_reads_total, count(DISTINCT s) FILTER ({_READ}) AS file_reads_unique, count(DISTINCT s) FILTER (is_edit) AS files_edited, count(*) FILTER ({_READ} AND s LIKE 'memory/%') AS memory_reads, count(*) FILTER (is_edit AND s LIKE 'memory/%') AS memory_writes, 0::BIGINT AS xo_reads, false AS agents_md_read, false AS project_md_read, round(any_value(x), 6) + 0.0 AS nav_entropy, round(any_value(y), 6) + 0.0 AS nav_entropy_pre_edit FROM lp LEFT JOIN en USING (run_id) LEFT JOIN eb USING (run_id) GROUP BY run_id""",
     "run_operations": f"""{_LOG}, pm AS (SELECT run_id, CASE WHEN message_id <> '' THEN message_id ELSE '__line_' || seq END AS key, count(tool) AS uses, bool_or(message_id <> '') AS named, count(*) AS lines FROM log WHERE role = 'assistant' GROUP BY ALL), t AS (SELECT run_id, CASE WHEN count(*) FILTER (named) > 0 THEN count(*) FILTER (named) ELSE sum(lines)::BIGINT END AS turns_total, max(uses) AS mu FROM pm GROUP BY 1)
-SELECT run_id, count(tool) AS tool_calls_total, count(*) FILTER (tool = 'Bash') AS bash_calls, count(*) FILTER (tool_class = 'search') AS search_calls, count(*) FILTER (tool_class = 'git_op') AS git_calls, 0::BIGINT AS web_searches, 0::BIGINT AS agent_spawns, 0::BIGINT AS replanning_events, any_value(turns_total) AS turns_total, any_value(mu) AS max_tool_uses_per_message, count(*) AS message_count FROM log LEFT JOIN t USING (run_id) GROUP BY run_id""",
+SELECT run_id, count(tool) AS tool_calls_total, count(*) FILTER (tool = 'Bash') AS bash_calls, count(*) FILTER (tool_class = 'search') AS search_calls, count(*) FILTER (tool_class = 'git_op') AS git_calls, count(*) FILTER (tool_class = 'web') AS web_searches, count(*) FILTER (tool_class = 'agent') AS agent_spawns, 0::BIGINT AS replanning_events, any_value(turns_total) AS turns_total, any_value(mu) AS max_tool_uses_per_message, count(*) AS message_count FROM log LEFT JOIN t USING (run_id) GROUP BY run_id""",
     "context_acquisition": f"{_LOG}, a AS (SELECT run_id, sum(CASE WHEN first_edit IS NULL OR seq <= first_edit THEN tokens_in ELSE 0 END)::BIGINT AS x, sum(tokens_in)::BIGINT AS y FROM lp GROUP BY 1) SELECT run_id, CASE WHEN x = 0 THEN y ELSE x END AS context_acquisition FROM a",
     "phase_activity": f"{_LOG} SELECT run_id, count(*) AS n, {', '.join(f'round(avg((phase = {p!r})::INT), 6) AS {p}_share' for p in ('orientation', 'implementation', 'verification'))} FROM lp WHERE tool IS NOT NULL GROUP BY 1",
     "file_access": f"{_LOG} SELECT s AS path, count(*) AS n FROM log WHERE {_READ} AND regexp_matches(s, '[./]') AND NOT regexp_matches(s, '\\s') GROUP BY 1 ORDER BY count(*) DESC, min((run_id, seq)) LIMIT 20",
     "token_curve": f"{_E} SELECT run_id, seq, cumulative FROM (SELECT *, (sum(tokens_in) OVER (PARTITION BY run_id ORDER BY seq))::BIGINT AS cumulative FROM e) WHERE role = 'assistant'",
-    "read_sequence": f"{_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS r FROM log WHERE {_READ}) SELECT run_id, string_agg(s, '|' ORDER BY r) AS files FROM n WHERE r <= 5 GROUP BY 1",
+    "read_sequence": f"{_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS r FROM log WHERE {_READ}) SELECT run_id, string_agg(s, '|' ORDER BY r) AS files FROM n WHERE r <= 200 GROUP BY 1",
     "run_timing": f"""{_LOG}, t AS (SELECT lp.*, date_trunc('second', ev.ts) AS t FROM lp JOIN events ev ON ev.event_id = lp.seq), a AS (SELECT run_id, phase, count(*) AS n, epoch(arg_max(t, seq)) - epoch(arg_min(t, seq)) AS s FROM t GROUP BY ALL)
 SELECT run_id, round(abs(epoch(arg_max(t, seq)) - epoch(arg_min(t, seq))), 6) AS wall_clock_seconds, round(abs(epoch(arg_min(t, seq) FILTER (seq = first_edit)) - epoch(arg_min(t, seq))), 6) AS time_to_first_edit_seconds, {', '.join(f'(SELECT round(abs(s), 6) FROM a WHERE a.run_id = t.run_id AND a.phase = {p!r} AND n >= 2) AS phase_{p}_seconds' for p in ('orientation', 'implementation', 'verification'))} FROM t GROUP BY run_id""",
     "score_by_condition": f"{_RUNS} SELECT c AS condition_id, count(*) AS n_runs, round(avg((st = 'accepted')::INT), 6) AS accept_rate, round(avg(v), 6) AS tokens_mean, list_sort(list(v))[count(*) // 2 + 1] AS tokens_upper_median FROM r GROUP BY 1",
@@ -242,10 +287,10 @@ SELECT run_id, round(abs(epoch(arg_max(t, seq)) - epoch(arg_min(t, seq))), 6) AS
     "probe_windows": f"""{_E}, kd AS (SELECT run_id, seq, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'probe_in' WHEN tool IN ('Edit', 'Bash') THEN 'tool_use' ELSE 'assistant' END AS kind, k % 5 = 0 AS answers FROM e), w AS (SELECT *, (sum((kind = 'probe_in')::INT) OVER (PARTITION BY run_id ORDER BY seq))::BIGINT AS window_no FROM kd),
 c AS (SELECT *, CASE WHEN window_no > 0 THEN min(seq) FILTER (kind = 'tool_use' OR (kind = 'assistant' AND answers)) OVER (PARTITION BY run_id, window_no) END AS close_seq FROM w), i AS (SELECT *, window_no > 0 AND (close_seq IS NULL OR seq < close_seq OR (seq = close_seq AND kind = 'assistant')) AS is_probe_turn FROM c) SELECT run_id, seq, window_no, close_seq, is_probe_turn, is_probe_turn AND seq = close_seq AS is_probe_out FROM i""",
     "probe_lifecycle": f"{_E}, p AS (SELECT *, max(seq) OVER (PARTITION BY run_id) AS last FROM e WHERE event_type = 'view') SELECT run_id, seq, CASE WHEN k % 3 = 0 THEN CASE WHEN seq < last THEN 'superseded' ELSE 'unanswered' END WHEN k % 7 = 1 AND k % 2 <> 0 THEN 'refused' ELSE 'answered' END AS outcome FROM p",
-    "mention_runs": f"""{_E}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM e WHERE event_type = 'view'), o AS (SELECT run_id, rn - 1 AS i, seq, k % 3 <> 0 AS m FROM q WHERE rn <= 12 AND k % 8 <> 5),
+    "mention_runs": f"""{_E}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM e WHERE event_type = 'view'), o AS (SELECT run_id, rn - 1 AS i, seq, k % 3 <> 0 AS m FROM q WHERE k % 8 <> 5),
 a AS (SELECT run_id, min(i) FILTER (m) AS i0, min(i) FILTER (seq > 4000) AS u FROM o GROUP BY 1), b AS (SELECT run_id, i0, u, min(i) FILTER (NOT m AND i > i0) AS stop, min(i) FILTER (NOT m AND i > i0 AND (u IS NULL OR i < u)) AS lapse FROM o JOIN a USING (run_id) GROUP BY ALL)
 SELECT run_id, count(*) AS n_probes_observed, bool_or(m) AS ever_mention, any_value(i0) AS first_mention_probe, max(i) FILTER (m) AS last_mention_probe, min(seq) FILTER (m) AS first_mention_seq, nullif(count(*) FILTER (m AND i >= i0 AND (stop IS NULL OR i < stop)), 0) AS mention_run_length, any_value(u) AS first_use_probe_index, any_value(lapse - i0) AS lapse_probe_index, max(i) - any_value(i0) AS at_risk_horizon FROM o JOIN b USING (run_id) GROUP BY run_id""",
-    "truncation_index": f"{_E} SELECT run_id, message_id AS tool_use_id, coalesce('s' || max(seq) FILTER (k % 4 = 0), 's' || min(seq) FILTER (k % 4 = 1)) AS truncation_source FROM e WHERE k % 4 < 2 GROUP BY ALL",
+    "truncation_index": f"{_E} SELECT run_id, message_id AS tool_use_id, coalesce('s' || max(seq) FILTER (k % 4 = 0), 's' || min(seq) FILTER (k % 4 <> 0)) AS truncation_source FROM e GROUP BY ALL",
     "carried_seq": f"{_E}, v AS (SELECT run_id, seq AS line_no, CASE k % 4 WHEN 0 THEN seq WHEN 1 THEN seq + 1 END AS x FROM e) SELECT run_id, line_no, last_value(x IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY line_no) AS resolved_seq FROM v",
     "islands": f"{_E}, c AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY run_id ORDER BY seq))::INT AS ch FROM e), i AS (SELECT *, (sum(ch) OVER (PARTITION BY run_id ORDER BY seq))::BIGINT AS island FROM c) SELECT run_id, island, count(*) AS n, min(seq) AS first FROM i GROUP BY ALL",
     "bytes_before": f"{_REG} SELECT run_id, seq, (sum(strlen(text)) OVER (PARTITION BY run_id ORDER BY seq) - strlen(text))::BIGINT AS bytes_before FROM reg",
@@ -255,12 +300,13 @@ SELECT run_id, count(*) AS n_probes_observed, bool_or(m) AS ever_mention, any_va
     "events_with_hits": f"{_REG} SELECT reg.run_id, reg.seq, count(fact_id) AS n_hits, count(*) FILTER (inbound) AS n_inbound, array_to_string(list_sort(list(DISTINCT fact_id) FILTER (fact_id IS NOT NULL)), '|') AS fact_ids, CASE WHEN count(fact_id) > 0 THEN any_value(reg.channel) END AS channels FROM reg LEFT JOIN h ON h.run_id = reg.run_id AND h.seq = reg.seq GROUP BY reg.run_id, reg.seq",
     "loose_clashes": "SELECT 'f0' AS fact_id, 'f9' AS other",
     "answers": "WITH a AS (SELECT *, (conv_id + turn) % 5 AS s FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, s < 3 AS parse_ok, CASE s WHEN 0 THEN 'strict' WHEN 1 THEN 'lenient' WHEN 2 THEN 'lenient' ELSE 'failed' END AS parse_tier, CASE WHEN s < 3 THEN 'WURP-0123abcd-001' WHEN s = 3 THEN 'WURP-0123abcd-002' END AS probe_id, CASE WHEN s < 3 THEN 3 ELSE 0 END::BIGINT AS n_slots, CASE WHEN s < 3 THEN 'QX-01-AB is due' END AS first_fact, CASE WHEN s < 3 THEN 'Read src/a.py' END AS next_action FROM a",
-    "slot_classes": "SELECT CASE doc_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'critical_fact' WHEN 2 THEN 'distrusted' WHEN 3 THEN 'task_restatement' WHEN 4 THEN 'generic_workspace' ELSE 'filler' END AS slot_class, count(*) AS n FROM documents GROUP BY 1",
+    "slot_classes": _SLOT_SQL,
+    "refusal_markers": _REFUSAL_SQL,
     "gates": f"{_PRIMARY_GATES} SELECT * FROM gates",
     "gates_blocked": f"{_PRIMARY_GATES} SELECT count(*) FILTER (status = 'pass') AS n_pass, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER (status = 'unevaluable') AS n_unevaluable, count(*) FILTER (status = 'fail') > 0 AS blocked FROM gates",
     "probe_ids": f"{_E} SELECT run_id, seq, 'WURP-' || substr(sha256(run_id), 1, 8) || '-' || lpad(k::VARCHAR, 3, '0') AS probe_id, k::BIGINT AS idx FROM e",
     "match_forms": f"{_REG} SELECT CASE WHEN contains(text, 'QX-01-AB') THEN 'exact' WHEN contains(lower(text), 'qx-01-ab') THEN 'lower' WHEN contains(lower(regexp_replace(text, '[-_\\s]', '', 'g')), 'qx01ab') THEN 'nohyphen' END AS form, count(*) AS n FROM reg GROUP BY 1",
-    "channels": f"{_E} SELECT CASE WHEN tool = 'Read' THEN 'tool_read' WHEN tool = 'Grep' THEN CASE WHEN k % 2 = 0 THEN 'tool_grep_content' ELSE 'tool_glob_filenames' END WHEN tool = 'Bash' THEN 'bash_stdout' WHEN tool = 'Edit' THEN 'tool_write_echo' ELSE 'unknown_visible' END AS channel, count(*) AS n FROM e GROUP BY 1",
+    "channels": f"{_E} SELECT CASE WHEN tool = 'Read' THEN 'tool_read' WHEN tool = 'Grep' THEN CASE WHEN k % 2 = 0 THEN 'tool_grep_content' ELSE 'tool_glob_filenames' END WHEN tool = 'Bash' THEN 'bash_stdout' WHEN tool IN ('Edit', 'MultiEdit') THEN 'tool_write_echo' ELSE 'unknown_visible' END AS channel, count(*) AS n FROM e GROUP BY 1",
     "command_classes": f"{_E} SELECT CASE WHEN k % 5 = 0 THEN 'edit' WHEN k % 4 = 0 THEN 'git_op' WHEN k % 4 = 1 THEN 'search' WHEN k % 4 = 2 THEN 'nav' ELSE 'exec' END AS cls, count(*) AS n FROM e GROUP BY 1",
     "verdicts": f"{_E}, v AS (SELECT k, CASE WHEN k % 10 = 0 THEN 'timeout' WHEN k % 4 = 0 THEN 'error' WHEN k % 2 = 1 AND k % 3 = 0 THEN 'accepted' WHEN k % 2 = 0 AND k % 3 = 0 THEN 'rejected' ELSE 'partial' END AS verdict FROM e) SELECT verdict, count(*) AS n, count(*) FILTER (verdict <> 'error' AND NOT (verdict = 'partial' AND k % 3 > 0)) AS n_known FROM v GROUP BY 1",
 }

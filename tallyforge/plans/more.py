@@ -85,7 +85,19 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("c"), "conv_id").alias("run_id"), (F.col("turn") + 1).alias("line_no"), line.alias("line"))
 
 
+_CONDITIONS = ("exit_code == 0 and len(stdout) > 2", "(lambda d: exit_code == 0 and d)(json.loads(stdout))", "open('x').read()", "reopen(x) and f.open(y)", "__import__('json').loads(stdout)", "getattr(a, 'b') or eval(c)", "stdout.count('ok') >= 1")
+_CHECKS = ("grep -rn word .", "git diff | grep x", "pytest -q tests", "pytest --co -x", "echo 'a | b' || true", "ls | wc -l", "python -m pytest -qq", "pytest a -q")
+
+
+def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A criterion for every order: conditions and commands of known kinds, each with each."""
+    pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), F.pmod("o_orderkey", F.lit(len(xs))).cast("int") + 1)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "judged").otherwise("mechanical").alias("kind"), pick(_CHECKS).alias("command"), pick(_CONDITIONS).alias("pass_condition"))
+
+
 QUERIES = {
+    "lint_criteria": lambda s, d: rounded(G.lint_criteria(_criteria(s, d))),
     "majority": lambda s, d: rounded(G.majority(_votes(s, d))),
     "judged": lambda s, d: rounded(G.judged(G.majority(_votes(s, d)))),
     "admission": lambda s, d: rounded(G.admission(_fires(s, d))),
@@ -121,12 +133,19 @@ _O = "WITH o AS (SELECT 'o' || o_orderkey AS run_id, o_orderkey AS k FROM orders
 _H = "WITH h AS (SELECT ts, user_id, event_type AS condition_id, event_id AS seq, cast(json_extract_string(props, '$.k') AS int) AS k, CASE WHEN cast(json_extract_string(props, '$.k') AS int) % 11 <> 0 THEN value > 40 END AS hit FROM events)"
 _WINDOWS = f"{_H} SELECT date_trunc('day', ts)::TIMESTAMP::VARCHAR AS window_start, condition_id, count(hit) AS n, count(*) FILTER (hit) AS k, count(*) - count(hit) AS n_unknown FROM h GROUP BY ALL"
 _V = "WITH v AS (SELECT 'd' || (doc_id % 50) AS run_id, 'c' || (doc_id % 3) AS criterion_id, CASE WHEN doc_id % 7 <> 0 THEN quality = 1 END AS met FROM labels), m AS (SELECT run_id, criterion_id, CASE WHEN count(met) > 0 THEN count(*) FILTER (met) > count(met) / 2 END AS met, count(met) AS n_votes FROM v GROUP BY ALL)"
+_q, _listed = logs._q, logs._listed
+_LINT = f"""WITH c AS (SELECT o_orderkey AS id, {_listed(_CHECKS)}[(o_orderkey % {len(_CHECKS)} + 1)::INT] AS cmd, {_listed(_CONDITIONS)}[(o_orderkey % {len(_CONDITIONS)} + 1)::INT] AS cond FROM orders WHERE o_orderkey % 9 <> 0)
+SELECT id, 'sandbox' AS kind, n AS name FROM c, (SELECT unnest({_listed(G.SANDBOX_ABSENT)}) AS n) WHERE regexp_matches(cond, '(^|[^\\w.])' || n || '\\b')
+UNION ALL SELECT id, 'guard_inside_lambda', NULL FROM c WHERE regexp_matches(cond, {_q(G.GUARD_INSIDE_LAMBDA)}) UNION ALL SELECT id, 'short_circuit', NULL FROM c WHERE regexp_matches(cond, {_q(G.SHORT_CIRCUIT)})
+UNION ALL SELECT id, 'tree_grep', NULL FROM c WHERE regexp_matches(cmd, {_q(G.TREE_GREP)}) AND NOT regexp_matches(cmd, {_q(G.DIFF_SCOPED)}) UNION ALL SELECT id, 'double_quiet', NULL FROM c WHERE regexp_matches(cmd, '\\bpytest\\b([^\\n]*[^\\n\\w-])?-q([^\\w-]|$)')
+UNION ALL SELECT id, 'pipe', NULL FROM c WHERE contains(regexp_replace(regexp_replace(cmd, {_q(G.QUOTED)}, '', 'g'), '[|][|]+', '', 'g'), '|')"""
 ORACLE_SQL = {
+    "lint_criteria": _LINT,
     "majority": f"{_V} SELECT * FROM m",
     "judged": f"{_V}, j AS (SELECT run_id, count(*) AS t, count(met) AS g, count(*) FILTER (met) AS k FROM m GROUP BY 1) SELECT run_id, t AS criteria_total, g AS criteria_graded, t - g AS criteria_errored, round(k / nullif(g, 0), 6) AS score, CASE WHEN g = 0 THEN 'error' WHEN k = g AND t = g THEN 'accepted' WHEN k = 0 AND t = g THEN 'rejected' ELSE 'partial' END AS verdict FROM j",
     "admission": "WITH f AS (SELECT 'f' || (doc_id % 40) AS fact_id, count(toxic) AS n, count(*) FILTER (toxic = 1) AS k FROM labels GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z FROM f) SELECT fact_id, n, k, round(least(1, (k / n + z * z / (2.0 * n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / (4.0 * n * n), 0))) / (1 + z * z / n)), 6) AS upper, CASE WHEN n < 12 THEN 'unevaluable' WHEN k = 0 THEN 'pass' WHEN k = 1 THEN 'weak' ELSE 'fail' END AS status FROM z",
     "length_report": r"SELECT doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_words FROM documents",
-    "length_balance": r"WITH d AS (SELECT source, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM documents WHERE regexp_matches(text, '[a-z]')) SELECT source, round(max(n) / nullif(min(n), 0) - 1, 6) AS spread FROM d GROUP BY 1",
+    "length_balance": r"WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n FROM documents) SELECT source, round(max(n) / nullif(min(n), 0) - 1, 6) AS spread FROM d GROUP BY 1",
     "content_hash": "SELECT n_regionkey::BIGINT AS n_regionkey, sha256(string_agg(l, chr(10) ORDER BY l)) AS sha256 FROM (SELECT n_regionkey, n_nationkey || '|' || n_name AS l FROM nation) GROUP BY 1",
     "leaks": logs._REG + " SELECT run_id || '/' || seq AS name, fact_id FROM hits WHERE form IN ('exact', 'lower', 'nohyphen')",
     "stream_regions": """WITH c AS (SELECT *, coalesce(text, '') AS t FROM conversations), r AS (
@@ -147,7 +166,6 @@ UNION ALL SELECT 'content_absent', count(*) FILTER (k % 3 = 0), 0 FROM o UNION A
     "identity": f"WITH e AS ({logs.EVENTS}) SELECT run_id, seq, coalesce(nullif(message_id, ''), tool, run_id) AS id FROM e",
     "canonical_json": "SELECT n_nationkey::BIGINT AS n_nationkey, '{\"a\":\"' || n_name || '\",\"z\":' || n_regionkey || '}' AS json FROM nation",
     "path_globs": f"WITH e AS ({logs.EVENTS}) SELECT regexp_matches(file_path, '^src/f1.\\.py$') OR file_path LIKE 'memory/%' AS hit, count(*) AS n FROM e GROUP BY 1",
-    "schedule": "WITH c AS (SELECT 't' || t AS task_id, c AS condition_id, r AS rep, (t * 3 + ci) * 2 + r - 1 AS cell_index FROM range(6) a(t), (VALUES (0, 'ctrl'), (1, 'd1'), (2, 'd2')) b(ci, c), (VALUES (1), (2)) d(r)), h AS (SELECT *, sha256('design|blocks|j|0|' || task_id || '|' || rep) AS bk, sha256('design|within|j|0|' || task_id || '|' || rep || '|' || condition_id) AS ak FROM c) SELECT task_id, condition_id, rep::BIGINT AS rep, cell_index, dense_rank() OVER (ORDER BY bk) - 1 AS block_index, row_number() OVER (PARTITION BY bk ORDER BY ak) - 1 AS within_block_index, row_number() OVER (ORDER BY bk, ak) - 1 AS run_order_index FROM h",
     "synthetic_runs": "SELECT unnest(['ctrl', 'd1', 'd2', 'd3']) AS condition_id, 60::BIGINT AS n",
     "windowed_rates": _WINDOWS,
     "stream_windowed_rates": _WINDOWS,

@@ -1,6 +1,7 @@
 """Transcripts of four dialects, telemetry over them, and the lexers."""
 
 import gzip
+import hashlib
 import json
 import sqlite3
 
@@ -158,10 +159,21 @@ def test_parse_ladder():
 
 
 def test_tokens_and_globs():
-    token = X.mint("f1", "salt")
-    assert token == X.mint("f1", "salt") != X.mint("f2", "salt") and X.mint("f1", "salt", avoid=(token,)) != token
     import re
 
+    token = X.mint("f1", "0f1e")
+    assert token == X.mint("f1", "0f1e") != X.mint("f2", "0f1e") and X.mint("f1", "0f2e") != token != X.mint("f1", "0f1e", salt="s")
+    assert X.mint("f1", "0f1e", avoid=(token.lower().replace("-", " "),)) != token
+    many = [X.mint(f"f{k}", "0f1e") for k in range(500)]
+    assert len(set(many)) == 500 and all(re.fullmatch(r"ZQ-[A-HJ-NP-Z2-9]{8}", t) and not re.search(r"(.)\1\1", t[3:]) and re.search("[2-9]", t[3:]) and re.search("[A-Z]", t[3:]) for t in many)
+    # the first attempt of a fact, digit by digit
+    number = int.from_bytes(hashlib.blake2s(b"wur-v1|0f1e|f1|0", digest_size=16, person=b"wurnonce").digest(), "big")
+    digits = [number >> 5 * k & 31 for k in range(8)][::-1]
+    assert token == "ZQ-" + "".join(X.ALPHABET[d] for d in digits)
+    for wrong in (("", "0f1e", {}), ("f", "", {}), ("f", "0f1e", {"prefix": "O1"}), ("f", "0f1e", {"size": 5})):
+        with pytest.raises(ValueError):
+            X.mint(*wrong[:2], **wrong[2])
+
     for pattern, path, hit in (("*.py", "a/b.py", True), ("src/**/x.py", "src/x.py", True), ("src/*.py", "src/a/b.py", False), ("a?[!b].c", "aXc.c", True), ("a?[!b].c", "aXb.c", False)):
         assert bool(re.search(X.glob_regex(pattern), path)) is hit
 
@@ -198,3 +210,29 @@ def test_tables(spark, tmp_path):
     (tmp_path / "w" / "b.bin").write_bytes(b"a\x00b")
     assert [r["text"] for r in TB.workspace_files(spark, str(tmp_path / "w")).collect()] == ["hello"]
     assert TB.input_manifest(spark, str(tmp_path / "w")).count() == 2
+
+
+def test_schedule(spark):
+    """The seeded draws, by the standard generator: blocks first, then the arms of each block by its own name."""
+    import random
+
+    from tallyforge.operators import design as DS
+
+    tasks, arms = ["t1", "t2", "t3"], ["ctrl", "d1", "d2"]
+    draw = lambda *parts: random.Random(int(hashlib.sha256("|".join(parts).encode()).hexdigest()[:16], 16))
+    blocks = [(t, r) for t in tasks for r in (1, 2)]
+    draw("wur-v1", "blocks", "j", "5").shuffle(blocks)
+    want = []
+    for task, rep in blocks:
+        own = list(arms)
+        draw("wur-v1", "within", "j", "5", task, str(rep)).shuffle(own)
+        want += [(task, a, rep) for a in own]
+    got = DS.schedule(spark, job="j", tasks=tasks, conditions=arms, reps=2, seed=5).orderBy("run_order_index").collect()
+    assert [(r["task_id"], r["condition_id"], r["rep"]) for r in got] == want
+    assert sorted(r["cell_index"] for r in got) == list(range(18)) and [r["block_index"] for r in got] == [k // 3 for k in range(18)]
+    assert next(r["cell_index"] for r in got if (r["task_id"], r["condition_id"], r["rep"]) == ("t2", "d1", 2)) == 9
+    # another task leaves a block's own order alone
+    more = DS.schedule(spark, job="j", tasks=[*tasks, "t4"], conditions=arms, reps=2, seed=5).where("task_id = 't2' and rep = 1").orderBy("within_block_index").collect()
+    assert [r["condition_id"] for r in more] == [a for t, a, r in want if (t, r) == ("t2", 1)]
+    with pytest.raises(ValueError):
+        DS.schedule(spark, job="j", tasks=["a", "a"], conditions=arms)

@@ -26,7 +26,7 @@ def con():
 
 
 def test_csv_rows(spark, con):
-    want = con.execute(ledger.ORACLE_SQL["csv_rows"].removesuffix(" WHERE txn_id % 10 = 0")).fetch_df()
+    want = con.execute(ledger.ORACLE_SQL["csv_rows"]).fetch_df()
     assert len(want) == con.execute("select count(*) from p").fetchone()[0]
     assert rows(ledger.QUERIES["csv_rows"](spark, DIR).toPandas()) == rows(want)
 
@@ -47,7 +47,7 @@ def test_ledger_text(spark, con):
 
 
 def test_transaction_sums(spark, con):
-    want = con.execute(ledger.ORACLE_SQL["transaction_sums"].partition(" HAVING ")[0]).fetch_df()
+    want = con.execute(ledger.ORACLE_SQL["transaction_sums"]).fetch_df()
     assert len(want) == con.execute("select count(distinct (txn_id, currency)) from p").fetchone()[0]
     assert rows(ledger.QUERIES["transaction_sums"](spark, DIR).toPandas()) == rows(want)
 
