@@ -7,20 +7,22 @@ bytes), in what counts as "elsewhere", and in how a bucket orders its windows.
    known by its minimiser, the least hash of the k-grams inside it; equal windows
    have equal minimisers.  The minimisers go, four bytes each, to the bucket of
    their hash, which answers with those that several groups have.
-2. A minimiser that more than ``HOT`` groups have says little: most of its windows
-   hold a common passage's edge and are met once.  The same question is asked again
-   of its windows, eight bytes of hash each, and only those that are met again go on.
-3. Runs of consecutive windows that share a minimiser travel as one packed
-   string (a super-k-mer) to the minimiser's bucket.  A string that its group has
+2. A minimiser that more than ``HOT`` groups have says little, as common grams are everywhere.
+   Its windows are known by two minimisers and their distance instead (the second by another
+   hash), and the same question is asked of these.
+3. Of a pair that is hot as well, it is asked of the windows themselves, eight bytes of hash each: most
+   that hold the edge of a common passage are met once and needn't go on.
+4. Runs of consecutive windows that share a minimiser (or a pair) travel as one packed
+   string (a super-k-mer) to its bucket.  A string that its group has
    already is not sent again: it is known to be repeated.
-4. The bucket sorts and compares the windows themselves and answers with the places of
-   those that aren't the first.  Strings of a hot minimiser are compared in two
+5. The bucket sorts and compares the windows themselves and answers with the places of
+   those that aren't the first.  Strings of a hot pair are compared in two
    rounds, as in a tournament: those of a share of the groups first (about the
    square root of all groups each), then those that are first in their share.
-5. Each group merges the places and cuts the bytes.
+6. Each group merges the places and cuts the bytes.
 
-The groups' texts cross the network once: the same exchange serves steps 1, 2, 3
-and 5.  Hashes only tell which windows needn't be compared; what is removed has been
+The groups' texts cross the network once: the same exchange serves steps 1 to 4
+and 6.  Hashes only tell which windows needn't be compared; what is removed has been
 compared.  A group is chosen by id and text, so that neither null ids nor a repeated id
 fill one group; rows equal in both share a group.
 """
@@ -41,8 +43,8 @@ from tallyforge.llm.common import bounded_batches, text_bytes
 
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 20
-#: A minimiser of more groups than this is asked for by window, and compared in two rounds.
-HOT = 32
+#: Groups that may have a minimiser, or a pair, before it is split.
+HOT = 128
 
 
 @dataclass(frozen=True)
@@ -94,27 +96,33 @@ def cut_bytes(gram: int) -> Callable:
     return cut
 
 
-def runs(units: Units, unit_offs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of a chunk: minimiser, document, first unit, number of windows, units to the minimiser.
+def runs(units: Units, unit_offs: np.ndarray, grams: np.ndarray, orders: int = 1) -> tuple[np.ndarray, ...]:
+    """Super-k-mers of a chunk: key, first minimiser, document, first unit, number of windows, units to the first minimiser.
 
-    The windows of one share one occurrence, the leftmost least gram, so two equal
-    windows always lie equally far before their minimisers.
+    The windows of one share an occurrence of each of the ``orders`` minimisers, the leftmost
+    least grams by as many hashes, so two equal windows always lie equally far before them. The
+    grams and their distances are one key.
     """
     counts = np.diff(unit_offs)
     windows = np.maximum(counts - units.length + 1, 0)
     have = np.flatnonzero(windows)
     none = np.zeros(0, np.int64)
     if not len(have):
-        return np.zeros(0, np.uint64), none, none, none, none
-    # 33 bits of hash, then the place
-    placed = ((grams >> np.uint64(31)) << np.uint64(31)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = K.sliding_min(placed, units.length - units.gram + 1)
-    change = np.ones(len(anchor) + 1, bool)
-    change[1:-1] = anchor[1:] != anchor[:-1]
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, none
+    width, place = units.length - units.gram + 1, np.arange(len(grams), dtype=np.uint64)
+    anchors, h = [], grams
+    for k in range(orders):
+        h = K.mix(h + np.uint64(0x9E3779B97F4A7C15)) if k else h
+        # 33 bits of hash, then the place
+        anchors.append(K.sliding_min(((h >> np.uint64(31)) << np.uint64(31)) | place, width))
+    change = np.ones(len(anchors[0]) + 1, bool)
+    change[1:-1] = anchors[0][1:] != anchors[0][:-1]
+    for anchor in anchors[1:]:
+        change[1:-1] |= anchor[1:] != anchor[:-1]
     first = unit_offs[:-1][have]
     change[first] = True
     change[first + windows[have]] = True
-    valid = np.zeros(len(anchor) + 1, np.int8)
+    valid = np.zeros(len(change), np.int8)
     valid[first] = 1
     valid[first + windows[have]] -= 1
     valid = np.cumsum(valid[:-1], dtype=np.int8).astype(bool)
@@ -123,8 +131,11 @@ def runs(units: Units, unit_offs: np.ndarray, grams: np.ndarray) -> tuple[np.nda
     n = np.diff(edges)
     keep = valid[starts]
     starts, n = starts[keep], n[keep]
-    anchor = (anchor[starts] & np.uint64((1 << 31) - 1)).astype(np.int64)
-    return grams[anchor], np.searchsorted(unit_offs, starts, "right") - 1, starts, n, anchor - starts
+    at = [(anchor[starts] & np.uint64((1 << 31) - 1)).astype(np.int64) for anchor in anchors]
+    key = own = grams[at[0]]
+    for other in at[1:]:
+        key = K.mix(key * np.uint64(0xA0761D6478BD642F) + grams[other] + (other - at[0]).astype(np.uint64))
+    return key, own, np.searchsorted(unit_offs, starts, "right") - 1, starts, n, at[0] - starts
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -139,27 +150,45 @@ def _keys(minimisers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), spread.astype(np.uint32)
 
 
+def _by_bucket(g: int, bucket: np.ndarray, keys: np.ndarray) -> pa.Table:
+    """(bucket, g, keys): a row for each bucket, its keys packed."""
+    order = np.lexsort((keys, bucket))
+    bucket, keys = bucket[order], keys[order]
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    packed = [x.tobytes() for x in np.split(keys, at[1:])] if len(at) else []
+    return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "g": pa.array([g] * len(at), pa.int64()), "keys": pa.array(packed, pa.binary())})
+
+
 def _listed(units: Units, buckets: int):
-    """Step 1: (bucket, g, keys) with the distinct keys of a group's minimisers."""
+    """Step 1: the distinct keys of a group's minimisers."""
 
     def run(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        data, offs = K.flat(table.column("text"))
-        found = []
-        for _, _, d, o in K.chunks(data, offs):
+        found = [np.zeros(0, np.uint64)]
+        for _, _, d, o in K.chunks(*K.flat(table.column("text"))):
             _, _, _, uo, grams = units.cut(d, o)
             found.append(np.unique(runs(units, uo, grams)[0]))
-        bucket, key = _keys(np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), buckets)
-        order = np.lexsort((key, bucket))
-        bucket, key = bucket[order], key[order]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "g": pa.array([g] * len(at), pa.int64()), "keys": pa.array([x.tobytes() for x in np.split(key, at[1:])] if len(at) else [], pa.binary())})
+        return _by_bucket(table.column("g")[0].as_py(), *_keys(np.unique(np.concatenate(found)), buckets))
+
+    return run
+
+
+def _pairs_listed(units: Units, buckets: int):
+    """Step 2: the distinct keys of a group's pairs whose first minimiser is hot."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        hot, found = _answered(answers, "hot_keys"), [np.zeros(0, np.uint64)]
+        if docs.num_rows and len(hot):
+            for _, _, d, o in K.chunks(*K.flat(docs.column("text"))):
+                _, _, _, uo, grams = units.cut(d, o)
+                pair, m, *_ = runs(units, uo, grams, 2)
+                found.append(np.unique(pair[_among(_full(m, buckets), hot)]))
+        return _by_bucket(docs.column("g")[0].as_py() if docs.num_rows else 0, *_keys(np.unique(np.concatenate(found)), buckets))
 
     return run
 
 
 def _shared(hot: int):
-    """Step 1, a bucket: (g, bucket, keys, hot_keys) that several groups have, and of these those of many."""
+    """Steps 1 and 2, a bucket: (g, bucket, keys, hot_keys) that several groups have, and of these those of many."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]
@@ -181,13 +210,9 @@ def _answered(answers: pa.Table, column: str) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) | b for x, b in zip(answers.column(column), bits))]))
 
 
-def _cut_runs(units: Units, buckets: int, data: np.ndarray, offs: np.ndarray):
-    """Chunks of a group: first document, bytes, unit starts and ends, unit offsets, super-k-mers, their full keys."""
-    for a, _, d, o in K.chunks(data, offs):
-        canon, us, ue, uo, grams = units.cut(d, o)
-        m, doc, start, n, lead = runs(units, uo, grams)
-        bucket, key = _keys(m, buckets)
-        yield a, canon, us, ue, uo, (m, doc, start, n, lead), key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
+def _full(minimisers: np.ndarray, buckets: int) -> np.ndarray:
+    bucket, key = _keys(minimisers, buckets)
+    return key.astype(np.uint64) | (bucket.astype(np.uint64) << np.uint64(32))
 
 
 def _window_hashes(units: Units, canon: np.ndarray, us, ue, first: np.ndarray) -> np.ndarray:
@@ -196,31 +221,26 @@ def _window_hashes(units: Units, canon: np.ndarray, us, ue, first: np.ndarray) -
     return K.span_hashes(canon, first, last + 1) if us is None else K.span_hashes(canon, us[first], ue[last])
 
 
-def _hot_listed(units: Units, buckets: int):
-    """Step 2: (bucket, g, keys) with the hashes of windows that have a hot minimiser; twice where the group has two."""
+def _windows_listed(units: Units, buckets: int):
+    """Step 3: the hashes of windows that have a hot pair; twice where the group has two."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        hot = _answered(answers, "hot_keys")
-        found = []
+        hot, found = _answered(answers, "hot_keys"), [np.zeros(0, np.uint64)]
         if docs.num_rows and len(hot):
-            for _, canon, us, ue, _, (_, _, start, n, _), full in _cut_runs(units, buckets, *K.flat(docs.column("text"))):
-                take = _among(full, hot)
+            for _, _, d, o in K.chunks(*K.flat(docs.column("text"))):
+                canon, us, ue, uo, grams = units.cut(d, o)
+                pair, _, _, start, n, _ = runs(units, uo, grams, 2)
+                take = _among(_full(pair, buckets), hot)
                 found.append(_window_hashes(units, canon, us, ue, K.ranges(start[take], n[take])))
-        h, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-        if not len(h):
-            return pa.table({"bucket": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
+        h, count = np.unique(np.concatenate(found), return_counts=True)
         h = np.repeat(h, np.minimum(count, 2))
-        bucket = (K.mix(h) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, h = bucket[order], h[order]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "g": pa.array([docs.column("g")[0].as_py()] * len(at), pa.int64()), "keys": pa.array([x.tobytes() for x in np.split(h, at[1:])], pa.binary())})
+        return _by_bucket(docs.column("g")[0].as_py() if docs.num_rows else 0, (K.mix(h) % np.uint64(buckets)).astype(np.int64), h)
 
     return run
 
 
-def _hot_shared(table: pa.Table) -> pa.Table:
-    """Step 2, a bucket: (g, windows) with the hashes that are met again, in the group or another."""
+def _windows_shared(table: pa.Table) -> pa.Table:
+    """Step 3, a bucket: (g, windows) with the hashes that are met again, in the group or another."""
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
     every, count = np.unique(np.concatenate(keys), return_counts=True)
     again = every[count > 1]
@@ -239,43 +259,54 @@ def _strings(own: list[tuple]) -> dict:
 
 
 def _packed(units: Units, buckets: int, strings_in: int, shares: int):
-    """Step 3: packed strings by bucket; places already known to be repeated go in a bucket of their group's own."""
+    """Step 4: packed strings by bucket; places already known to be repeated go in a bucket of their group's own."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _PACKED.empty_table()
         g = docs.column("g")[0].as_py()
         docs = _ordered(docs)
-        minimisers = answers.filter(answers.column("bucket").is_valid())
-        shared, hot = _answered(minimisers, "keys"), _answered(minimisers, "hot_keys")
-        again = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("windows") if x.is_valid)]))
+        of = lambda step: answers.filter(pc.equal(answers.column("step"), step))
+        shared, hot, pairs, hot_pairs = _answered(of(1), "keys"), _answered(of(1), "hot_keys"), _answered(of(2), "keys"), _answered(of(2), "hot_keys")
+        again = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in of(3).column("windows"))]))
         data, offs = K.flat(docs.column("text"))
         ids = docs.column("doc_id").to_pylist()
-        pieces = list(_cut_runs(units, buckets, data, offs))
-        values, count = np.unique(np.concatenate([x[5][0] for x in pieces] or [np.zeros(0, np.uint64)]), return_counts=True)
+        pieces = []
+        for a, _, d, o in K.chunks(data, offs):
+            canon, us, ue, uo, grams = units.cut(d, o)
+            m, _, doc, start, n, lead = runs(units, uo, grams)
+            found = [(m, _full(m, buckets), doc, start, n, lead)]
+            if len(hot):
+                pair, m, doc, start, n, lead = runs(units, uo, grams, 2)
+                keep = _among(_full(m, buckets), hot)
+                found = [[x[~_among(found[0][1], hot)] for x in found[0]], [x[keep] for x in (pair, _full(pair, buckets), doc, start, n, lead)]]
+            pieces.append((a, canon, us, ue, uo, found))
+        values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for p in pieces for x in p[5])]), return_counts=True)
         twice = values[count > 1]
         seen: dict[bytes, int] = {}
         local: list[tuple[int, int, int]] = []
         sent: dict[bool, list[tuple]] = {False: [], True: []}
-        for a, canon, us, ue, uo, (m, doc, start, n, lead), full in pieces:
-            take = np.flatnonzero(_among(full, shared) | _among(m, twice))
-            warm = _among(full[take], hot)
-            first, off, n = start[take], np.zeros(len(take), np.int64), n[take]
-            if warm.any():  # of hot minimisers the runs of windows that are met again
-                which = np.repeat(np.flatnonzero(warm), n[warm])
-                place = K.ranges(np.zeros(int(warm.sum()), np.int64), n[warm])
-                on = _among(_window_hashes(units, canon, us, ue, first[which] + place), again)
-                which, place = which[on], place[on]
-                which, place, k = joined_places(place, which, 1)
-                cold = np.flatnonzero(~warm)
-                take, first, off, n = (np.concatenate(x) for x in ((take[cold], take[which]), (first[cold], first[which] + place), (off[cold], place), (n[cold], k)))
-                warm = np.arange(len(take)) >= len(cold)
-                order = np.argsort(first, kind="stable")  # a document's earlier rows are seen first
-                take, first, off, n, warm = take[order], first[order], off[order], n[order], warm[order]
+        for a, canon, us, ue, uo, found in pieces:
+            parts = []
+            for (m, full, doc, start, n, lead), known, warm in zip(found, (shared, pairs), (hot[:0], hot_pairs)):
+                take = np.flatnonzero(_among(full, known) | _among(m, twice))
+                first, off, k, hotter = start[take], np.zeros(len(take), np.int64), n[take], _among(full[take], warm)
+                if hotter.any():  # of hot pairs the runs of windows that are met again
+                    which = np.repeat(np.flatnonzero(hotter), k[hotter])
+                    place = K.ranges(np.zeros(int(hotter.sum()), np.int64), k[hotter])
+                    on = _among(_window_hashes(units, canon, us, ue, first[which] + place), again)
+                    which, place, size = joined_places(place[on], which[on], 1)
+                    cold = np.flatnonzero(~hotter)
+                    hotter = np.arange(len(cold) + len(which)) >= len(cold)
+                    take, first, off, k = (np.concatenate(x) for x in ((take[cold], take[which]), (first[cold], first[which] + place), (off[cold], place), (k[cold], size)))
+                parts.append((m[take], doc[take], first, k, lead[take] - off, hotter))
+            m, doc, first, n, lead, warm = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(first, kind="stable")  # a document's earlier rows are seen first
+            m, doc, first, n, lead, warm = (x[order] for x in (m, doc, first, n, lead, warm))
             text = canon.tobytes()
             last = first + n + units.length - 2
             lo, hi = (first, last + 1) if us is None else (us[first], ue[last])
-            for x, b, e, hotter, row, at, k, ahead in zip(take.tolist(), lo.tolist(), hi.tolist(), warm.tolist(), (doc[take] + a).tolist(), (first - uo[doc[take]]).tolist(), n.tolist(), (lead[take] - off).tolist()):
+            for x, (b, e, hotter, row, at, k, ahead) in enumerate(zip(lo.tolist(), hi.tolist(), warm.tolist(), (doc + a).tolist(), (first - uo[doc]).tolist(), n.tolist(), lead.tolist())):
                 string = text[b:e]
                 before = seen.get(string)
                 if before is None:
@@ -316,7 +347,7 @@ def _ranked(ids: pa.Array, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compared(order: Callable, units: Units):
-    """Step 4, a bucket: rows with the spots (``local``) in a group that ``order`` finds repeated.
+    """Step 5, a bucket: rows with the spots (``local``) in a group that ``order`` finds repeated.
 
     Of a share of a hot bucket's strings, also those that go on: with a window that isn't repeated there.
     """
@@ -407,12 +438,13 @@ def repeated_places(docs: DataFrame, units: Units, order: Callable, finish: Call
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups // 32, 200_000))
     own = own.repartition(parts, "g")
     keys = "bucket long, g long, keys binary"
-    listed = own.groupBy("g").applyInArrow(_listed(units, buckets), keys)
-    answers = listed.groupBy("bucket").applyInArrow(_shared(hot), "g long, bucket long, keys binary, hot_keys binary")
-    warm = answers.where(F.octet_length("hot_keys") > 0).select("g", "bucket", "hot_keys")
-    hashes = own.groupBy("g").cogroup(warm.groupBy("g")).applyInArrow(_hot_listed(units, buckets), keys)
-    windows = hashes.groupBy("bucket").applyInArrow(_hot_shared, "g long, windows binary")
-    answers = answers.unionByName(windows, allowMissingColumns=True)
+    asked = lambda rows, step: rows.groupBy("bucket").applyInArrow(_shared(hot), "g long, bucket long, keys binary, hot_keys binary").withColumn("step", F.lit(step))
+    minimisers = asked(own.groupBy("g").applyInArrow(_listed(units, buckets), keys), 1)
+    many = lambda answers: answers.where(F.octet_length("hot_keys") > 0).select("g", "bucket", "hot_keys").groupBy("g")
+    pairs = asked(own.groupBy("g").cogroup(many(minimisers)).applyInArrow(_pairs_listed(units, buckets), keys), 2)
+    windows = own.groupBy("g").cogroup(many(pairs)).applyInArrow(_windows_listed(units, buckets), keys)
+    windows = windows.groupBy("bucket").applyInArrow(_windows_shared, "g long, windows binary").withColumn("step", F.lit(3))
+    answers = minimisers.unionByName(pairs).unionByName(windows, allowMissingColumns=True)
     packed = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_packed(units, buckets, strings_in, shares), _PACKED_SQL)
     first = packed.groupBy("bucket", "share").applyInArrow(_compared(order, units), _PACKED_SQL)
     places = first.groupBy("bucket").applyInArrow(_compared(order, units), _PACKED_SQL).select("g", "local")

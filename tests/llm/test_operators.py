@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import bagminhash, decisionlist, fm, kernels, langid, linededup, mixing, radix, rans, superkmers, textstats, tokens, wumanber
 from tests.llm import brute
 
-SPLIT = [{}, {"group_bytes": 4000, "bucket_bytes": 2000}, {"group_bytes": 4000, "bucket_bytes": 2000, "hot": 0}]
+SPLIT = [{}, {"group_bytes": 4000, "bucket_bytes": 2000}, *({"group_bytes": 4000, "bucket_bytes": 2000, "hot": n} for n in (0, 1, 3))]
 
 
 def frame(spark, rows):
