@@ -1,7 +1,13 @@
-"""Pilot gates: each is one row (id, name, value, n, status, blocking); null input can't be evaluated."""
+"""Pilot gates: each is one row (id, name, value, n, status, blocking); null input can't be evaluated.
+
+A gate is a value and a count, both conditional aggregates, and a bound on the value. So all
+gates of one table are one pass over it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,79 +16,84 @@ from pyspark.sql import functions as F
 from tallyforge.operators import rates as R
 
 
-def _gate(rows: DataFrame, id_: str, name: str, value: Column, n: Column, holds: Column) -> DataFrame:
-    out = rows.agg(value.cast("double").alias("value"), n.cast("long").alias("n"))
-    status = F.when(F.col("value").isNull(), "unevaluable").when(holds, "pass").otherwise("fail")
-    return out.select(F.lit(id_).alias("id"), F.lit(name).alias("name"), "value", "n", status.alias("status"), F.lit(True).alias("blocking"))
-
-
-V = "value"
-
+@dataclass(frozen=True)
+class Gate:
+    id: str
+    name: str
+    value: Column
+    n: Column
+    holds: Callable[[Column], Column]
 
-def confab(trace: DataFrame) -> DataFrame:
-    rows = R.gate_frame(trace, keep_quarantined=True).where(F.col("read").eqNullSafe(F.lit(False)) & ~F.col("echoed").eqNullSafe(F.lit(True)))
-    return _gate(rows, "G1", "confabulation", F.avg(F.col("ever_mention").cast("int")), F.count("ever_mention"), F.col(V) <= 0.05)
 
+_share = lambda where, x: F.avg(F.when(where, x.cast("int")))
+_known = lambda where, x: F.count(F.when(where, x))
 
-def unexplained(trace: DataFrame) -> DataFrame:
-    rows = R.gate_frame(trace, keep_quarantined=True)
-    return _gate(rows, "G2", "unexplained_possession", F.avg(F.col("unexplained_possession").cast("int")), F.count("unexplained_possession"), F.col(V) <= 0.05)
 
+def evaluated(rows: DataFrame, gates: list[Gate]) -> DataFrame:
+    """The gates' rows, from one aggregate."""
+    one = rows.agg(*(F.struct(F.lit(k).alias("k"), F.lit(g.id).alias("id"), F.lit(g.name).alias("name"), g.value.cast("double").alias("value"), g.n.cast("long").alias("n")).alias(f"g{k}") for k, g in enumerate(gates)))
+    each = one.select(F.explode(F.array(*(F.col(f"g{k}") for k in range(len(gates))))).alias("g"))
+    value = F.col("g.value")
+    holds = reduce(lambda out, kg: out.when(F.col("g.k") == kg[0], kg[1].holds(value)), enumerate(gates), F.when(F.lit(False), F.lit(False)))
+    status = F.when(value.isNull(), "unevaluable").when(holds, "pass").otherwise("fail")
+    return each.select("g.id", "g.name", value, "g.n", status.alias("status"), F.lit(True).alias("blocking"))
 
-def read_rate(trace: DataFrame, arm: str, id_: str, holds: Column) -> DataFrame:
-    rows = R.gate_frame(trace).where(F.col("condition_id") == arm)
-    return _gate(rows, id_, f"read_{arm}", F.avg(F.col("read").cast("int")), F.count("read"), holds)
 
+def trace_gates() -> list[Gate]:
+    """G1 to G4 and G10: over rows of the trace."""
+    wide, frame = R.in_gate_frame(keep_quarantined=True), R.in_gate_frame()
+    unread = wide & F.col("read").eqNullSafe(F.lit(False)) & ~F.col("echoed").eqNullSafe(F.lit(True))
+    arm = lambda name: frame & F.col("condition_id").eqNullSafe(F.lit(name))
+    rate = lambda id_, name, where, x, holds: Gate(id_, name, _share(where, F.col(x)), _known(where, F.col(x)), holds)
+    present = F.coalesce("factor_present", F.lit(False))
+    return [
+        rate("G1", "confabulation", unread, "ever_mention", lambda v: v <= 0.05),
+        rate("G2", "unexplained_possession", wide, "unexplained_possession", lambda v: v <= 0.05),
+        rate("G3", "read_d1", arm("d1"), "read", lambda v: v >= 0.50),
+        rate("G4", "read_d3", arm("d3"), "read", lambda v: v <= 0.90),
+        Gate("G10", "plant_verification", _share(present, F.coalesce("available", F.lit(False))), F.count_if(present), lambda v: v == 1.0),
+    ]
 
-def depth_insensitive(trace: DataFrame) -> DataFrame:
-    """Tasks where shallow reads are near certain and depth gains nothing."""
-    wide = R.gate_frame(trace).where("read is not null and task_id is not null").groupBy("task_id").pivot("condition_id", ["d1", "d3"]).agg(F.avg(F.col("read").cast("int"))).where("d1 is not null and d3 is not null")
-    return _gate(wide, "G5", "depth_insensitive", F.avg(((F.col("d1") > 0.90) & (F.col("d3") - F.col("d1") < 0.05)).cast("int")), F.count("*"), F.col(V) < 0.60)
 
+def by_task(trace: DataFrame) -> DataFrame:
+    """Read rates of the shallow and the deep arm, and the correlation of use and success, by task."""
+    frame = R.in_gate_frame()
+    rate = lambda arm: F.avg(F.when(frame & (F.col("condition_id") == arm), F.col("read").cast("int"))).alias(arm)
+    return trace.where(frame).groupBy("task_id").agg(rate("d1"), rate("d3"), R.phi(F.col("used"), F.col("success")).alias("phi"))
 
-def parse_ok(probes: DataFrame) -> DataFrame:
-    return _gate(probes, "G6", "parse_ok", F.avg(F.coalesce("parse_ok", F.lit(False)).cast("int")), F.count("*"), F.col(V) >= 0.90)
 
+def task_gates() -> list[Gate]:
+    """G5, tasks where shallow reads are near certain and depth gains nothing, and G11: over tasks."""
+    both = F.col("task_id").isNotNull() & F.col("d1").isNotNull() & F.col("d3").isNotNull()
+    flat = (F.col("d1") > 0.90) & (F.col("d3") - F.col("d1") < 0.05)
+    return [Gate("G5", "depth_insensitive", _share(both, flat), F.count_if(both), lambda v: v < 0.60), Gate("G11", "orthogonality", F.max(F.abs("phi")), F.count("phi"), lambda v: v <= 0.8)]
 
-def refused(probes: DataFrame) -> DataFrame:
-    return _gate(probes, "G7", "refused", F.when(F.count("*") > 0, R.count_true(F.col("outcome") == "refused")), F.count("*"), F.col(V) == 0)
 
+def probe_gates() -> list[Gate]:
+    """G6 and G7: over probes."""
+    refused = F.when(F.count("*") > 0, R.count_true(F.col("outcome") == "refused"))
+    return [Gate("G6", "parse_ok", F.avg(F.coalesce("parse_ok", F.lit(False)).cast("int")), F.count("*"), lambda v: v >= 0.90), Gate("G7", "refused", refused, F.count("*"), lambda v: v == 0)]
 
-def pacing(runs: DataFrame) -> DataFrame:
-    used = runs.where("max_tool_uses > 0")
-    return _gate(used, "G8", "pacing", F.avg((F.col("max_tool_uses") == 1).cast("int")), F.count("*"), F.col(V) >= 0.95)
 
-
-def token_dedupe(runs: DataFrame) -> DataFrame:
-    """Runs whose sums differ from their results, and one more for each version beyond the first."""
-    known = runs.where("dedupe_delta_input is not null or dedupe_delta_output is not null")
+def run_gates() -> list[Gate]:
+    """G8, G9 (runs whose sums differ from their results, and one more for each version beyond the first), G12 and G13: over runs."""
+    used = F.coalesce(F.col("max_tool_uses") > 0, F.lit(False))
+    counted = F.col("dedupe_delta_input").isNotNull() | F.col("dedupe_delta_output").isNotNull()
     off = F.count_if((F.coalesce("dedupe_delta_input", F.lit(0)) != 0) | (F.coalesce("dedupe_delta_output", F.lit(0)) != 0))
-    return _gate(known, "G9", "token_dedupe", F.when(F.count("*") > 0, off + F.greatest(F.countDistinct("accounting_version") - 1, F.lit(0))), F.count("*"), F.col(V) == 0)
-
-
-def plant_verification(trace: DataFrame) -> DataFrame:
-    rows = trace.where("factor_present")
-    return _gate(rows, "G10", "plant_verification", F.avg(F.coalesce("available", F.lit(False)).cast("int")), F.count("*"), F.col(V) == 1.0)
-
-
-def orthogonality(trace: DataFrame) -> DataFrame:
-    by = R.orthogonality_phi(R.gate_frame(trace))
-    return _gate(by, "G11", "orthogonality", F.max(F.abs("phi")), F.count("phi"), F.col(V) <= 0.8)
-
-
-def ambient_memory(runs: DataFrame) -> DataFrame:
-    known = runs.where("ambient_memory is not null")
-    return _gate(known, "G12", "ambient_memory", F.when(F.count("*") > 0, F.count_if(F.size("ambient_memory") > 0)), F.count("*"), F.col(V) == 0)
-
-
-def join_coverage(runs: DataFrame) -> DataFrame:
-    return _gate(runs, "G13", "join_coverage", F.min("join_coverage"), F.count("join_coverage"), F.col(V) >= 0.99)
+    versions = F.countDistinct(F.when(counted, F.col("accounting_version")))
+    looked = F.col("ambient_memory").isNotNull()
+    return [
+        Gate("G8", "pacing", _share(used, F.col("max_tool_uses") == 1), F.count_if(used), lambda v: v >= 0.95),
+        Gate("G9", "token_dedupe", F.when(F.count_if(counted) > 0, off + F.greatest(versions - 1, F.lit(0))), F.count_if(counted), lambda v: v == 0),
+        Gate("G12", "ambient_memory", F.when(F.count_if(looked) > 0, F.count_if(looked & (F.size("ambient_memory") > 0))), F.count_if(looked), lambda v: v == 0),
+        Gate("G13", "join_coverage", F.min("join_coverage"), F.count("join_coverage"), lambda v: v >= 0.99),
+    ]
 
 
 def triage(trace: DataFrame, probes: DataFrame, runs: DataFrame) -> DataFrame:
-    """All gates, in their order."""
-    gates = [confab(trace), unexplained(trace), read_rate(trace, "d1", "G3", F.col(V) >= 0.50), read_rate(trace, "d3", "G4", F.col(V) <= 0.90), depth_insensitive(trace), parse_ok(probes), refused(probes), pacing(runs), token_dedupe(runs), plant_verification(trace), orthogonality(trace), ambient_memory(runs), join_coverage(runs)]
-    return reduce(DataFrame.unionByName, gates)
+    """All gates: two passes over the trace (rows, tasks), one over probes, one over runs."""
+    parts = [evaluated(trace, trace_gates()), evaluated(by_task(trace), task_gates()), evaluated(probes, probe_gates()), evaluated(runs, run_gates())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def blocked(gates: DataFrame, *, require_all: bool = False) -> DataFrame:

@@ -84,8 +84,8 @@ def bootstrap_mean(pairs: DataFrame, *, draws: int = DRAWS, seed: int = SEED, al
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("task_id")["d"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([v[rng.integers(0, len(v), (min(200, draws - at), len(v)))].mean(axis=1) for at in range(0, draws, 200)])
+        rng, most = np.random.default_rng(seed), max(1, 1_000_000 // len(v))
+        means = np.concatenate([v[rng.integers(0, len(v), (min(most, draws - at), len(v)))].mean(axis=1) for at in range(0, draws, most)])
         low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
         return pd.DataFrame({"arm": pdf["arm"].iloc[:1], "boot_low": [low], "boot_high": [high]})
 
@@ -106,8 +106,10 @@ def permutation_within_task(pairs: DataFrame, *, draws: int = DRAWS, seed: int =
         seen = abs((k1 / n1 - k0 / n0).mean())
         rng = np.random.default_rng(seed)
         good = k1 + k0
-        x = rng.hypergeometric(good, n1 + n0 - good, n1, (draws, len(n1)))
-        hits = int((np.abs((x / n1 - (good - x) / n0).mean(axis=1)) >= seen - 1e-12).sum())
+        hits, most = 0, max(1, 1_000_000 // len(n1))  # draws that are held at a time
+        for at in range(0, draws, most):
+            x = rng.hypergeometric(good, n1 + n0 - good, n1, (min(most, draws - at), len(n1)))
+            hits += int((np.abs((x / n1 - (good - x) / n0).mean(axis=1)) >= seen - 1e-12).sum())
         return pd.DataFrame({"arm": pdf["arm"].iloc[:1], "p_value": [(1 + hits) / (1 + draws)]})
 
     return pairs.groupBy("arm").applyInPandas(run, "arm string, p_value double")

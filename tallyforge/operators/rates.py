@@ -51,12 +51,16 @@ def alarm_frame(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce("analyzable", F.lit(False)))
 
 
-def gate_frame(df: DataFrame, *, keep_quarantined: bool = False, keep_weak: bool = False) -> DataFrame:
+def in_gate_frame(*, keep_quarantined: bool = False, keep_weak: bool = False) -> Column:
     """Rows for gates: unknown analyzable is kept here."""
-    out = df.where(~F.col("analyzable").eqNullSafe(F.lit(False)))
+    out = ~F.col("analyzable").eqNullSafe(F.lit(False))
     if not keep_quarantined:
-        out = out.where(~F.col("quarantined").eqNullSafe(F.lit(True)))
-    return out if keep_weak else out.where(~F.col("prior_check_status").eqNullSafe(F.lit("weak")))
+        out = out & ~F.col("quarantined").eqNullSafe(F.lit(True))
+    return out if keep_weak else out & ~F.col("prior_check_status").eqNullSafe(F.lit("weak"))
+
+
+def gate_frame(df: DataFrame, **keep: bool) -> DataFrame:
+    return df.where(in_gate_frame(**keep))
 
 
 def trust_of(basis: Column) -> Column:

@@ -80,6 +80,10 @@ def rmst(data: DataFrame, horizon: DataFrame | None = None) -> DataFrame:
     return out.join(spread, F.col(GROUP).eqNullSafe(F.col("of_arm")), "left").drop("of_arm")
 
 
+#: Resamplings of one task of the cluster; an arm's are dealt to several.
+DRAWS_A_TASK = 100
+
+
 def _rmst_of(d: np.ndarray, e: np.ndarray, weight: np.ndarray, j: float) -> float:
     area, s, before = 0.0, 1.0, 0.0
     for t in np.unique(d[(e == 1) & (weight > 0)]):
@@ -94,19 +98,20 @@ def _rmst_of(d: np.ndarray, e: np.ndarray, weight: np.ndarray, j: float) -> floa
 def rmst_contrast(data: DataFrame, *, reference: str, draws: int = 1000, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
     """RMST difference to a reference arm with intervals from resampled tasks, one draw for both arms.
 
-    A group is an arm's and the reference's counts by task, time and event, not their runs.
+    A group is an arm's and the reference's counts by task, time and event, not their runs, and some of the draws.
     """
     counts = data.groupBy("task_id", GROUP, "duration", "event").agg(F.count("*").alias("w"))
-    arms = counts.select(F.col(GROUP).alias("arm")).distinct()
-    rows = counts.join(arms, F.col(GROUP) == F.col("arm")).unionByName(counts.where(F.col(GROUP) == reference).crossJoin(F.broadcast(arms.where(F.col("arm") != reference))))  # a row an arm
     j = common_horizon(data).agg(F.min("j").alias("j"))
-    rows = rows.crossJoin(F.broadcast(j))  # one row
+    counts = counts.crossJoin(F.broadcast(j)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_A_TASK) - 1))))  # one row
+    arms = counts.select(F.col(GROUP).alias("arm")).distinct()
+    own = counts.withColumn("arm", F.col(GROUP))
+    rows = own.unionByName(counts.where(F.col(GROUP) == reference).join(F.broadcast(arms), F.col("arm") != F.col(GROUP)))  # a row an arm
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        arm, horizon = pdf["arm"].iloc[0], float(pdf["j"].iloc[0])
+        arm, block, horizon = pdf["arm"].iloc[0], int(pdf["block"].iloc[0]), float(pdf["j"].iloc[0])
         tasks, where = np.unique(pdf["task_id"].astype(str).to_numpy(), return_inverse=True)
         d, e, w, own = pdf["duration"].to_numpy(float), pdf["event"].to_numpy(), pdf["w"].to_numpy(float), (pdf[GROUP] == arm).to_numpy()
-        rng = np.random.default_rng(seed)
+        rng = np.random.default_rng([seed, block])
 
         def both(times: np.ndarray) -> tuple[float, float]:
             weight = w * times[where]
@@ -115,14 +120,20 @@ def rmst_contrast(data: DataFrame, *, reference: str, draws: int = 1000, seed: i
                 return np.nan, np.nan
             return _rmst_of(d[a], e[a], weight[a], horizon), _rmst_of(d[b], e[b], weight[b], horizon)
 
-        point = both(np.ones(len(tasks)))
-        got = np.array([both(np.bincount(rng.integers(0, len(tasks), len(tasks)), minlength=len(tasks))) for _ in range(draws)])
-        diff = got[:, 0] - got[:, 1]
-        q = lambda x: np.nanquantile(x, [alpha / 2, 1 - alpha / 2]) if np.isfinite(x).any() else (np.nan, np.nan)
-        (low, high), (dlow, dhigh) = q(got[:, 0]), q(diff)
-        return pd.DataFrame({"arm": [arm], "rmst": [point[0]], "rmst_se": [np.nanstd(got[:, 0], ddof=1)], "rmst_low": [low], "rmst_high": [high], "delta_rmst": [point[0] - point[1]], "delta_low": [dlow], "delta_high": [dhigh]})
-
-    return rows.groupBy("arm").applyInPandas(run, "arm string, rmst double, rmst_se double, rmst_low double, rmst_high double, delta_rmst double, delta_low double, delta_high double")
+        n = min(DRAWS_A_TASK, draws - block * DRAWS_A_TASK)
+        got = [both(np.bincount(rng.integers(0, len(tasks), len(tasks)), minlength=len(tasks))) for _ in range(n)]
+        if not block:  # the first row is the sample's own
+            got.insert(0, both(np.ones(len(tasks))))
+        out = pd.DataFrame(got, columns=["own", "reference"])
+        return out.assign(arm=arm, draw=np.arange(len(out)) + (block * DRAWS_A_TASK + 1 if block else 0))
+
+    drawn = rows.groupBy("arm", "block").applyInPandas(run, "own double, reference double, arm string, draw long")
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    one, delta = known("own"), known("own") - known("reference")
+    point, drawing = F.col("draw") == 0, F.col("draw") > 0
+    ends = lambda x: F.percentile(F.when(drawing, x), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    by = drawn.groupBy("arm").agg(F.max(F.when(point, one)).alias("rmst"), F.stddev_samp(F.when(drawing, one)).alias("rmst_se"), ends(one).alias("q"), F.max(F.when(point, delta)).alias("delta_rmst"), ends(delta).alias("dq"))
+    return by.select("arm", "rmst", "rmst_se", F.col("q")[0].alias("rmst_low"), F.col("q")[1].alias("rmst_high"), "delta_rmst", F.col("dq")[0].alias("delta_low"), F.col("dq")[1].alias("delta_high"))
 
 
 def reference_arm(data: DataFrame, preferred: tuple[str, ...] = REFERENCE) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ledger import parents_of
+from tallyforge.shared import fixed
 
 ISSUE = ("code", "severity", "message", "line_no", "ref")
 
@@ -14,46 +17,70 @@ def _issues(rows: DataFrame, code: str, severity: str, message) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), F.col("line_no").cast("long").alias("line_no"), F.col("ref"))
 
 
-def transactions(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("txn_id").agg(F.min("line_no").alias("line_no"), F.min("date").alias("date"), F.min("ref").alias("ref"), F.min("description").alias("description"))
+class Book:
+    """Postings with what the rules share: sums by transaction and uses of accounts, each made once.
+
+    With ``keep`` they are written, so that any number of rules read small tables and the postings
+    are scanned twice (and once more for closed accounts).
+    """
+
+    def __init__(self, postings: DataFrame, *, keep: bool = False):
+        self.postings, self._keep = postings, fixed if keep else lambda df, name: df
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        of = [F.min(c).alias(c) for c in ("line_no", "date", "ref", "description")]
+        return self._keep(self.postings.groupBy("txn_id", "currency").agg(F.sum("amount_minor").alias("net"), *of), "sums")
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self._keep(self.sums.groupBy("txn_id").agg(*(F.min(c).alias(c) for c in ("line_no", "date", "ref", "description"))), "transactions")
+
+    @cached_property
+    def uses(self) -> DataFrame:
+        at = F.min(F.struct("line_no", "ordinal", "ref")).alias("at")
+        return self._keep(self.postings.groupBy("account", "currency").agg(at), "uses")
+
+
+def book(postings: DataFrame | Book) -> Book:
+    return postings if isinstance(postings, Book) else Book(postings)
 
 
-def check_balanced(postings: DataFrame, chart: DataFrame | None = None) -> DataFrame:
-    nets = postings.groupBy("txn_id", "currency").agg(F.sum("amount_minor").alias("net"), F.min("line_no").alias("line_no"), F.min("ref").alias("ref")).where("net <> 0")
-    return _issues(nets, "unbalanced", "error", F.concat(F.col("currency"), F.lit(" is off by "), F.col("net").cast("string")))
+def check_balanced(postings: DataFrame | Book, chart: DataFrame | None = None) -> DataFrame:
+    return _issues(book(postings).sums.where("net <> 0"), "unbalanced", "error", F.concat(F.col("currency"), F.lit(" is off by "), F.col("net").cast("string")))
 
 
-def check_known_accounts(postings: DataFrame, chart: DataFrame) -> DataFrame:
-    used = postings.groupBy("account").agg(F.min_by(F.struct("line_no", "ref"), F.struct("line_no", "ordinal")).alias("at"))
+def check_known_accounts(postings: DataFrame | Book, chart: DataFrame) -> DataFrame:
+    used = book(postings).uses.groupBy("account").agg(F.min("at").alias("at"))
     rows = used.join(chart.select(F.col("code")), F.col("account") == F.col("code"), "left_anti").select("account", "at.line_no", "at.ref")
     return _issues(rows, "unknown-account", "error", F.col("account"))
 
 
-def check_closed_accounts(postings: DataFrame, chart: DataFrame) -> DataFrame:
-    rows = postings.join(chart.where("closed").select("code"), F.col("account") == F.col("code"))
+def check_closed_accounts(postings: DataFrame | Book, chart: DataFrame) -> DataFrame:
+    rows = book(postings).postings.join(chart.where("closed").select("code"), F.col("account") == F.col("code"))
     return _issues(rows, "closed-account", "error", F.col("account"))
 
 
-def check_duplicate_refs(postings: DataFrame, chart: DataFrame | None = None) -> DataFrame:
+def check_duplicate_refs(postings: DataFrame | Book, chart: DataFrame | None = None) -> DataFrame:
     """Every repeat of a reference against its first use; the firsts are a table of their own, joined back."""
-    rows = transactions(postings).where("ref is not null and ref <> ''")
+    rows = book(postings).transactions.where("ref is not null and ref <> ''")
     first = rows.groupBy(F.col("ref").alias("of_ref")).agg(F.min(F.struct("date", "line_no", "txn_id")).alias("first"))
     rows = rows.join(first, F.col("ref") == F.col("of_ref")).where(F.struct("date", "line_no", "txn_id") != F.col("first"))
     return _issues(rows, "duplicate-ref", "warning", F.concat(F.lit("first at line "), F.col("first.line_no").cast("string")))
 
 
-def check_single_currency(postings: DataFrame, chart: DataFrame | None = None) -> DataFrame:
-    rows = postings.groupBy("account").agg(F.array_sort(F.collect_set("currency")).alias("currencies"), F.min("line_no").alias("line_no")).where(F.size("currencies") > 1).withColumn("ref", F.lit(None).cast("string"))
+def check_single_currency(postings: DataFrame | Book, chart: DataFrame | None = None) -> DataFrame:
+    rows = book(postings).uses.groupBy("account").agg(F.array_sort(F.collect_set("currency")).alias("currencies"), F.min("at.line_no").alias("line_no")).where(F.size("currencies") > 1).withColumn("ref", F.lit(None).cast("string"))
     return _issues(rows, "mixed-currency-account", "warning", F.concat(F.col("account"), F.lit(": "), F.array_join("currencies", ",")))
 
 
-def check_chronological(postings: DataFrame, chart: DataFrame | None = None, *, slice_lines: int = 100_000) -> DataFrame:
+def check_chronological(postings: DataFrame | Book, chart: DataFrame | None = None, *, slice_lines: int = 100_000) -> DataFrame:
     """Transactions dated before the one above them in the file.
 
     Lines are dealt in slices; a slice also gets the last transaction of the one
     before that has any, so no window spans the file.
     """
-    rows = transactions(postings).withColumn("slice", F.floor(F.col("line_no") / slice_lines))
+    rows = book(postings).transactions.withColumn("slice", F.floor(F.col("line_no") / slice_lines))
     last = rows.groupBy("slice").agg(F.max_by("date", F.struct("line_no", "txn_id")).alias("last_date"))
     ahead = last.select(F.col("slice").alias("of_slice"), F.lag("last_date").over(Window.orderBy("slice")).alias("ahead"))  # a row a slice
     inside = F.lag("date").over(Window.partitionBy("slice").orderBy("line_no", "txn_id"))
@@ -61,8 +88,8 @@ def check_chronological(postings: DataFrame, chart: DataFrame | None = None, *,
     return _issues(rows, "out-of-order", "error", F.concat(F.col("date").cast("string"), F.lit(" after "), F.col("before").cast("string")))
 
 
-def check_descriptions(postings: DataFrame, chart: DataFrame | None = None) -> DataFrame:
-    rows = transactions(postings).where("description is null or trim(description) = ''")
+def check_descriptions(postings: DataFrame | Book, chart: DataFrame | None = None) -> DataFrame:
+    rows = book(postings).transactions.where("description is null or trim(description) = ''")
     return _issues(rows, "empty-description", "warning", F.lit("no description"))
 
 
@@ -77,7 +104,7 @@ RULES = {"balanced": check_balanced, "chronological": check_chronological, "clos
 
 
 def rule(name: str):
-    """Register a rule (postings, chart) -> issues."""
+    """Register a rule (postings or their book, chart) -> issues."""
 
     def add(fn):
         RULES[name] = fn
@@ -92,7 +119,7 @@ def rule_names() -> list[str]:
 
 def validate(postings: DataFrame, chart: DataFrame | None = None, rules: list[str] | None = None) -> DataFrame:
     """Issues of all rules, or the listed; those about a chart need one."""
-    out = None
+    out, postings = None, Book(postings, keep=True)
     for name in rules or rule_names():
         if chart is None and name in ("known-accounts", "closed-accounts"):
             continue

@@ -14,6 +14,7 @@ from tallyforge.operators import regions as RG
 from tallyforge.operators import tables as TB
 from tallyforge.plans import frames, ledger, logs
 from tallyforge.plans.statistics import rounded
+from tallyforge.shared import fixed
 from tallyforge.streaming import rates as ST
 
 
@@ -36,7 +37,7 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, files, segs = _runs(spark, sf_dir), D.changed_files(_diffs(spark, sf_dir)), D.run_segments(_commands(spark, sf_dir))
+    runs, files, segs = _runs(spark, sf_dir), fixed(D.changed_files(_diffs(spark, sf_dir)), "files"), fixed(D.run_segments(_commands(spark, sf_dir)), "segments")
     lines = D.added_lines(files)
     got = [D.path_untouched(runs, files, ["docs/**"]), D.diff_confined(runs, files, ["src/**"]), D.content_present(runs, lines, r"total = 2"), D.content_absent(runs, lines, "note", ["*.md"]), D.command_used(runs, segs, r"^pytest"), D.command_order(runs, segs, r"^pytest", r"^git commit")]
     out = got[0]
@@ -126,7 +127,7 @@ QUERIES = {
     "stream_windowed_rates": lambda s, d: rounded(ST.drained(ST.windowed_rates(_hits(_stream_source(s, d))))),
     "sessions": lambda s, d: rounded(ST.sessions(_hits(s.read.parquet(f"{d}/events.parquet")))),
     "stream_usage_once": lambda s, d: rounded(ST.drained(ST.usage_once(_hits(_stream_source(s, d)), late="3650 days"), mode="append").groupBy("run_id").agg(F.count("*").alias("n"))),
-    "stream_running_phases": lambda s, d: rounded(ST.drained(ST.running_phases(_hits(_stream_source(s, d)).select("run_id", "seq", "is_edit", "tokens_in")), mode="update")),
+    "stream_running_phases": lambda s, d: rounded(ST.drained(ST.running_phases(_hits(_stream_source(s, d)).select("run_id", "seq", "is_edit", "tokens_in")), mode="update", keys=("run_id",))),
 }
 
 _O = "WITH o AS (SELECT 'o' || o_orderkey AS run_id, o_orderkey AS k FROM orders)"

@@ -1,14 +1,19 @@
 """Transcripts of four dialects as normalised events.
 
-A log is read whole and split, so that line numbers are its own; lines that are
+A log is read in splits, and line numbers are its own; lines that are
 no JSON object are passed over.  Fields come out of each line by path, in the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.lines import numbered_lines, present
+
 INPUT = "map<string,string>"
 TOOLS = f"array<struct<name:string,input:{INPUT},tool_use_id:string>>"
 
@@ -18,10 +23,11 @@ def by_run():
 
 
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
-    """(run_id: the file, line_no from 1, line) of lines that hold a JSON object; gzip is read as it is."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("run_id"), "value")
-    lines = whole.select("run_id", F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    return json_objects(lines.select("run_id", (F.col("k") + 1).cast("long").alias("line_no"), F.trim("line").alias("line")))
+    """(run_id: the file, line_no from 1, line) of lines that hold a JSON object; a file that lacks is looked for with .gz, or without."""
+    have = [p for p in (present(spark, path) for path in paths) if p]
+    if not have:
+        return spark.createDataFrame([], "run_id string, line_no long, line string")
+    return json_objects(numbered_lines(spark, *have).select(F.col("path").alias("run_id"), "line_no", F.trim("line").alias("line")))
 
 
 def json_objects(lines: DataFrame) -> DataFrame:
@@ -203,21 +209,38 @@ def steps(lines: DataFrame) -> DataFrame:
     return _numbered(user.unionByName(said))
 
 
-def blob_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Token totals of a local SQLite log of protobuf messages: sums of input and output, the largest prompt.
+def blob_tokens(spark: SparkSession, *paths: str) -> DataFrame:
+    """Token totals of SQLite logs of protobuf messages, a row a file: sums of input and output, the largest prompt.
 
-    The file is one run's; it is read where the call is made, a row a model call.
+    Files come through Spark's own reader, from any store, and are opened in memory by the executors.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *blob_totals(content)) for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if not k else pa.int64()) for k, c in enumerate(zip(*rows))], names=["path", "total_input", "total_output", "peak_input", "calls"])
+
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return files.mapInArrow(run, "path string, total_input long, total_output long, peak_input long, calls long")
+
+
+def blob_totals(content: bytes) -> tuple[int | None, int | None, int | None, int]:
+    """Sums of input and output, the largest input and the number of calls of one log; nothing where it can't be read."""
     import sqlite3
 
-    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    db = sqlite3.connect(":memory:")
     try:
-        rows = [(int(i), bytes(b)) for i, b in db.execute("select idx, data from gen_metadata order by idx") if b]
+        db.deserialize(content)
+        blobs = [bytes(b) for (b,) in db.execute("select data from gen_metadata order by idx") if b]
+    except sqlite3.Error:
+        return None, None, None, 0
     finally:
         db.close()
-    decode = F.udf(token_fields, "struct<input:bigint,output:bigint>")
-    found = spark.createDataFrame(rows, "idx long, data binary").select(decode("data").alias("t")).where("t is not null")
-    return found.agg(F.sum("t.input").alias("total_input"), F.sum("t.output").alias("total_output"), F.max("t.input").alias("peak_input"), F.count("*").alias("calls"))
+    found = [t for t in map(token_fields, blobs) if t]
+    if not found:
+        return None, None, None, 0
+    ins, outs = zip(*found)
+    return sum(ins), sum(outs), max(ins), len(found)
 
 
 def wire_fields(data: bytes) -> list[tuple[int, int | bytes]]:

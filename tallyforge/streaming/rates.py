@@ -6,19 +6,21 @@ batch counterpart once the stream is drained.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyforge.shared import path
 
-def stream_of(spark: SparkSession, path: str, schema: T.StructType, *, files: int = 1) -> DataFrame:
+
+def stream_of(spark: SparkSession, folder: str, schema: T.StructType, *, files: int = 1) -> DataFrame:
     """A folder of Parquet as a stream, some files at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def windowed_rates(events: DataFrame, *, outcome: str = "hit", group: str = "condition_id", time: str = "ts", size: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -66,14 +68,32 @@ def running_phases(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").applyInPandasWithState(_phases, PHASE_OUT, PHASE_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, *, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, as a table in memory: for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, *, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that a stream has now, as a written table.
+
+    Every batch is a folder of its own in the shared store, written by the executors and overwritten if
+    it is tried again. Complete output is the last batch's; updates are the last of each of ``keys``.
+    """
+    spark = stream.sparkSession
+    at = path(spark, "drained")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/n={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    try:
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows")
+    except AnalysisException:  # a stream without batches
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("last"))  # one row
+        rows = rows.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")
+    elif mode == "update":
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("v")).select(*keys, "v.*")
+    return rows.select(*stream.columns)
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append"):
+def write_stream(stream: DataFrame, folder: str, checkpoint: str, *, mode: str = "append"):
     """To Parquet, exactly once: the checkpoint remembers which batches are in."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

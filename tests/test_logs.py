@@ -70,6 +70,36 @@ def test_read_jsonl(spark, tmp_path):
         f.write(body)
     got = TS.read_jsonl(spark, str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl.gz"))
     assert sorted(r["line_no"] for r in got.collect()) == [1, 1, 5, 5]
+    # a file that lacks is its compressed sibling, and the other way; neither is no rows
+    sibling = TS.read_jsonl(spark, str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl.gz"), str(tmp_path / "none.jsonl"))
+    assert sorted(r["line_no"] for r in sibling.collect()) == [1, 1, 5, 5]
+    assert TS.read_jsonl(spark, str(tmp_path / "none.jsonl")).collect() == []
+
+
+def test_splits(spark, tmp_path):
+    """Line numbers and transactions of a file that many tasks read."""
+    from tallyforge.sources import ledgers as S
+    from tallyforge.sources import lines as SL
+
+    (tmp_path / "long.txt").write_text("".join(f"line {k} {'x' * (k % 50)}\n" for k in range(1, 5001)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        raw = spark.read.text(str(tmp_path / "long.txt"))
+        assert raw.rdd.getNumPartitions() > 5
+        got = SL.numbered_lines(spark, str(tmp_path / "long.txt")).collect()
+        assert sorted((r["line_no"], r["line"].split()[1]) for r in got) == [(k, str(k)) for k in range(1, 5001)]
+        (tmp_path / "book.txt").write_text("".join(f"2024-01-{k % 28 + 1:02d} buy {k}\n    assets.a  {k}.00 USD\n    income.b\n" for k in range(1, 1501)))
+        book = S.read_ledger(spark, str(tmp_path / "book.txt"))
+        assert book.groupBy("txn_id").agg(F.sum("amount_minor").alias("net"), F.count("*").alias("n")).where("net <> 0 or n <> 2").count() == 0
+        rows = {r["ordinal"]: (r["line_no"], r["description"], r["amount_minor"]) for r in book.collect()}
+        assert len(rows) == 3000 and rows[3 * 777 - 1] == (3 * 777 - 2, "buy 777", 77700) and rows[3 * 777] == (3 * 777 - 2, "buy 777", -77700)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert SL.read_json(spark, str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
+    (tmp_path / "odd.json").write_text("{no")
+    (tmp_path / "fine.json").write_text('{"b": 2}')
+    assert SL.read_json(spark, str(tmp_path / "odd.json"), []) == [] and SL.read_json(spark, str(tmp_path / "fine.json")) == {"b": 2}
 
 
 def test_items(spark):
