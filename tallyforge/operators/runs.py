@@ -108,7 +108,8 @@ def mixing_problems(provenance_: DataFrame) -> DataFrame:
     of = lambda kind: F.col("kind") == kind
     odd = lambda kind, known: F.array_sort(F.collect_set(F.when(of(kind) & ~F.col("value").isin(*known), F.col("value"))))
     one = provenance_.agg(odd("schema_version", SCHEMA_VERSIONS).alias("schema"), odd("accounting_version", ACCOUNTING_VERSIONS).alias("accounting"), F.array_sort(F.collect_set(F.when(of("accounting_version"), F.col("value")))).alias("every"))
-    found = F.array(F.when(F.size("schema") > 0, F.struct(F.lit("unknown schema").alias("problem"), F.array_join("schema", ",").alias("versions"))), F.when(F.size("accounting") > 0, F.struct(F.lit("unknown accounting"), F.array_join("accounting", ","))), F.when(F.size("every") > 1, F.struct(F.lit("mixed accounting"), F.array_join("every", ","))))
+    told = lambda when, problem, versions: F.when(when, F.struct(F.lit(problem).alias("problem"), F.array_join(versions, ",").alias("versions")))
+    found = F.array(told(F.size("schema") > 0, "unknown schema", "schema"), told(F.size("accounting") > 0, "unknown accounting", "accounting"), told(F.size("every") > 1, "mixed accounting", "every"))
     return one.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
@@ -282,7 +283,8 @@ def json_object(text: Column) -> Column:
     end = F.length(t) - F.instr(F.reverse(t), "}") + 1
     outer = F.when((start > 0) & t.contains("}") & (end > start), F.substr(t, start, end - start + 1))
     found = F.coalesce(fenced, outer)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    # a reader of one value would pass over what follows it; as the one entry of a list it may have no rest
+    return F.when(F.json_array_length(F.concat(F.lit("["), found, F.lit("]"))) == 1, found)
 
 
 def normal_criteria(criteria: DataFrame) -> DataFrame:
