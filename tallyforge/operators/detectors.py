@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +179,41 @@ def command_order(runs: DataFrame, segs: DataFrame, before: str, after: str) ->
 PREDICATES = {f.__name__: f for f in (path_untouched, diff_confined, content_present, content_absent, command_used, command_order)}
 
 
+#: The parameters of each predicate: name, kind (globs, regex) and whether it must be given.
+PARAMETERS = {
+    "path_untouched": (("paths", "globs", True),),
+    "diff_confined": (("paths", "globs", True),),
+    "content_present": (("pattern", "regex", True), ("paths", "globs", False)),
+    "content_absent": (("pattern", "regex", True), ("paths", "globs", False)),
+    "command_used": (("pattern", "regex", True),),
+    "command_order": (("before", "regex", True), ("after", "regex", True)),
+}
+
+
+def parameter_problems(name: str, given: dict) -> list[str]:
+    """What is wrong with the parameters of a predicate; nothing, if it can run."""
+    if name not in PARAMETERS:
+        return [f"no predicate {name}"]
+    known = {p: kind for p, kind, _ in PARAMETERS[name]}
+    out = [f"{p}: unknown" for p in sorted(set(given) - set(known))] + [f"{p}: missing" for p, _, need in PARAMETERS[name] if need and p not in given]
+    for p, value in given.items():
+        kind = known.get(p)
+        if kind == "globs" and (not isinstance(value, (list, tuple)) or not value or not all(isinstance(x, str) and x for x in value)):
+            out.append(f"{p}: not a list of texts")
+        elif kind == "regex":
+            try:
+                re.compile(value) if isinstance(value, str) and value else out.append(f"{p}: not a text")
+            except re.error:
+                out.append(f"{p}: not a pattern")
+    return out
+
+
+def manifest(spark: SparkSession) -> DataFrame:
+    """(predicate, parameters, sha256) of the registry, so that a changed one shows."""
+    rows = [(n, ",".join(f"{p}:{kind}{'' if need else '?'}" for p, kind, need in PARAMETERS[n])) for n in sorted(PREDICATES)]
+    return spark.createDataFrame(rows, "predicate string, parameters string").withColumn("sha256", F.sha2(F.concat_ws("|", "predicate", "parameters"), 256))
+
+
 def run_commands(gate: DataFrame, stream: DataFrame) -> DataFrame:
     """A run's commands from its gate log, else from its stream; each call once, in order."""
     once = lambda df: df.groupBy("run_id", "tool_use_id").agg(F.min_by(F.struct("seq", "command"), "seq").alias("v")).select("run_id", "tool_use_id", "v.*")

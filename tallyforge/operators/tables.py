@@ -28,6 +28,17 @@ def identity(*sources: Column) -> Column:
     return F.coalesce(*(F.nullif(s, F.lit("")) for s in sources))
 
 
+def loose_flag(text: Column) -> Column:
+    """A flag as people write it: true, yes, y, 1 and their opposites; anything else is unknown."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "yes", "y", "1", "1.0"), True).when(t.isin("false", "no", "n", "0", "0.0"), False)
+
+
+def flag_or_null(df: DataFrame, column: str) -> Column:
+    """A nullable flag of a table; where the column lacks, all are unknown."""
+    return F.col(column).cast("boolean") if column in df.columns else F.lit(None).cast("boolean")
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Declared types after a text round trip; nullable stays nullable."""
     kind = lambda c: "bigint" if c in INT_COLUMNS else "boolean" if c in BOOL_COLUMNS else None
@@ -95,13 +106,35 @@ def workspace_files(spark: SparkSession, root: str, *, most: int = 2_000_000) ->
 # schemas compiled to rules
 
 
+def resolved(schema, root: dict):
+    """A schema with its references to the same document put in their place; one inside itself is refused."""
+
+    def walk(node, seen: tuple[str, ...]):
+        if isinstance(node, list):
+            return [walk(x, seen) for x in node]
+        if not isinstance(node, dict):
+            return node
+        if "$ref" in node:
+            ref = node["$ref"]
+            if not ref.startswith("#") or ref in seen:
+                raise ValueError(f"reference not supported: {ref}")
+            target = root
+            for part in [p.replace("~1", "/").replace("~0", "~") for p in ref[1:].split("/")[1:]]:
+                target = target[part]
+            return walk({**target, **{k: v for k, v in node.items() if k != "$ref"}}, (*seen, ref))
+        return {k: walk(v, seen) for k, v in node.items() if k not in ("$defs", "definitions")}
+
+    return walk(schema, ())
+
+
 def rules_of(schema: dict, path: str = "", at: Column | None = None) -> list[tuple[str, Column]]:
     """(message, condition that must not be false) for the keywords in use; an unknown keyword is refused.
 
-    Keywords: type, enum, const, required, properties, pattern, minimum, maximum,
-    items, allOf, if/then/else.
+    Keywords: type, enum, const, required, properties, pattern, minimum, maximum, their lengths,
+    items, allOf, anyOf, oneOf, not, if/then/else, and $ref inside the document.
     """
-    known = {"type", "enum", "const", "required", "properties", "additionalProperties", "pattern", "minimum", "maximum", "items", "allOf", "anyOf", "if", "then", "else", "description", "title", "$schema", "$id"}
+    schema = resolved(schema, schema)
+    known = {"oneOf", "not", "minLength", "maxLength", "minItems", "maxItems", "type", "enum", "const", "required", "properties", "additionalProperties", "pattern", "minimum", "maximum", "items", "allOf", "anyOf", "if", "then", "else", "description", "title", "$schema", "$id"}
     if extra := set(schema) - known:
         raise ValueError(f"keywords not supported: {', '.join(sorted(extra))}")
     get = (lambda name: F.col(name)) if at is None else (lambda name: at[name])
@@ -118,7 +151,8 @@ def rules_of(schema: dict, path: str = "", at: Column | None = None) -> list[tup
             out.append((f"{label}: not the value", at.eqNullSafe(F.lit(schema["const"]))))
         if "pattern" in schema:
             out.append((f"{label}: not of the form", at.isNull() | at.rlike(schema["pattern"])))
-        for word, test in (("minimum", lambda v: at >= v), ("maximum", lambda v: at <= v)):
+        sizes = (("minLength", lambda v: F.length(at) >= v), ("maxLength", lambda v: F.length(at) <= v), ("minItems", lambda v: F.size(at) >= v), ("maxItems", lambda v: F.size(at) <= v))
+        for word, test in (("minimum", lambda v: at >= v), ("maximum", lambda v: at <= v), *sizes):
             if word in schema:
                 out.append((f"{label}: {word}", at.isNull() | test(schema[word])))
         if "items" in schema:
@@ -136,6 +170,11 @@ def rules_of(schema: dict, path: str = "", at: Column | None = None) -> list[tup
         for sub in schema["anyOf"]:
             some = some | _all(rules_of(sub, path, at))
         out.append((f"{label}: none of the alternatives", some))
+    if "oneOf" in schema:
+        held = sum((_all(rules_of(sub, path, at)).cast("int") for sub in schema["oneOf"]), F.lit(0))
+        out.append((f"{label}: not one of the alternatives", held == 1))
+    if "not" in schema:
+        out.append((f"{label}: what it may not be", ~_all(rules_of(schema["not"], path, at))))
     if "if" in schema:
         given = _all(rules_of(schema["if"], path, at))
         for message, ok in rules_of(schema.get("then", {}), path, at):
