@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 
@@ -51,6 +52,25 @@ def schedule(spark: SparkSession, *, job: str, tasks: list[str], conditions: lis
     return spark.createDataFrame(rows, "task_id string, condition_id string, rep int, cell_index int, block_index int, within_block_index int, run_order_index int")
 
 
+#: What a design's hash names.
+DESIGN_VERSION, BLOCK_KEY = "wur-schedule-v1", ("task_id", "rep")
+
+
+def json_sha256(value) -> str:
+    """The hash of a value's canonical JSON: sorted names, no spaces."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def design_sha256(*, job: str, tasks: list[str], conditions: list[str], reps: int = 1, seed: int | None = 0, experiment: str = "wur", salt: str = "wur-v1") -> str:
+    """The hash of a design whatever the order of its lists: another arm or repetition changes it."""
+    return json_sha256({"design_version": DESIGN_VERSION, "job_id": job, "experiment": experiment, "block_key": list(BLOCK_KEY), "tasks": sorted(tasks), "conditions": sorted(conditions), "reps": reps, "matrix_seed": seed or 0, "salt": salt})
+
+
+def order_sha256(scheduled: DataFrame) -> str:
+    """The hash of a schedule's order. A design is a table of its cells."""
+    return json_sha256([[r["task_id"], r["condition_id"], r["rep"]] for r in scheduled.orderBy("run_order_index").collect()])
+
+
 def schedule_drift(frozen: DataFrame, derived: DataFrame) -> DataFrame:
     """Cells whose place differs between a frozen and a derived schedule, or that one lacks."""
     keys = ["task_id", "condition_id", "rep"]

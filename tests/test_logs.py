@@ -266,3 +266,9 @@ def test_schedule(spark):
     assert [r["condition_id"] for r in more] == [a for t, a, r in want if (t, r) == ("t2", 1)]
     with pytest.raises(ValueError):
         DS.schedule(spark, job="j", tasks=["a", "a"], conditions=arms)
+    same = DS.design_sha256(job="j", tasks=tasks, conditions=arms, reps=2, seed=5)
+    assert same == DS.design_sha256(job="j", tasks=tasks[::-1], conditions=arms[::-1], reps=2, seed=5) != DS.design_sha256(job="j", tasks=tasks, conditions=arms, reps=3, seed=5)
+    text = '{"block_key":["task_id","rep"],"conditions":["ctrl","d1","d2"],"design_version":"wur-schedule-v1","experiment":"wur","job_id":"j","matrix_seed":5,"reps":2,"salt":"wur-v1","tasks":["t1","t2","t3"]}'
+    assert same == hashlib.sha256(text.encode()).hexdigest()
+    frame = DS.schedule(spark, job="j", tasks=tasks, conditions=arms, reps=2, seed=5)
+    assert DS.order_sha256(frame.repartition(3)) == hashlib.sha256(json.dumps([list(w) for w in want], separators=(",", ":")).encode()).hexdigest()
