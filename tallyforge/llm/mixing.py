@@ -103,7 +103,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rows, _ = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")))
     names = ("row", "doc_id", "source", "size", "tie")
     queue, taken = _mixed(scratch.written(rows, "sized"), dict(zip(names, names)), scratch, **options)
-    out = written(queue.join(taken, F.col("row") == F.col("of_row"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), "mix")
+    out = written(queue.join(taken.hint("merge"), F.col("row") == F.col("of_row"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), "mix")
     scratch.clear()
     return out
 
@@ -115,9 +115,10 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size, tie, key, count = (unused(rows, name) for name in ("size", "tie", "of_row", "times"))
     rows = written(rows.withColumns({size: word_count(F.col(text_col)), tie: F.xxhash64(text_col)}), "sized")
     queue, taken = _mixed(rows, {"row": row, "doc_id": id_col, "source": source_col, "size": size, "tie": tie}, scratch, **options)
-    taken = taken.join(queue.select("row", "size"), F.col("of_row") == F.col("row"))
+    # merged at every size: a table of row numbers is much smaller on disk than in memory
+    taken = taken.join(queue.select("row", "size").hint("merge"), F.col("of_row") == F.col("row"))
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")
     times = written(taken.select(F.col("of_row").alias(key), times.alias(count)).where(F.col(count) > 0), "times")
     scratch.clear()
-    out = rows.join(times, F.col(row) == F.col(key)).withColumn(count, F.explode(F.sequence(F.lit(1), F.col(count))))
+    out = rows.join(times.hint("merge"), F.col(row) == F.col(key)).withColumn(count, F.explode(F.sequence(F.lit(1), F.col(count))))
     return out.select(*(rows[c] for c in docs.columns))
