@@ -150,3 +150,10 @@ UNION ALL SELECT 'empty-description', 'warning', count(*) FROM t WHERE trim(coal
     "report_registry": f"{_W} SELECT strftime(date, '%Y-%m') AS month, currency, coalesce(sum(amount_minor) FILTER (amount_minor > 0), 0)::BIGINT AS inflow_minor, coalesce(-sum(amount_minor) FILTER (amount_minor < 0), 0)::BIGINT AS outflow_minor, sum(amount_minor)::BIGINT AS net_minor FROM p WHERE account LIKE 'assets.%' AND {_Y} GROUP BY ALL",
     "csv_rows": f"{_W} SELECT date::VARCHAR AS date, coalesce(ref, '') AS ref, description, lower(tag) || CASE WHEN amount_minor < 0 THEN ' sale' ELSE '' END AS tags, account, CASE WHEN amount_minor < 0 THEN '-' ELSE '' END || CASE WHEN currency = 'JPY' THEN abs(amount_minor)::VARCHAR ELSE (abs(amount_minor) // 100) || '.' || lpad((abs(amount_minor) % 100)::VARCHAR, 2, '0') END AS amount, currency FROM p",
 }
+
+_AMOUNT = "CASE WHEN amount_minor < 0 THEN '-' ELSE '' END || CASE WHEN currency = 'JPY' THEN abs(amount_minor)::VARCHAR ELSE (abs(amount_minor) // 100) || '.' || lpad((abs(amount_minor) % 100)::VARCHAR, 2, '0') END"
+_LEG = f"""'{{"account":"' || account || '","amount":"' || {_AMOUNT} || '","minor":' || amount_minor || ',"currency":"' || currency || '","tags":[' || CASE WHEN amount_minor < 0 THEN '"sale"' ELSE '' END || ']}}'"""
+ORACLE_SQL["transactions_json"] = f"""{_W} SELECT txn_id, min(date)::VARCHAR AS date, min(line_no) AS line_no, '{{"date":"' || min(date)::VARCHAR || '","description":"' || min(description) || '","line_no":' || min(line_no) || ',"postings":[' || string_agg({_LEG}, ',' ORDER BY ordinal, account, {_AMOUNT}) || ']' || coalesce(',"ref":"' || min(ref) || '"', '') || ',"tags":["' || min(lower(tag)) || '"]}}' AS json FROM p GROUP BY txn_id"""
+_LINE = f"'    ' || rpad(account, 32, ' ') || lpad({_AMOUNT}, 14, ' ') || ' ' || currency || CASE WHEN amount_minor < 0 THEN '  #sale' ELSE '' END"
+ORACLE_SQL["ledger_text"] = f"""{_W} SELECT min(date)::VARCHAR AS date, min(line_no) AS line_no, min(date)::VARCHAR || ' ' || min(description) || '  #' || min(lower(tag)) || coalesce('  ^' || min(ref), '') || chr(10) || string_agg({_LINE}, chr(10) ORDER BY ordinal, {_LINE}) AS text FROM p GROUP BY txn_id"""
+

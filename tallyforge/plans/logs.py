@@ -310,3 +310,7 @@ SELECT run_id, count(*) AS n_probes_observed, bool_or(m) AS ever_mention, any_va
     "command_classes": f"{_E} SELECT CASE WHEN k % 5 = 0 THEN 'edit' WHEN k % 4 = 0 THEN 'git_op' WHEN k % 4 = 1 THEN 'search' WHEN k % 4 = 2 THEN 'nav' ELSE 'exec' END AS cls, count(*) AS n FROM e GROUP BY 1",
     "verdicts": f"{_E}, v AS (SELECT k, CASE WHEN k % 10 = 0 THEN 'timeout' WHEN k % 4 = 0 THEN 'error' WHEN k % 2 = 1 AND k % 3 = 0 THEN 'accepted' WHEN k % 2 = 0 AND k % 3 = 0 THEN 'rejected' ELSE 'partial' END AS verdict FROM e) SELECT verdict, count(*) AS n, count(*) FILTER (verdict <> 'error' AND NOT (verdict = 'partial' AND k % 3 > 0)) AS n_known FROM v GROUP BY 1",
 }
+
+ORACLE_SQL["run_record"] = f"""WITH tokens AS ({ORACLE_SQL["run_tokens"]}), nav AS ({ORACLE_SQL["run_navigation"]}), ops AS ({ORACLE_SQL["run_operations"]}),
+context AS ({_LOG}, f AS (SELECT *, CASE WHEN message_id <> '' AND {_FIRST} > 1 THEN 0 ELSE tokens_in END AS t FROM lp), a AS (SELECT run_id, sum(CASE WHEN first_edit IS NULL OR seq <= first_edit THEN t ELSE 0 END)::BIGINT AS x, sum(t)::BIGINT AS y FROM f GROUP BY 1) SELECT run_id, CASE WHEN x = 0 THEN y ELSE x END AS context_acquisition FROM a)
+SELECT run_id, total_input, tool_calls_total, file_reads_unique, context_acquisition FROM tokens LEFT JOIN nav USING (run_id) LEFT JOIN ops USING (run_id) LEFT JOIN context USING (run_id)"""

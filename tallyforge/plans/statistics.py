@@ -165,3 +165,15 @@ SELECT condition_id, n, j_arm, (SELECT j FROM j) AS j, round(coalesce(a, (SELECT
     "post_discharge_persistence": f"""{_PRIMARY}{_DATA}, every AS (SELECT run_id, condition_id, coalesce(lapse, horizon) AS duration, (lapse IS NOT NULL)::INT AS event FROM df WHERE ever_mention AND coalesce(lapse, horizon) >= 0)
 SELECT condition_id, count(*) AS n_ever_mention, count(*) FILTER (EXISTS (SELECT 1 FROM data d WHERE d.run_id = every.run_id AND d.condition_id = every.condition_id)) AS n_in_primary_window, count(*) FILTER (NOT EXISTS (SELECT 1 FROM data d WHERE d.run_id = every.run_id AND d.condition_id = every.condition_id)) AS n_post_discharge_only, round(avg(duration::DOUBLE), 6) AS mean_duration_unrestricted, round(avg(event::DOUBLE), 6) AS event_rate_unrestricted FROM every GROUP BY 1""",
 }
+
+
+def _contrast(arm: str, reference: str, outcome: str) -> str:
+    rates_ = f"tr AS (SELECT task_id, condition_id, count({outcome}) AS n, count(*) FILTER ({outcome}) AS k FROM df GROUP BY ALL)"
+    pairs = f"pairs AS (SELECT a.k / a.n - b.k / b.n AS d FROM tr a JOIN tr b ON a.task_id = b.task_id AND b.condition_id = '{reference}' WHERE a.condition_id = '{arm}' AND a.n > 0 AND b.n > 0)"
+    return f"SELECT '{arm}' AS arm, '{reference}' AS reference, '{outcome}' AS outcome, {_DIFF.format(sd='')} FROM ({_PRIMARY}, {rates_}, {pairs} SELECT count(*) AS n_tasks, avg(d) AS m, stddev_samp(d) AS sd FROM pairs)"
+
+
+ORACLE_SQL["reactivity_contrasts"] = " UNION ALL ".join(_contrast(a, r, o) for a, r in (("d1", "d2"), ("d3", "d2-dist")) for o in ("used", "read"))
+_BUNDLE = {"exclusions": "exclusion_report", "funnel": "funnel_table", "read_rate": "read_rate_table", "incidental_exposure": "incidental_exposure", "mention_rate": "mention_rate", "use_rate_appendix": "use_rate_table", "use_lift": "paired_difference", "confab_rate": "confabulation_rate", "unexplained_possession": "unexplained_possession_rate", "orthogonality_phi": "orthogonality_phi", "slot_precision": "slot_precision_table", "retention": "retention_table", "depth": "depth_slopes", "probe_fidelity": "probe_fidelity", "probe_quality": "probe_quality", "slot_classes": "slot_class_distribution"}
+_CONDITIONAL = _PAIRS.replace("FROM df GROUP", "FROM df WHERE eligible GROUP")
+ORACLE_SQL["summarize"] = " UNION ALL ".join([*(f"SELECT '{n}' AS name, count(*) AS n FROM ({ORACLE_SQL[q]})" for n, q in _BUNDLE.items()), f"SELECT 'use_lift_conditional', count(*) FROM ({_PRIMARY}, {_CONDITIONAL} SELECT DISTINCT arm FROM pairs)", "SELECT 'counts', 1"])
