@@ -103,28 +103,29 @@ def chi2_sf(x: float, dof: float) -> float:
     return math.erfc(math.sqrt(x / 2)) if dof == 1 else gamma_sf(dof / 2, x / 2)
 
 
-def _rowwise(f, *cols: pd.Series) -> pd.Series:
-    ok = np.ones(len(cols[0]), bool)
-    for c in cols:
-        ok &= c.notna().to_numpy()
+def _by_value(f, *cols: pd.Series) -> pd.Series:
+    """``f`` of each distinct row, dealt to the rows; null where an input is."""
+    known = pd.concat(cols, axis=1).astype("float64")
+    ok = known.notna().all(axis=1).to_numpy()
+    values, back = np.unique(known.to_numpy()[ok], axis=0, return_inverse=True)
     out = np.full(len(ok), np.nan)
-    out[ok] = [f(*v) for v in zip(*(c.to_numpy(float)[ok] for c in cols))]
-    return pd.Series(out, dtype="float64").where(ok, None)
+    out[ok] = np.array([f(*v) for v in values.tolist()], float)[back.reshape(-1)] if len(values) else []
+    return pd.Series(out).where(ok, None)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b: 2 * t_sf(abs(a), b) if b > 0 else math.nan, t, dof)
+    return _by_value(lambda a, b: 2 * t_sf(abs(a), b) if b > 0 else math.nan, t, dof)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_critical(p: pd.Series, dof: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b: t_quantile(a, b) if b > 0 else math.nan, p, dof)
+    return _by_value(lambda a, b: t_quantile(a, b) if b > 0 else math.nan, p, dof)
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return _rowwise(chi2_sf, x, dof)
+    return _by_value(chi2_sf, x, dof)
 
 
 def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:
