@@ -22,7 +22,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of the session by bytes, so that memory doesn't follow the length of texts."""
+    """Arrow batches of the session by bytes, so that memory doesn't follow the length of texts.
+
+    It stays so: plans are lazy, and a batch is cut when its plan runs.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     have = spark.conf.get(key).lower().rstrip("b")
     if not have.isdigit() or int(have) > BATCH_BYTES or int(have) <= 0:
