@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.prefix import running_count
+
 
 
 def by_run():
@@ -41,7 +43,7 @@ def turn_index(rows: DataFrame) -> DataFrame:
     named = F.coalesce(F.col("message_id"), F.lit("")) != ""
     first = named & (F.row_number().over(Window.partitionBy("run_id", "message_id").orderBy("seq")) == 1)
     rows = rows.withColumn("_first", first.cast("int"))
-    return rows.withColumn("turn_idx", F.nullif(F.sum("_first").over(by_run().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1, F.lit(-1))).drop("_first")
+    return running_count(rows, ["run_id"], "seq", [], F.col("_first"), "turn_idx").withColumn("turn_idx", F.nullif(F.col("turn_idx") - 1, F.lit(-1))).drop("_first")
 
 
 def next_tool_after(points: DataFrame, tools: DataFrame) -> DataFrame:
@@ -72,8 +74,7 @@ def probe_windows(rows: DataFrame) -> DataFrame:
 
     Rows have kind (probe_in, tool_use, assistant, ...) and answers (whether an assistant text answers a probe).
     """
-    order = by_run().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("window_no", F.sum((F.col("kind") == "probe_in").cast("int")).over(order))
+    rows = running_count(rows, ["run_id"], "seq", [], (F.col("kind") == "probe_in").cast("int"), "window_no")
     own = Window.partitionBy("run_id", "window_no")
     closer = F.when((F.col("kind") == "tool_use") | ((F.col("kind") == "assistant") & F.col("answers")), F.col("seq"))
     rows = rows.withColumn("close_seq", F.when(F.col("window_no") > 0, F.min(closer).over(own)))

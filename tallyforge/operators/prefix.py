@@ -23,3 +23,13 @@ def running_sum(df: DataFrame, keys: list[str], coarse: str, order: list[str], v
         same = F.col(k).eqNullSafe(F.col(f"_{k}"))
         on = same if on is None else on & same
     return rows.join(starts, on).withColumn(name, F.col(name) + F.col("_ahead")).drop(*(f"_{k}" for k in [*keys, coarse]), "_ahead")
+
+
+#: Positions of a run that one task sums.
+PART = 4096
+
+
+def running_count(df: DataFrame, keys: list[str], seq: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the running sum of an expression along ``seq``, by parts of ``PART`` positions: a run may be of any length."""
+    rows = df.withColumn("_value", value).withColumn("_at", F.floor(F.col(seq) / PART))
+    return running_sum(rows, keys, "_at", [seq, *order], "_value", name).drop("_value", "_at")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import tools as T
+from tallyforge.operators.prefix import running_count
 
 
 
@@ -41,7 +42,7 @@ def event_log(events: DataFrame) -> DataFrame:
     first = F.coalesce(F.col("k") == 0, F.lit(True))
     name, given, command = F.col("tool.name"), F.col("tool.input")["cmd_class"], F.col("tool.input")["command"]
     rows = spread.select("run_id", "seq", F.coalesce("k", F.lit(0)).alias("k"), "ts", "role", *(F.when(first, F.col(c)).otherwise(0).alias(c) for c in TOKENS), name.alias("tool"), T.classify_tool(name, command, given).alias("tool_class"), T.summary(name, F.col("tool.input")).alias("tool_input_summary"), T.is_edit(name, given).alias("is_edit"))
-    return rows.withColumn("cumulative_input_tokens", F.sum("tokens_in").over(by_run().orderBy("seq", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return running_count(rows, ["run_id"], "seq", ["k"], F.col("tokens_in"), "cumulative_input_tokens")
 
 
 def token_curve(log: DataFrame) -> DataFrame:
