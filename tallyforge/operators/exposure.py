@@ -6,17 +6,20 @@ Regions: run_id, region_idx, seq, channel, text.  Cards: fact_id, token, pattern
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions import tools as T
 from tallyforge.operators.prefix import running_sum
 
-#: Cards that travel to every task; more are scanned in blocks.
+#: Cards that are looked for one by one in each text; more are looked up by the grams of the text.
 BLOCK = 500
+#: Characters of a token's bare spelling by which it is looked up.
+ANCHOR = 6
 
 
 def bytes_before(regions: DataFrame) -> DataFrame:
@@ -34,43 +37,67 @@ def scan(regions: DataFrame, cards: DataFrame) -> DataFrame:
     """One row a region and fact that it holds, with the strictest form, its place and its count.
 
     Cards are a registry: they are read on the driver and become expressions over
-    each region's text, a block at a time, so regions are never multiplied before
-    the match and never shuffled.
+    each region's text, so regions are neither shuffled nor multiplied before the
+    match. In a large registry the grams of a text that begin a token are found by one intersection of
+    hashes, and only those tokens are held against it; patterns are tried in blocks.
     """
     cards = cards.select("fact_id", "token", "pattern").where("token is not null and token <> ''").orderBy("fact_id").collect()  # the registry of facts
-    blocks = [cards[k : k + BLOCK] for k in range(0, len(cards), BLOCK)] or [[]]
-    return reduce(DataFrame.unionByName, (_scan_block(regions, b) for b in blocks))
-
-
-def _hit(card):
-    text, token = F.coalesce("text", F.lit("")), F.lit(card["token"])
-    low, lowtoken = F.lower(text), F.lit(card["token"].lower())
+    bare = lambda c: re.sub(X.SEPARATORS, "", c["token"]).lower()
+    plain = [c for c in cards if not c["pattern"] and len(bare(c)) >= ANCHOR] if len(cards) > BLOCK else []
+    known = {c["fact_id"] for c in plain}
+    rest = [c for c in cards if c["fact_id"] not in known]
+    blocks = [rest[k : k + BLOCK] for k in range(0, len(rest), BLOCK)] or ([] if plain else [[]])
+    parts = [_scan_block(regions, b) for b in blocks] + ([_scan_grams(regions, plain)] if plain else [])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _hit(text: Column, fact: Column, token: Column, loose: Column, pattern: str | None = None) -> Column:
+    """The strictest form in which a text holds a token, its place and its count; null where it doesn't."""
+    low, lowtoken = F.lower(text), F.lower(token)
     bare, baretoken = X.strip_separators(text), X.strip_separators(token)
-    pattern = card["pattern"]
     form = F.when(F.contains(text, token), "exact").when(F.contains(low, lowtoken), "lower").when(F.contains(bare, baretoken), "nohyphen")
     form = form.when(text.rlike(pattern), "regex") if pattern else form
-    loose = X.loose_pattern([card["token"]])
-    at = F.when(form == "exact", F.instr(text, card["token"])).when(form == "lower", F.instr(low, card["token"].lower())).when(form == "nohyphen", F.nullif(F.regexp_instr(text, F.lit(loose)), F.lit(0)))
+    at = F.when(form == "exact", F.instr(text, token)).when(form == "lower", F.instr(low, lowtoken)).when(form == "nohyphen", F.nullif(F.regexp_instr(text, loose), F.lit(0)))
     at = at.when(form == "regex", F.regexp_instr(text, F.lit(pattern))) if pattern else at
-    n = F.when(form == "exact", F.regexp_count(text, F.lit(_quoted(card["token"])))).when(form == "lower", F.regexp_count(low, F.lit(_quoted(card["token"].lower())))).when(form == "nohyphen", F.greatest(F.regexp_count(text, F.lit(loose)), F.lit(1)))
+    n = F.when(form == "exact", F.regexp_count(text, _quoted(token))).when(form == "lower", F.regexp_count(low, _quoted(lowtoken))).when(form == "nohyphen", F.greatest(F.regexp_count(text, loose), F.lit(1)))
     n = n.when(form == "regex", F.regexp_count(text, F.lit(pattern))) if pattern else n
-    return F.when(form.isNotNull(), F.struct(F.lit(card["fact_id"]).alias("fact_id"), form.alias("match_form"), at.cast("int").alias("char_at"), n.cast("long").alias("n_hits")))
+    return F.when(form.isNotNull(), F.struct(fact.alias("fact_id"), form.alias("match_form"), at.cast("int").alias("char_at"), n.cast("long").alias("n_hits")))
 
 
-def _quoted(token: str) -> str:
-    return r"\Q" + token + r"\E"
+def _quoted(token: Column) -> Column:
+    return F.concat(F.lit("\\Q"), token, F.lit("\\E"))
 
 
 def _scan_block(regions: DataFrame, cards: list) -> DataFrame:
     if not cards:
         hits = F.array().cast("array<struct<fact_id:string,match_form:string,char_at:int,n_hits:bigint>>")
     else:
-        hits = F.filter(F.array(*(_hit(c) for c in cards)), lambda x: x.isNotNull())
+        text = F.coalesce("text", F.lit(""))
+        each = (_hit(text, F.lit(c["fact_id"]), F.lit(c["token"]), F.lit(X.loose_pattern([c["token"]])), c["pattern"]) for c in cards)
+        hits = F.filter(F.array(*each), lambda x: x.isNotNull())
         # one cheap look for any token's characters before the forms are told apart
         some = X.loose_pattern([c["token"] for c in cards])
         wide = "|".join([some, *(f"(?:{c['pattern']})" for c in cards if c["pattern"])])
         regions = regions.where(F.coalesce("text", F.lit("")).rlike(wide) | X.strip_separators(F.coalesce("text", F.lit(""))).rlike(some))
-    rows = regions.where(T.model_visible(F.col("channel"))).withColumn("hit", F.explode(hits))
+    return _told(regions.where(T.model_visible(F.col("channel"))).withColumn("hit", F.explode(hits)))
+
+
+def _scan_grams(regions: DataFrame, cards: list) -> DataFrame:
+    """The same for many tokens without patterns: by the grams of each bare text."""
+    spark, text = regions.sparkSession, F.coalesce("text", F.lit(""))
+    registry = spark.createDataFrame([(c["fact_id"], c["token"], X.loose_pattern([c["token"]])) for c in cards], "of_fact string, of_token string, of_loose string")
+    registry = registry.withColumn("anchor", F.xxhash64(F.substring(X.strip_separators(F.col("of_token")), 1, ANCHOR)))
+    anchors = sorted({r["anchor"] for r in registry.select("anchor").collect()})
+    rows = regions.where(T.model_visible(F.col("channel"))).withColumn("bare", X.strip_separators(text)).where(F.length("bare") >= ANCHOR)
+    grams = F.transform(F.sequence(F.lit(1), F.length("bare") - ANCHOR + 1), lambda k: F.xxhash64(F.substr(F.col("bare"), k, F.lit(ANCHOR))))
+    rows = rows.withColumn("found", F.array_intersect(F.lit(anchors).cast("array<bigint>"), grams)).drop("bare").where(F.size("found") > 0)
+    rows = rows.withColumn("found", F.explode("found")).join(registry, F.col("found") == F.col("anchor"))
+    rows = rows.withColumn("hit", _hit(text, F.col("of_fact"), F.col("of_token"), F.col("of_loose"))).where("hit is not null")
+    return _told(rows)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Hits of regions as rows."""
     offset = F.coalesce(X.byte_offset(F.col("text"), F.col("hit.char_at")), F.lit(0)).cast("long")
     return rows.select("run_id", "hit.fact_id", "seq", "region_idx", "channel", "hit.match_form", offset.alias("offset"), "hit.n_hits", T.inbound(F.col("channel")).alias("inbound"), T.counts_toward_read(F.col("channel")).alias("counts_toward_read"), (T.inbound(F.col("channel")) & (F.col("hit.match_form") == "exact")).alias("sets_first_exposure"))
 

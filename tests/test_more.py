@@ -112,3 +112,22 @@ def test_refusals_of_operators(spark):
         RN.undigested(regions).collect()
     empty = spark.createDataFrame([], "code string, name string, currency string, closed boolean")
     assert C.with_parts(empty).collect() == [] and C.chart_problems(empty).collect() == []
+
+
+def test_large_registry(spark, monkeypatch):
+    """Many tokens looked up by grams are found as each by its own expressions."""
+    import random
+
+    from tallyforge.functions import text as X
+    from tallyforge.operators import exposure as XP
+
+    rng = random.Random(3)
+    tokens = [X.mint(f"f{k}", "0f1e") for k in range(60)]
+    spelled = lambda t: rng.choice([t, t.lower(), t.replace("-", "_"), t[:5] + " " + t[5:], t[:-1], t + t, t.replace("-", "").lower()])
+    rows = [(f"r{k % 7}", k, k, rng.choice(["tool_read", "self_text", "sidecar_only"]), rng.choice([None, "", "é " * 5]) if k % 9 == 0 else " ".join(rng.choice(["word", "é", spelled(rng.choice(tokens))]) for _ in range(rng.randint(1, 12)))) for k in range(300)]
+    regions = spark.createDataFrame(rows, "run_id string, seq long, region_idx long, channel string, text string")
+    cards = spark.createDataFrame([(f"f{k}", t, r"wo.d" if k == 3 else None) for k, t in enumerate(tokens)] + [("short", "QX-1", None)], "fact_id string, token string, pattern string")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    one = key(XP.scan(regions, cards))
+    monkeypatch.setattr(XP, "BLOCK", 10)
+    assert key(XP.scan(regions, cards)) == one and len({r[5] for r in one}) == 4 and len(one) > 300
