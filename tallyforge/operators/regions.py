@@ -17,6 +17,8 @@ SHELL_CAP = 30_000
 REMINDER = r"(?is)<system-reminder>.*?</system-reminder>"
 PERSISTED = r"(?is)<persisted-output\b[^>]*>.*?</persisted-output>"
 READ_CEILING = r"(?i)File content \([^)]*\) exceeds maximum allowed size \([^)]*\)"
+#: Fixed value: what a run is told where it stopped before its end.
+RESUME = "Continue the task from where you left off. Do not wait for further instructions: take the next action yourself, one tool call per message, until the task is complete."
 REGION = "array<struct<channel:string,text:string,tool:string,tool_use_id:string,is_error:boolean,muted:boolean>>"
 
 
@@ -33,8 +35,11 @@ def _blocks(path: str) -> Column:
 
 
 def result_text(body: Column) -> Column:
-    parts = F.transform(F.from_json(body, BLOCKS), lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.lit("")))
-    return F.when(body.startswith("["), F.array_join(parts, "\n")).otherwise(F.coalesce(body, F.lit("")))
+    """The text of a tool's answer: a text, an object's text, or the texts of blocks in a row; what has no text is its JSON, images are nothing."""
+    text = lambda x: F.get_json_object(x, "$.text")
+    block = lambda x: F.when(~x.startswith("{"), x).when(text(x).isNotNull(), text(x)).when(F.coalesce(F.get_json_object(x, "$.type"), F.lit("text")) == "text", x).otherwise("")
+    parts = F.transform(F.from_json(body, BLOCKS), block)
+    return F.when(body.startswith("["), F.array_join(parts, "")).when(body.startswith("{"), F.coalesce(text(body), body)).otherwise(F.coalesce(body, F.lit("")))
 
 
 def _region(channel, text: Column, tool: Column | None = None, id_: Column | None = None, error: Column | None = None, muted: Column | None = None) -> Column:
@@ -69,9 +74,87 @@ def shell_regions(body: Column, tool: Column, id_: Column, cap: int = SHELL_CAP)
     return F.when(body == "", F.array(_region("bash_stdout", body, tool, id_)).cast(REGION)).otherwise(cut)
 
 
-def harness_channel(text: Column) -> Column:
+def harness_channel(text: Column, resume: str = RESUME) -> Column:
+    """Which text of the harness a user's block is: a checkpoint by its id, the resume by its words, else the task."""
     probe = F.size(X.find_probe_ids(text)) > 0
-    return F.when(probe, "harness_probe").when(text.rlike(r"(?i)^\s*(?:resume|continue)\b"), "harness_resume").otherwise("harness_task_prompt")
+    return F.when(probe, "harness_probe").when(X.spaces_normal(text) == " ".join(resume.split()), "harness_resume").otherwise("harness_task_prompt")
+
+
+def strings_in(document: Column) -> Column:
+    """All texts that are values in a JSON document, in its order."""
+    # every text with the colon that makes it a name, so that no match starts at a closing quote
+    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*+"\s*:?'), F.lit(0))
+    values = F.filter(quoted, lambda q: ~q.endswith(":"))
+    return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
+
+
+def _first_call(blocks: Column) -> tuple[Column, Column]:
+    """The call that a message's first block with one is of, and the calls of all its blocks."""
+    ids = F.transform(blocks, lambda b: F.coalesce(F.nullif(F.get_json_object(b, "$.tool_use_id"), F.lit("")), F.nullif(F.get_json_object(b, "$.toolUseId"), F.lit("")), F.when(F.get_json_object(b, "$.type") == "tool_use", F.nullif(F.get_json_object(b, "$.id"), F.lit("")))))
+    return F.get(F.filter(ids, lambda x: x.isNotNull()), F.lit(0)), ids
+
+
+def transcript_rows(lines: DataFrame, stream: DataFrame) -> DataFrame:
+    """Lines of the log on disk with the place of the stream that each belongs to.
+
+    By the call (the last place that names it), else by the message (the first), else the last known before, which is
+    marked as approximate; before any it is 0. Both have run_id, line_no, line.
+    """
+    first, ids = _first_call(_blocks("$.message.content"))
+    placed = stream.withColumn("at", (F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")) - 1).cast("long"))
+    calls = placed.select("run_id", "at", F.explode(ids).alias("id")).where("id is not null").groupBy(F.col("run_id").alias("_c_run"), F.col("id").alias("_c_id")).agg(F.max("at").alias("tool_seq"))
+    said = placed.where(at("$.message.id") != "").groupBy(F.col("run_id").alias("_m_run"), at("$.message.id").alias("_m_id")).agg(F.min("at").alias("message_seq"))
+    rows = lines.select("run_id", "line_no", "line", first.alias("tool_use_id"), at("$.message.id").alias("message_id"))
+    rows = rows.join(calls, (F.col("run_id") == F.col("_c_run")) & (F.col("tool_use_id") == F.col("_c_id")), "left").join(said, (F.col("run_id") == F.col("_m_run")) & (F.col("message_id") == F.col("_m_id")), "left")
+    known = F.coalesce("tool_seq", "message_seq")
+    before = Window.partitionBy("run_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("run_id", "line_no", "line", "tool_use_id", F.coalesce(F.last(known, ignorenulls=True).over(before), F.lit(0)).alias("seq"), known.isNull().alias("seq_approx"))
+
+
+def transcript_regions(lines: DataFrame, stream: DataFrame, regions: DataFrame) -> DataFrame:
+    """(run_id, line_no, seq, seq_approx, channel, text): what only the log on disk has.
+
+    Marks of bytes that nobody saw (persisted outputs, sidecars; without text), attachments by their kind, and
+    reminders that the stream doesn't replay. A text that its channel has already, there or here, isn't told again.
+    """
+    tur = at("$.toolUseResult")
+    result = F.when(tur.startswith("{"), tur)
+    path = F.coalesce(F.get_json_object(result, "$.persistedOutputPath"), F.get_json_object(result, "$.persisted_output_path"))
+    size = lambda doc: F.aggregate(strings_in(F.coalesce(doc, F.lit("{}"))), F.lit(0), lambda n, x: n + F.length(x))
+    hidden = size(result) - size(F.get_json_object(result, "$.file"))
+    attachment = F.when(at("$.attachment").startswith("{"), at("$.attachment"))
+    kind = F.coalesce(F.nullif(F.get_json_object(attachment, "$.type"), F.lit("")), F.nullif(at("$.attachmentType"), F.lit("")), F.lit("unknown"))
+    is_attachment = F.coalesce(at("$.type") == "attachment", F.lit(False)) | attachment.isNotNull()
+    part = lambda channel, text: F.struct(channel.alias("channel"), text.alias("text"))
+    none = F.array().cast("array<struct<channel:string,text:string>>")
+    texts = F.transform(F.filter(_blocks("$.message.content"), lambda b: F.get_json_object(b, "$.type") == "text"), lambda b: F.coalesce(F.get_json_object(b, "$.text"), F.lit("")))
+    reminders = F.transform(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(REMINDER), F.lit(0)))), lambda m: part(F.lit("system_reminder"), m))
+    named = part(F.concat(F.lit("attachment_"), F.regexp_replace(kind, r"[^A-Za-z0-9_.-]", "_")), F.array_join(strings_in(F.coalesce(attachment, F.lit("{}"))), "\n"))
+    parts = F.concat(
+        F.when(path != "", F.array(part(F.lit("persisted_output_ondisk"), F.lit("")))).otherwise(none),
+        F.when(hidden > 0, F.array(part(F.lit("sidecar_only"), F.lit("")))).otherwise(none),
+        F.when(is_attachment, F.array(named)).otherwise(F.coalesce(reminders, none)),
+    )
+    rows = transcript_rows(lines, stream).select("run_id", "line_no", "seq", "seq_approx", F.posexplode(parts).alias("k", "p"))
+    rows = rows.select("run_id", "line_no", "k", "seq", "seq_approx", "p.channel", "p.text", F.sha2(F.col("p.text").cast("binary"), 256).alias("sha"))
+    have = regions.where("text <> ''").select(F.col("run_id").alias("_run"), F.col("channel").alias("_channel"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")).distinct()
+    marks = rows.where(F.col("channel").isin("persisted_output_ondisk", "sidecar_only"))
+    told = rows.where(~F.col("channel").isin("persisted_output_ondisk", "sidecar_only")).join(have, (F.col("run_id") == F.col("_run")) & (F.col("channel") == F.col("_channel")) & (F.col("sha") == F.col("_sha")), "left_anti")
+    once = told.groupBy("run_id", "channel", "sha").agg(F.min(F.struct("line_no", "k", "seq", "seq_approx", "text")).alias("v")).select("run_id", "v.line_no", "v.seq", "v.seq_approx", "channel", "v.text")
+    return marks.select("run_id", "line_no", "seq", "seq_approx", "channel", "text").unionByName(once)
+
+
+def transcript_signals(lines: DataFrame) -> DataFrame:
+    """(run_id, line_no, tool_use_id, kind): sidechains, cut files, outputs kept on disk, and answers beside the message."""
+    first, _ = _first_call(_blocks("$.message.content"))
+    tur = at("$.toolUseResult")
+    result = F.when(tur.startswith("{"), tur)
+    size = lambda doc: F.aggregate(strings_in(F.coalesce(doc, F.lit("{}"))), F.lit(0), lambda n, x: n + F.length(x))
+    cut = F.get_json_object(result, "$.file.numLines").try_cast("bigint") < F.get_json_object(result, "$.file.totalLines").try_cast("bigint")
+    path = F.coalesce(F.get_json_object(result, "$.persistedOutputPath"), F.get_json_object(result, "$.persisted_output_path"))
+    side = (at("$.isSidechain") == "true") | (at("$.is_sidechain") == "true")
+    found = F.array(F.when(side, F.lit("sidechain")), F.when(cut, F.lit("truncated")), F.when(path != "", F.lit("truncated")), F.when(size(result) - size(F.get_json_object(result, "$.file")) > 0, F.lit("sidecar_only")))
+    return lines.select("run_id", "line_no", first.alias("tool_use_id"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("kind"))
 
 
 def tool_index(lines: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from tallyforge.operators import detectors as D
 from tallyforge.operators import grading as G
 from tallyforge.operators import ledger as L
 from tallyforge.operators import probes as P
+from tallyforge.operators import regions as RG
 from tallyforge.operators import tables as TB
 from tallyforge.operators import telemetry as TM
 from tallyforge.operators import trace as TR
-from tallyforge.plans import frames, jobs, ledger, logs
+from tallyforge.plans import frames, jobs, ledger, logs, more
 from tallyforge.plans.jobs import _when
 from tallyforge.plans.statistics import rounded
 from tallyforge.sources import ledgers as S
@@ -153,7 +154,37 @@ def _consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DS.arms_consistent(o.select(F.concat(F.lit("t"), F.col("o_custkey") % 300).alias("task_id"), F.concat(F.lit("d"), F.col("o_orderkey") % 3).alias("dir"), F.when(F.col("o_custkey") % 300 < 200, "same").otherwise(F.col("o_orderstatus")).alias("sha256")))
 
 
+def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line on disk for every turn: attachments, answers kept on disk, reminders, sidechains, and plain messages."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.expr("""CASE pmod(conv_id + turn, 7)
+      WHEN 0 THEN concat('{"type":"attachment","attachment":{"type":"odd kind","body":{"a":"t', conv_id % 2, '","b":["say \\\\"x\\\\":",3,{"c":"é"}]}}}')
+      WHEN 1 THEN concat('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"k', turn - 1, '"}]},"toolUseResult":{"stdout":"abc","file":{"content":"long","numLines":1,"totalLines":', 1 + conv_id % 2, '}}}')
+      WHEN 2 THEN concat('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"none"}]},"toolUseResult":{"persistedOutputPath":"/p/', turn, '","file":{"x":"y"}}}')
+      WHEN 3 THEN concat('{"type":"user","message":{"content":[{"type":"text","text":"a <system-reminder>r', turn % 2, '</system-reminder> b <system-reminder>x</system-reminder>"}]}}')
+      WHEN 4 THEN '{"type":"assistant","isSidechain":true,"message":{"id":"m","content":"hm"},"toolUseResult":"plain"}'
+      WHEN 5 THEN '{"type":"attachment","attachmentType":"queued"}'
+      ELSE concat('{"type":"assistant","message":{"content":[{"type":"tool_use","id":"k', turn, '"}]}}') END""")
+    return c.select(F.concat(F.lit("c"), "conv_id").alias("run_id"), (F.col("turn") + 1).alias("line_no"), line.alias("line"))
+
+
+def _only_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = more._records(spark, sf_dir)
+    return RG.transcript_regions(_transcript(spark, sf_dir), stream, RG.stream_regions(stream))
+
+
+def _kept_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of tools in every shape that a message may have them."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("t", F.coalesce("text", F.lit("")))
+    block = F.to_json(F.struct(F.lit("text").alias("type"), F.col("t").alias("text")))
+    body = F.when(F.expr("turn % 5 = 0"), F.concat(F.lit("["), block, F.lit(',{"type":"image","data":"x"},{"a":1},"tail"]'))).when(F.expr("turn % 5 = 1"), F.concat(F.lit("["), block, F.lit(","), block, F.lit("]"))).when(F.expr("turn % 5 = 2"), block).when(F.expr("turn % 5 = 3"), F.lit('{"b":2}')).when(F.expr("turn % 5 = 4"), F.concat(F.lit("plain "), "t"))
+    return c.select("conv_id", "turn", RG.result_text(body).alias("text"))
+
+
 QUERIES = {
+    "transcript_regions": lambda s, d: rounded(_only_on_disk(s, d)),
+    "transcript_signals": lambda s, d: rounded(RG.transcript_signals(_transcript(s, d))),
+    "result_texts": lambda s, d: rounded(_kept_text(s, d)),
     "fact_trace": lambda s, d: rounded(_trace(s, d)),
     "slots_flattened": lambda s, d: rounded(_flattened(s, d)),
     "mention_by_probe": lambda s, d: rounded(P.mention_by_probe(_slotted(s, d))),
@@ -208,7 +239,19 @@ _SLOT = f"""{_E}, v AS (SELECT * FROM e WHERE event_type = 'view'), s AS (SELECT
 _GRADED = f"""{_E}, g AS (SELECT u, 't' || (u % 5) AS task_id, 'E' || (u % 3) AS condition_id, CASE u % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'partial' END AS st, s, n FROM b)"""
 _P = f"WITH p AS ({frames.POSTINGS})"
 
+_DISK = """WITH c AS (SELECT *, 'c' || conv_id AS run_id, turn + 1 AS line_no, (conv_id + turn) % 7 AS s FROM conversations),
+calls AS (SELECT run_id, 'k' || turn AS id, turn AS pos FROM c WHERE role = 'assistant'), answers AS (SELECT run_id, 'k' || (turn - 1) AS id, turn AS pos FROM c WHERE role <> 'assistant'),
+ids AS (SELECT run_id, id, max(pos) AS pos FROM (SELECT * FROM calls UNION ALL SELECT * FROM answers) GROUP BY ALL),
+l AS (SELECT c.*, CASE s WHEN 1 THEN 'k' || (turn - 1) WHEN 2 THEN 'none' WHEN 6 THEN 'k' || turn END AS id FROM c),
+p AS (SELECT l.*, ids.pos AS known, coalesce(last_value(ids.pos IGNORE NULLS) OVER (PARTITION BY l.run_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), 0) AS seq FROM l LEFT JOIN ids ON ids.run_id = l.run_id AND ids.id = l.id)"""
 ORACLE_SQL = {
+    "transcript_regions": f"""{_DISK}, d AS (SELECT run_id, line_no, 0 AS k, seq, known IS NULL AS seq_approx, CASE s WHEN 0 THEN 'attachment_odd_kind' WHEN 1 THEN 'sidecar_only' WHEN 2 THEN 'persisted_output_ondisk' WHEN 3 THEN 'system_reminder' ELSE 'attachment_queued' END AS channel,
+  CASE s WHEN 0 THEN 'odd kind' || chr(10) || 't' || (conv_id % 2) || chr(10) || 'say "x":' || chr(10) || 'é' WHEN 3 THEN '<system-reminder>r' || (turn % 2) || '</system-reminder>' ELSE '' END AS text FROM p WHERE s IN (0, 1, 2, 3, 5)
+  UNION ALL SELECT run_id, line_no, 1, seq, known IS NULL, 'sidecar_only', '' FROM p WHERE s = 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY run_id, channel, text ORDER BY line_no, k) AS n FROM d)
+SELECT run_id, line_no, seq, seq_approx, channel, text FROM t WHERE n = 1 OR channel IN ('sidecar_only', 'persisted_output_ondisk')""",
+    "transcript_signals": f"""{_DISK} SELECT run_id, line_no, id AS tool_use_id, 'sidecar_only' AS kind FROM l WHERE s IN (1, 2) UNION ALL SELECT run_id, line_no, id, 'truncated' FROM l WHERE s = 2 OR (s = 1 AND conv_id % 2 = 1) UNION ALL SELECT run_id, line_no, id, 'sidechain' FROM l WHERE s = 4""",
+    "result_texts": """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN coalesce(text, '') || '{"a":1}' || 'tail' WHEN 1 THEN coalesce(text, '') || coalesce(text, '') WHEN 2 THEN coalesce(text, '') WHEN 3 THEN '{"b":2}' ELSE 'plain ' || coalesce(text, '') END AS text FROM conversations""",
     "fact_trace": _trace_sql(),
     "slots_flattened": f"""{_SLOT} SELECT run_id, seq AS probe_idx, 'fact ' || (any_value(k) % 3) AS slot0_fact, CASE WHEN any_value(k) % 4 = 1 THEN '' ELSE any_value(file_path) END AS slot1_source, max(c) FILTER (i = 2) AS slot2_slot_class, bool_or(nonce) FILTER (i = 0) AS slot0_match_nonce, bool_or(rx) FILTER (i = 2) AS slot2_match_regex, count(*) FILTER (c = 'critical_fact') AS n_critical_fact_slots, count(*) FILTER (c = 'empty') AS n_empty_slots, count(*) FILTER (c = 'filler') AS n_filler_slots, bool_or(nonce) AS mention_nonce, bool_or(rx) AS mention_regex FROM s GROUP BY run_id, seq""",
     "mention_by_probe": f"{_SLOT} SELECT run_id, seq AS probe_idx, coalesce(bool_or(nonce), false) OR coalesce(bool_or(rx), false) AS mentioned FROM s GROUP BY run_id, seq",
