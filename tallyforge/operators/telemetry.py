@@ -80,6 +80,31 @@ def run_tokens(events: DataFrame, results: DataFrame | None = None) -> DataFrame
     return t.select("run_id", total.alias("total_input"), out.alias("total_output"), read.alias("cache_read"), F.coalesce("r_cache_write", "cache_write").alias("cache_write"), (total - (read * 9 / 10).cast("long") + out).alias("total_effective"), F.when(single, total).otherwise(F.col("orientation")).alias("phase_orientation_input"), F.col("implementation").alias("phase_implementation_input"), F.when(single, 0).otherwise(F.col("verification")).alias("phase_verification_input"), (F.col("tokens_in") - F.col("r_total_input")).alias("dedupe_delta_input"), (F.col("tokens_out") - F.col("r_total_output")).alias("dedupe_delta_output"))
 
 
+def overlaid_tokens(tokens: DataFrame, totals: DataFrame) -> DataFrame:
+    """``tokens`` with the totals that a backend reports itself, where it does: (run_id, total_input, total_output, cache_read).
+
+    Such totals know no written cache, and the effective ones follow from them.
+    """
+    t = totals.select(F.col("run_id").alias("_run"), *(F.col(c).alias(f"o_{c}") for c in ("total_input", "total_output", "cache_read")))
+    rows = tokens.join(t, F.col("run_id") == F.col("_run"), "left")
+    given, read = F.col("o_total_input").isNotNull(), F.coalesce("o_cache_read", F.lit(0))
+    effective = F.col("o_total_input") - (read * 9 / 10).cast("long") + F.coalesce("o_total_output", F.lit(0))
+    new = {"total_input": F.col("o_total_input"), "total_output": F.coalesce("o_total_output", F.lit(0)), "cache_read": read, "cache_write": F.lit(0), "total_effective": effective}
+    return rows.select(*(F.when(given, new[c]).otherwise(F.col(c)).cast("long").alias(c) if c in new else F.col(c) for c in tokens.columns))
+
+
+def stdout_totals(documents: DataFrame) -> DataFrame:
+    """Totals of a backend's closing statistics: (run_id, agent_id, doc), those of the agent's model or else of the first.
+
+    The prompt has the cached tokens in it; where it isn't told, it is input and cached together.
+    """
+    kind = "struct<tokens:struct<prompt:bigint,input:bigint,cached:bigint,candidates:bigint>>"
+    models = F.from_json(F.get_json_object("doc", "$.stats.models"), f"map<string,{kind}>")
+    rows = documents.select("run_id", F.coalesce(F.try_element_at(models, F.col("agent_id")), F.get(F.map_values(models), F.lit(0)))["tokens"].alias("t")).where("t is not null")
+    zero = lambda c: F.coalesce(F.col(f"t.{c}"), F.lit(0))
+    return rows.select("run_id", F.coalesce("t.prompt", zero("input") + zero("cached")).alias("total_input"), zero("candidates").alias("total_output"), zero("cached").alias("cache_read"))
+
+
 def run_timing(events: DataFrame) -> DataFrame:
     """Wall clock, time to the first edit, and seconds in each phase that has two stamps."""
     rows = phased(events).withColumn("t", T.parse_ts(F.col("ts"))).where("t is not null")

@@ -207,7 +207,17 @@ def _events_of(kind: str):
     return run
 
 
+def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of runs whose backends report their own in two forms, or not at all."""
+    b = base(spark, sf_dir).withColumn("run_id", F.expr("concat('u', u)"))
+    tokens = b.select("run_id", F.col("s").alias("total_input"), F.col("n").alias("total_output"), F.col("lo").alias("cache_read"), F.col("hi").alias("cache_write"), (F.col("s") + F.col("n")).alias("total_effective"))
+    own = F.expr("""concat('{"stats":{"models":{"a":{"tokens":{"input":', lo, ',"cached":', hi, ',"candidates":5}},"b":{"tokens":{"prompt":', s, ',"cached":', lo, '}}}}}')""")
+    docs = b.where("u % 3 <> 0").select("run_id", F.expr("CASE u % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'none' ELSE 'a' END").alias("agent_id"), F.when(F.expr("u % 7 <> 0"), own).otherwise("{}").alias("doc"))
+    return TM.overlaid_tokens(tokens, TM.stdout_totals(docs))
+
+
 QUERIES = {
+    "overlaid_tokens": lambda s, d: rounded(_overlaid(s, d)),
     "job_runs": on_records(lambda r: RN.collected(r).select("run_dir", "env", "task", "model", "input", F.array_join("files", "|").alias("files"), "schema_version", "accounting_version", "experiment")),
     "job_provenance": on_records(RN.provenance),
     "job_mixing_problems": on_records(lambda r: RN.mixing_problems(RN.provenance(r))),
@@ -275,6 +285,7 @@ _L = f"WITH e AS ({logs.EVENTS})"
 _LOGGED = "GROUP BY run_id, role"
 
 ORACLE_SQL = {
+    "overlaid_tokens": f"{_B}, o AS (SELECT *, u % 3 <> 0 AND u % 7 <> 0 AS own, CASE WHEN u % 4 = 0 THEN s ELSE lo + hi END AS i, CASE WHEN u % 4 = 0 THEN lo ELSE hi END AS c, CASE WHEN u % 4 = 0 THEN 0 ELSE 5 END AS t FROM b) SELECT 'u' || u AS run_id, CASE WHEN own THEN i ELSE s END AS total_input, CASE WHEN own THEN t ELSE n END AS total_output, CASE WHEN own THEN c ELSE lo END AS cache_read, CASE WHEN own THEN 0 ELSE hi END AS cache_write, CASE WHEN own THEN i - c * 9 // 10 + t ELSE s + n END AS total_effective FROM o",
     "job_runs": f"{_R} SELECT run_dir, env, task, model, s AS input, f1 || '|a.md|' || f2 AS files, schema_version, accounting_version, experiment FROM r",
     "job_provenance": f"{_PROV} SELECT * FROM q",
     "job_mixing_problems": f"{_PROV} SELECT 'unknown schema' AS problem, '3' AS versions WHERE EXISTS (SELECT 1 FROM q WHERE kind = 'schema_version' AND value = '3') UNION ALL SELECT 'mixed accounting', string_agg(value, ',' ORDER BY value) FROM q WHERE kind = 'accounting_version' HAVING count(*) > 1",

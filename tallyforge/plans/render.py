@@ -55,3 +55,36 @@ def truncated(text: str, width: int, ellipsis: str = "...") -> str:
 def scorecard(title: str, tables: dict[str, DataFrame], most: int = MOST) -> str:
     """A Markdown page of several tables."""
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown(df, most)}" for name, df in tables.items())]) + "\n"
+
+
+#: How verdicts and criteria are marked.
+VERDICTS = {"accepted": "ACCEPTED", "partial": "PARTIAL", "rejected": "REJECTED", "timeout": "TIMEOUT", "error": "ERROR"}
+MET = {True: "met", False: "not met", None: "not evaluated"}
+
+
+def grouped(value) -> str:
+    return f"{value:,}" if isinstance(value, (int, float)) and not isinstance(value, bool) else "-"
+
+
+def run_report(record: dict, judge: dict | None = None, meta: dict | None = None) -> str:
+    """A run's scorecard as Markdown: verdict, criteria, cost and timing. What isn't known is a dash."""
+    judge, meta = judge or {}, meta or {}
+    tokens, timing, ops = (record.get(k) or {} for k in ("tokens", "timing", "operations"))
+    score = judge.get("score")
+    out = [f"# Run report: {meta.get('run_id') or (record.get('run') or {}).get('run_id') or '-'}", f"**Verdict:** {VERDICTS.get(judge.get('verdict'), judge.get('verdict') or '-')}, score {f'{score:.2f}' if isinstance(score, (int, float)) else '-'}, agent {meta.get('agent_id') or '-'}", "## Acceptance criteria"]
+    criteria = judge.get("criteria") or []
+    rows = [[MET.get(c.get("met"), "not evaluated"), str(c.get("criterion") or "")[:80], str(c.get("source") or ""), str(c.get("evidence") or c.get("error") or "").replace("\n", " ")[:120]] for c in criteria]
+    line = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
+    out.append("\n".join([line(["", "criterion", "source", "evidence"]), "|---|---|---|---|", *map(line, rows)]) if rows else "No criteria were graded.")
+    lost = sum(c.get("met") is None for c in criteria)
+    if lost:
+        out.append(f"{lost} of {len(criteria)} criteria could not be evaluated and are left out of the score.")
+    cost = [f"input {grouped(tokens.get('total_input'))}, output {grouped(tokens.get('total_output'))}, cache read {grouped(tokens.get('cache_read'))}", f"accounting {tokens.get('accounting_version') or 'per_line_v1'}"]
+    cost += [f"{side} drifts by {tokens[f'dedupe_delta_{side}']:+,} from the terminal result" for side in ("input", "output") if tokens.get(f"dedupe_delta_{side}")]
+    known = lambda d, k: "-" if d.get(k) is None else str(d[k])
+    cost.append(f"wall clock {known(timing, 'wall_clock_seconds')} s, first edit after {known(timing, 'time_to_first_edit_seconds')} s")
+    cost.append(f"tool calls {known(ops, 'tool_calls_total')}, turns {known(ops, 'turns_total')}, lines {known(ops, 'message_count')}")
+    if ops.get("probes_sent") is not None:
+        cost.append(f"probes {known(ops, 'probes_answered')} of {ops['probes_sent']} answered, resumes {known(ops, 'resumes_sent')}")
+    files = (record.get("navigation") or {}).get("files_edited") or []
+    return "\n\n".join([*out, "## Cost and timing", bullets([*cost, f"files edited: {', '.join(files) or '-'}"])]) + "\n"

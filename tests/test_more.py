@@ -131,3 +131,23 @@ def test_large_registry(spark, monkeypatch):
     one = key(XP.scan(regions, cards))
     monkeypatch.setattr(XP, "BLOCK", 10)
     assert key(XP.scan(regions, cards)) == one and len({r[5] for r in one}) == 4 and len(one) > 300
+
+
+def test_discovered_runs(spark, tmp_path):
+    for path in ("a/runs/r1/stream.jsonl", "a/runs/r1/deep/judge.json", "a/runs/.hid/judge.json", "a/runs/r2/notes.txt", "b/r3/run_meta.json", "b/r3/probe_events.jsonl", "b/r4/sub/judge.json"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    got = {r["run_dir"].rsplit("/", 1)[-1]: (r["markers"], r["has_probe_channel"], r["root"]) for r in G.discovered_runs(spark, f"{tmp_path}/a/runs", f"{tmp_path}/b/", f"{tmp_path}/a/runs", f"{tmp_path}/lost").collect()}
+    assert got == {"r1": (["stream.jsonl"], False, 0), "r3": (["run_meta.json"], True, 1)}
+    assert G.discovered_runs(spark, f"{tmp_path}/lost").count() == 0
+
+
+def test_run_report():
+    from tallyforge.plans import render
+
+    record = {"tokens": {"total_input": 12345, "dedupe_delta_input": -3}, "timing": {"wall_clock_seconds": 5}, "operations": {"tool_calls_total": 7, "probes_sent": 2, "probes_answered": 1}, "navigation": {"files_edited": ["a.py", "b.py"]}, "run": {"run_id": "r1"}}
+    judge = {"verdict": "partial", "score": 0.5, "criteria": [{"met": True, "criterion": "a|b", "evidence": "x\ny"}, {"met": None, "error": "broke"}]}
+    text = render.run_report(record, judge)
+    assert text.startswith("# Run report: r1\n\n**Verdict:** PARTIAL, score 0.50, agent -\n") and "| met | a\\|b |  | x y |" in text and "| not evaluated |  |  | broke |" in text
+    assert "1 of 2 criteria could not" in text and "input 12,345, output -" in text and "input drifts by -3" in text and "probes 1 of 2 answered, resumes -" in text and "files edited: a.py, b.py" in text
+    assert "No criteria were graded." in render.run_report({}) and "wall clock - s" in render.run_report({})
