@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tallyforge.operators.prefix import running_count
 
 
-
 def by_run():
     return Window.partitionBy("run_id")
 
@@ -61,12 +60,14 @@ def next_tool_after(points: DataFrame, tools: DataFrame) -> DataFrame:
 def seen_before(points: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
     """Prefix sets: for each point, the distinct values of its run up to it, sorted.
 
-    A value counts from its first sight, so the join has a row a value, not a use.
+    A value counts from its first sight: a row a value, not a use. Both sides meet in one
+    sort of their run and the set grows along it, so nothing is paired.
     """
-    first = values.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.min("seq").alias("since"))
-    p = points.select("run_id", "at").distinct()
-    f = first.select(F.col("run_id").alias("_run"), F.col(value).alias("_value"), "since")
-    return p.join(f, (F.col("run_id") == F.col("_run")) & (F.col("since") <= F.col("at")), "left").groupBy("run_id", "at").agg(F.array_sort(F.collect_set("_value")).alias(name))
+    first = values.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.min("seq").alias("at")).select("run_id", "at", F.lit(0).alias("side"), F.col(value).alias("_value"))
+    both = first.unionByName(points.select("run_id", "at", F.lit(1).alias("side"), F.lit(None).cast(first.schema["_value"].dataType).alias("_value")).distinct())
+    so_far = by_run().orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn(name, F.collect_set("_value").over(so_far)).where("side = 1")
+    return rows.select("run_id", "at", F.array_sort(name).alias(name))
 
 
 def probe_windows(rows: DataFrame) -> DataFrame:
