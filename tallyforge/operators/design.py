@@ -6,10 +6,11 @@ import hashlib
 import json
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dist import normal_quantile, t_quantile
@@ -191,6 +192,50 @@ def synthetic_runs(spark: SparkSession, *, tasks: int = 12, reps: int = 5, arms:
     return spark.createDataFrame(rows, "run_id string, task_id string, condition_id string, used boolean, read boolean")
 
 
+def uniform(seed: int, *names: Column) -> Column:
+    """A number below 1 that the names alone decide, the same on any engine that has MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *names)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
+def normal(seed: int, *names: Column) -> Column:
+    """A standard normal number that the names decide, from two uniform ones."""
+    u, v = uniform(seed, *names, F.lit("u")), uniform(seed, *names, F.lit("v"))
+    return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-12)))) * F.cos(v * (2 * math.pi))
+
+
+def synthetic_tables(spark: SparkSession, *, tasks: int = 12, reps: int = 5, arms: tuple[str, ...] = ("ctrl", "d1", "d2", "d3"), read_rate: dict[str, float] | None = None, base: float = 0.05, lift: dict[str, float] | None = None, gamma: float = 0.0, tau: float = 0.5, mention_given_read: float = 0.8, probes: int = 10, hazard: float = 0.25, seed: int = 7) -> dict[str, DataFrame]:
+    """Runs and checkpoints with a known planted effect, of any size: ``fact_trace`` and ``probes``.
+
+    A task shifts all its arms on the logit scale (spread ``tau``), an arm in a task by itself (``gamma``); a mention lapses
+    after a geometric number of checkpoints. Every draw is a hash of its names, made where its row is.
+    """
+    read_rate = read_rate or {a: 0.0 if a.startswith("ctrl") else 0.7 for a in arms}
+    per = len(arms) * reps
+    arm = F.element_at(F.array(*(F.lit(a) for a in arms)), (F.floor(F.col("id") / reps) % len(arms)).cast("int") + 1)
+    rows = spark.range(tasks * per).select(F.concat(F.lit("t"), F.lpad(F.floor(F.col("id") / per).cast("string"), 2, "0")).alias("task_id"), arm.alias("condition_id"), (F.col("id") % reps).alias("rep"))
+    rows = rows.withColumn("run_id", F.concat_ws("-", "task_id", "condition_id", F.concat(F.lit("r"), F.col("rep").cast("string"))))
+    of = lambda values, other: reduce(lambda out, kv: F.when(F.col("condition_id") == kv[0], F.lit(float(kv[1]))).otherwise(out), values.items(), F.lit(float(other)))
+    draw = lambda name: uniform(seed, F.col("run_id"), F.lit(name))
+    p = F.least(F.lit(0.98), F.greatest(F.lit(1e-6), F.lit(base) + of(lift or {}, 0.0)))
+    shift = F.lit(tau) * normal(seed, F.col("task_id")) + F.lit(gamma) * normal(seed, F.col("task_id"), F.col("condition_id"))
+    present = ~F.col("condition_id").startswith("ctrl")
+    rows = rows.withColumn("available", present).withColumn("read", present & (draw("read") < of(read_rate, 0.0))).withColumn("used", draw("used") < 1 / (1 + F.exp(-(F.ln(p / (1 - p)) + shift))))
+    rows = rows.withColumn("ever_mention", F.col("read") & (draw("mention") < mention_given_read)).withColumn("opened", F.col("read") & (draw("opened") < 0.6)).withColumn("success", draw("success") < 0.6)
+    rows = rows.withColumn("first_mention_probe_index", F.when(F.col("ever_mention"), F.floor(draw("first") * 3)))
+    horizon = F.lit(probes) - F.col("first_mention_probe_index")
+    lapse = F.floor(F.ln(1 - draw("lapse")) / math.log(1 - hazard)) + 1
+    rows = rows.withColumn("horizon", horizon).withColumn("lapse", F.when(lapse < horizon, lapse))
+    censored = F.when(~F.col("ever_mention"), "never_mentioned").when(F.col("lapse").isNull(), "administrative")
+    fixed_ = {"eligible": F.lit(True), "analyzable": F.lit(True), "quarantined": F.lit(False), "prior_check_status": F.lit("pass"), "exposure_basis": F.lit("event_stream"), "unexplained_possession": F.lit(False), "echoed": F.col("ever_mention"), "accounting_version": F.lit("per_message_v2"), "censor_reason": censored}
+    trace = rows.withColumns(fixed_)
+    each = rows.select("run_id", "task_id", "condition_id", "first_mention_probe_index", "lapse", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("probe_idx"))
+    i0, k = F.col("first_mention_probe_index"), F.col("probe_idx")
+    named = F.coalesce((k >= i0) & (F.col("lapse").isNull() | (k < i0 + F.col("lapse"))), F.lit(False))
+    agree = uniform(seed, F.col("run_id"), F.lit("agree"), k.cast("string")) < 0.7
+    return {"fact_trace": trace, "probes": each.select("run_id", "task_id", "condition_id", "probe_idx", named.alias("mentioned"), F.lit("answered").alias("outcome"), F.lit(True).alias("parse_ok"), F.lit("strict").alias("parse_tier"), agree.alias("fidelity_agree"))}
+
+
 def family_alpha(alpha: float = 0.05, family: int = SIZES["family"]) -> float:
     """Bonferroni's level of each test, so that the family's is ``alpha``."""
     return alpha / max(1, family)

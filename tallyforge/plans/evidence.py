@@ -181,7 +181,13 @@ def _kept_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", RG.result_text(body).alias("text"))
 
 
+def _synthetic(spark: SparkSession, name: str) -> DataFrame:
+    return DS.synthetic_tables(spark, tasks=20, reps=4, lift={"d1": 0.2, "d3": 0.5}, gamma=0.4)[name]
+
+
 QUERIES = {
+    "synthetic_trace": lambda s, d: rounded(_synthetic(s, "fact_trace").select("run_id", "task_id", "condition_id", "rep", "available", "read", "opened", "used", "success", "ever_mention", "first_mention_probe_index", "horizon", "lapse", "censor_reason")),
+    "synthetic_probes": lambda s, d: rounded(_synthetic(s, "probes").select("run_id", "probe_idx", "mentioned", "fidelity_agree")),
     "transcript_regions": lambda s, d: rounded(_only_on_disk(s, d)),
     "transcript_signals": lambda s, d: rounded(RG.transcript_signals(_transcript(s, d))),
     "result_texts": lambda s, d: rounded(_kept_text(s, d)),
@@ -244,7 +250,15 @@ calls AS (SELECT run_id, 'k' || turn AS id, turn AS pos FROM c WHERE role = 'ass
 ids AS (SELECT run_id, id, max(pos) AS pos FROM (SELECT * FROM calls UNION ALL SELECT * FROM answers) GROUP BY ALL),
 l AS (SELECT c.*, CASE s WHEN 1 THEN 'k' || (turn - 1) WHEN 2 THEN 'none' WHEN 6 THEN 'k' || turn END AS id FROM c),
 p AS (SELECT l.*, ids.pos AS known, coalesce(last_value(ids.pos IGNORE NULLS) OVER (PARTITION BY l.run_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), 0) AS seq FROM l LEFT JOIN ids ON ids.run_id = l.run_id AND ids.id = l.id)"""
+_u = lambda *names: f"(('0x' || substr(md5('7|' || {' || chr(124) || '.join(names)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_n = lambda *names: f"(sqrt(-2 * ln(greatest({_u(*names, chr(39) + 'u' + chr(39))}, 1e-12))) * cos({_u(*names, chr(39) + 'v' + chr(39))} * 2 * pi()))"
+_SYNTHETIC = f"""WITH r AS (SELECT 't' || lpad(t::VARCHAR, 2, '0') AS task_id, a AS condition_id, r AS rep, 't' || lpad(t::VARCHAR, 2, '0') || '-' || a || '-r' || r AS run_id, pr, pu FROM range(20) x(t), (VALUES ('ctrl', 0.0, 0.05), ('d1', 0.7, 0.25), ('d2', 0.7, 0.05), ('d3', 0.7, 0.55)) y(a, pr, pu), range(4) z(r)),
+s AS (SELECT *, condition_id <> 'ctrl' AS available, condition_id <> 'ctrl' AND {_u('run_id', "'read'")} < pr AS read, {_u('run_id', "'used'")} < 1 / (1 + exp(-(ln(pu / (1 - pu)) + 0.5 * {_n('task_id')} + 0.4 * {_n('task_id', 'condition_id')}))) AS used FROM r),
+m AS (SELECT *, read AND {_u('run_id', "'mention'")} < 0.8 AS em FROM s), f AS (SELECT *, CASE WHEN em THEN floor({_u('run_id', "'first'")} * 3)::BIGINT END AS i0 FROM m),
+g AS (SELECT *, 10 - i0 AS horizon, (floor(ln(1 - {_u('run_id', "'lapse'")}) / ln(0.75)) + 1)::BIGINT AS l FROM f), h AS (SELECT *, CASE WHEN l < horizon THEN l END AS lapse FROM g)"""
 ORACLE_SQL = {
+    "synthetic_trace": f"""{_SYNTHETIC} SELECT run_id, task_id, condition_id, rep, available, read, read AND {_u('run_id', "'opened'")} < 0.6 AS opened, used, {_u('run_id', "'success'")} < 0.6 AS success, em AS ever_mention, i0 AS first_mention_probe_index, horizon, lapse, CASE WHEN NOT em THEN 'never_mentioned' WHEN lapse IS NULL THEN 'administrative' END AS censor_reason FROM h""",
+    "synthetic_probes": f"""{_SYNTHETIC} SELECT run_id, k AS probe_idx, coalesce(k >= i0 AND (lapse IS NULL OR k < i0 + lapse), false) AS mentioned, {_u('run_id', "'agree'", 'k::VARCHAR')} < 0.7 AS fidelity_agree FROM h, range(10) p(k)""",
     "transcript_regions": f"""{_DISK}, d AS (SELECT run_id, line_no, 0 AS k, seq, known IS NULL AS seq_approx, CASE s WHEN 0 THEN 'attachment_odd_kind' WHEN 1 THEN 'sidecar_only' WHEN 2 THEN 'persisted_output_ondisk' WHEN 3 THEN 'system_reminder' ELSE 'attachment_queued' END AS channel,
   CASE s WHEN 0 THEN 'odd kind' || chr(10) || 't' || (conv_id % 2) || chr(10) || 'say "x":' || chr(10) || 'é' WHEN 3 THEN '<system-reminder>r' || (turn % 2) || '</system-reminder>' ELSE '' END AS text FROM p WHERE s IN (0, 1, 2, 3, 5)
   UNION ALL SELECT run_id, line_no, 1, seq, known IS NULL, 'sidecar_only', '' FROM p WHERE s = 2),

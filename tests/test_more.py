@@ -151,3 +151,20 @@ def test_run_report():
     assert text.startswith("# Run report: r1\n\n**Verdict:** PARTIAL, score 0.50, agent -\n") and "| met | a\\|b |  | x y |" in text and "| not evaluated |  |  | broke |" in text
     assert "1 of 2 criteria could not" in text and "input 12,345, output -" in text and "input drifts by -3" in text and "probes 1 of 2 answered, resumes -" in text and "files edited: a.py, b.py" in text
     assert "No criteria were graded." in render.run_report({}) and "wall clock - s" in render.run_report({})
+
+
+def test_planted_effects(spark):
+    """Estimators find what the generator planted: the lift of use, the read rates, and the hazard of lapses."""
+    from tallyforge.operators import paired, rates, survival
+
+    tables = DS.synthetic_tables(spark, tasks=60, reps=40, arms=("ctrl", "d1", "d2"), lift={"d1": 0.3}, tau=0.3)
+    trace = tables["fact_trace"].cache()
+    lift = {r["arm"]: r["mean_diff"] for r in paired.paired_difference(paired.task_pairs(trace, "used", "ctrl")).collect()}
+    assert lift["d1"] == pytest.approx(0.3, abs=0.04) and lift["d2"] == pytest.approx(0, abs=0.03)
+    read = {r["condition_id"]: r["rate"] for r in rates.rate_by_condition(trace, "read").collect()}
+    assert read["ctrl"] == 0 and read["d1"] == pytest.approx(0.7, abs=0.03)
+    table = survival.life_table(survival.retention_dataset(trace.withColumn("first_use_probe_index", F.lit(None).cast("long")))).where("duration between 1 and 4").collect()
+    assert np.mean([r["events"] / r["at_risk"] for r in table]) == pytest.approx(0.25, abs=0.03)
+    probes = tables["probes"].groupBy("run_id").agg(F.count_if("mentioned").alias("n"), F.count("*").alias("of"))
+    odd = trace.join(probes, "run_id").where("n <> coalesce(lapse, horizon, 0) or of <> 10")
+    assert odd.count() == 0 and DS.synthetic_tables(spark)["fact_trace"].count() == 240
