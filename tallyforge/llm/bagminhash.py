@@ -156,7 +156,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, threshold: tu
     pivots = slices.select(F.col("p").alias("id"), F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("side"))
     rows = members.unionByName(pivots).join(texts.hint("merge"), F.col("id") == F.col("of"))
     dealt = rows.select("a", "slice", "side", "id", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", "side", "id")
-    return dealt.mapInArrow(_held(k, *threshold), "a long, b long").distinct()
+    return dealt.mapInArrow(K.lean(_held(k, *threshold)), "a long, b long").distinct()
 
 
 def _crossed(k: int, over: int, under: int):
@@ -225,7 +225,7 @@ def across(groups: DataFrame, placed: DataFrame, texts: DataFrame, k: int, thres
     # a slice without indexed members has nothing to do
     sent = indexed.unionByName(passing).join(texts.hint("merge"), F.col("node") == F.col("of")).drop("of")
     dealt = sent.repartition("pivot", "block", "slice").sortWithinPartitions("pivot", "block", "slice", "side", "node")
-    return dealt.mapInArrow(_crossed(k, *threshold), "a long, b long").distinct()
+    return dealt.mapInArrow(K.lean(_crossed(k, *threshold)), "a long, b long").distinct()
 
 
 def classed(rows: DataFrame, *, k: int = SHINGLE, bands: int = BANDS, rows_a_band: int = ROWS, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,7 @@ def classed(rows: DataFrame, *, k: int = SHINGLE, bands: int = BANDS, rows_a_ban
     spark = rows.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    signed = written(rows.mapInArrow(_signed(k, bands, rows_a_band), "row long, doc_id long, digest binary, size long, bands array<bigint>"), "signed")
+    signed = written(rows.mapInArrow(K.lean(_signed(k, bands, rows_a_band)), "row long, doc_id long, digest binary, size long, bands array<bigint>"), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     digests = signed.where("size > 0").groupBy("digest").agg(least.alias("f"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
     digests = scratch.written(digests.select("digest", F.col("f.row").alias("node"), F.col("f.doc_id").alias("doc_id"), "size", "bands"), "digests")

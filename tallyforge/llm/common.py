@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.llm import kernels as K
+
 _own: dict[str, str] = {}
 
 
@@ -116,4 +118,4 @@ def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndar
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.lean(run), docs.schema)

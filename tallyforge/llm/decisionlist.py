@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm import kernels as K
 from tallyforge.llm import textstats as S
 from tallyforge.llm.common import bounded_batches
 from tallyforge.llm.samples import agreed, sample_by_class
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = sample_by_class(agreed(labels, label_col), "label", "doc_id", each).select(F.col("doc_id").alias("of_doc"), "label")
     chosen = F.broadcast(chosen)  # 2.6 times ``each`` rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("of_doc"))
-    counted = rows.select("doc_id", "text").mapInArrow(S.batches_of_counts, S.SCHEMA).where(~base_failed()).distinct()
+    counted = rows.select("doc_id", "text").mapInArrow(K.lean(S.batches_of_counts), S.SCHEMA).where(~base_failed()).distinct()
     found = counted.join(chosen, F.col("doc_id") == F.col("of_doc")).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", *S.COUNTS).limit(4 * each).toPandas()
     x = np.stack([found[over].to_numpy() / (np.maximum(found[under].to_numpy(), 1) if under else 1) for _, over, under in RATIOS], axis=1).astype(np.float64)
     return learn(x, found["label"].to_numpy() == 0)
@@ -161,6 +162,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def judge(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, COUNTS, base_failed, kept of every row; no shuffle."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(S.batches_of_counts, S.SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(K.lean(S.batches_of_counts), S.SCHEMA)
     rows = rows.withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))

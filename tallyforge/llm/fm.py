@@ -134,4 +134,4 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
                 raw, _ = m.raw(b - a, *m.entries(*inputs(d, o)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(K.lean(run), "doc_id long, score double")

@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             for a, b, langs, score, _ in judged(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(K.lean(run), "doc_id long, lang_pred string, score double")
 
 
 def known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

@@ -28,9 +28,9 @@ from tallyforge.llm.common import bounded_batches, deleted, fresh_path, text_byt
 
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again, each time they come.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Ids that all remembered words of a worker may have together, and that one may have.
-REMEMBERED_IDS, WORD_IDS = 16_000_000, 255
+REMEMBERED_IDS, WORD_IDS = 4_000_000, 255
 #: Bytes of text that a range of documents holds, about, where the session's partitions would hold more.
 RANGE_BYTES = 128 << 20
 
@@ -252,9 +252,9 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     plain = f"{path}/plain"
-    ordered.mapInArrow(_tokenised(tokenizer, end_id, block_tokens), _BLOCKS).write.option("compression", "zstd").parquet(plain)
+    ordered.mapInArrow(K.lean(_tokenised(tokenizer, end_id, block_tokens)), _BLOCKS).write.option("compression", "zstd").parquet(plain)
     blocks = spark.read.schema(_BLOCKS).parquet(plain)
-    counts = blocks.select("ids").mapInArrow(_counted(wide), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    counts = blocks.select("ids").mapInArrow(K.lean(_counted(wide)), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     tally = np.zeros(max([0, *(r["symbol"] for r in counts)]) + 1, np.int64)
     for r in counts:
         tally[r["symbol"]] = r["n"]
@@ -272,7 +272,7 @@ def write_token_file(docs: DataFrame, path: str, *, tokenizer: str = "word_bpe_4
 
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     starts = totals.select(F.col("part").alias("of_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    file = blocks.mapInArrow(encoded, _FILE)
+    file = blocks.mapInArrow(K.lean(encoded), _FILE)
     file.join(F.broadcast(starts), F.col("part") == F.col("of_part")).withColumn("start", F.col("start") + F.col("before")).drop("of_part", "before").write.option("compression", "none").parquet(f"{path}/blocks")
     deleted(spark, plain)
     return path
@@ -303,7 +303,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 parts = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.binary()), pa.array([zlib.crc32(p) for p in parts], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "counts", "payload").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "counts", "payload").mapInArrow(K.lean(decoded), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:

@@ -208,12 +208,12 @@ def hits_by_pass(rows: DataFrame, passes: Iterable[list]) -> DataFrame:
     """(row, n_words, n_hit, items) of those of the written rows (row, text) that have occurrences in any pass."""
     scratch, parts = Scratch(rows.sparkSession), None
     for shared in passes:
-        part = scratch.written(rows.mapInArrow(_marks(shared), "row long, n_words long, spans binary, items array<string>"), "marks")
+        part = scratch.written(rows.mapInArrow(K.lean(_marks(shared)), "row long, n_words long, spans binary, items array<string>"), "marks")
         parts = part if parts is None else parts.unionByName(part)
         for block in shared:
             block.destroy()
     each = parts.groupBy("row").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row has one mark a pass
-    out = written(each.select("row", "n_words", "spans", "items").mapInArrow(_merged, "row long, n_words long, n_hit long, items array<string>"), "hits")
+    out = written(each.select("row", "n_words", "spans", "items").mapInArrow(K.lean(_merged), "row long, n_words long, n_hit long, items array<string>"), "hits")
     scratch.clear()
     return out
 
@@ -241,10 +241,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id"
                 for a, b, n, hit, items in found(batch.column(1), shared):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(hit), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
-        return rows.mapInArrow(run, _OUT)
+        return rows.mapInArrow(K.lean(run), _OUT)
     rows = written(numbered(rows)[0].select("row", "doc_id", "text"), "rows")
     hits = hits_by_pass(rows.select("row", "text"), chain([shared, more], passes))
-    every = rows.mapInArrow(_counted, "row long, doc_id long, n_words long")
+    every = rows.mapInArrow(K.lean(_counted), "row long, doc_id long, n_words long")
     hits = hits.select(F.col("row").alias("of_row"), "n_hit", "items")
     return every.join(hits, F.col("row") == F.col("of_row"), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
