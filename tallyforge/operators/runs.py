@@ -163,6 +163,35 @@ def run_view(records: DataFrame) -> DataFrame:
     )
 
 
+def by_environment(views: DataFrame, baseline: str = "E0") -> DataFrame:
+    """Counts, acceptance, cost, scores and cost relative to the baseline's mean for the same task, by environment."""
+    from tallyforge.operators.telemetry import normalised, upper_median
+
+    accepted = F.count_if(F.col("verdict") == "accepted")
+    mean = lambda c: F.avg(c).alias(f"{c}_mean")
+    by = views.groupBy("env").agg(F.count("*").alias("n"), accepted.alias("accepted"), (accepted / F.count("*")).alias("accept_rate"), mean("input"), upper_median("input").alias("input_median"), mean("effective"), mean("score"), mean("efficiency_ratio"), mean("nav_efficiency"))
+    norm = normalised(views.withColumnRenamed("task", "task_id"), "input", baseline, "env").select(F.col("env").alias("of_env"), F.col("ratio").alias("norm_mean"))
+    return by.join(norm, F.col("env") == F.col("of_env"), "left").drop("of_env")
+
+
+def by_task(views: DataFrame) -> DataFrame:
+    return views.groupBy("task").agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "accepted").alias("accepted"), F.avg("score").alias("score_mean"), F.avg("input").alias("input_mean"))
+
+
+def pareto_front(environments: DataFrame) -> DataFrame:
+    """Environments that none other beats in acceptance at no more cost. A row an environment, held against each other."""
+    e = environments.select("env", "effective_mean", "accept_rate")
+    o = e.toDF("o_env", "o_cost", "o_rate")
+    better = (F.col("o_cost") <= F.col("effective_mean")) & (F.col("o_rate") >= F.col("accept_rate")) & ((F.col("o_cost") < F.col("effective_mean")) | (F.col("o_rate") > F.col("accept_rate")))
+    return e.join(o, better, "left_anti")
+
+
+def job_totals(views: DataFrame, job: str = "job_id") -> DataFrame:
+    """Runs, acceptance and tokens of every job and, where the job is null and ``level`` 1, of all."""
+    accepted = F.count_if(F.col("verdict") == "accepted")
+    return views.rollup(job).agg(F.grouping_id().alias("level"), F.count("*").alias("n_runs"), accepted.alias("accepted"), (accepted / F.count("*")).alias("accept_rate"), F.countDistinct("task").alias("n_tasks"), *(F.sum(c).alias(f"tokens_{c}") for c in ("input", "effective", "output")))
+
+
 # tokens
 
 

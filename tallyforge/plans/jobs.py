@@ -222,6 +222,10 @@ QUERIES = {
     "job_provenance": on_records(RN.provenance),
     "job_mixing_problems": on_records(lambda r: RN.mixing_problems(RN.provenance(r))),
     "run_views": on_records(RN.run_view),
+    "views_by_environment": on_records(lambda r: RN.by_environment(RN.run_view(r))),
+    "views_by_task": on_records(lambda r: RN.by_task(RN.run_view(r))),
+    "pareto_front": on_records(lambda r: RN.pareto_front(RN.by_environment(RN.run_view(r)))),
+    "job_totals": on_records(lambda r: RN.job_totals(RN.run_view(r).withColumn("job_id", F.concat(F.lit("j"), F.length("run_id") % 3)))),
     "file_access_by_arm": on_records(lambda r: RN.file_access_by_arm(RN.collected(r))),
     "arm_order": lambda s, d: RN.ordered_arms(frames.trace(s, d), "condition_id", "wur"),
     "environment_order": on_records(lambda r: RN.collected(r).select("env").distinct().select("env", F.to_json(RN.environment_rank(F.col("env"))).alias("rank"))),
@@ -284,7 +288,14 @@ _SUMS = f"{_P} SELECT account, currency, count(*) AS n, sum(amount_minor)::BIGIN
 _L = f"WITH e AS ({logs.EVENTS})"
 _LOGGED = "GROUP BY run_id, role"
 
+_V = f"""{_R}, v AS (SELECT *, 'run-' || u AS run_id, CASE WHEN u % 8 = 0 THEN 'error' ELSE CASE u % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'partial' ELSE 'rejected' END END AS verdict, CASE WHEN u % 8 <> 0 THEN u % 3 / 2.0 END AS score FROM r)"""
+_ENVS = f"""{_V}, bl AS (SELECT task, avg(s) AS m FROM v WHERE env = 'E0' AND s <> 0 GROUP BY 1), nm AS (SELECT env, avg(s / m) AS q FROM v JOIN bl USING (task) WHERE s <> 0 AND m <> 0 GROUP BY 1),
+en AS (SELECT env, count(*) AS n, count(*) FILTER (verdict = 'accepted') AS accepted, round(count(*) FILTER (verdict = 'accepted') / count(*), 6) AS accept_rate, round(avg(s), 6) AS input_mean, list_sort(list(s))[count(*) // 2 + 1] AS input_median, round(avg(s - n), 6) AS effective_mean, round(avg(score), 6) AS score_mean, round(avg(CASE WHEN s > 0 THEN score / log2(1 + s) END), 6) AS efficiency_ratio_mean, round(avg(2.0 / d), 6) AS nav_efficiency_mean FROM v GROUP BY 1)"""
 ORACLE_SQL = {
+    "views_by_environment": f"{_ENVS} SELECT en.*, round(q, 6) AS norm_mean FROM en LEFT JOIN nm USING (env)",
+    "views_by_task": f"{_V} SELECT task, count(*) AS total, count(*) FILTER (verdict = 'accepted') AS accepted, round(avg(score), 6) AS score_mean, round(avg(s), 6) AS input_mean FROM v GROUP BY 1",
+    "pareto_front": f"{_ENVS} SELECT env, effective_mean, accept_rate FROM en a WHERE NOT EXISTS (SELECT 1 FROM en b WHERE b.effective_mean <= a.effective_mean AND b.accept_rate >= a.accept_rate AND (b.effective_mean < a.effective_mean OR b.accept_rate > a.accept_rate))",
+    "job_totals": f"{_V}, j AS (SELECT *, 'j' || (length(run_id) % 3) AS job_id FROM v) SELECT job_id, grouping(job_id)::BIGINT AS level, count(*) AS n_runs, count(*) FILTER (verdict = 'accepted') AS accepted, round(count(*) FILTER (verdict = 'accepted') / count(*), 6) AS accept_rate, count(DISTINCT task) AS n_tasks, sum(s)::BIGINT AS tokens_input, sum(s - n)::BIGINT AS tokens_effective, sum(n)::BIGINT AS tokens_output FROM j GROUP BY ROLLUP (job_id)",
     "overlaid_tokens": f"{_B}, o AS (SELECT *, u % 3 <> 0 AND u % 7 <> 0 AS own, CASE WHEN u % 4 = 0 THEN s ELSE lo + hi END AS i, CASE WHEN u % 4 = 0 THEN lo ELSE hi END AS c, CASE WHEN u % 4 = 0 THEN 0 ELSE 5 END AS t FROM b) SELECT 'u' || u AS run_id, CASE WHEN own THEN i ELSE s END AS total_input, CASE WHEN own THEN t ELSE n END AS total_output, CASE WHEN own THEN c ELSE lo END AS cache_read, CASE WHEN own THEN 0 ELSE hi END AS cache_write, CASE WHEN own THEN i - c * 9 // 10 + t ELSE s + n END AS total_effective FROM o",
     "job_runs": f"{_R} SELECT run_dir, env, task, model, s AS input, f1 || '|a.md|' || f2 AS files, schema_version, accounting_version, experiment FROM r",
     "job_provenance": f"{_PROV} SELECT * FROM q",

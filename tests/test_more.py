@@ -168,3 +168,14 @@ def test_planted_effects(spark):
     probes = tables["probes"].groupBy("run_id").agg(F.count_if("mentioned").alias("n"), F.count("*").alias("of"))
     odd = trace.join(probes, "run_id").where("n <> coalesce(lapse, horizon, 0) or of <> 10")
     assert odd.count() == 0 and DS.synthetic_tables(spark)["fact_trace"].count() == 240
+
+
+def test_money_of_two_currencies(spark):
+    from tallyforge.functions import money as M
+
+    df = spark.createDataFrame([((100, "USD"), (30, "USD"))], "a struct<minor:bigint,currency:string>, b struct<minor:bigint,currency:string>")
+    got = df.select(M.added(F.col("a"), F.col("b")).alias("s"), M.added(F.col("a"), F.col("b"), -1).alias("d")).first()
+    assert (got["s"]["minor"], got["d"]["minor"], got["s"]["currency"]) == (130, 70, "USD")
+    mixed = spark.createDataFrame([((1, "USD"), (1, "EUR"))], df.schema)
+    with pytest.raises(Exception, match="currencies differ"):
+        mixed.select(M.added(F.col("a"), F.col("b"))).collect()
