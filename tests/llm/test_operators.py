@@ -34,6 +34,23 @@ def test_radix(spark, corpus, options):
     assert sum(r[2] for r in got) > 0
 
 
+@pytest.mark.parametrize("options", [SPLIT[0], *SPLIT[2:4]])
+def test_repeats_without_ids(spark, corpus, options):
+    """A third of the rows without id, a third under one id: who is first is the order that the operators state."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t) for k, t in corpus]
+    rows += rows[:5]  # and some rows twice
+    df = frame(spark, rows)
+    none = lambda out: [(-1 if r[0] is None else r[0], *r[1:]) for r in out]
+    got = sorted(none(tuple(r) for r in superkmers.digest(df, **options).collect()))
+    assert got == brute.by_words(none(rows)) and sum(r[2] for r in got) > 0
+    groups = max(1, -(-sum(len((t or "").encode()) for _, t in rows) // options.get("group_bytes", 4 << 20)))
+    of = {(r["doc_id"], r["text"]): r["g"] for r in df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g")).collect()}
+    first = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, of[r], r[1]))
+    want = brute.by_bytes([(k, t) for k, (_, t) in enumerate(first)])
+    want = sorted((-1 if first[k][0] is None else first[k][0], *rest) for k, *rest in want)
+    assert sorted(none(tuple(r) for r in radix.digest(df, **options).collect())) == want
+
+
 def test_shorter_windows(spark, corpus):
     got = sorted(tuple(r) for r in superkmers.digest(frame(spark, corpus), length=12, gram=4, group_bytes=3000).collect())
     assert got == brute.by_words(corpus, 12)
