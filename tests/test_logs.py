@@ -232,7 +232,7 @@ def test_tables(spark, tmp_path):
     text = spark.read.csv(str(tmp_path / "fact_trace.csv"), header=True)
     assert TB.same_rows(TB.typed(text), df)
     with pytest.raises(ValueError):
-        TB.rules_of({"oneOf": []})
+        TB.rules_of({"contains": []})
     with pytest.raises(Exception, match="versions"):
         TB.guarded(spark.createDataFrame([("1",), ("2",)], "v string"), "v", ("1", "2")).collect()
     (tmp_path / "w").mkdir()
