@@ -37,7 +37,7 @@ def test_stream_regions(spark):
     assert got[1:4] == [("harness_task_prompt", "do it "), ("system_reminder", "<system-reminder>psst</system-reminder>"), ("harness_task_prompt", " now")]
     assert got[4:6] == [("self_thinking", "hm"), ("self_text", "ok")]
     assert [c for c, _ in got[6:12]] == ["tool_input"] * 6
-    assert got[12:] == [("tool_read", "file text"), ("bash_stdout", "12345"), ("bash_unattributed", "<persisted-output>p</persisted-output>"), ("bash_stdout", "67890"), ("tool_glob_filenames", "l1\nl2"), ("unknown_visible", "?"), ("tool_write_echo", "denied"), ("probe_answer", "WURP-0123abcd-001 {}"), ("unknown_visible", '{"type":"image"}'), ("harness_probe", "WURP-0123abcd-002 please")]
+    assert got[12:] == [("tool_read", "file text"), ("bash_stdout", "12345"), ("bash_unattributed", "<persisted-output>p</persisted-output>"), ("bash_stdout", "67890"), ("tool_glob_filenames", "l1l2"), ("unknown_visible", "?"), ("tool_write_echo", "denied"), ("probe_answer", "WURP-0123abcd-001 {}"), ("unknown_visible", '{"type":"image"}'), ("harness_probe", "WURP-0123abcd-002 please")]
     by = {r["channel"]: r for r in rows}
     assert not by["tool_write_echo"]["inbound"] and by["tool_read"]["inbound"] and by["tool_read"]["tool"] == "Read"
     assert [r["tool_use_id"] for r in RG.read_errors(raw).collect()] == ["f"]
