@@ -111,3 +111,45 @@ WITH cut AS (
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM cut LEFT JOIN kept USING (r)""",
 }
+
+#: Rows in the order of ids (null first), windows of ``length`` units of ``units`` and which of them come again; the
+#: runs that those cover, and what lies between.
+_REPEATS = """
+WITH i AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS key, {units} AS u FROM documents),
+w AS (SELECT r, key, unnest(range(1, {count} - {length} + 2)) AS k, u FROM i WHERE {count} >= {length}),
+v AS (SELECT r, key, k, {window} AS s FROM w),
+late AS (SELECT r, k FROM (SELECT r, key, k, {again} AS again FROM v) WHERE again),
+edge AS (SELECT r, k, coalesce(k - lag(k) OVER (PARTITION BY r ORDER BY k) > {length}, true) AS new FROM late),
+island AS (SELECT r, k, sum(new::INT) OVER (PARTITION BY r ORDER BY k) AS n FROM edge),
+run AS (SELECT r, n, min(k) AS a, max(k) + {length} AS b FROM island GROUP BY ALL),
+gap AS (SELECT r, n, coalesce(lag(b) OVER (PARTITION BY r ORDER BY n), 1) AS a, a AS b FROM run UNION ALL SELECT r, max(n) + 1, max(b), NULL FROM run GROUP BY r),
+piece AS (SELECT gap.r, gap.n, {piece} AS part FROM gap JOIN i USING (r)),
+kept AS (SELECT r, string_agg(part, {glue} ORDER BY n) FILTER (part <> '') AS part FROM piece GROUP BY r),
+total AS (SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM run GROUP BY r)
+"""
+_WORDS = _REPEATS.format(units=r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])", count="len(u)", length=50, window="array_to_string(u[k:k + 49], ' ')", again="key > min(key) OVER (PARTITION BY s)", piece="array_to_string(u[gap.a:coalesce(gap.b - 1, len(u))], ' ')", glue="' '")
+ORACLE_SQL["op4_superkmer_dedup"] = f"{_WORDS} SELECT doc_id, len(u)::BIGINT AS n_words, coalesce(removed, 0) AS n_removed, sha256(CASE WHEN removed IS NULL THEN array_to_string(u, ' ') ELSE coalesce(part, '') END) AS kept_sha256 FROM i LEFT JOIN total USING (r) LEFT JOIN kept USING (r)"
+_BYTES = _REPEATS.format(units="hex(encode(coalesce(text, '')))", count="length(u) // 2", length=100, window="substr(u, 2 * k - 1, 200)", again="row_number() OVER (PARTITION BY s ORDER BY key, r, k) > 1", piece="CASE WHEN gap.b IS NULL THEN substr(u, 2 * gap.a - 1) ELSE substr(u, 2 * gap.a - 1, 2 * (gap.b - gap.a)) END", glue="''")
+ORACLE_SQL["op6_radix_dedup"] = f"{_BYTES} SELECT doc_id, length(u) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN u ELSE coalesce(part, '') END)) AS kept_sha256 FROM i LEFT JOIN total USING (r) LEFT JOIN kept USING (r)"
+_LOWER = r"coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+ORACLE_SQL["op8_wu_manber"] = f"""
+WITH i AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER.format("text")} AS u FROM documents),
+b AS (SELECT item_id, {_LOWER.format("text")} AS u FROM benchmark), c AS (SELECT item_id, u, least(13, len(u)) AS size FROM b WHERE len(u) > 0),
+pattern AS (SELECT DISTINCT item_id, size, array_to_string(u[k:k + size - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(u) - size + 2)) AS k FROM c)),
+sizes AS (SELECT DISTINCT size FROM pattern),
+w AS (SELECT r, size, k, array_to_string(u[k:k + size - 1], ' ') AS s FROM (SELECT r, u, size, unnest(range(1, len(u) - size + 2)) AS k FROM i JOIN sizes ON len(u) >= size)),
+hit AS (SELECT r, k, size, item_id FROM w JOIN pattern USING (size, s)),
+spot AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT r, k, size FROM hit)) GROUP BY r),
+listed AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(u)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(u) AS contaminated
+FROM i LEFT JOIN spot USING (r) LEFT JOIN listed USING (r)"""
+#: Classes by exact overlap of all pairs that share a gram: signatures miss a pair at the threshold with chance 3e-6.
+ORACLE_SQL["op2_bagminhash"] = r"""
+WITH RECURSIVE i AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS u FROM documents),
+g AS (SELECT r, array_to_string(u[k:k + least(5, len(u)) - 1], ' ') AS s, count(*) AS c FROM (SELECT *, unnest(range(1, len(u) - least(5, len(u)) + 2)) AS k FROM i WHERE len(u) > 0) GROUP BY ALL),
+n AS (SELECT r, sum(c) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, sum(least(a.c, b.c)) AS s FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 5 * s >= 4 * (a.n + b.n - s)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS x, r AS y FROM i UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
+SELECT i.doc_id, c.class_id FROM i JOIN (SELECT x, min(doc_id) AS class_id FROM reach JOIN i ON r = y GROUP BY x) c ON c.x = i.r"""

@@ -43,7 +43,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.execute(queries.ORACLE_SQL[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
