@@ -179,3 +179,13 @@ def test_money_of_two_currencies(spark):
     mixed = spark.createDataFrame([((1, "USD"), (1, "EUR"))], df.schema)
     with pytest.raises(Exception, match="currencies differ"):
         mixed.select(M.added(F.col("a"), F.col("b"))).collect()
+
+
+def test_registry_problems(spark):
+    fine = {"fact_id": "f1", "task_id": "t1", "statement": "Stamp {nonce} in front", "clauses": [{"label": "how", "text": "in front"}], "paraphrase_regexes": ["stamp zq-\\w+"], "detector": {"name": "content_present", "params": {"pattern": "ZQ"}}, "nonce": "ZQ-4KM7TXP2", "distractors": [{"statement": "or {token}", "token": "ZQ-AAAA2222"}], "control": {"statement": "x"}}
+    assert G.registry_problems(spark, [fine]).count() == 0 and G.registry_problems(spark, []).count() == 0
+    odd = {"fact_id": "f 2", "task_id": "t1", "statement": "none", "clauses": [{"label": "a", "text": ""}, {"label": "a", "text": "b"}], "paraphrase_regexes": ["(", "x*", "test"], "nonce": "QX-1", "distractors": [{"statement": " ", "token": "q"}]}
+    got = {(r["fact_id"], r["severity"], r["problem"]) for r in G.registry_problems(spark, [fine, odd, {**fine, "task_id": "t3", "detector": {"name": "command_used", "params": {}}, "nonce": "ZQ-BBBB2222", "paraphrase_regexes": ["other words"]}]).collect()}
+    errors = {p for f, s, p in got if f == "f 2" and s == "error"}
+    assert errors == {"fact id", "several facts of one task", "no place for the token", "clause label twice", "empty clause", "pattern can't be read", "pattern matches nothing", "pattern matches plain text", "no detector", "token's form", "empty distractor", "distractor token's form", "distractor without a place for its token"}
+    assert ("f1", "error", "fact id twice") in got and ("f1", "error", "several facts of one task") in got and ("f1", "warning", "detector: pattern: missing") in got and ("f1", "warning", "no pattern matches the statement") in got and ("f 2", "warning", "no control") in got
