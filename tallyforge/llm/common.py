@@ -20,7 +20,7 @@ _own: dict[str, str] = {}
 
 
 #: Bytes of rows that one Arrow batch to or from Python holds, about; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
