@@ -118,13 +118,18 @@ def chunks(data: np.ndarray, offs: np.ndarray, most: int = CHUNK_BYTES) -> Itera
 
 def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the ``n + 1`` word offsets of documents."""
-    if not len(data):
+    return marked_runs(~separators[data], offs)
+
+
+def marked_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal marked runs of each document, and the ``n + 1`` run offsets of documents."""
+    size = len(inside)
+    if not size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~separators[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
-    before[offs[:-1][offs[:-1] < len(data)]] = False
+    before[offs[:-1][offs[:-1] < size]] = False
     after = np.empty_like(inside)
     after[-1] = False
     after[:-1] = inside[1:]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bagminhash, decisionlist, fm, langid, linededup, mixing, radix, superkmers, tokens, wumanber
-from tallyforge.llm.common import table
+from tallyforge.llm import bagminhash, chat, decisionlist, fm, langid, linededup, mixing, radix, superkmers, tokens, variants, whitening, wumanber
+from tallyforge.llm.common import fresh_path, table
 from tallyforge.llm.samples import held_out
 
 
@@ -57,7 +57,24 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_bagminhash, op3_fair_mix, op4_superkmer_dedup, op5_language, op6_radix_dedup, op7_factor_quality, op8_wu_manber, op9_decision_list, op10_site_lines)}
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], conversations.schema)
+    path = fresh_path(spark, "chat")
+    chat.write(conversations.unionByName(more), path)
+    return chat.digest(chat.read(spark, path))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), altered=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_bagminhash, op3_fair_mix, op4_superkmer_dedup, op5_language, op6_radix_dedup, op7_factor_quality, op8_wu_manber, op9_decision_list, op10_site_lines, op11_residue_whitening, op12_chat_format, op13_spelling_variants)}
 
 ORACLE_SQL = {
     "op3_fair_mix": r"""
@@ -153,3 +170,17 @@ l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 5 * s >=
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 reach AS (SELECT r AS x, r AS y FROM i UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
 SELECT i.doc_id, c.class_id FROM i JOIN (SELECT x, min(doc_id) AS class_id FROM reach JOIN i ON r = y GROUP BY x) c ON c.x = i.r"""
+
+ORACLE_SQL["op12_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(k, r)
+), marked AS (
+  SELECT *, length(regexp_replace(text, '([\[<]/?)(\\*)((?:INST|SYS|TURN)\]|s>)', '\1\\\2\3', 'g')) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 13
+    ELSE 16 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([\[<]/?)(\\*)((?:INST|SYS|TURN)\]|s>)', '\1\\\2\3', 'g')) END AS chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id"""

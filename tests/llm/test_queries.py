@@ -37,13 +37,13 @@ def held(i):
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.execute(queries.ORACLE_SQL[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
