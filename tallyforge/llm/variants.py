@@ -4,8 +4,8 @@ Words are counted over the whole corpus.  Bigrams are ordered by the number of w
 that have them, rarest first.  One edit destroys at most two of a word's bigrams and
 moves the others by at most one place, so two words one edit apart share one of the
 three rarest of each, at places that agree (equal lengths) or differ by the inserted
-code point.  Where the third has equals in its word those count as well, so that ties
-lose nothing.  Words of a bucket (bigram, place, length) are compared by what is left
+code point.  Where the third has equals in its word up to two of those count as well, so that
+ties lose nothing (:func:`rarest`).  Words of a bucket (bigram, place, length) are compared by what is left
 of them without one code point, in time linear in the bucket; a bucket of more than
 ``CELL`` words is split into blocks, and each pair of blocks meets in one cell.
 
@@ -154,14 +154,22 @@ def bigram_order(words: DataFrame) -> np.ndarray:
 
 
 def rarest(codes: np.ndarray, offs: np.ndarray, rank: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, bigram and place of the ``most`` rarest positional bigrams of each word, and of those equal to the last of them."""
+    """Word, bigram and place of the ``most`` rarest positional bigrams of each word, and of up to two more equal to the last of them.
+
+    Of two words one edit apart, take the one whose last is rarer or as rare.  One of its three survives the
+    edit; if it is rarer than the other's last, it is among the other's three.  If it is that very bigram, the at most two bigrams
+    that the edit made can stand before it, so it is among the other's first five.
+    """
     gram, place, word = _bigrams(codes, offs)
     order = np.lexsort((place, rank[gram], word))
     gram, place, word = gram[order], place[order], word[order]
     first = np.searchsorted(word, np.arange(len(offs)))
     within = np.arange(len(word)) - first[word]
     last = np.minimum(first[:-1] + most, first[1:]) - 1
-    kept = (within < most) | (gram == gram[np.maximum(last, 0)][word] if len(word) else False)
+    if len(word):
+        kept = (within < most) | ((within < most + 2) & (gram == gram[np.maximum(last, 0)][word]))
+    else:
+        kept = np.zeros(0, bool)
     return word[kept], gram[kept], place[kept]
 
 
