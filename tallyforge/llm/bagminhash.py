@@ -100,7 +100,7 @@ def _grams(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.
     data, offs = K.flat(column)
     for a, b, d, o in K.chunks(data, offs, 2 << 20):
         s, e, wo = K.words(d, o, K.SPACE)
-        yield a, b, *multisets(*K.shingles(K.span_hashes(d, s, e), wo, k))
+        yield a, b, *multisets(*K.shingles(K.spans(d, s, e), wo, k))
 
 
 def _signed(k: int, bands: int, rows: int):

@@ -19,8 +19,6 @@ CHUNK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A second, independent draw, for spans that need more than 64 bits.
-OTHER_BYTES = np.random.default_rng(20241031).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -139,14 +137,103 @@ def marked_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTES) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they lie."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that may overlap; equal spans have equal hashes wherever they lie.
+
+    A polynomial modulo 2^64, so some pairs of long spans share a hash by construction: only for callers that
+    compare bytes before two spans count as equal.
+    """
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans as words of eight bytes, the last one padded with zeros, and the ``n + 1`` offsets of spans in them."""
+    size = ends - starts
+    count = (size + 7) >> 3
+    offs = np.concatenate([[0], np.cumsum(count)])
+    within = np.arange(offs[-1]) - np.repeat(offs[:-1], count)
+    at = np.repeat(starts, count) + 8 * within
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))[at]
+    left = np.minimum(np.repeat(size, count) - 8 * within, 8).astype(np.uint64)
+    return eights & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (left << np.uint64(3)))), offs
+
+
+def block_hashes(flat: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans from their blocks: a sum of mixed blocks, each salted with its place, and the size.
+
+    The mixing isn't linear, so that no two spans share a hash by their pattern alone.
+    """
+    n = len(offs) - 1
+    out = np.zeros(n, np.uint64)
+    if len(flat):
+        count = np.diff(offs)
+        within = (np.arange(len(flat)) - np.repeat(offs[:-1], count)).astype(np.uint64)
+        some = count > 0
+        out[some] = np.add.reduceat(mix(flat ^ mix(within + np.uint64(0x9E3779B97F4A7C15))), offs[:-1][some])
+    return mix(out + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """:func:`block_hashes` of byte spans."""
+    return block_hashes(*blocks(data, starts, ends), ends - starts)
+
+
+def identities(h: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray], content: Callable[[int], object]) -> np.ndarray:
+    """Numbers that two entries share if and only if they are equal, from hashes that equal entries share.
+
+    ``equal(a, b)`` compares entries a[i] and b[i]. Where a hash has several contents, ``content`` tells them apart.
+    """
+    order = np.argsort(h, kind="stable")
+    a, b = order[:-1], order[1:]
+    same = h[a] == h[b]
+    at = np.flatnonzero(same)
+    wrong = at[~equal(a[at], b[at])]
+    run = np.cumsum(np.concatenate([[False], ~same])[: len(h)])
+    out = np.empty(len(h), np.int64)
+    out[order] = run
+    if len(wrong):
+        numbers: dict[object, int] = {}
+        for x in np.flatnonzero(np.isin(run, run[wrong])):
+            out[order[x]] = len(h) + numbers.setdefault(content(int(order[x])), len(numbers))
+    return out
+
+
+def equal_blocks(flat: np.ndarray, offs: np.ndarray, sizes: np.ndarray, a: np.ndarray, other: np.ndarray, other_offs: np.ndarray, other_sizes: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether span a[i] of one set of blocks equals span b[i] of another."""
+    out = sizes[a] == other_sizes[b]
+    at = np.flatnonzero(out & (sizes[a] > 0))
+    if len(at):
+        n = offs[a[at] + 1] - offs[a[at]]
+        differ = flat[ranges(offs[a[at]], n)] != other[ranges(other_offs[b[at]], n)]
+        out[at] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
+
+
+def span_identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that spans share if and only if their bytes are equal, and the spans' hashes."""
+    (flat, offs), sizes = blocks(data, starts, ends), ends - starts
+    h = block_hashes(flat, offs, sizes)
+    same = lambda a, b: equal_blocks(flat, offs, sizes, a, flat, offs, sizes, b)
+    return identities(h, same, lambda k: data[starts[k] : ends[k]].tobytes()), h
+
+
+def gram_identities(ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers that positions share if and only if their ``k`` consecutive entries are equal."""
+    h = gram_hashes(ids.astype(np.uint64), k)
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for j in range(k):
+            out &= ids[a + j] == ids[b + j]
+        return out
+
+    return identities(h, same, lambda x: ids[x : x + k].tobytes())
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of ``k`` consecutive entries at each of ``len(h) - k + 1`` positions."""
     n = len(h) - k + 1

@@ -3,7 +3,7 @@
 Sources by code point, null last, take weights 5, 2, 1 in turn and share the
 budget (all words, by default).  A target stops at ``most`` times its source and
 the excess goes to the others by weight until none is above.  Documents of a
-source are shuffled (by MD5 of seed and id) and queue up, pass after pass, at
+source are shuffled (by MD5 of seed, id and text) and queue up, pass after pass, at
 most ``most`` times.  An entry of the queue has a virtual finish time: its source's
 words through its end, divided by the source's target.  All entries are sorted by
 finish time over the whole cluster and served in that order until the budget is
@@ -16,7 +16,8 @@ only tables with a row a source or a range are.
 
 Null texts have size 0: they are in the result, but nothing of them is taken.  A null
 source is a source.  Every row is a document of its own, whether its id is null,
-repeated or not; rows with one id are ordered by size and a hash of their text.
+repeated or not, and lies in the cell of its id and text: only rows equal in both share one
+for certain.
 Very long texts are counted whole.  An empty table gives none, and columns with names of
 this module's own don't matter.
 """
@@ -57,17 +58,21 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.first("level", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.col("cap").cast("double"))).alias("target"), F.col("total").alias("budget"))
 
 
-def queued(sized: DataFrame, scratch: Scratch, *, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: int | None = None) -> DataFrame:
-    """Rows (row, doc_id, source, size, tie) with source_size, target, budget and start: the source's words before them in a pass."""
-    token = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized.withColumn("shuffle", token).withColumn("cell", F.substring("shuffle", 1, 3))
+def shuffled(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A row's place in its source's shuffled order: by id and text, so that rows without id or of one id are spread too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
+
+
+def queued(sized: DataFrame, scratch: Scratch, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: int | None = None) -> DataFrame:
+    """Rows (row, doc_id, source, size, shuffle) with source_size, target, budget and start: the source's words before them in a pass."""
+    rows = sized.withColumn("cell", F.substring("shuffle", 1, 3))
     cells = scratch.written(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
     aims = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights=weights, most=most, budget=budget)
     so_far = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(so_far), F.lit(0)).alias("ahead"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     aimed = placed.join(aims.withColumnRenamed("source", "s"), same("source", "s")).drop("s").withColumnsRenamed({"source": "of_source", "cell": "of_cell"})
-    within = Window.partitionBy("source", "cell").orderBy("shuffle", "doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "cell").orderBy("shuffle", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("inside", F.sum("size").over(within)).join(aimed, same("source", "of_source") & (F.col("cell") == F.col("of_cell")))
     return out.select("row", "doc_id", "source", "size", "source_size", "target", "budget", (F.col("ahead") + F.col("inside") - F.col("size")).alias("start"))
 
@@ -97,24 +102,24 @@ def _mixed(rows: DataFrame, columns: dict[str, str], scratch: Scratch, **options
     return queue, served(queue, scratch, rows.count(), options.get("most", MOST))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
     scratch = Scratch(docs.sparkSession)
-    rows, _ = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")))
-    names = ("row", "doc_id", "source", "size", "tie")
+    rows, _ = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffled(F.col(id_col), F.col(text_col), seed).alias("shuffle")))
+    names = ("row", "doc_id", "source", "size", "shuffle")
     queue, taken = _mixed(scratch.written(rows, "sized"), dict(zip(names, names)), scratch, **options)
     out = written(queue.join(taken.hint("merge"), F.col("row") == F.col("of_row"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), "mix")
     scratch.clear()
     return out
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; the one that the budget cuts counts if half of it is taken."""
     scratch = Scratch(docs.sparkSession)
     rows, row = numbered(docs)
-    size, tie, key, count = (unused(rows, name) for name in ("size", "tie", "of_row", "times"))
-    rows = written(rows.withColumns({size: word_count(F.col(text_col)), tie: F.xxhash64(text_col)}), "sized")
-    queue, taken = _mixed(rows, {"row": row, "doc_id": id_col, "source": source_col, "size": size, "tie": tie}, scratch, **options)
+    size, place, key, count = (unused(rows, name) for name in ("size", "shuffle", "of_row", "times"))
+    rows = written(rows.withColumns({size: word_count(F.col(text_col)), place: shuffled(F.col(id_col), F.col(text_col), seed)}), "sized")
+    queue, taken = _mixed(rows, {"row": row, "doc_id": id_col, "source": source_col, "size": size, "shuffle": place}, scratch, **options)
     # merged at every size: a table of row numbers is much smaller on disk than in memory
     taken = taken.join(queue.select("row", "size").hint("merge"), F.col("of_row") == F.col("row"))
     times = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int")

@@ -79,7 +79,7 @@ QUERIES = {f.__name__: f for f in (op1_rans_tokens, op2_bagminhash, op3_fair_mix
 ORACLE_SQL = {
     "op3_fair_mix": r"""
 WITH RECURSIVE sized AS (
-  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS r, doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS shuffle, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight
@@ -99,7 +99,7 @@ WITH RECURSIVE sized AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT level FROM water), cap::DOUBLE)) AS target FROM capped
 ), queued AS (
   SELECT s.r, s.source, s.doc_id, s.size, a.source_size, a.target,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size, s.r ROWS UNBOUNDED PRECEDING) - s.size AS start
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.shuffle, s.doc_id, s.size, s.r ROWS UNBOUNDED PRECEDING) - s.size AS start
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
 ), entries AS (
   SELECT r, source, size, p * source_size + start AS place, (p * source_size + start + size)::DOUBLE / target AS finish

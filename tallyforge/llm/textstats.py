@@ -1,4 +1,7 @@
-"""Counts of whole texts, as vectors over a chunk of documents."""
+"""Counts of whole texts, as vectors over a chunk of documents.
+
+Words, lines and windows count as equal only if their bytes are: hashes sort them, bytes decide.
+"""
 
 from __future__ import annotations
 
@@ -24,10 +27,10 @@ def per_doc(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def _later_of_doc(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (document, hash), where an entry equals the one before it, and where the one after."""
-    order = np.lexsort((h, doc))
-    a, b = h[order], doc[order]
+def _later_of_doc(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (document, identity), where an entry equals the one before it, and where the one after."""
+    order = np.lexsort((ids, doc))
+    a, b = ids[order], doc[order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     return order, np.concatenate([[False], same]), np.concatenate([same, [False]])
 
@@ -37,7 +40,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     n = len(offs) - 1
     zero = np.zeros(n, np.int64)
     s, e, wo = K.words(data, offs, K.SPACE)
-    h = K.span_hashes(data, s, e)
+    ids, h = K.span_identities(data, s, e)
     out = {"n_words": np.diff(wo), "n_bytes": np.diff(offs)}
     solid = ~K.SPACE[data]
     out["word_chars"] = per_doc(solid & ((data & 0xC0) != 0x80), offs)
@@ -46,7 +49,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     if not len(s):
         return out | {k: zero for k in COUNTS if k not in out}, h, wo
     of_word = np.repeat(np.arange(n), out["n_words"])
-    _, before, _ = _later_of_doc(h, of_word)
+    _, before, _ = _later_of_doc(ids, of_word)
     out["n_distinct"] = out["n_words"] - np.bincount(np.sort(of_word)[before], minlength=n)
     # lines: from a document's start or after a newline to the next newline or its end
     breaks = np.flatnonzero(data == 0x0A)
@@ -57,7 +60,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     starts, ends = starts[held], ends[held]
     of_line = np.searchsorted(offs, starts, "right") - 1
     out["n_lines"] = np.bincount(of_line, minlength=n)
-    order, before, _ = _later_of_doc(K.span_hashes(data, starts, ends), of_line)
+    order, before, _ = _later_of_doc(K.span_identities(data, starts, ends)[0], of_line)
     out["n_dup_lines"] = np.bincount(of_line[order][before], minlength=n)
     # words in five-word windows that the text has twice or more
     windows = np.maximum(out["n_words"] - 4, 0)
@@ -65,7 +68,7 @@ def counts(data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     of_window = np.repeat(np.arange(n), windows)
     edge = np.zeros(len(s) + 1, np.int64)
     if len(first):
-        order, before, after = _later_of_doc(K.gram_hashes(h, 5)[first], of_window)
+        order, before, after = _later_of_doc(K.gram_identities(ids, 5)[first], of_window)
         twice = first[order][before | after]
         edge[twice] += 1
         np.subtract.at(edge, twice + 5, 1)

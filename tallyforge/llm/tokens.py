@@ -27,7 +27,7 @@ from tallyforge.llm import rans
 from tallyforge.llm.common import bounded_batches, deleted, fresh_path, text_bytes
 
 BLOCK_TOKENS = 1 << 19
-#: Words whose ids a Python worker remembers, about 25 bytes each; others are encoded again, each time they come.
+#: Words whose ids a Python worker remembers, about 60 bytes each; others are encoded again, each time they come.
 REMEMBERED = 500_000
 #: Ids that all remembered words of a worker may have together, and that one may have.
 REMEMBERED_IDS, WORD_IDS = 4_000_000, 255
@@ -39,55 +39,69 @@ _FILE = "part int, block int, before long, n_tokens long, doc_ids array<bigint>,
 
 
 class Store:
-    """Ids of words by 96 bits of hash: an open-addressed table in arrays, looked up for many words at once."""
+    """Ids of words: an open-addressed table in arrays, looked up for many words at once.
+
+    A word is found by 64 bits of hash and taken only if its bytes are those that are kept.
+    """
 
     def __init__(self, wide: np.dtype):
         self.size, self.pool, self.used = 0, np.zeros(1 << 16, wide), 0
+        self.words, self.offs, self.sizes = np.zeros(1 << 16, np.uint64), np.zeros((1 << 12) + 1, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.count, self.h = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint8), np.zeros(1 << 12, np.uint64)
         self._allot(1 << 16)
 
     def _allot(self, slots: int) -> None:
-        self.mask = np.uint64(slots - 1)
-        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32)
-        self.start, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+        #: The word in each slot, by its number from 1; 0 is free.
+        self.mask, self.slots = np.uint64(slots - 1), np.zeros(slots, np.int32)
 
-    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Slots of words, or -1."""
+    def find(self, h: np.ndarray, flat: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of words from 0, or -1."""
         out = np.full(len(h), -1, np.int64)
         slot, left = (h & self.mask).astype(np.int64), np.arange(len(h))
         while len(left):
-            key = self.key[slot]
-            hit = (key == h[left]) & (self.check[slot] == check[left])
-            out[left[hit]] = slot[hit]
-            on = ~hit & (key != 0)
+            there = self.slots[slot].astype(np.int64) - 1
+            near = np.flatnonzero((there >= 0) & (self.h[there] == h[left]))
+            hit = np.zeros(len(left), bool)
+            hit[near] = K.equal_blocks(flat, offs, sizes, left[near], self.words, self.offs, self.sizes, there[near])
+            out[left[hit]] = there[hit]
+            on = ~hit & (there >= 0)
             left, slot = left[on], (slot[on] + 1) & int(self.mask)
         return out
 
-    def _place(self, h: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
-        slot, left = (h & self.mask).astype(np.int64), np.arange(len(h))
-        while len(left):
-            free = self.key[slot] == 0
-            self.key[slot[free]] = h[left[free]]
-            self.check[slot[free]] = check[left[free]]
-            mine = free & (self.key[slot] == h[left]) & (self.check[slot] == check[left])
-            self.start[slot[mine]], self.count[slot[mine]] = start[left[mine]], count[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + 1) & int(self.mask)
-
-    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def _place(self, number: np.ndarray) -> None:
+        slot = (self.h[number] & self.mask).astype(np.int64)
+        while len(number):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = number[free] + 1
+            on = self.slots[slot] != number + 1
+            number, slot = number[on], (slot[on] + 1) & int(self.mask)
+
+    @staticmethod
+    def _room(held: np.ndarray, need: int) -> np.ndarray:
+        return held if need <= len(held) else np.concatenate([held, np.zeros(max(need - len(held), len(held)), held.dtype)])
+
+    def add(self, h: np.ndarray, flat: np.ndarray, offs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Words that aren't there yet, each once; ``ids`` are theirs in a row, WORD_IDS a word at most."""
-        if 2 * (self.size + len(h)) > len(self.key):
-            full = np.flatnonzero(self.key)
-            old = self.key[full], self.check[full], self.start[full], self.count[full]
-            slots = len(self.key)
-            while 2 * (self.size + len(h)) > slots:
-                slots *= 2
-            self._allot(slots)
-            self._place(*old)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.pool.dtype)])
+        n, old, of_words = len(h), self.size, int(self.offs[self.size])
+        self.pool = self._room(self.pool, self.used + len(ids))
+        self.words = self._room(self.words, of_words + len(flat))
+        self.offs = self._room(self.offs, old + n + 1)
+        self.sizes, self.start, self.count, self.h = (self._room(x, old + n) for x in (self.sizes, self.start, self.count, self.h))
         self.pool[self.used : self.used + len(ids)] = ids
-        self._place(h, check, (self.used + np.cumsum(count) - count).astype(np.int32), count.astype(np.uint8))
+        self.words[of_words : of_words + len(flat)] = flat
+        self.offs[old + 1 : old + n + 1] = of_words + offs[1:]
+        self.sizes[old : old + n], self.h[old : old + n], self.count[old : old + n] = sizes, h, count
+        self.start[old : old + n] = self.used + np.cumsum(count) - count
         self.used += len(ids)
-        self.size += len(h)
+        self.size += n
+        if 2 * self.size > len(self.slots):
+            slots = len(self.slots)
+            while 2 * self.size > slots:
+                slots *= 2
+            self._allot(slots)
+            self._place(np.arange(self.size))
+        else:
+            self._place(np.arange(old, self.size))
 
 
 class WordEncoder:
@@ -158,20 +172,24 @@ class WordEncoder:
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk of documents in a row, the end id after each, and how many each has."""
         s, e, wo = K.words(data, offs, K.SPACE)
-        h = np.maximum(K.span_hashes(data, s, e), 1)
-        check = (K.span_hashes(data, s, e, K.OTHER_BYTES) >> np.uint64(32)).astype(np.uint32)
-        slot = self.store.find(h, check)
-        start, count, pool = self.store.start[slot].astype(np.int64), self.store.count[slot].astype(np.int64), self.store.pool
-        new = np.flatnonzero(slot < 0)
+        (flat, at), sizes = K.blocks(data, s, e), e - s
+        h = K.block_hashes(flat, at, sizes)
+        number = self.store.find(h, flat, at, sizes)
+        start, count, pool = self.store.start[number], self.store.count[number].astype(np.int64), self.store.pool
+        new = np.flatnonzero(number < 0)
         if len(new):
-            _, first, back = np.unique(h[new] ^ (check[new].astype(np.uint64) << np.uint64(16)), return_index=True, return_inverse=True)
+            same = lambda a, b: K.equal_blocks(flat, at, sizes, new[a], flat, at, sizes, new[b])
+            found = K.identities(h[new], same, lambda k: data[s[new[k]] : e[new[k]]].tobytes())
+            _, first, back = np.unique(found, return_index=True, return_inverse=True)
             own, text = new[first], data.tobytes()
             ids, n = self._fresh([text[a:b] for a, b in zip(s[own].tolist(), e[own].tolist())])
             start[new], count[new] = (len(pool) + np.cumsum(n) - n)[back], n[back]
             pool = np.concatenate([pool, ids])
             if self.store.size < REMEMBERED and self.store.used < REMEMBERED_IDS:
                 short = n <= WORD_IDS
-                self.store.add(h[own[short]], check[own[short]], ids if short.all() else ids[np.repeat(short, n)], n[short])
+                kept = own[short]
+                blocks = np.diff(at)[kept]
+                self.store.add(h[kept], flat[K.ranges(at[kept], blocks)], np.concatenate([[0], np.cumsum(blocks)]), sizes[kept], ids if short.all() else ids[np.repeat(short, n)], n[short])
         docs = len(wo) - 1
         ends = np.cumsum(np.concatenate([[0], count]))[wo[1:]] + np.arange(1, docs + 1)
         out = np.full(int(ends[-1]) if docs else 0, self.end, self.wide)

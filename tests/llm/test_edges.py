@@ -145,6 +145,22 @@ def test_mix_without_ids(spark, tmp_path):
     assert sorted(r["n_chars"] for r in corpus_pipeline.STAGES[3][1](spark, one, str(tmp_path)).collect()) == [1, 2, 3, 4]
 
 
+def test_mix_spread(spark):
+    """Rows without id, or all with one, are dealt over the cells of their source like any others."""
+    from tallyforge.llm.common import Scratch
+
+    rows = [(k, None if k % 2 else 7, f"a b {k}", "a" if k % 3 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "row long, doc_id long, text string, source string")
+    sized = df.withColumn("size", mixing.word_count(df.text)).withColumn("shuffle", mixing.shuffled(df.doc_id, df.text))
+    assert sized.selectExpr("source", "substring(shuffle, 1, 3) as cell").groupBy("source", "cell").count().agg({"count": "max"}).first()[0] < 12
+    scratch = Scratch(spark)
+    queue = mixing.queued(sized, scratch).collect()
+    scratch.clear()
+    for source in ("a", None):
+        own = sorted((r["start"], r["size"]) for r in queue if r["source"] == source)
+        assert [a for a, _ in own] == [3 * k for k in range(len(own))]
+
+
 def test_unknown_languages(spark, tmp_path):
     """A text in a language that no row is labelled with is rejected; clean ones and short ones stay."""
     rng = random.Random(12)

@@ -139,7 +139,7 @@ def test_op7(spark, docs):
         x = {fm.WORDS + k * fm.CELLS + int((machine.edges[k] <= v).sum()): 1.0 for k, v in enumerate(fm.ratios(c)[0])}
         words = [w.encode() for w in brute.WORD.findall(lower)]
         for w, n in Counter(words).items():
-            h = kernels.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+            h = kernels.spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
             x[int(h) & (fm.WORDS - 1)] = x.get(int(h) & (fm.WORDS - 1), 0) + 10 * n / len(words)
         at, value = list(x), np.array(list(x.values()))
         vx = machine.v[at] * value[:, None]
