@@ -7,6 +7,7 @@ that are errors, 2 wrong usage, 3 something can't be read or reported.
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
 from collections.abc import Sequence
@@ -52,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--limit", type=int, default=0)
     export = command("export", "write a ledger in another format", "ledger", chart=True)
     export.add_argument("--format", default="json", choices=("json", "csv"))
-    export.add_argument("--out", help="folder to write to; else the first rows are printed")
+    export.add_argument("--out", help="folder to write to; else everything is printed, in order")
     command("accounts", "list a chart", "chart").add_argument("--type", choices=sorted(set(L.ROOT_TYPES.values())))
     command("reports", "list the reports")
     return top
@@ -69,9 +70,11 @@ def _book(spark: SparkSession, path: str) -> DataFrame:
 
 def _shown(rows: DataFrame, as_json: bool, out: TextIO) -> None:
     if as_json:
-        print(json.dumps({"columns": rows.columns, "rows": [[v if isinstance(v, (int, float, type(None))) else str(v) for v in r] for r in rows.limit(render.MOST).collect()]}, indent=2), file=out)
+        out.write(f'{{\n  "columns": {json.dumps(rows.columns)},\n  "rows": ')
+        render.streamed_json(render.values(rows), out, 2)
+        out.write("\n}\n")
     else:
-        print(render.text_table(rows), file=out)
+        render.streamed_table(rows, out)
 
 
 def _validate(spark: SparkSession, args: argparse.Namespace, out: TextIO) -> int:
@@ -79,11 +82,13 @@ def _validate(spark: SparkSession, args: argparse.Namespace, out: TextIO) -> int
     book = _book(spark, args.ledger)
     issues = V.validate(book, chart, args.rule or None).cache()
     counts = issues.agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w")).first()
-    ordered = issues.orderBy("line_no", "code", "message").limit(render.MOST).collect()
+    ordered = issues.orderBy("line_no", "code", "message")
     if args.json:
-        print(json.dumps({"summary": {"errors": counts["e"], "warnings": counts["w"]}, "issues": [r.asDict() for r in ordered]}, indent=2), file=out)
+        out.write(f'{{\n  "summary": {json.dumps({"errors": counts["e"], "warnings": counts["w"]})},\n  "issues": ')
+        render.streamed_json((r.asDict() for r in ordered.toLocalIterator()), out, 2)
+        out.write("\n}\n")
     else:
-        for r in ordered:
+        for r in ordered.toLocalIterator():
             print(f"{r['severity']}: {r['code']}: {r['message']} (line {r['line_no']})", file=out)
         print(f"{book.select('txn_id').distinct().count()} transactions, {counts['e']} error(s), {counts['w']} warning(s)", file=out)
     return ISSUES if counts["e"] else WELL
@@ -96,7 +101,8 @@ def _report(spark: SparkSession, args: argparse.Namespace, out: TextIO) -> int:
     if args.rates:
         book = L.converted(book, S.read_rates(spark, args.rates), args.currency.upper(), bridge=True)
     options = L.Options(period=Period.parse(args.period) if args.period else None, account=args.account, currency=args.currency, limit=args.limit or None)
-    _shown(L.run_report(args.name, book, options), args.json, out)
+    rows = L.run_report(args.name, book, options)
+    _shown(rows.orderBy(*rows.columns), args.json, out)
     return WELL
 
 
@@ -110,10 +116,14 @@ def _export(spark: SparkSession, args: argparse.Namespace, out: TextIO) -> int:
         print(f"wrote {args.out}", file=out)
         return WELL
     if args.format == "csv":
-        rows = S.csv_rows(book)
-        print("\n".join([",".join(rows.columns), *(",".join(str(v) for v in r) for r in rows.limit(render.MOST).collect())]), file=out)
+        rows = book.orderBy("date", "line_no", "ordinal")
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(S.csv_rows(rows).columns)
+        writer.writerows(S.csv_rows(rows).toLocalIterator())
     else:
-        print(json.dumps([json.loads(r["json"]) for r in S.transactions_json(book).orderBy("date", "line_no").limit(render.MOST).collect()], indent=2), file=out)
+        rows = S.transactions_json(book).orderBy("date", "line_no")
+        render.streamed_json((json.loads(r["json"]) for r in rows.toLocalIterator()), out)
+        out.write("\n")
     return WELL
 
 

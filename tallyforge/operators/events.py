@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.prefix import running_count
-
-
-def by_run():
-    return Window.partitionBy("run_id")
+from tallyforge.operators.scan import count, last_known, ordinal, ranged, row_before, scanned
 
 
 def gate_index(gate: DataFrame) -> DataFrame:
@@ -28,9 +25,11 @@ def gate_join(tool_uses: DataFrame, gate: DataFrame) -> DataFrame:
     both = tool_uses.select("run_id", "seq", "tool_use_id").join(g, (F.col("run_id") == F.col("g_run")) & (F.col("tool_use_id") == F.col("g_id")), "full_outer")
     status = F.when(F.col("g_id").isNull(), "stream_only").when(F.col("tool_use_id").isNull(), "gate_only").otherwise("joined")
     rows = both.select(F.coalesce("run_id", "g_run").alias("run_id"), "seq", F.coalesce("tool_use_id", "g_id").alias("tool_use_id"), "barrier", "fires", "decision", status.alias("join_status"))
-    last = F.coalesce(F.max("seq").over(by_run()), F.lit(-1))
-    late = F.count_if(F.col("seq").isNull()).over(by_run().orderBy(F.col("seq").isNull(), "seq", "tool_use_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("seq", F.coalesce("seq", last + late))
+    last = tool_uses.groupBy(F.col("run_id").alias("_run")).agg(F.max("seq").alias("_last"))
+    # the gate's own calls are numbered by their ids, in ranges of them
+    late = scanned(ranged(rows.where("seq is null").drop("seq"), ["run_id"], ["tool_use_id"], "_range"), ["run_id"], ["tool_use_id"], {"_late": ordinal()}, F.col("_range"))
+    late = late.join(last, F.col("run_id") == F.col("_run"), "left").withColumn("seq", F.coalesce("_last", F.lit(-1)) + F.col("_late"))
+    return rows.where("seq is not null").unionByName(late.select(rows.columns))
 
 
 def join_coverage(joined: DataFrame) -> DataFrame:
@@ -40,34 +39,51 @@ def join_coverage(joined: DataFrame) -> DataFrame:
 def turn_index(rows: DataFrame) -> DataFrame:
     """Dense index of messages by first sight; null before the first."""
     named = F.coalesce(F.col("message_id"), F.lit("")) != ""
-    first = named & (F.row_number().over(Window.partitionBy("run_id", "message_id").orderBy("seq")) == 1)
-    rows = rows.withColumn("_first", first.cast("int"))
-    return running_count(rows, ["run_id"], "seq", [], F.col("_first"), "turn_idx").withColumn("turn_idx", F.nullif(F.col("turn_idx") - 1, F.lit(-1))).drop("_first")
+    # rows without a message are no group of their own
+    own = Window.partitionBy("run_id", "message_id", F.when(~named, F.col("seq"))).orderBy("seq")
+    rows = rows.withColumn("_first", named & (F.row_number().over(own) == 1))
+    return scanned(rows, ["run_id"], ["seq"], {"turn_idx": count(F.col("_first"))}).withColumn("turn_idx", F.nullif(F.col("turn_idx") - 1, F.lit(-1))).drop("_first")
 
 
 def next_tool_after(points: DataFrame, tools: DataFrame) -> DataFrame:
     """Forward as-of join: for each point (run_id, at), the first tool call (run_id, seq, tool) after it.
 
-    Both sides meet in one sort of their run; nothing is paired.
+    Both sides meet in one order of their run, scanned from its end; nothing is paired.
     """
     both = points.select("run_id", F.col("at").alias("seq"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("long").alias("tool_seq")).unionByName(tools.select("run_id", "seq", F.lit(-1).alias("side"), "tool", F.col("seq").cast("long").alias("tool_seq")))
-    # from the end backwards, so that the frame grows by a row at a time
-    after = by_run().orderBy(F.desc("seq"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
-    got = F.last(F.when(F.col("side") == -1, F.struct("tool_seq", "tool")), ignorenulls=True).over(after)
-    return both.withColumn("next", got).where("side = 0").select("run_id", F.col("seq").alias("at"), F.col("next.tool_seq").alias("next_seq"), F.col("next.tool").alias("next_tool"))
+    call = F.when(F.col("side") == -1, F.struct("tool_seq", "tool"))
+    rows = scanned(both, ["run_id"], ["seq", "side", "tool_seq", "tool"], {"next": last_known(call, before=True)}, back=True)
+    return rows.where("side = 0").select("run_id", F.col("seq").alias("at"), F.col("next.tool_seq").alias("next_seq"), F.col("next.tool").alias("next_tool"))
+
+
+def first_sights(values: DataFrame, value: str) -> DataFrame:
+    """(run_id, at, ordinal, value): each run's distinct values by first sight, ties by value, numbered from 1.
+
+    A value counts from its first sight: a row a value, not a use.
+    """
+    first = values.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.min("seq").alias("at")).select("run_id", "at", F.col(value).alias("value"))
+    return scanned(first, ["run_id"], ["at", "value"], {"ordinal": ordinal()})
+
+
+def prefix_sizes(points: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
+    """Prefix sets in short: for each point how many of its run's first sights (:func:`first_sights`) came up to it.
+
+    The set of a point is the values whose ordinal isn't above the number, so the result is a row a point.
+    """
+    first = first_sights(values, value).select("run_id", "at", F.lit(0).alias("side"))
+    both = first.unionByName(points.select("run_id", "at", F.lit(1).alias("side")).distinct())
+    return scanned(both, ["run_id"], ["at", "side"], {name: count(F.col("side") == 0)}).where("side = 1").drop("side")
 
 
 def seen_before(points: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
-    """Prefix sets: for each point, the distinct values of its run up to it, sorted.
+    """Prefix sets written out: for each point, the distinct values of its run up to it, sorted.
 
-    A value counts from its first sight: a row a value, not a use. Both sides meet in one
-    sort of their run and the set grows along it, so nothing is paired.
+    That is as many values as the sets hold together; :func:`prefix_sizes` has them in a number each.
     """
-    first = values.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.min("seq").alias("at")).select("run_id", "at", F.lit(0).alias("side"), F.col(value).alias("_value"))
-    both = first.unionByName(points.select("run_id", "at", F.lit(1).alias("side"), F.lit(None).cast(first.schema["_value"].dataType).alias("_value")).distinct())
-    so_far = by_run().orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = both.withColumn(name, F.collect_set("_value").over(so_far)).where("side = 1")
-    return rows.select("run_id", "at", F.array_sort(name).alias(name))
+    sizes = prefix_sizes(points, values, value, "_size")
+    first = first_sights(values, value).withColumnsRenamed({"run_id": "_run", "at": "_at"})
+    held = sizes.join(first, (F.col("run_id") == F.col("_run")) & (F.col("ordinal") <= F.col("_size")), "left")
+    return held.groupBy("run_id", "at").agg(F.array_sort(F.collect_list("value")).alias(name))
 
 
 def probe_windows(rows: DataFrame) -> DataFrame:
@@ -102,15 +118,17 @@ def truncation_index(signals: DataFrame) -> DataFrame:
 def carried_seq(rows: DataFrame) -> DataFrame:
     """A row's own seq, else its tool's, else its message's, else the last known before it."""
     known = F.coalesce("seq", "tool_seq", "message_seq")
-    return rows.withColumn("resolved_seq", F.last(known, ignorenulls=True).over(by_run().orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return scanned(rows, ["run_id"], ["line_no"], {"resolved_seq": last_known(known)})
 
 
 def barrier_ordinals(gate: DataFrame) -> DataFrame:
     """1-based barrier number of each gate row and how often its key came before."""
-    return gate.withColumn("ordinal", F.row_number().over(by_run().orderBy("line_no"))).withColumn("repeats", F.row_number().over(Window.partitionBy("run_id", "tool_use_id").orderBy("line_no")) - 1)
+    numbered = scanned(gate, ["run_id"], ["line_no"], {"ordinal": ordinal()})
+    return scanned(numbered, ["run_id", "tool_use_id"], ["line_no"], {"repeats": ordinal()}).withColumn("repeats", F.col("repeats") - 1)
 
 
-def islands(rows: DataFrame, key: str) -> DataFrame:
-    """Numbers of consecutive runs of an equal key."""
-    change = (~F.col(key).eqNullSafe(F.lag(key).over(by_run().orderBy("seq")))).cast("int")
-    return rows.withColumn("_change", F.coalesce(change, F.lit(1))).withColumn("island", F.sum("_change").over(by_run().orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_change")
+def islands(rows: DataFrame, key: str, by: str = "run_id", order: str = "seq") -> DataFrame:
+    """Numbers of consecutive runs of an equal key, along ``order`` of each ``by``."""
+    rows = scanned(rows, [by], [order], {"_before": row_before(F.col(key))})
+    change = F.col("_before").isNull() | ~F.col(key).eqNullSafe(F.col("_before")["v"])
+    return scanned(rows, [by], [order], {"island": count(change)}).drop("_before")

@@ -1,35 +1,18 @@
-"""Running sums whose keys may hold any share of the rows.
-
-A plain window gives a key to one task.  Here rows are summed by a coarse part of
-the order first (days, months ...); prefix sums of that small table, joined back,
-are the start of each part, so a task gets one part of one key.
-"""
+"""Running sums whose keys may hold any share of the rows, as segmented scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.scan import scanned, total
+
 
 def running_sum(df: DataFrame, keys: list[str], coarse: str, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` up to and with each row, by ``keys``, in the order of ``coarse`` and then ``order``."""
-    parts = df.groupBy(*keys, coarse).agg(F.sum(value).alias("_part"))
-    ahead = F.coalesce(F.sum("_part").over(Window.partitionBy(*keys).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select(*(F.col(k).alias(f"_{k}") for k in [*keys, coarse]), ahead.alias("_ahead"))
-    inside = Window.partitionBy(*keys, coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn(name, F.sum(value).over(inside))
-    on: Column | None = None
-    for k in [*keys, coarse]:
-        same = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        on = same if on is None else on & same
-    return rows.join(starts, on).withColumn(name, F.col(name) + F.col("_ahead")).drop(*(f"_{k}" for k in [*keys, coarse]), "_ahead")
-
-
-#: Positions of a run that one task sums.
-PART = 4096
+    return scanned(df, keys, order, {name: total(F.col(value))}, F.col(coarse))
 
 
 def running_count(df: DataFrame, keys: list[str], seq: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the running sum of an expression along ``seq``, by parts of ``PART`` positions: a run may be of any length."""
-    rows = df.withColumn("_value", value).withColumn("_at", F.floor(F.col(seq) / PART))
-    return running_sum(rows, keys, "_at", [seq, *order], "_value", name).drop("_value", "_at")
+    """``df`` with the running sum of an expression along ``seq``, by parts of its positions: a run may be of any length."""
+    return scanned(df, keys, [seq, *order], {name: total(value)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions import tools as T
+from tallyforge.operators.scan import last_known, ordinal, scanned
 from tallyforge.sources.transcripts import BLOCKS, at
 
 #: Characters of a shell answer that stay attributed, and the marks in texts.
@@ -101,14 +102,14 @@ def transcript_rows(lines: DataFrame, stream: DataFrame) -> DataFrame:
     marked as approximate; before any it is 0. Both have run_id, line_no, line.
     """
     first, ids = _first_call(_blocks("$.message.content"))
-    placed = stream.withColumn("at", (F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")) - 1).cast("long"))
+    placed = scanned(stream, ["run_id"], ["line_no"], {"at": ordinal()}).withColumn("at", F.col("at") - 1)
     calls = placed.select("run_id", "at", F.explode(ids).alias("id")).where("id is not null").groupBy(F.col("run_id").alias("_c_run"), F.col("id").alias("_c_id")).agg(F.max("at").alias("tool_seq"))
     said = placed.where(at("$.message.id") != "").groupBy(F.col("run_id").alias("_m_run"), at("$.message.id").alias("_m_id")).agg(F.min("at").alias("message_seq"))
     rows = lines.select("run_id", "line_no", "line", first.alias("tool_use_id"), at("$.message.id").alias("message_id"))
     rows = rows.join(calls, (F.col("run_id") == F.col("_c_run")) & (F.col("tool_use_id") == F.col("_c_id")), "left").join(said, (F.col("run_id") == F.col("_m_run")) & (F.col("message_id") == F.col("_m_id")), "left")
     known = F.coalesce("tool_seq", "message_seq")
-    before = Window.partitionBy("run_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("run_id", "line_no", "line", "tool_use_id", F.coalesce(F.last(known, ignorenulls=True).over(before), F.lit(0)).alias("seq"), known.isNull().alias("seq_approx"))
+    rows = scanned(rows.withColumn("seq_approx", known.isNull()), ["run_id"], ["line_no"], {"seq": last_known(known)})
+    return rows.select("run_id", "line_no", "line", "tool_use_id", F.coalesce("seq", F.lit(0)).alias("seq"), "seq_approx")
 
 
 def transcript_regions(lines: DataFrame, stream: DataFrame, regions: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def stream_regions(lines: DataFrame) -> DataFrame:
 
     Bytes that nobody saw have no text. A refused read of a large file is no region (see ``read_errors``).
     """
-    rows = lines.withColumn("seq", (F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")) - 1).cast("long")).withColumn("kind", record_kind())
+    rows = scanned(lines, ["run_id"], ["line_no"], {"seq": ordinal()}).withColumn("seq", F.col("seq") - 1).withColumn("kind", record_kind())
     said = rows.where("kind in ('assistant', 'user')").select("run_id", "seq", "kind", F.posexplode(_blocks("$.message.content")).alias("k", "b"))
     get = lambda p: F.get_json_object("b", p)
     said = said.withColumn("type", get("$.type")).withColumn("answers", F.coalesce(get("$.tool_use_id"), get("$.toolUseId")))
@@ -188,7 +189,7 @@ def stream_regions(lines: DataFrame) -> DataFrame:
     listing = F.to_json(F.struct(*(at(f"$.{n}").alias(n) for n in ("tools", "mcp_servers", "slash_commands", "model", "permissionMode"))))
     init = rows.where("kind = 'system_init'").select("run_id", "seq", F.lit(0).alias("k"), F.lit(0).alias("j"), _region("system_init_listing", listing).alias("r"))
     every = parts.unionByName(init)
-    every = every.withColumn("region_idx", (F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "k", "j")) - 1).cast("long"))
+    every = scanned(every, ["run_id"], ["seq", "k", "j"], {"region_idx": ordinal()}).withColumn("region_idx", F.col("region_idx") - 1)
     c, muted = F.col("r.channel"), F.col("r.muted")
     return every.select("run_id", "seq", "region_idx", c.alias("channel"), F.when(T.model_visible(c), F.col("r.text")).otherwise("").alias("text"), F.col("r.tool").alias("tool"), F.col("r.tool_use_id").alias("tool_use_id"), F.col("r.is_error").alias("is_error"), (T.inbound(c) & ~muted).alias("inbound"), (T.counts_toward_read(c) & ~muted).alias("counts_toward_read"))
 

@@ -26,7 +26,8 @@ def has_id() -> Column:
 
 def first_of_message(events: DataFrame) -> DataFrame:
     """``events`` with a flag: the first of its message; events without a message id all are."""
-    rank = F.row_number().over(Window.partitionBy("run_id", "message_id").orderBy("seq"))
+    # events without a message are no group of their own
+    rank = F.row_number().over(Window.partitionBy("run_id", "message_id", F.when(~has_id(), F.col("seq"))).orderBy("seq"))
     return events.withColumn("is_first", ~has_id() | (rank == 1))
 
 

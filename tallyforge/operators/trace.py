@@ -6,7 +6,7 @@ order of the conditions is the precedence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import tools as T
@@ -45,10 +45,12 @@ def mention_runs(probes: DataFrame) -> DataFrame:
     Probes: run_id, probe_idx, sent_seq, observed, mentioned, first_used_seq.
     """
     seen = probes.where("observed")
-    run = Window.partitionBy("run_id")
-    rows = seen.withColumn("i0", F.min(F.when(F.col("mentioned"), F.col("probe_idx"))).over(run)).withColumn("use_idx", F.min(F.when(F.col("sent_seq") > F.col("first_used_seq"), F.col("probe_idx"))).over(run))
+    # what holds for a whole run is a row a run, joined back: no run is one task's work
+    firsts = seen.groupBy(F.col("run_id").alias("_run")).agg(F.min(F.when(F.col("mentioned"), F.col("probe_idx"))).alias("i0"), F.min(F.when(F.col("sent_seq") > F.col("first_used_seq"), F.col("probe_idx"))).alias("use_idx"))
+    rows = seen.join(firsts, F.col("run_id") == F.col("_run")).drop("_run")
     after = ~F.col("mentioned") & (F.col("probe_idx") > F.col("i0"))
-    rows = rows.withColumn("stop", F.min(F.when(after, F.col("probe_idx"))).over(run))
+    stops = rows.groupBy(F.col("run_id").alias("_run")).agg(F.min(F.when(after, F.col("probe_idx"))).alias("stop"))
+    rows = rows.join(stops, F.col("run_id") == F.col("_run")).drop("_run")
     early = after & (F.col("use_idx").isNull() | (F.col("probe_idx") < F.col("use_idx")))
     return rows.groupBy("run_id").agg(F.count("*").alias("n_probes_observed"), F.bool_or("mentioned").alias("ever_mention"), F.min("i0").alias("first_mention_probe"), F.max(F.when(F.col("mentioned"), F.col("probe_idx"))).alias("last_mention_probe"), F.min(F.when(F.col("mentioned"), F.col("sent_seq"))).alias("first_mention_seq"), F.nullif(F.count_if(F.col("mentioned") & (F.col("probe_idx") >= F.col("i0")) & (F.col("stop").isNull() | (F.col("probe_idx") < F.col("stop")))), F.lit(0)).alias("mention_run_length"), F.min("use_idx").alias("first_use_probe_index"), (F.min(F.when(early, F.col("probe_idx"))) - F.min("i0")).alias("lapse_probe_index"), (F.max("probe_idx") - F.min("i0")).alias("at_risk_horizon"))
 

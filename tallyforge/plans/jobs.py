@@ -159,29 +159,41 @@ def on_chart(f):
 
 
 def _sums(p: DataFrame) -> DataFrame:
-    return p.groupBy("account", "currency").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("amount_minor"), F.countDistinct("txn_id").alias("n_transactions"))
+    """By account and currency: counts, amounts, and a sum of hashes over every column of the rows."""
+    none = F.array().cast("array<string>")
+    tags = F.array_join(F.array_sort(F.array_union(F.coalesce("txn_tags", none), F.coalesce("post_tags", none))), " ")
+    told = F.concat_ws("|", F.col("date").cast("string"), F.coalesce("ref", F.lit("")), F.col("description"), tags, F.col("account"), F.col("amount_minor").cast("string"), F.col("currency"))
+    digest = F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("bigint")
+    return p.groupBy("account", "currency").agg(F.count("*").alias("n"), F.sum("amount_minor").alias("amount_minor"), F.countDistinct("txn_id").alias("n_transactions"), F.sum(digest).alias("digest"))
+
+
+def _spoken(p: DataFrame) -> DataFrame:
+    """Descriptions with the marks that formats quote: commas, quotes and, for every seventh transaction, a line's end."""
+    return p.withColumn("description", F.concat(F.col("description"), F.when(F.col("txn_id") % 7 == 0, F.lit(', "so"\nto say')).when(F.col("txn_id") % 7 == 1, F.lit(', "so"')).otherwise(F.lit(""))))
 
 
 def _csv_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings written as CSV and read again; a file's consecutive rows of one head are a transaction."""
     at = shared.path(spark, "postings-csv")
-    S.write_postings_csv(ledger.postings(spark, sf_dir), at)
+    S.write_postings_csv(_spoken(ledger.postings(spark, sf_dir)), at)
     return rounded(_sums(S.read_postings_csv(spark, at)).drop("n_transactions"))
 
 
 def _json_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All transactions written as JSON documents, a few thousand a document, and read again."""
+    """All transactions written as lines of JSON under the export's head, and read again."""
     at = shared.path(spark, "transactions-json")
-    rows = S.transactions_json(ledger.postings(spark, sf_dir))
-    docs = rows.groupBy(F.pmod(F.xxhash64("txn_id"), F.lit(16)).alias("doc")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ","), F.lit("]")).alias("value"))
-    docs.write.partitionBy("doc").text(at)  # a document is a file
+    rows = S.export_envelope(_spoken(ledger.postings(spark, sf_dir)), generated_at="2024-01-01T00:00:00", source_system="tables")
+    rows.select(F.col("json").alias("value")).write.text(at)
     return rounded(_sums(S.read_transactions_json(spark, at)))
 
 
 def _text_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All transactions written in the text format and parsed again."""
+    """All transactions written in the text format and parsed again, every other one with its last amount left out."""
     at = shared.path(spark, "ledger-text")
-    S.ledger_text(ledger.postings(spark, sf_dir)).select(F.col("text").alias("value")).write.option("lineSep", "\n\n").text(at)
+    text = S.ledger_text(ledger.postings(spark, sf_dir)).select(F.col("text").alias("value"))
+    blank = F.regexp_replace("value", r"(\n {4}\S+) +[-0-9.,]+ [A-Z]{3}([^\n]*)$", "$1$2")
+    text = text.withColumn("value", F.when((F.pmod(F.xxhash64("value"), F.lit(2)) == 0) & (F.size(F.split("value", "\n")) > 2), blank).otherwise(F.col("value")))
+    text.write.option("lineSep", "\n\n").text(at)
     return rounded(_sums(S.read_ledger(spark, at)))
 
 
@@ -284,7 +296,16 @@ _P = f"WITH p AS ({frames.POSTINGS})"
 _CH = f"""{_P}, listed AS (SELECT 'assets.receivable.n' || n_nationkey AS code, n_nationkey % 5 = 0 AS closed FROM nation WHERE n_nationkey % 7 <> 3 UNION ALL SELECT DISTINCT 'income.' || lower(c_mktsegment) || '.' || st, false FROM customer, (VALUES ('f'), ('o')) s(st)),
 ch AS (SELECT * FROM listed UNION ALL SELECT * FROM (VALUES ('assets', false), ('assets.receivable', false), ('', false), ('assets..x', false), ('assets.a b', false), ('misc.x', true), ('assets', true)) o(code, closed))"""
 _TYPED = "CASE lower(split_part(code, '.', 1)) WHEN 'assets' THEN 'asset' WHEN 'income' THEN 'income' END"
-_SUMS = f"{_P} SELECT account, currency, count(*) AS n, sum(amount_minor)::BIGINT AS amount_minor, count(DISTINCT txn_id) AS n_transactions FROM p GROUP BY ALL"
+_TOLD = "('0x' || substr(md5(concat_ws('|', {date}::VARCHAR, coalesce({ref}, ''), {said}, {tags} || CASE WHEN amount_minor < 0 THEN ' sale' ELSE '' END, account, amount_minor::VARCHAR, currency)), 1, 8))::BIGINT"
+_SPOKEN = "{said} || CASE txn_id % 7 WHEN 0 THEN ', \"so\"' || chr(10) || 'to say' WHEN 1 THEN ', \"so\"' ELSE '' END"
+_OF_TXN = dict(date="min(date) OVER t", ref="min(ref) OVER t", tags="min(lower(tag)) OVER t")
+_SUMMED = "SELECT account, currency, count(*) AS n, sum(amount_minor)::BIGINT AS amount_minor{more}, sum(told)::BIGINT AS digest FROM x GROUP BY ALL"
+
+
+def _trip_sql(more: str = ", count(DISTINCT txn_id) AS n_transactions", **columns: str) -> str:
+    return f"{_P}, x AS (SELECT *, {_TOLD.format(**columns)} AS told FROM p WINDOW t AS (PARTITION BY txn_id)) {_SUMMED.format(more=more)}"
+
+
 _L = f"WITH e AS ({logs.EVENTS})"
 _LOGGED = "GROUP BY run_id, role"
 
@@ -340,9 +361,9 @@ SELECT fact_id, n AS n_checked, k AS n_fires, e AS n_errors, g1 AS gate1_ok, g1b
     "chart_problems": "SELECT * FROM (VALUES ('', 'empty code'), ('assets..x', 'malformed code'), ('assets.a b', 'malformed code'), ('misc.x', 'unknown root'), ('assets', 'declared twice')) v(code, problem)",
     "posting_problems": f"{_P}, q AS (SELECT txn_id, ordinal, currency, CASE WHEN ordinal % 1009 = 0 THEN ' ' ELSE account END AS account, CASE WHEN ordinal % 997 <> 0 THEN amount_minor END AS m FROM p), w AS (SELECT txn_id, currency, min(ordinal) AS o FROM q GROUP BY ALL HAVING sum(m) <> 0) SELECT txn_id, ordinal, 'empty account' AS problem FROM q WHERE account = ' ' UNION ALL SELECT txn_id, ordinal, 'no amount' FROM q WHERE m IS NULL UNION ALL SELECT txn_id, min(o), 'unbalanced' FROM w GROUP BY 1",
     "account_sides": f"{_P} SELECT account, currency, count(*) FILTER (amount_minor > 0) AS n_debits, coalesce(sum(amount_minor) FILTER (amount_minor > 0), 0)::BIGINT AS debit_minor, count(*) FILTER (amount_minor < 0) AS n_credits, coalesce(-sum(amount_minor) FILTER (amount_minor < 0), 0)::BIGINT AS credit_minor FROM p GROUP BY ALL",
-    "csv_round_trip": f"{_P} SELECT account, currency, count(*) AS n, sum(amount_minor)::BIGINT AS amount_minor FROM p GROUP BY ALL",
-    "json_round_trip": _SUMS,
-    "text_round_trip": _SUMS,
+    "csv_round_trip": _trip_sql(more="", date="date", ref="ref", said=f"coalesce(nullif({_SPOKEN.format(said='description')}, ''), '(imported)')", tags="lower(tag)"),
+    "json_round_trip": _trip_sql(**_OF_TXN, said=_SPOKEN.format(said="min(description) OVER t")),
+    "text_round_trip": _trip_sql(**_OF_TXN, said="min(description) OVER t"),
     "log_messages": f"{_L}, d AS (SELECT *, message_id <> '' AND row_number() OVER (PARTITION BY run_id, message_id ORDER BY seq) > 1 AS dup FROM e) SELECT run_id, role, count(*) AS n, coalesce(sum(tokens_in + cache_read + cache_write) FILTER (NOT dup), 0)::BIGINT AS tokens_in, coalesce(sum(tokens_out) FILTER (NOT dup), 0)::BIGINT AS tokens_out, coalesce(sum(cache_read) FILTER (NOT dup), 0)::BIGINT AS cache_read, coalesce(sum(cache_write) FILTER (NOT dup), 0)::BIGINT AS cache_write, count(tool) AS n_tools, count(*) FILTER (tool = 'Read') AS n_reads FROM d {_LOGGED}",
     "log_items": f"{_L}, d AS (SELECT *, count(*) FILTER (event_type IN ('signup', 'purchase', 'click')) OVER (PARTITION BY run_id ORDER BY seq) AS ahead FROM e), x AS (SELECT *, event_type = 'view' AS v FROM d WHERE event_type IN ('signup', 'purchase', 'click') OR (event_type = 'view' AND ahead > 0)) SELECT run_id, 'assistant' AS role, count(*) AS n, coalesce(sum(tokens_in) FILTER (v), 0)::BIGINT AS tokens_in, coalesce(sum(tokens_out) FILTER (v), 0)::BIGINT AS tokens_out, coalesce(sum(cache_read) FILTER (v), 0)::BIGINT AS cache_read, 0::BIGINT AS cache_write, count(*) FILTER (event_type IN ('signup', 'purchase')) AS n_tools, 0::BIGINT AS n_reads FROM x GROUP BY run_id",
     "log_cumulative": f"""{_L}, g AS (SELECT *, greatest(0, tokens_in + cache_read - lag(tokens_in + cache_read, 1, 0) OVER w) AS dp, greatest(0, cache_read - lag(cache_read, 1, 0) OVER w) AS dc FROM e WHERE event_type NOT IN ('view', 'error') WINDOW w AS (PARTITION BY run_id ORDER BY seq))

@@ -1,10 +1,17 @@
-"""Small results as text: fixed-width tables, Markdown, amounts. Rendering collects, so it takes a limit."""
+"""Results as text: fixed-width tables, Markdown, JSON, amounts.
+
+What is streamed goes out row by row in the order of the rows, a partition at a time, so its length has no limit;
+scorecards collect small tables and say so when one is longer than they show.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
+from typing import TextIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST = 1000
 
@@ -35,13 +42,61 @@ def shown(value, digits: int = 3) -> str:
     return "" if value is None else f"{value:.{digits}f}" if isinstance(value, float) else str(value)
 
 
+def _cell(column) -> str:
+    """SQL text of a value as :func:`shown` writes it, for measuring only."""
+    name, kind = column.name, column.dataType.simpleString()
+    quoted = f"`{name}`"
+    return f"format_string('%.3f', {quoted})" if kind in ("double", "float") else f"cast({quoted} as string)"
+
+
+def streamed_table(df: DataFrame, out: TextIO) -> None:
+    """All rows as a fixed-width table: one pass measures the columns, one prints."""
+    texts = [F.coalesce(F.expr(_cell(c)), F.lit("")) for c in df.schema]
+    number = r"^-*[0-9,]*\.?[0-9,]+$|^-*[0-9,]+\.$"
+    sizes = [F.max(F.length(t)).alias(f"w{k}") for k, t in enumerate(texts)]
+    plain = [F.bool_and((t == "") | t.rlike(number)).alias(f"r{k}") for k, t in enumerate(texts)]
+    found = df.agg(*sizes, *plain).first()
+    widths = [max(len(name), found[f"w{k}"] or 0) for k, name in enumerate(df.columns)]
+    right = [bool(found[f"r{k}"]) for k in range(len(widths))]
+
+    def line(cells: Sequence[str]) -> str:
+        return "  ".join(c.rjust(w) if g else c.ljust(w) for c, w, g in zip(cells, widths, right)).rstrip()
+
+    print(line(df.columns), "  ".join("-" * w for w in widths), sep="\n", file=out)
+    for r in df.toLocalIterator():
+        print(line([shown(v) for v in r]), file=out)
+
+
+def streamed_json(items: Iterable, out: TextIO, indent: int = 0) -> None:
+    """A JSON array of the items, without a line's end; one item is held at a time."""
+    pad, first = " " * indent, True
+    out.write("[")
+    for item in items:
+        out.write(("\n" if first else ",\n") + "\n".join(f"{pad}  {x}" for x in json.dumps(item, indent=2).split("\n")))
+        first = False
+    out.write("]" if first else f"\n{pad}]")
+
+
+def values(df: DataFrame) -> Iterator[list]:
+    """Rows as JSON values, in their order."""
+    for r in df.toLocalIterator():
+        yield [v if isinstance(v, (int, float, type(None))) else str(v) for v in r]
+
+
+def _first(df: DataFrame, most: int) -> tuple[list, str]:
+    rows = df.limit(most + 1).collect()
+    return rows[:most], f"The first {most} rows of more." if len(rows) > most else ""
+
+
 def text_table(df: DataFrame, most: int = MOST) -> str:
-    return table(df.columns, [[shown(v) for v in r] for r in df.limit(most).collect()])
+    rows, more = _first(df, most)
+    return "\n".join(x for x in (table(df.columns, [[shown(v) for v in r] for r in rows]), more) if x)
 
 
 def markdown(df: DataFrame, most: int = MOST) -> str:
-    rows = [[shown(v).replace("|", "\\|") for v in r] for r in df.limit(most).collect()]
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in rows)])
+    rows, more = _first(df, most)
+    lines = ["| " + " | ".join(shown(v).replace("|", "\\|") for v in r) + " |" for r in rows]
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *lines, *([f"\n{more}"] if more else [])])
 
 
 def bullets(items: Sequence[str], mark: str = "-") -> str:

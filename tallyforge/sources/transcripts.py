@@ -12,16 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.scan import count, ordinal, row_before, scanned
 from tallyforge.sources.lines import numbered_lines, present
 
 INPUT = "map<string,string>"
 TOOLS = f"array<struct<name:string,input:{INPUT},tool_use_id:string>>"
 
 
-def by_run():
-    return Window.partitionBy("run_id")
-
-
 def read_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     """(run_id: the file, line_no from 1, line) of lines that hold a JSON object; a file that lacks is looked for with .gz, or without."""
     have = [p for p in (present(spark, path) for path in paths) if p]
@@ -42,10 +39,6 @@ def count_at(path: str, line: Column | str = "line") -> Column:
     return F.coalesce(at(path, line).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _seq() -> Column:
-    return (F.row_number().over(by_run().orderBy("line_no", "sub")) - 1).cast("long")
-
-
 def _event(rows: DataFrame, **columns: Column) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     given = {"ts": F.lit(""), "role": F.lit("assistant"), "message_id": F.lit(""), "tokens_in": zero, "tokens_out": zero, "cache_read": zero, "cache_write": zero, "tools": F.array().cast(TOOLS), "text": F.lit("")} | columns
@@ -53,7 +46,7 @@ def _event(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _numbered(events: DataFrame) -> DataFrame:
-    return events.withColumn("seq", _seq()).drop("sub")
+    return scanned(events, ["run_id"], ["line_no", "sub"], {"seq": ordinal()}).withColumn("seq", F.col("seq") - 1).drop("sub")
 
 
 def _tool(name: Column, id_: Column, **fields: Column) -> Column:
@@ -82,7 +75,7 @@ def messages(lines: DataFrame, *, include_aux: bool = False) -> DataFrame:
     use = F.filter(_blocks("$.message.content"), lambda b: F.get_json_object(b, "$.type") == "tool_use")
     uses = F.transform(use, lambda b: F.struct(F.coalesce(F.get_json_object(b, "$.name"), F.lit("")).alias("name"), F.from_json(F.coalesce(F.get_json_object(b, "$.input"), F.lit("{}")), INPUT).alias("input"), F.coalesce(F.get_json_object(b, "$.id"), F.lit("")).alias("tool_use_id")))
     mid = F.coalesce(at("$.message.id"), F.lit(""))
-    again = (mid != "") & (F.row_number().over(Window.partitionBy("run_id", mid).orderBy("line_no")) > 1)
+    again = (mid != "") & (F.row_number().over(Window.partitionBy("run_id", mid, F.when(mid == "", F.col("line_no"))).orderBy("line_no")) > 1)
     once = lambda c: F.when(again, 0).otherwise(c).cast("bigint")
     u = lambda name: count_at(f"$.message.usage.{name}")
     read, wrote = u("cache_read_input_tokens"), u("cache_creation_input_tokens")
@@ -151,8 +144,8 @@ def items(lines: DataFrame) -> DataFrame:
     usage = _event(lines.where(kind == "turn.completed"), tokens_in=count_at("$.usage.input_tokens"), tokens_out=count_at("$.usage.output_tokens"), cache_read=count_at("$.usage.cached_input_tokens"), text=F.lit("__usage__"))
     out = start.unionByName(run).unionByName(said).unionByName(changed).unionByName(usage)
     # a turn's tokens need an event before them to belong to
-    ahead = F.count_if(F.col("text") != "__usage__").over(by_run().orderBy("line_no", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return _numbered(out.withColumn("ahead", ahead).where("text <> '__usage__' or ahead > 0").drop("ahead"))
+    out = scanned(out, ["run_id"], ["line_no", "sub"], {"ahead": count(F.col("text") != "__usage__")})
+    return _numbered(out.where("text <> '__usage__' or ahead > 0").drop("ahead"))
 
 
 def upserted(lines: DataFrame) -> DataFrame:
@@ -183,9 +176,9 @@ def cumulative(lines: DataFrame) -> DataFrame:
     plain = lambda k: F.get_json_object(F.concat(F.lit('{"x":'), v[k], F.lit("}")), "$.x")
     m = upserted(lines).withColumn("kind", plain("type"))
     m = m.withColumn("cached", F.coalesce(F.get_json_object(v["tokens"], "$.cached").try_cast("bigint"), F.lit(0))).withColumn("prompt", F.coalesce(F.get_json_object(v["tokens"], "$.input").try_cast("bigint"), F.lit(0)) + F.col("cached"))
-    own = Window.partitionBy("run_id", "kind").orderBy("line_no", "sub")
-    step = lambda c: F.greatest(F.lit(0), F.col(c) - F.lag(c, 1, 0).over(own)).cast("bigint")
-    m = m.withColumn("d_prompt", step("prompt")).withColumn("d_cached", step("cached"))
+    m = scanned(m, ["run_id", "kind"], ["line_no", "sub"], {"last": row_before(F.struct("prompt", "cached"))})
+    step = lambda c: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.col("last.v")[c], F.lit(0))).cast("bigint")
+    m = m.withColumn("d_prompt", step("prompt")).withColumn("d_cached", step("cached")).drop("last")
     calls = F.flatten(F.transform(F.coalesce(F.from_json(v["toolCalls"], BLOCKS), F.array().cast(BLOCKS)), _gemini_tool))
     user = _event(m.where("kind = 'user'"), ts=F.coalesce(plain("timestamp"), F.lit("")), role=F.lit("user"))
     said = _event(m.where("kind = 'gemini'"), ts=F.coalesce(plain("timestamp"), F.lit("")), tokens_in=F.col("d_prompt"), tokens_out=F.coalesce(F.get_json_object(v["tokens"], "$.output").try_cast("bigint"), F.lit(0)), cache_read=F.col("d_cached"), tools=calls, text=F.coalesce(plain("content"), F.lit("")))

@@ -2,6 +2,7 @@
 
 import io
 import json
+from datetime import date
 
 import pytest
 
@@ -64,3 +65,39 @@ def test_export_and_accounts(run, at, tmp_path):
 @pytest.mark.parametrize("argv, code", [((), 2), (("nothing",), 2), (("report", "none", "book.ledger"), 3), (("validate", "bad.ledger"), 3), (("validate", "lost.ledger"), 3), (("accounts", "odd.csv"), 3), (("report", "account-statement", "book.ledger"), 3), (("report", "trial-balance", "book.ledger", "--period", "x"), 3)])
 def test_codes(run, argv, code, capsys):
     assert run(*argv)[0] == code
+
+
+@pytest.fixture(scope="module")
+def large(at):
+    """1,500 transactions, each a day before the one above it."""
+    book = "".join(f"{date.fromordinal(738_900 - k)} Sale {k:04d}  ^R{k}\n    assets.cash.till  {k + 1}.00 USD\n    income.sales     -{k + 1}.00 USD\n" for k in range(1500))
+    (at / "large.ledger").write_text(book)
+    return "large.ledger"
+
+
+def test_everything_comes_out(run, large, at, spark, tmp_path):
+    """Nothing is cut: exports, reports and issues are whole and in order."""
+    items = json.loads(run("export", large)[1])
+    assert len(items) == 1500 and [i["date"] for i in items] == sorted(i["date"] for i in items)
+    lines = run("export", large, "--format", "csv")[1].splitlines()
+    assert len(lines) == 3001 and [x[:10] for x in lines[1:]] == sorted(x[:10] for x in lines[1:])
+    code, text = run("validate", large, "--chart", "chart.csv", "--json")
+    found = json.loads(text)
+    assert code == 1 and len(found["issues"]) == sum(found["summary"].values()) > 1490
+    assert [i["line_no"] for i in found["issues"]] == sorted(i["line_no"] for i in found["issues"])
+    assert len(run("validate", large, "--chart", "chart.csv")[1].splitlines()) == len(found["issues"]) + 1
+    rows = json.loads(run("report", "transaction-log", large, "--json")[1])["rows"]
+    assert len(rows) >= 1500 and len(run("report", "transaction-log", large)[1].splitlines()) == len(rows) + 2
+
+
+def test_exports_read_back(run, large, spark, tmp_path):
+    from tallyforge.sources import ledgers as S
+
+    for format_, read in (("json", S.read_transactions_json), ("csv", S.read_postings_csv)):
+        out = str(tmp_path / format_)
+        assert run("export", large, "--format", format_, "--out", out)[0] == 0
+        back = read(spark, out)
+        assert back.count() == 3000 and back.agg({"amount_minor": "sum"}).first()[0] == 0
+        assert back.where("ref = 'R1499'").count() == 2 and back.select("txn_id").distinct().count() == 1500
+    (tmp_path / "printed.json").write_text(run("export", large)[1])
+    assert S.read_transactions_json(spark, str(tmp_path / "printed.json")).count() == 3000

@@ -4,6 +4,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.functions.money import rational
 from tallyforge.functions.periods import Period, iter_periods
@@ -168,3 +169,50 @@ def test_scorecard(spark):
     assert {r["condition_id"]: (r["tokens_upper_median"], r["ratio"]) for r in got["cost by condition"].collect()} == {"E0": (40, 1.0), "E1": (30, 0.75)}
     assert got["regrade drift"].first()["run_id"] == "r2" and got["versions"].count() == 2
     assert {r["task_id"]: r["n_graders"] for r in got["graders"].collect()} == {"a": 2, "b": 1}
+
+
+def test_json_documents(spark, tmp_path):
+    """Lines with and without the export's head, arrays, objects; what isn't a ledger's JSON is an error."""
+    item = {"date": "2024-01-02", "description": "x", "line_no": 1, "ref": "r", "tags": ["t"], "postings": [{"account": "a.b", "minor": 5, "currency": "USD", "tags": []}, {"account": "c.d", "minor": -5, "currency": "USD", "tags": ["u"]}]}
+    one = json.dumps(item)
+    good = {"lines": f"{one}\n\n{one}\n", "head": f'{{"schema":"1","generated_at":"x"}}\n{one}\n{one}\n', "array": f"[{one},\n{one}]", "wide": json.dumps([item, item], indent=2), "object": json.dumps({"transactions": [item, item]}, indent=1), "short": json.dumps({"transactions": [item, item]})}
+    for name, text in good.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        back = S.read_transactions_json(spark, str(tmp_path / f"{name}.json")).collect()
+        assert len(back) == 4 and len({r["txn_id"] for r in back}) == 2 and {(r["account"], r["amount_minor"], tuple(r["txn_tags"])) for r in back} == {("a.b", 5, ("t",)), ("c.d", -5, ("t",))}, name
+    for name, text in {"cut": one[:-9], "other": '{"a": 1}', "tail": f"{one}\nnot json\n", "none": "nothing"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(Exception):
+            S.read_transactions_json(spark, str(tmp_path / f"{name}.json")).collect()
+
+
+def test_csv_in_splits(spark, tmp_path):
+    """One file of many splits: fields over several lines, quotes and transactions that lie across the edges of splits."""
+    import csv
+
+    rows = [(f"2024-01-{1 + k // 300:02d}", f"r{k // 3}", f'say "{k // 3}",\n\nand\nmore' if k // 3 % 5 == 0 else f"d {k // 3}", "b;a", "assets.x" if k % 3 else "equity.y", f"{k}.50", " usd ", "extra") for k in range(3000)]
+    with open(tmp_path / "one.csv", "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["Date", "ref", "Description", "tags", "account", "amount", "currency", "more"])
+        out.writerows(rows)
+    key = "spark.sql.files.maxPartitionBytes"
+    before, split = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(key, "5000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        back = S.read_postings_csv(spark, str(tmp_path / "one.csv"))
+        assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 20
+        got = sorted(tuple(r) for r in back.select("ordinal", F.col("date").cast("string"), "ref", "description", "account", "amount_minor", "currency", F.array_join("post_tags", " ")).collect())
+        assert [r[1:] for r in got] == [(d, r, s, a, k * 100 + 50, "USD", "b a") for k, (d, r, s, _, a, _, _, _) in enumerate(rows)]
+        assert back.groupBy("txn_id").count().groupBy("count").count().collect()[0][:] == (3, 1000)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", split)
+
+
+def test_round_trips_keep_every_column(spark, book, tmp_path):
+    key = lambda df: sorted((str(r["date"]), r["ref"] or "", r["description"], r["account"], r["amount_minor"], r["currency"], tuple(sorted({*(r["txn_tags"] or []), *(r["post_tags"] or [])}))) for r in df.collect())
+    S.write_postings_csv(book, str(tmp_path / "csv"))
+    assert key(S.read_postings_csv(spark, str(tmp_path / "csv"))) == key(book)
+    S.transactions_json(book).select("json").write.text(str(tmp_path / "json"))
+    assert key(S.read_transactions_json(spark, str(tmp_path / "json"))) == key(book)
