@@ -250,74 +250,3 @@ def type_one(spark: SparkSession, *, p0s: tuple[float, ...] = (0.05, 0.2, 0.5),
             one = one.select(F.lit(p0).alias("p0"), F.lit(gamma).alias("gamma"), "sims", "paired_t", "cmh", "cmh_corrected", "permutation", F.lit(1.96 * (alpha * (1 - alpha) / sims) ** 0.5).alias("halfwidth"))
             out = one if out is None else out.unionByName(one)
     return out
-
-
-def cells(rows: DataFrame, outcome: str, x: str, cluster: str, most: int) -> pd.DataFrame:
-    """Counts by (cluster, x), refused beyond ``most``: a design has few cells, a continuous predictor as many as rows."""
-    table = rows.where(F.col(outcome).isNotNull() & F.col(x).isNotNull()).groupBy(cluster, x).agg(F.count("*").alias("n"), F.count_if(F.col(outcome)).alias("k")).limit(most + 1).toPandas()
-    if len(table) > most:
-        raise ValueError(f"{x} has more than {most} cells; cut it at quantiles first")
-    return table.sort_values([cluster, x])
-
-
-def exchangeable_logistic(rows: DataFrame, outcome: str, x: str, cluster: str = "task_id", *, rounds: int = 60, most: int = 100_000) -> dict:
-    """Logistic slope by estimating equations with one correlation inside every cluster, and its robust error.
-
-    A cell's rows have one residual for success and one for failure, so sums over cells are sums over rows.
-    """
-    table = cells(rows, outcome, x, cluster, most)
-    n, k, v = (table[c].to_numpy(float) for c in ("n", "k", x))
-    groups = table[cluster].astype(str).to_numpy()
-    names, of = np.unique(groups, return_inverse=True)
-    out = {"method": "GEE logistic, exchangeable", "n_obs": int(n.sum()), "n_groups": len(names)}
-    if n.sum() < 4 or not 0 < k.sum() < n.sum() or v.std() == 0 or len(names) < 2:
-        return out | {"error": "degenerate"}
-    design, beta, alpha = np.stack([np.ones(len(v)), v], axis=1), np.zeros(2), 0.0
-    size = np.bincount(of, n)
-    pairs = (size * (size - 1) / 2).sum()
-    for _ in range(rounds):
-        p = np.clip(expit(design @ beta), 1e-9, 1 - 1e-9)
-        sd = np.sqrt(p * (1 - p))
-        r = (k - n * p) / sd  # the sum of a cell's standard residuals
-        squares = k * (1 - p) / p + (n - k) * p / (1 - p)
-        phi = squares.sum() / (n.sum() - 2)
-        alpha = float(np.clip(((np.bincount(of, r) ** 2 - np.bincount(of, squares)) / 2).sum() / (phi * max(pairs - 2, 1)), -0.99 / max(size.max() - 1, 1), 0.99))
-        shrink = alpha / (1 + (size - 1) * alpha)
-        d = design * sd[:, None]  # of one row of a cell, per standard deviation
-        total_d = np.stack([np.bincount(of, n * d[:, c]) for c in range(2)], axis=1)
-        total_r = np.bincount(of, r)
-        info = (d.T @ (d * n[:, None]) - (total_d * shrink[:, None]).T @ total_d) / (1 - alpha)
-        score_of = np.stack([np.bincount(of, d[:, c] * r) for c in range(2)], axis=1) - total_d * (shrink * total_r)[:, None]
-        score_of /= 1 - alpha
-        step = np.linalg.solve(info, score_of.sum(axis=0))
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
-            break
-    bread = np.linalg.inv(info)
-    cov = bread @ (score_of.T @ score_of) @ bread
-    se = float(np.sqrt(cov[1, 1]))
-    return out | {"coef": float(beta[1]), "se": se, "alpha": alpha, "p_value": math.erfc(abs(beta[1]) / se / math.sqrt(2)) if se > 0 else None, "error": None}
-
-
-def cluster_logistic(rows: DataFrame, outcome: str, x: str, cluster: str = "task_id", *, rounds: int = 25, most: int = 100_000) -> dict:
-    """Logistic regression of a flag on one number with errors robust to clusters.
-
-    Rows are counts by (cluster, x, outcome) before they reach the driver: a table of the design's cells.
-    """
-    table = cells(rows, outcome, x, cluster, most)
-    n, k, v = (table[c].to_numpy(float) for c in ("n", "k", x))
-    if len(table) < 2 or not 0 < k.sum() < n.sum() or v.std() == 0:
-        return {"error": "degenerate"}
-    design, beta = np.stack([np.ones(len(v)), v], axis=1), np.zeros(2)
-    for _ in range(rounds):
-        p = expit(design @ beta)
-        info = design.T @ (design * (n * p * (1 - p))[:, None])
-        step = np.linalg.solve(info, design.T @ (k - n * p))
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    bread = np.linalg.inv(info)
-    score = pd.DataFrame(design * (k - n * expit(design @ beta))[:, None]).groupby(table[cluster].to_numpy()).sum().to_numpy()
-    cov = bread @ (score.T @ score) @ bread
-    se = np.sqrt(np.diag(cov))
-    return {"intercept": beta[0], "slope": beta[1], "slope_se": se[1], "z": beta[1] / se[1], "clusters": len(score)}

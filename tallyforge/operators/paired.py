@@ -1,7 +1,7 @@
 """Comparisons of arms over shared tasks: paired differences, heterogeneity, stratified tests.
 
-Sums over tasks are plain aggregates; only tails of distributions and resampling
-run in Python, on one row a comparison or one small group a comparison.
+Sums over tasks are plain aggregates; tails of distributions run in Python on one row a
+comparison, and resampling is dealt by tasks and draws.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.dist import chi2_upper, t_critical, t_two_sided
 from tallyforge.operators.rates import GROUP, per_task_rates
+from tallyforge.operators.resample import exchanged, mean_interval
 
 SEED = 20260805
 DRAWS = 2000
@@ -80,39 +81,17 @@ def cmh_test(pairs: DataFrame, *, suppress_above: float = 0.5, correct: bool = T
 
 
 def bootstrap_mean(pairs: DataFrame, *, draws: int = DRAWS, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean difference over resampled tasks, by arm; a group is an arm's tasks."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("task_id")["d"].to_numpy()
-        rng, most = np.random.default_rng(seed), max(1, 1_000_000 // len(v))
-        means = np.concatenate([v[rng.integers(0, len(v), (min(most, draws - at), len(v)))].mean(axis=1) for at in range(0, draws, most)])
-        low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({"arm": pdf["arm"].iloc[:1], "boot_low": [low], "boot_high": [high]})
-
-    rows = pairs.select("arm", "task_id", (F.col("k1") / F.col("n1") - F.col("k0") / F.col("n0")).alias("d"))
-    return rows.groupBy("arm").applyInPandas(run, "arm string, boot_low double, boot_high double")
+    """Percentile interval of the mean difference over resampled tasks, by arm."""
+    got = mean_interval(pairs, "task_id", F.col("k1") / F.col("n1") - F.col("k0") / F.col("n0"), by=["arm"], draws=draws, seed=seed, alpha=alpha)
+    return got.select("arm", F.col("low").alias("boot_low"), F.col("high").alias("boot_high"))
 
 
 def permutation_within_task(pairs: DataFrame, *, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """Two-sided p of the mean difference under exchange of labels within tasks, by arm.
-
-    For flags, an exchanged arm's successes are hypergeometric given the task's
-    margins, so a group is an arm's tasks, whatever the number of runs.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("task_id")
-        n1, k1, n0, k0 = (pdf[c].to_numpy() for c in ("n1", "k1", "n0", "k0"))
-        seen = abs((k1 / n1 - k0 / n0).mean())
-        rng = np.random.default_rng(seed)
-        good = k1 + k0
-        hits, most = 0, max(1, 1_000_000 // len(n1))  # draws that are held at a time
-        for at in range(0, draws, most):
-            x = rng.hypergeometric(good, n1 + n0 - good, n1, (min(most, draws - at), len(n1)))
-            hits += int((np.abs((x / n1 - (good - x) / n0).mean(axis=1)) >= seen - 1e-12).sum())
-        return pd.DataFrame({"arm": pdf["arm"].iloc[:1], "p_value": [(1 + hits) / (1 + draws)]})
-
-    return pairs.groupBy("arm").applyInPandas(run, "arm string, p_value double")
+    """Two-sided p of the mean difference under exchange of labels within tasks, by arm."""
+    drawn = exchanged(pairs, draws=draws, seed=seed).withColumn("d", F.abs(F.col("total") / F.col("n")))
+    seen = drawn.where("draw = 0").select(F.col("arm").alias("_arm"), F.col("d").alias("seen"))
+    hits = F.count_if((F.col("draw") > 0) & (F.col("d") >= F.col("seen") - 1e-12))
+    return drawn.join(seen, F.col("arm") == F.col("_arm")).groupBy("arm").agg(((1 + hits) / (1 + draws)).alias("p_value"))
 
 
 def use_lift(df: DataFrame, *, outcome: str = "used", control: str = CONTROL, arms: list[str] | None = None, denominator: str | None = None) -> DataFrame:

@@ -6,14 +6,13 @@ the rows are aggregated once and the windows run over the distinct times.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dist import normal_quantile
 from tallyforge.operators.paired import SEED
 from tallyforge.operators.rates import GROUP
+from tallyforge.operators.resample import resampled
 
 AT_RISK = 0.10
 MIN_HORIZON = 3
@@ -80,59 +79,28 @@ def rmst(data: DataFrame, horizon: DataFrame | None = None) -> DataFrame:
     return out.join(spread, F.col(GROUP).eqNullSafe(F.col("of_arm")), "left").drop("of_arm")
 
 
-#: Resamplings of one task of the cluster; an arm's are dealt to several.
-DRAWS_A_TASK = 100
-
-
-def _rmst_of(d: np.ndarray, e: np.ndarray, weight: np.ndarray, j: float) -> float:
-    area, s, before = 0.0, 1.0, 0.0
-    for t in np.unique(d[(e == 1) & (weight > 0)]):
-        if t > j:
-            break
-        area += s * (t - before)
-        s *= 1 - weight[(d == t) & (e == 1)].sum() / weight[d >= t].sum()
-        before = float(t)
-    return area + s * (j - before)
-
-
 def rmst_contrast(data: DataFrame, *, reference: str, draws: int = 1000, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
-    """RMST difference to a reference arm with intervals from resampled tasks, one draw for both arms.
+    """RMST difference to a reference arm with intervals from resampled tasks, one draw for all arms.
 
-    A group is an arm's and the reference's counts by task, time and event, not their runs, and some of the draws.
+    What a draw sends is counts by arm, time and event; curves of draws are windows over those small tables.
     """
-    counts = data.groupBy("task_id", GROUP, "duration", "event").agg(F.count("*").alias("w"))
-    j = common_horizon(data).agg(F.min("j").alias("j"))
-    counts = counts.crossJoin(F.broadcast(j)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_A_TASK) - 1))))  # one row
-    arms = counts.select(F.col(GROUP).alias("arm")).distinct()
-    own = counts.withColumn("arm", F.col(GROUP))
-    rows = own.unionByName(counts.where(F.col(GROUP) == reference).join(F.broadcast(arms), F.col("arm") != F.col(GROUP)))  # a row an arm
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        arm, block, horizon = pdf["arm"].iloc[0], int(pdf["block"].iloc[0]), float(pdf["j"].iloc[0])
-        tasks, where = np.unique(pdf["task_id"].astype(str).to_numpy(), return_inverse=True)
-        d, e, w, own = pdf["duration"].to_numpy(float), pdf["event"].to_numpy(), pdf["w"].to_numpy(float), (pdf[GROUP] == arm).to_numpy()
-        rng = np.random.default_rng([seed, block])
-
-        def both(times: np.ndarray) -> tuple[float, float]:
-            weight = w * times[where]
-            a, b = (own, ~own) if arm != reference else (own, own)
-            if not weight[a].sum() or not weight[b].sum():
-                return np.nan, np.nan
-            return _rmst_of(d[a], e[a], weight[a], horizon), _rmst_of(d[b], e[b], weight[b], horizon)
-
-        n = min(DRAWS_A_TASK, draws - block * DRAWS_A_TASK)
-        got = [both(np.bincount(rng.integers(0, len(tasks), len(tasks)), minlength=len(tasks))) for _ in range(n)]
-        if not block:  # the first row is the sample's own
-            got.insert(0, both(np.ones(len(tasks))))
-        out = pd.DataFrame(got, columns=["own", "reference"])
-        return out.assign(arm=arm, draw=np.arange(len(out)) + (block * DRAWS_A_TASK + 1 if block else 0))
-
-    drawn = rows.groupBy("arm", "block").applyInPandas(run, "own double, reference double, arm string, draw long")
-    known = lambda c: F.when(~F.isnan(c), F.col(c))
-    one, delta = known("own"), known("own") - known("reference")
+    counts = data.where(F.col(GROUP).isNotNull()).groupBy("task_id", F.col(GROUP).alias("arm"), "duration", "event").agg(F.count("*").alias("w"))
+    drawn = resampled(counts, "task_id", ["w"], cell=["arm", "duration", "event"], draws=draws, seed=seed)
+    j = common_horizon(data).agg(F.min("j").alias("j"))  # one row
+    times = drawn.groupBy("draw", "arm", "duration").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("event").cast("int") == 1, F.col("w")).otherwise(0.0)).alias("e"))
+    own = Window.partitionBy("draw", "arm")
+    later = own.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = own.orderBy("duration").rowsBetween(Window.unboundedPreceding, -1)
+    rows = times.withColumn("at_risk", F.sum("n").over(later)).crossJoin(F.broadcast(j)).withColumn("t", F.least(F.col("duration").cast("double"), F.col("j").cast("double")))
+    stay = F.when((F.col("e") > 0) & (F.col("duration") <= F.col("j")), 1 - F.col("e") / F.col("at_risk")).otherwise(1.0)
+    rows = rows.withColumn("stay", stay).withColumn("s", F.coalesce(F.product("stay").over(before), F.lit(1.0))).withColumn("from", F.coalesce(F.max("t").over(before), F.lit(0.0)))
+    # the last time's curve goes on to the horizon
+    one = rows.groupBy("draw", "arm").agg((F.sum(F.col("s") * (F.col("t") - F.col("from"))) + F.max_by(F.col("s") * F.col("stay"), "duration") * (F.max("j") - F.max("t"))).alias("own"))
+    base = one.where(F.col("arm") == reference).select(F.col("draw").alias("_draw"), F.col("own").alias("reference"))
+    both = one.join(base, F.col("draw") == F.col("_draw"), "left").withColumn("delta", F.when(F.col("arm") == reference, F.lit(0.0)).otherwise(F.col("own") - F.col("reference")))
     point, drawing = F.col("draw") == 0, F.col("draw") > 0
-    ends = lambda x: F.percentile(F.when(drawing, x), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    by = drawn.groupBy("arm").agg(F.max(F.when(point, one)).alias("rmst"), F.stddev_samp(F.when(drawing, one)).alias("rmst_se"), ends(one).alias("q"), F.max(F.when(point, delta)).alias("delta_rmst"), ends(delta).alias("dq"))
+    ends = lambda x: F.percentile(F.when(drawing, F.col(x)), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    by = both.groupBy("arm").agg(F.max(F.when(point, F.col("own"))).alias("rmst"), F.stddev_samp(F.when(drawing, F.col("own"))).alias("rmst_se"), ends("own").alias("q"), F.max(F.when(point, F.col("delta"))).alias("delta_rmst"), ends("delta").alias("dq"))
     return by.select("arm", "rmst", "rmst_se", F.col("q")[0].alias("rmst_low"), F.col("q")[1].alias("rmst_high"), "delta_rmst", F.col("dq")[0].alias("delta_low"), F.col("dq")[1].alias("delta_high"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import paired, rates, survival
+from tallyforge.operators import mixed, paired, rates, resample, survival
 from tallyforge.plans import frames
 
 Z = "1.959963984540054"
@@ -82,6 +82,8 @@ QUERIES = {
     "life_table": primary(lambda df: survival.life_table(survival.retention_dataset(df))),
     "km_curve": primary(lambda df: survival.km_curve(survival.retention_dataset(df))),
     "retention_table": primary(survival.retention_table),
+    "mean_intervals": primary(lambda df: resample.mean_interval(df, "task_id", F.col("horizon"), by=["condition_id"], draws=500, seed=paired.SEED)),
+    "uptake_models": primary(lambda df: mixed.models(df.withColumn("depth", F.when(F.col("condition_id") == "d1", 1).when(F.col("condition_id") == "d2", 2).when(F.col("condition_id") == "d3", 3)), "read", "depth")),
     "rmst_contrast": primary(lambda df: survival.rmst_contrast(survival.retention_dataset(df), reference="d1", draws=200)),
     "reference_arm": primary(lambda df: survival.reference_arm(survival.retention_dataset(df))),
     "post_discharge_persistence": primary(survival.post_discharge_persistence),

@@ -34,3 +34,12 @@ def fixed(df: DataFrame, name: str) -> DataFrame:
     at = path(spark, name)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`fixed` wrote, once what they led to is written or at the driver."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import mixed
 from tallyforge.operators import chart as C
 from tallyforge.operators import design as DS
 from tallyforge.operators import detectors as D
@@ -47,7 +48,7 @@ def test_exchangeable(spark):
     """The estimating equations against a plain version on rows, matrix by matrix."""
     rng = np.random.default_rng(5)
     rows = [(f"t{t}", float(x), bool(rng.random() < 1 / (1 + np.exp(-(-0.5 + 0.6 * x + b))))) for t, b in enumerate(rng.normal(0, 0.8, 14)) for x in (0, 1, 2) for _ in range(6)]
-    got = DS.exchangeable_logistic(spark.createDataFrame(rows, "task_id string, x double, y boolean"), "y", "x")
+    got = mixed.exchangeable_logistic(spark.createDataFrame(rows, "task_id string, x double, y boolean"), "y", "x")
     task, x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
     beta = np.zeros(2)
     for _ in range(80):
@@ -74,9 +75,7 @@ def test_exchangeable(spark):
     assert got["coef"] == pytest.approx(beta[1], abs=1e-5) and got["alpha"] == pytest.approx(alpha, abs=1e-5) and got["se"] == pytest.approx(np.sqrt((bread @ meat @ bread)[1, 1]), rel=1e-4)
     assert 0 < got["p_value"] < 0.05 and got["n_groups"] == 14
     flat = spark.createDataFrame([("a", 1.0, True)] * 5, "task_id string, x double, y boolean")
-    assert DS.exchangeable_logistic(flat, "y", "x")["error"] == "degenerate"
-    with pytest.raises(ValueError, match="cells"):
-        DS.cluster_logistic(spark.createDataFrame(rows, "task_id string, x double, y boolean"), "y", "x", most=3)
+    assert mixed.exchangeable_logistic(flat, "y", "x")["error"] == "degenerate"
 
 
 def test_registry_views(spark):

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from tallyforge.operators import mixed
 from tallyforge.functions import dist
 from tallyforge.operators import design as D
 from tallyforge.operators import paired as P
@@ -56,9 +57,9 @@ def test_known_lift(spark):
     assert abs(got["d2"]["mean_diff"]) < 0.08 and got["d2"]["boot_low"] < got["d2"]["mean_diff"] < got["d2"]["boot_high"]
     perm = {r["arm"]: r["p_value"] for r in P.permutation_within_task(P.task_pairs(df, "used", "ctrl")).collect()}
     assert perm["d1"] < 0.002
-    fit = D.cluster_logistic(df.selectExpr("task_id", "used", "cast(condition_id = 'd1' as double) as x"), "used", "x")
+    fit = mixed.cluster_logistic(df.selectExpr("task_id", "used", "cast(condition_id = 'd1' as double) as x"), "used", "x")
     assert fit["slope"] > 1 and fit["z"] > 4
-    assert D.cluster_logistic(df.selectExpr("task_id", "used", "1.0 as x"), "used", "x") == {"error": "degenerate"}
+    assert mixed.cluster_logistic(df.selectExpr("task_id", "used", "1.0 as x"), "used", "x") == {"error": "degenerate"}
 
 
 def test_unknown_is_not_false(spark):
@@ -74,6 +75,18 @@ def test_censoring(spark):
     assert got == {"1": (3, 1, None), "2": (7, 0, "administrative"), "3": (4, 0, "truncated_run"), "4": (2, 0, "post_discharge")}
 
 
+def plain_rmst(d, e, weight, j):
+    """Area under the survival curve up to ``j``, time by time."""
+    area, s, before = 0.0, 1.0, 0.0
+    for t in np.unique(d[(e == 1) & (weight > 0)]):
+        if t > j:
+            break
+        area += s * (t - before)
+        s *= 1 - weight[(d == t) & (e == 1)].sum() / weight[d >= t].sum()
+        before = float(t)
+    return area + s * (j - before)
+
+
 def test_rmst_truth(spark):
     rng = np.random.default_rng(1)
     lapse = rng.geometric(0.25, 20000)
@@ -84,8 +97,10 @@ def test_rmst_truth(spark):
     horizon = data.groupBy("condition_id").agg(F.count("*").alias("n")).withColumn("j_arm", F.lit(5)).withColumn("j", F.lit(5))
     got = S.rmst(data, horizon).first()["rmst"]
     assert got == pytest.approx(sum(0.75**u for u in range(5)), abs=0.03)
+    contrast = S.rmst_contrast(data, reference="a", draws=20).first()
+    j = S.common_horizon(data).first()["j"]
     d, e = data.toPandas()[["duration", "event"]].to_numpy().T
-    assert S._rmst_of(d.astype(float), e, np.ones(len(d)), 5.0) == pytest.approx(got, abs=1e-9)
+    assert contrast["rmst"] == pytest.approx(plain_rmst(d.astype(float), e, np.ones(len(d)), j), abs=1e-9) and contrast["delta_rmst"] == contrast["delta_low"] == 0
 
 
 def test_horizon_and_reference(spark):
