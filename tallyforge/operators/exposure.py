@@ -109,10 +109,18 @@ def first_exposure(rows: DataFrame) -> DataFrame:
 
 
 def loose_clashes(cards: DataFrame) -> DataFrame:
-    """Pairs of tokens of which one holds the other in loose spelling. The registry meets itself, no data does."""
-    c = cards.select("fact_id", X.strip_separators(F.col("token")).alias("bare"))
-    d = c.select(F.col("fact_id").alias("other"), F.col("bare").alias("other_bare"))
-    return c.join(d, (F.col("fact_id") < F.col("other")) & (F.contains("bare", F.col("other_bare")) | F.contains("other_bare", F.col("bare")))).select("fact_id", "other")
+    """Pairs of tokens of which one holds the other in loose spelling.
+
+    Each token's parts of the lengths that tokens have are looked up as whole tokens: a token of n characters
+    makes at most n parts a length, and nothing is paired.
+    """
+    c = cards.select("fact_id", X.strip_separators(F.col("token")).alias("bare")).where("bare <> ''")
+    sizes = c.agg(F.collect_set(F.length("bare")).alias("sizes"))  # one row of distinct lengths
+    size = c.crossJoin(F.broadcast(sizes)).select("fact_id", "bare", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("bare"))
+    parts = size.select("fact_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("bare") - F.col("size") + 1), lambda k: F.substring(F.col("bare"), k, F.col("size"))))).alias("part"))
+    held = c.select(F.col("fact_id").alias("other"), F.col("bare").alias("other_bare"))
+    both = parts.join(held, (F.col("part") == F.col("other_bare")) & (F.col("fact_id") != F.col("other")))
+    return both.select(F.least("fact_id", "other").alias("fact_id"), F.greatest("fact_id", "other").alias("other")).distinct()
 
 
 def events_with_hits(events: DataFrame, exposure: DataFrame) -> DataFrame:

@@ -251,9 +251,10 @@ def converted_trial_balance(postings: DataFrame, rates: DataFrame, target: str,
     return converted(trial_balance(postings, period=period), rates, target, amount="balance_minor", bridge=bridge)
 
 
-def missing_pairs(rates: DataFrame, currencies: list[str]) -> DataFrame:
-    """Ordered pairs of the listed currencies without a direct quote."""
-    listed = rates.sparkSession.createDataFrame([(a, b) for a in currencies for b in currencies if a != b], "base string, quote string")
+def missing_pairs(rates: DataFrame, postings: DataFrame) -> DataFrame:
+    """Ordered pairs of the postings' currencies without a direct quote; as many as there are currencies, squared."""
+    used = postings.agg(F.collect_set("currency").alias("c"))
+    listed = used.select(F.explode("c").alias("base"), "c").select("base", F.explode("c").alias("quote")).where("base <> quote")
     return listed.join(rates.select("base", "quote"), ["base", "quote"], "left_anti")
 
 

@@ -105,10 +105,6 @@ def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(head.alias("is_header")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.json_array_length(F.get_json_object("json", "$.postings")), F.lit(0))).alias("n_postings"))
 
 
-def _payroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.trial_balance(S.payroll_ledger(spark, 2024))
-
-
 def _chart_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared.path(spark, "chart-csv")
     ledger.chart(spark, sf_dir).select(F.concat(F.lit(" "), "code").alias("code"), F.lit(None).cast("string").alias("name"), F.lit("eur").alias("currency"), F.when(F.col("closed"), "Yes").alias("closed")).write.csv(at, header=True)
@@ -116,8 +112,13 @@ def _chart_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rates_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings a currency has for each of another's, as decimal texts written and read again, exactly."""
     at = shared.path(spark, "rates-csv")
-    spark.createDataFrame([*ledger.RATES, ("eur ", "USD", "1.10")], "base string, quote string, rate string").coalesce(1).write.csv(at, header=True)
+    n = ledger.postings(spark, sf_dir).groupBy("currency").agg(F.count("*").alias("n"))
+    every = n.agg(F.collect_list(F.struct("currency", "n")).alias("all"))  # the currencies
+    pairs = n.crossJoin(F.broadcast(every)).select("currency", "n", F.explode("all").alias("o")).where("currency <> o.currency")
+    rate = (F.floor(F.col("n") * 10_000 / F.col("o.n")) / 10_000).cast("decimal(20,4)").cast("string")
+    pairs.select(F.concat(F.lower("currency"), F.lit(" ")).alias("base"), F.col("o.currency").alias("quote"), rate.alias("rate")).write.csv(at, header=True)
     return S.read_rates(spark, at).select("base", "quote", F.col("num").cast("bigint").alias("num"), F.col("den").cast("bigint").alias("den"))
 
 
@@ -181,13 +182,7 @@ def _kept_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", RG.result_text(body).alias("text"))
 
 
-def _synthetic(spark: SparkSession, name: str) -> DataFrame:
-    return DS.synthetic_tables(spark, tasks=20, reps=4, lift={"d1": 0.2, "d3": 0.5}, gamma=0.4)[name]
-
-
 QUERIES = {
-    "synthetic_trace": lambda s, d: rounded(_synthetic(s, "fact_trace").select("run_id", "task_id", "condition_id", "rep", "available", "read", "opened", "used", "success", "ever_mention", "first_mention_probe_index", "horizon", "lapse", "censor_reason")),
-    "synthetic_probes": lambda s, d: rounded(_synthetic(s, "probes").select("run_id", "probe_idx", "mentioned", "fidelity_agree")),
     "transcript_regions": lambda s, d: rounded(_only_on_disk(s, d)),
     "transcript_signals": lambda s, d: rounded(RG.transcript_signals(_transcript(s, d))),
     "result_texts": lambda s, d: rounded(_kept_text(s, d)),
@@ -208,7 +203,6 @@ QUERIES = {
     "graders_by_task": on_card("graders"),
     "regrade_drift": on_card("regrade drift"),
     "export_envelope": lambda s, d: rounded(_envelope(s, d)),
-    "payroll_ledger": lambda s, d: rounded(_payroll(s, d)),
     "chart_round_trip": lambda s, d: rounded(_chart_trip(s, d)),
     "rates_round_trip": lambda s, d: rounded(_rates_trip(s, d)),
     "tables_round_trip": lambda s, d: rounded(_tables_trip(s, d)),
@@ -250,15 +244,7 @@ calls AS (SELECT run_id, 'k' || turn AS id, turn AS pos FROM c WHERE role = 'ass
 ids AS (SELECT run_id, id, max(pos) AS pos FROM (SELECT * FROM calls UNION ALL SELECT * FROM answers) GROUP BY ALL),
 l AS (SELECT c.*, CASE s WHEN 1 THEN 'k' || (turn - 1) WHEN 2 THEN 'none' WHEN 6 THEN 'k' || turn END AS id FROM c),
 p AS (SELECT l.*, ids.pos AS known, coalesce(last_value(ids.pos IGNORE NULLS) OVER (PARTITION BY l.run_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), 0) AS seq FROM l LEFT JOIN ids ON ids.run_id = l.run_id AND ids.id = l.id)"""
-_u = lambda *names: f"(('0x' || substr(md5('7|' || {' || chr(124) || '.join(names)}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
-_n = lambda *names: f"(sqrt(-2 * ln(greatest({_u(*names, chr(39) + 'u' + chr(39))}, 1e-12))) * cos({_u(*names, chr(39) + 'v' + chr(39))} * 2 * pi()))"
-_SYNTHETIC = f"""WITH r AS (SELECT 't' || lpad(t::VARCHAR, 2, '0') AS task_id, a AS condition_id, r AS rep, 't' || lpad(t::VARCHAR, 2, '0') || '-' || a || '-r' || r AS run_id, pr, pu FROM range(20) x(t), (VALUES ('ctrl', 0.0, 0.05), ('d1', 0.7, 0.25), ('d2', 0.7, 0.05), ('d3', 0.7, 0.55)) y(a, pr, pu), range(4) z(r)),
-s AS (SELECT *, condition_id <> 'ctrl' AS available, condition_id <> 'ctrl' AND {_u('run_id', "'read'")} < pr AS read, {_u('run_id', "'used'")} < 1 / (1 + exp(-(ln(pu / (1 - pu)) + 0.5 * {_n('task_id')} + 0.4 * {_n('task_id', 'condition_id')}))) AS used FROM r),
-m AS (SELECT *, read AND {_u('run_id', "'mention'")} < 0.8 AS em FROM s), f AS (SELECT *, CASE WHEN em THEN floor({_u('run_id', "'first'")} * 3)::BIGINT END AS i0 FROM m),
-g AS (SELECT *, 10 - i0 AS horizon, (floor(ln(1 - {_u('run_id', "'lapse'")}) / ln(0.75)) + 1)::BIGINT AS l FROM f), h AS (SELECT *, CASE WHEN l < horizon THEN l END AS lapse FROM g)"""
 ORACLE_SQL = {
-    "synthetic_trace": f"""{_SYNTHETIC} SELECT run_id, task_id, condition_id, rep, available, read, read AND {_u('run_id', "'opened'")} < 0.6 AS opened, used, {_u('run_id', "'success'")} < 0.6 AS success, em AS ever_mention, i0 AS first_mention_probe_index, horizon, lapse, CASE WHEN NOT em THEN 'never_mentioned' WHEN lapse IS NULL THEN 'administrative' END AS censor_reason FROM h""",
-    "synthetic_probes": f"""{_SYNTHETIC} SELECT run_id, k AS probe_idx, coalesce(k >= i0 AND (lapse IS NULL OR k < i0 + lapse), false) AS mentioned, {_u('run_id', "'agree'", 'k::VARCHAR')} < 0.7 AS fidelity_agree FROM h, range(10) p(k)""",
     "transcript_regions": f"""{_DISK}, d AS (SELECT run_id, line_no, 0 AS k, seq, known IS NULL AS seq_approx, CASE s WHEN 0 THEN 'attachment_odd_kind' WHEN 1 THEN 'sidecar_only' WHEN 2 THEN 'persisted_output_ondisk' WHEN 3 THEN 'system_reminder' ELSE 'attachment_queued' END AS channel,
   CASE s WHEN 0 THEN 'odd kind' || chr(10) || 't' || (conv_id % 2) || chr(10) || 'say "x":' || chr(10) || 'é' WHEN 3 THEN '<system-reminder>r' || (turn % 2) || '</system-reminder>' ELSE '' END AS text FROM p WHERE s IN (0, 1, 2, 3, 5)
   UNION ALL SELECT run_id, line_no, 1, seq, known IS NULL, 'sidecar_only', '' FROM p WHERE s = 2),
@@ -283,9 +269,8 @@ SELECT run_id, line_no, seq, seq_approx, channel, text FROM t WHERE n = 1 OR cha
     "graders_by_task": f"{_GRADED} SELECT task_id, count(DISTINCT u % 2) AS n_graders FROM g GROUP BY 1",
     "regrade_drift": f"{_GRADED} SELECT 'u' || u AS run_id, st AS terminal_state, 'rejected' AS regraded_state FROM g WHERE u % 8 = 0 AND st <> 'rejected'",
     "export_envelope": f"{_P} SELECT false AS is_header, count(DISTINCT txn_id) AS n, count(*) AS n_postings FROM p UNION ALL SELECT true, 1, 0",
-    "payroll_ledger": "SELECT * FROM (VALUES ('expenses.rent', 'expense', 'USD', 12 * 320000), ('expenses.salaries', 'expense', 'USD', 9 * 1760000 + 3 * 1840000), ('assets.cash.checking', 'asset', 'USD', -(12 * 320000 + 9 * 1760000 + 3 * 1840000))) v(account, type, currency, balance_minor)",
     "chart_round_trip": jobs._CH.partition(",\nch AS")[0] + " SELECT code, '' AS name, 'EUR' AS currency, closed FROM listed",
-    "rates_round_trip": "SELECT * FROM (VALUES ('EUR', 'USD', 11, 10), ('GBP', 'USD', 12713, 10000), ('CHF', 'USD', 11309, 10000), ('USD', 'JPY', 15137, 100), ('EUR', 'GBP', 533, 625), ('EUR', 'CHF', 9587, 10000), ('GBP', 'JPY', 4811, 25), ('USD', 'EUR', 9223, 10000)) v(base, quote, num, den)",
+    "rates_round_trip": f"WITH p AS ({frames.POSTINGS}), n AS (SELECT currency, count(*) AS n FROM p GROUP BY 1), r AS (SELECT a.currency AS base, b.currency AS quote, floor(a.n * 10000 / b.n)::BIGINT AS x FROM n a JOIN n b ON a.currency <> b.currency) SELECT base, quote, x // gcd(x, 10000) AS num, 10000 // gcd(x, 10000) AS den FROM r",
     "tables_round_trip": f"WITH t AS ({frames.TRACE}) SELECT kind, condition_id, count(*) AS n, count(*) FILTER (read) AS n_read, count(used) AS n_used_known, count(*) FILTER (analyzable IS NULL) AS n_unknown FROM t, (VALUES ('parquet'), ('csv')) k(kind) GROUP BY ALL",
     "workspace_files": "SELECT n_name || ' é' AS text FROM nation WHERE n_nationkey <> 3",
     "input_manifest": "SELECT (strlen(n_name) + 4 + (n_nationkey = 3)::INT)::BIGINT AS length, sha256(encode(n_name || CASE WHEN n_nationkey = 3 THEN chr(0) ELSE '' END || ' é' || chr(10))) AS sha256 FROM nation",

@@ -77,7 +77,7 @@ QUERIES = {
     "converted_trial_balance": on_postings(lambda p: L.converted_trial_balance(p, _rates(p), "USD", bridge=True).select("account", "type", "from_currency", "currency", "balance_minor")),
     "converted_direct": on_postings(lambda p: L.converted(p, _rates(p), "USD", strict=False).groupBy("from_currency").agg(F.count("*").alias("n"), F.count("amount_minor").alias("n_converted"), F.sum("amount_minor").alias("amount_minor"))),
     "converted_bridge_jpy": on_postings(lambda p: L.converted(p, _rates(p), "JPY", bridge=True).groupBy("from_currency").agg(F.sum("amount_minor").alias("amount_minor"))),
-    "missing_pairs": lambda spark, sf_dir: L.missing_pairs(S.rate_table(spark, RATES), ["EUR", "GBP", "USD", "JPY"]),
+    "missing_pairs": lambda spark, sf_dir: L.missing_pairs(S.rate_table(spark, RATES), postings(spark, sf_dir)),
     "validate_ledger": _validated,
     "duplicate_refs": on_postings(V.check_duplicate_refs),
     "chronological": on_postings(V.check_chronological),
@@ -132,7 +132,7 @@ ORACLE_SQL = {
     "converted_trial_balance": f"{_W}{_LEGS}, t AS (SELECT account, {_TYPE} AS type, currency, sum(amount_minor)::HUGEINT * {_SIGN} AS b FROM p GROUP BY account, currency) SELECT account, type, t.currency AS from_currency, 'USD' AS currency, {_half('b * den * CASE WHEN t.currency = $$JPY$$ THEN 100 ELSE 1 END', 'num')} AS balance_minor FROM t JOIN legs USING (currency)".replace("$$", "'"),
     "converted_direct": f"{_W}{_R}, c AS (SELECT p.currency, CASE WHEN p.currency = 'USD' THEN amount_minor WHEN num IS NOT NULL THEN {_half('amount_minor::HUGEINT * num', 'den')} END AS v FROM p LEFT JOIN r ON r.base = p.currency AND r.quote = 'USD') SELECT currency AS from_currency, count(*) AS n, count(v) AS n_converted, sum(v)::BIGINT AS amount_minor FROM c GROUP BY 1",
     "converted_bridge_jpy": f"{_W}{_LEGS}, c AS (SELECT p.currency, {_half('amount_minor::HUGEINT * den * 15137', 'num * 100::HUGEINT * CASE WHEN p.currency = $$JPY$$ THEN 1 ELSE 100 END')} AS v FROM p JOIN legs USING (currency)) SELECT currency AS from_currency, sum(v)::BIGINT AS amount_minor FROM c GROUP BY 1".replace("$$", "'"),
-    "missing_pairs": "WITH c(x) AS (VALUES ('EUR'), ('GBP'), ('USD'), ('JPY')) SELECT a.x AS base, b.x AS quote FROM c a, c b WHERE a.x <> b.x AND a.x || b.x NOT IN ('EURUSD', 'GBPUSD', 'USDJPY', 'EURGBP', 'GBPJPY', 'USDEUR')",
+    "missing_pairs": f"{_W}, c AS (SELECT DISTINCT currency AS x FROM p) SELECT a.x AS base, b.x AS quote FROM c a JOIN c b ON a.x <> b.x WHERE a.x || b.x NOT IN ('EURUSD', 'GBPUSD', 'CHFUSD', 'USDJPY', 'EURGBP', 'EURCHF', 'GBPJPY', 'USDEUR')",
     "validate_ledger": f"""{_W}, chart AS (SELECT 'assets.receivable.n' || n_nationkey AS code, n_nationkey % 5 = 0 AS closed FROM nation WHERE n_nationkey % 7 <> 3 UNION ALL SELECT DISTINCT 'income.' || lower(c_mktsegment) || '.' || st, false FROM customer, (VALUES ('f'), ('o')) s(st)),
 t AS (SELECT txn_id, min(line_no) AS line_no, min(date) AS date, min(ref) AS ref, min(description) AS description FROM p GROUP BY 1),
 net AS (SELECT txn_id, currency FROM p GROUP BY ALL HAVING sum(amount_minor) <> 0),

@@ -101,12 +101,21 @@ def cards(spark: SparkSession) -> DataFrame:
 _REPLY = '{"probe_id":"WURP-0123abcd-001","facts":[{"fact":"QX-01-AB is due","source":"src/a.py","affects_next_action":true},{"fact":"none","source":"","affects_next_action":false},{"fact":"run the tests","source":"README.md","affects_next_action":false}],"next_action":"Read src/a.py"}'
 
 
+def _named_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations, segments, brands and parts as tokens, and the nouns of parts."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    named = lambda df, prefix, key, token: df.select(F.concat(F.lit(prefix), key).alias("fact_id"), token.alias("token")).distinct()
+    name, last, brand = F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_brand")
+    parts = named(read("part"), "c", name, name).unionByName(named(read("part"), "t", last, last)).unionByName(named(read("part"), "b", brand, brand))
+    return parts.unionByName(named(read("nation"), "n", F.col("n_nationkey"), F.col("n_name"))).unionByName(named(read("customer"), "s", F.col("c_mktsegment"), F.col("c_mktsegment")))
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn as a reply in one of five shapes, parsed."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'").withColumn("text", F.coalesce("text", F.lit("")))
     prose = F.col("text")
     shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
-    raw = F.when(shape == 0, F.concat(prose, F.lit(f"\n```json\n{_REPLY}\n```"))).when(shape == 1, F.concat(prose, F.lit(f" {_REPLY} "), prose)).when(shape == 2, F.lit(f"```\n{_REPLY[:-1]},}}\n```")).when(shape == 3, F.lit("WURP-0123abcd-002 later")).otherwise(prose)
+    raw = F.when(shape == 0, F.concat(prose, F.lit(f"\n```json\n{_REPLY}\n```"))).when(shape == 1, F.concat(prose, F.lit(f" {_REPLY} "), prose)).when(shape == 2, F.concat(prose, F.lit(f"\n```\n{_REPLY[:-1]},}}\n```\n"), prose)).when(shape == 3, F.concat(prose, F.lit(" WURP-0123abcd-002 later "), prose)).otherwise(prose)
     got = c.select("conv_id", "turn", P.parse_answer(raw, F.lit("WURP-0123abcd-001")).alias("a"))
     return got.select("conv_id", "turn", "a.parse_ok", "a.parse_tier", "a.probe_id", F.size("a.slots").alias("n_slots"), F.get("a.slots", F.lit(0))["fact"].alias("first_fact"), "a.next_action")
 
@@ -117,10 +126,11 @@ _TASK = "Please write the ledger totals monthly and total them"
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A phrase and, but for the empty ones, a document's whole text as the fact of a slot; sources of several kinds."""
+    """A phrase and a document's whole text as the fact of a slot, and each empty phrase by itself too; sources of several kinds."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("s", F.pmod("doc_id", F.lit(len(_PHRASES))).cast("int"))
     phrase = F.element_at(F.array(*(F.lit(x) for x in _PHRASES)), F.col("s") + 1)
-    fact = F.when(F.col("s") < 5, phrase).otherwise(F.concat_ws(" ", phrase, F.col("text")))
+    d = d.select("*", F.explode(F.when(F.col("s") < 5, F.array(F.lit(None).cast("string"), F.col("text"))).otherwise(F.array("text"))).alias("told"))
+    fact = F.concat_ws(" ", phrase, F.col("told"))
     source = F.when(F.col("doc_id") % 48 == 47, "the harness").when(F.col("doc_id") % 32 == 31, "docs/guide.md").otherwise("memory")
     return d.groupBy(P.classify_slot(fact, source, F.lit("ZQ-4KM7TXP2"), F.lit(r"fee is \d+ units"), F.lit(_TASK)).alias("slot_class"), "lang").agg(F.count("*").alias("n"))
 
@@ -187,7 +197,7 @@ QUERIES = {
     "exposure_scan": lambda s, d: rounded(XP.scan(regions(s, d), cards(s)).select("run_id", "fact_id", "seq", "match_form", "offset", "inbound", "sets_first_exposure")),
     "first_exposure": lambda s, d: rounded(XP.first_exposure(XP.scan(regions(s, d), cards(s)))),
     "events_with_hits": lambda s, d: rounded(XP.flattened_hits(XP.events_with_hits(regions(s, d).select("run_id", "seq"), XP.scan(regions(s, d), cards(s))))),
-    "loose_clashes": lambda s, d: XP.loose_clashes(cards(s).unionByName(s.createDataFrame([("f9", "xqx_00_abx", None)], "fact_id string, token string, pattern string"))),
+    "loose_clashes": lambda s, d: XP.loose_clashes(_named_cards(s, d)),
     "answers": lambda s, d: rounded(_answers(s, d)),
     "slot_classes": lambda s, d: rounded(_slots(s, d)),
     "refusal_markers": lambda s, d: rounded(_refusals(s, d)),
@@ -248,7 +258,7 @@ _listed = lambda xs: "[" + ", ".join(map(_q, xs)) + "]"
 _words = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'), lambda w: NOT list_contains({_listed(P.STOPWORDS)}, w)))"
 _bare = lambda x: f"lower(regexp_replace({x}, '[-_\\s]', '', 'g'))"
 _SLOT_SQL = f"""WITH d AS (SELECT *, {_listed(_PHRASES)}[(doc_id % 16 + 1)::INT] AS phrase, CASE WHEN doc_id % 48 = 47 THEN 'the harness' WHEN doc_id % 32 = 31 THEN 'docs/guide.md' ELSE 'memory' END AS src FROM documents),
-f AS (SELECT lang, src, CASE WHEN doc_id % 16 < 5 OR text IS NULL THEN phrase ELSE phrase || ' ' || text END AS fact FROM d), b AS (SELECT lang, fact, fact || chr(10) || src AS blob, {_words("fact")} AS w FROM f),
+f AS (SELECT lang, src, phrase || coalesce(' ' || text, '') AS fact FROM d UNION ALL SELECT lang, src, phrase FROM d WHERE doc_id % 16 < 5), b AS (SELECT lang, fact, fact || chr(10) || src AS blob, {_words("fact")} AS w FROM f),
 x AS (SELECT *, len(list_intersect(w, {_words(_q(_TASK))})) AS shared FROM b)
 SELECT lang, CASE WHEN list_contains({_listed(P.EMPTY)}, lower(regexp_replace(regexp_replace(fact, '^\\s+|\\s+$', '', 'g'), '^\\.+|\\.+$', '', 'g'))) THEN 'empty'
   WHEN contains({_bare("blob")}, 'zq4km7txp2') OR regexp_matches(blob, '(?i)fee is \\d+ units') THEN 'critical_fact'
@@ -298,7 +308,7 @@ SELECT run_id, count(*) AS n_probes_observed, bool_or(m) AS ever_mention, any_va
     "exposure_scan": f"{_REG} SELECT run_id, fact_id, seq, match_form, \"offset\", inbound, sets_first_exposure FROM h",
     "first_exposure": f"{_REG} SELECT run_id, fact_id, min(seq) AS seq, min(seq) AS region_idx, arg_min(channel, seq) AS channel, arg_min(\"offset\", seq) AS \"offset\" FROM h WHERE sets_first_exposure GROUP BY ALL",
     "events_with_hits": f"{_REG} SELECT reg.run_id, reg.seq, count(fact_id) AS n_hits, count(*) FILTER (inbound) AS n_inbound, array_to_string(list_sort(list(DISTINCT fact_id) FILTER (fact_id IS NOT NULL)), '|') AS fact_ids, CASE WHEN count(fact_id) > 0 THEN any_value(reg.channel) END AS channels FROM reg LEFT JOIN h ON h.run_id = reg.run_id AND h.seq = reg.seq GROUP BY reg.run_id, reg.seq",
-    "loose_clashes": "SELECT 'f0' AS fact_id, 'f9' AS other",
+    "loose_clashes": "WITH c AS (SELECT 'n' || n_nationkey AS f, lower(regexp_replace(n_name, '[-_\\s]', '', 'g')) AS b FROM nation UNION SELECT 'c' || p_name, lower(regexp_replace(p_name, '[-_\\s]', '', 'g')) FROM part UNION SELECT 't' || split_part(p_name, ' ', 2), lower(regexp_replace(split_part(p_name, ' ', 2), '[-_\\s]', '', 'g')) FROM part UNION SELECT 'b' || p_brand, lower(regexp_replace(p_brand, '[-_\\s]', '', 'g')) FROM part UNION SELECT 's' || c_mktsegment, lower(regexp_replace(c_mktsegment, '[-_\\s]', '', 'g')) FROM customer) SELECT DISTINCT least(a.f, z.f) AS fact_id, greatest(a.f, z.f) AS other FROM c a JOIN c z ON a.f <> z.f AND contains(a.b, z.b) WHERE z.b <> ''",
     "answers": "WITH a AS (SELECT *, (conv_id + turn) % 5 AS s FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, s < 3 AS parse_ok, CASE s WHEN 0 THEN 'strict' WHEN 1 THEN 'lenient' WHEN 2 THEN 'lenient' ELSE 'failed' END AS parse_tier, CASE WHEN s < 3 THEN 'WURP-0123abcd-001' WHEN s = 3 THEN 'WURP-0123abcd-002' END AS probe_id, CASE WHEN s < 3 THEN 3 ELSE 0 END::BIGINT AS n_slots, CASE WHEN s < 3 THEN 'QX-01-AB is due' END AS first_fact, CASE WHEN s < 3 THEN 'Read src/a.py' END AS next_action FROM a",
     "slot_classes": _SLOT_SQL,
     "refusal_markers": _REFUSAL_SQL,

@@ -97,6 +97,13 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "judged").otherwise("mechanical").alias("kind"), pick(_CHECKS).alias("command"), pick(_CONDITIONS).alias("pass_condition"))
 
 
+def _schedule(spark: SparkSession, sf_dir: str, without: str = "") -> DataFrame:
+    """A design of every month's orders as tasks under every segment's condition; the lists of a design are at the driver."""
+    tasks = [r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().orderBy("month").collect()]
+    arms = [r[0] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment").where(F.col("c_mktsegment") != without).distinct().orderBy("c_mktsegment").collect()]
+    return DS.schedule(spark, job="j", tasks=tasks, conditions=arms, reps=2)
+
+
 QUERIES = {
     "lint_criteria": lambda s, d: rounded(G.lint_criteria(_criteria(s, d))),
     "majority": lambda s, d: rounded(G.majority(_votes(s, d))),
@@ -119,10 +126,8 @@ QUERIES = {
     "identity": lambda s, d: rounded(logs.flat(s, d).select("run_id", "seq", TB.identity(F.col("message_id"), F.col("tool"), F.col("run_id")).alias("id"))),
     "canonical_json": lambda s, d: rounded(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", TB.canonical_json(F.struct(F.col("n_regionkey").alias("z"), F.col("n_name").alias("a"))).alias("json"))),
     "path_globs": lambda s, d: rounded(logs.flat(s, d).groupBy(X.path_matches(F.col("file_path"), ["src/f1?.py", "memory/**"]).alias("hit")).agg(F.count("*").alias("n"))),
-    "schedule": lambda s, d: rounded(DS.schedule(s, job="j", tasks=[f"t{k}" for k in range(6)], conditions=["ctrl", "d1", "d2"], reps=2)),
-    "schedule_drift": lambda s, d: rounded(DS.schedule_drift(DS.schedule(s, job="j", tasks=["a", "b"], conditions=["x", "y"]), DS.schedule(s, job="j", tasks=["a", "b"], conditions=["x"]))),
-    "power": lambda s, d: rounded(DS.power(s, [0.0, 0.2], p0=0.2, sims=1000), 3),
-    "synthetic_runs": lambda s, d: DS.synthetic_runs(s, lift={"d1": 0.3}).groupBy("condition_id").agg(F.count("*").alias("n")),
+    "schedule": lambda s, d: rounded(_schedule(s, d)),
+    "schedule_drift": lambda s, d: rounded(DS.schedule_drift(_schedule(s, d), _schedule(s, d, without="BUILDING"))),
     "windowed_rates": lambda s, d: rounded(ST.windowed_rates(_hits(s.read.parquet(f"{d}/events.parquet")))),
     "stream_windowed_rates": lambda s, d: rounded(ST.drained(ST.windowed_rates(_hits(_stream_source(s, d))))),
     "sessions": lambda s, d: rounded(ST.sessions(_hits(s.read.parquet(f"{d}/events.parquet")))),
@@ -167,7 +172,6 @@ UNION ALL SELECT 'content_absent', count(*) FILTER (k % 3 = 0), 0 FROM o UNION A
     "identity": f"WITH e AS ({logs.EVENTS}) SELECT run_id, seq, coalesce(nullif(message_id, ''), tool, run_id) AS id FROM e",
     "canonical_json": "SELECT n_nationkey::BIGINT AS n_nationkey, '{\"a\":\"' || n_name || '\",\"z\":' || n_regionkey || '}' AS json FROM nation",
     "path_globs": f"WITH e AS ({logs.EVENTS}) SELECT regexp_matches(file_path, '^src/f1.\\.py$') OR file_path LIKE 'memory/%' AS hit, count(*) AS n FROM e GROUP BY 1",
-    "synthetic_runs": "SELECT unnest(['ctrl', 'd1', 'd2', 'd3']) AS condition_id, 60::BIGINT AS n",
     "windowed_rates": _WINDOWS,
     "stream_windowed_rates": _WINDOWS,
     "sessions": f"{_H}, g AS (SELECT *, (coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, true))::INT AS new FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, seq) AS sid FROM g) SELECT user_id, min(ts)::VARCHAR AS session_start, (max(ts) + INTERVAL 6 HOUR)::VARCHAR AS session_end, count(*) AS n FROM s GROUP BY user_id, sid",
