@@ -6,7 +6,6 @@ Regions: run_id, region_idx, seq, channel, text.  Cards: fact_id, token, pattern
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +13,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as X
 from tallyforge.functions import tools as T
+from tallyforge.operators.automaton import bare, with_tokens
 from tallyforge.operators.prefix import running_sum
 
-#: Cards that are looked for one by one in each text; more are looked up by the grams of the text.
+#: Cards that are looked for one by one in each text; more are one automaton.
 BLOCK = 500
-#: Characters of a token's bare spelling by which it is looked up.
-ANCHOR = 6
 
 
 def bytes_before(regions: DataFrame) -> DataFrame:
@@ -36,18 +34,17 @@ def channel_histogram(regions: DataFrame) -> DataFrame:
 def scan(regions: DataFrame, cards: DataFrame) -> DataFrame:
     """One row a region and fact that it holds, with the strictest form, its place and its count.
 
-    Cards are a registry: they are read on the driver and become expressions over
-    each region's text, so regions are neither shuffled nor multiplied before the
-    match. In a large registry the grams of a text that begin a token are found by one intersection of
-    hashes, and only those tokens are held against it; patterns are tried in blocks.
+    Cards are a registry, read at the driver. A small one, and all patterns, become expressions over each
+    region's text, in blocks; the tokens of a large one are one automaton. Regions are neither shuffled nor
+    multiplied before a match.
     """
-    cards = cards.select("fact_id", "token", "pattern").where("token is not null and token <> ''").orderBy("fact_id").collect()  # the registry of facts
-    bare = lambda c: re.sub(X.SEPARATORS, "", c["token"]).lower()
-    plain = [c for c in cards if not c["pattern"] and len(bare(c)) >= ANCHOR] if len(cards) > BLOCK else []
-    known = {c["fact_id"] for c in plain}
-    rest = [c for c in cards if c["fact_id"] not in known]
-    blocks = [rest[k : k + BLOCK] for k in range(0, len(rest), BLOCK)] or ([] if plain else [[]])
-    parts = [_scan_block(regions, b) for b in blocks] + ([_scan_grams(regions, plain)] if plain else [])
+    cards = cards.select("fact_id", "token", "pattern").where("token is not null and token <> ''")
+    told = F.coalesce("pattern", F.lit("")) != ""
+    plain, rest = cards.where(~told & (bare(F.col("token")) != "")), cards.where(told | (bare(F.col("token")) == ""))
+    large = plain.limit(BLOCK + 1).count() > BLOCK
+    listed = (rest if large else cards).orderBy("fact_id").collect()
+    blocks = [listed[k : k + BLOCK] for k in range(0, len(listed), BLOCK)] or ([] if large else [[]])
+    parts = [_scan_block(regions, b) for b in blocks] + ([_scan_held(regions, plain)] if large else [])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -82,17 +79,15 @@ def _scan_block(regions: DataFrame, cards: list) -> DataFrame:
     return _told(regions.where(T.model_visible(F.col("channel"))).withColumn("hit", F.explode(hits)))
 
 
-def _scan_grams(regions: DataFrame, cards: list) -> DataFrame:
-    """The same for many tokens without patterns: by the grams of each bare text."""
-    spark, text = regions.sparkSession, F.coalesce("text", F.lit(""))
-    registry = spark.createDataFrame([(c["fact_id"], c["token"], X.loose_pattern([c["token"]])) for c in cards], "of_fact string, of_token string, of_loose string")
-    registry = registry.withColumn("anchor", F.xxhash64(F.substring(X.strip_separators(F.col("of_token")), 1, ANCHOR)))
-    anchors = sorted({r["anchor"] for r in registry.select("anchor").collect()})
-    rows = regions.where(T.model_visible(F.col("channel"))).withColumn("bare", X.strip_separators(text)).where(F.length("bare") >= ANCHOR)
-    grams = F.transform(F.sequence(F.lit(1), F.length("bare") - ANCHOR + 1), lambda k: F.xxhash64(F.substr(F.col("bare"), k, F.lit(ANCHOR))))
-    rows = rows.withColumn("found", F.array_intersect(F.lit(anchors).cast("array<bigint>"), grams)).drop("bare").where(F.size("found") > 0)
-    rows = rows.withColumn("found", F.explode("found")).join(registry, F.col("found") == F.col("anchor"))
-    rows = rows.withColumn("hit", _hit(text, F.col("of_fact"), F.col("of_token"), F.col("of_loose"))).where("hit is not null")
+def _scan_held(regions: DataFrame, cards: DataFrame) -> DataFrame:
+    """The same for many tokens without patterns: an automaton names those a text holds, and only they are told apart."""
+    rows = with_tokens(regions.where(T.model_visible(F.col("channel"))), cards).where(F.size("held") > 0).withColumn("held", F.explode("held"))
+    # a token's characters with up to two separators between them, in any case: as loose_pattern writes it
+    characters = F.regexp_replace("token", "[-_ ]", "")
+    loose = F.concat(F.lit("(?i)(?:"), F.array_join(F.transform(F.split(characters, ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "[-_ ]{0,2}"), F.lit(")"))
+    registry = cards.select(F.col("fact_id").alias("of_fact"), F.col("token").alias("of_token"), bare(F.col("token")).alias("of_bare"), loose.alias("of_loose"))
+    rows = rows.join(registry, F.col("held") == F.col("of_bare"))
+    rows = rows.withColumn("hit", _hit(F.coalesce("text", F.lit("")), F.col("of_fact"), F.col("of_token"), F.col("of_loose"))).where("hit is not null")
     return _told(rows)
 
 

@@ -132,6 +132,22 @@ def test_large_registry(spark, monkeypatch):
     assert key(XP.scan(regions, cards)) == one and len({r[5] for r in one}) == 4 and len(one) > 300
 
 
+def test_plans_of_large_registries(spark):
+    """A plan doesn't grow with its tokens: a hundred thousand take as many nodes and characters as a thousand, nearly."""
+    from tallyforge.operators import exposure as XP
+
+    plans, texts = [], spark.createDataFrame([("a", "x tok-77-q y"), ("b", "TOK 99 999 Q"), ("c", None), ("d", "tok-1")], "name string, text string")
+    for n in (1000, 100_000):
+        cards = spark.range(n).selectExpr("concat('f', id) as fact_id", "concat('tok-', id, '-q') as token", "cast(null as string) as pattern")
+        found = G.leaks(texts, cards)
+        regions = texts.selectExpr("name as run_id", "0L as seq", "0L as region_idx", "'tool_read' as channel", "text")
+        plans.append([len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (found, XP.scan(regions, cards))])
+        want = {("a", "f77"), ("b", "f99999")} if n > 1000 else {("a", "f77")}
+        assert {tuple(r) for r in found.collect()} == want
+        assert {(r["run_id"], r["fact_id"]) for r in XP.scan(regions, cards).collect()} == want
+    assert all(abs(a - b) < 200 for a, b in zip(*plans))
+
+
 def test_discovered_runs(spark, tmp_path):
     for path in ("a/runs/r1/stream.jsonl", "a/runs/r1/deep/judge.json", "a/runs/.hid/judge.json", "a/runs/r2/notes.txt", "b/r3/run_meta.json", "b/r3/probe_events.jsonl", "b/r4/sub/judge.json"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
