@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge import shared
 from tallyforge.functions import text as X
 from tallyforge.operators import design as DS
 from tallyforge.operators import detectors as D
 from tallyforge.operators import grading as G
+from tallyforge.operators import invariants as IV
 from tallyforge.operators import ledger as L
 from tallyforge.operators import regions as RG
+from tallyforge.operators import store as SR
 from tallyforge.operators import tables as TB
 from tallyforge.plans import frames, ledger, logs
 from tallyforge.plans.statistics import rounded
@@ -97,6 +100,18 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "judged").otherwise("mechanical").alias("kind"), pick(_CHECKS).alias("command"), pick(_CONDITIONS).alias("pass_condition"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events committed, then all, then all again in another order, which commits nothing: rows by version."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = SR.Table(spark, shared.path(spark, "stored"))
+    writes = [table.write(df) for df in (events.where("event_id % 2 = 0"), events, events.repartition(3))]
+    out = None
+    for m in table.manifests():
+        one = table.read(m["number"]).agg(F.lit(m["number"]).alias("number"), F.count("*").alias("n"), F.lit(len(writes)).alias("writes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _schedule(spark: SparkSession, sf_dir: str, without: str = "") -> DataFrame:
     """A design of every month's orders as tasks under every segment's condition; the lists of a design are at the driver."""
     tasks = [r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct().orderBy("month").collect()]
@@ -112,6 +127,9 @@ QUERIES = {
     "length_report": lambda s, d: rounded(G.length_report(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "text"))),
     "length_balance": lambda s, d: rounded(G.length_balance(s.read.parquet(f"{d}/documents.parquet"), "source")),
     "content_hash": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", "n_name")),
+    "content_hash_skewed": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id"))), "user_id", "event_id", "event_type")),
+    "scan_before_truncation": lambda s, d: rounded(IV.verdicts(logs.flat(s, d).withColumn("model_visible", F.col("event_type") != "error").withColumn("digested", F.col("k") % 97 == 0), "run_id", scanned_before_truncation=IV.scanned_before_truncation())),
+    "stored_tables": lambda s, d: rounded(_stored(s, d)),
     "leaks": lambda s, d: rounded(G.leaks(logs.regions(s, d).select(F.concat("run_id", F.lit("/"), "seq").alias("name"), "text"), logs.cards(s))),
     "stream_regions": lambda s, d: rounded(RG.stream_regions(_records(s, d)).groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("n_bytes"))),
     "record_kinds": lambda s, d: rounded(_records(s, d).groupBy(RG.record_kind().alias("kind")).agg(F.count("*").alias("n"))),
@@ -145,6 +163,7 @@ SELECT id, 'sandbox' AS kind, n AS name FROM c, (SELECT unnest({_listed(G.SANDBO
 UNION ALL SELECT id, 'guard_inside_lambda', NULL FROM c WHERE regexp_matches(cond, {_q(G.GUARD_INSIDE_LAMBDA)}) UNION ALL SELECT id, 'short_circuit', NULL FROM c WHERE regexp_matches(cond, {_q(G.SHORT_CIRCUIT)})
 UNION ALL SELECT id, 'tree_grep', NULL FROM c WHERE regexp_matches(cmd, {_q(G.TREE_GREP)}) AND NOT regexp_matches(cmd, {_q(G.DIFF_SCOPED)}) UNION ALL SELECT id, 'double_quiet', NULL FROM c WHERE regexp_matches(cmd, '\\bpytest\\b([^\\n]*[^\\n\\w-])?-q([^\\w-]|$)')
 UNION ALL SELECT id, 'pipe', NULL FROM c WHERE contains(regexp_replace(regexp_replace(cmd, {_q(G.QUOTED)}, '', 'g'), '[|][|]+', '', 'g'), '|')"""
+_MULTISET = "sha256(concat_ws('|', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(sha256(l), {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8)) + "))"
 ORACLE_SQL = {
     "lint_criteria": _LINT,
     "majority": f"{_V} SELECT * FROM m",
@@ -152,7 +171,10 @@ ORACLE_SQL = {
     "admission": "WITH f AS (SELECT 'f' || (doc_id % 40) AS fact_id, count(toxic) AS n, count(*) FILTER (toxic = 1) AS k FROM labels GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z FROM f) SELECT fact_id, n, k, round(least(1, (k / n + z * z / (2.0 * n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / (4.0 * n * n), 0))) / (1 + z * z / n)), 6) AS upper, CASE WHEN n < 12 THEN 'unevaluable' WHEN k = 0 THEN 'pass' WHEN k = 1 THEN 'weak' ELSE 'fail' END AS status FROM z",
     "length_report": r"SELECT doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_words FROM documents",
     "length_balance": r"WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n FROM documents) SELECT source, round(max(n) / nullif(min(n), 0) - 1, 6) AS spread FROM d GROUP BY 1",
-    "content_hash": "SELECT n_regionkey::BIGINT AS n_regionkey, sha256(string_agg(l, chr(10) ORDER BY l)) AS sha256 FROM (SELECT n_regionkey, n_nationkey || '|' || n_name AS l FROM nation) GROUP BY 1",
+    "content_hash": f"SELECT key AS n_regionkey, {_MULTISET} AS sha256 FROM (SELECT n_regionkey::BIGINT AS key, n_nationkey || '|' || n_name AS l FROM nation) GROUP BY 1",
+    "content_hash_skewed": f"SELECT key AS user_id, {_MULTISET} AS sha256 FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END::BIGINT AS key, event_id || '|' || event_type AS l FROM events) GROUP BY 1",
+    "scan_before_truncation": f"WITH e AS ({logs.EVENTS}) SELECT run_id, 'scanned_before_truncation' AS invariant, count(*) AS rows, count(*) FILTER (event_type <> 'error' AND k % 97 = 0) AS broken, count(*) FILTER (event_type <> 'error' AND k % 97 = 0) = 0 AS holds FROM e GROUP BY 1",
+    "stored_tables": "SELECT 1::BIGINT AS number, count(*) FILTER (event_id % 2 = 0) AS n, 3::BIGINT AS writes FROM events UNION ALL SELECT 2, count(*), 3 FROM events",
     "leaks": logs._REG + " SELECT run_id || '/' || seq AS name, fact_id FROM hits WHERE form IN ('exact', 'lower', 'nohyphen')",
     "stream_regions": """WITH c AS (SELECT *, coalesce(text, '') AS t FROM conversations), r AS (
 SELECT 'self_text' AS channel, strlen(t) AS b FROM c WHERE role = 'assistant' UNION ALL SELECT 'tool_input', strlen('{"command":"ls"}') FROM c WHERE role = 'assistant'
