@@ -18,6 +18,7 @@ from tallyforge.operators import tables as TB
 from tallyforge.plans import frames, ledger, logs
 from tallyforge.plans.statistics import rounded
 from tallyforge.shared import fixed
+from tallyforge.streaming import probes as PR
 from tallyforge.streaming import rates as ST
 
 
@@ -100,6 +101,28 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "judged").otherwise("mechanical").alias("kind"), pick(_CHECKS).alias("command"), pick(_CONDITIONS).alias("pass_condition"))
 
 
+PATIENCE = 86_400
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    """Events as a log of probes; those of a run and day are sendings of one probe."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when((F.col("event_type") == "view") & (k % 2 == 0), "probe_in").when(F.col("event_type").isin("purchase", "signup"), "tool_use").otherwise("assistant")
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.concat(F.lit("u"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), ts.alias("ts"), kind.alias("kind"), F.when(kind == "probe_in", F.concat(F.lit("p"), F.date_format(ts, "yyyyMMdd"))).alias("probe_id"), (k % 5 < 2).alias("answers"), (k % 7 == 1).alias("refusing"), F.when(k % 3 > 0, k % 2 == 0).alias("parse_ok"))
+
+
+def _asked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, beside a heartbeat long after the table's last event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    beat = events.agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 30 days")).alias("ts"))
+    rows = _asked(events)
+    late = rows.where("false").unionByName(beat.select("ts", F.lit("heartbeat").alias("kind"), F.lit(0).cast("long").alias("seq")), allowMissingColumns=True)
+    at = shared.path(spark, "heartbeat")
+    late.write.parquet(at)
+    return PR.stream_lifecycles(_asked(_stream_source(spark, sf_dir)).unionByName(spark.readStream.schema(rows.schema).parquet(at)), patience=PATIENCE)
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the events committed, then all, then all again in another order, which commits nothing: rows by version."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -146,6 +169,8 @@ QUERIES = {
     "path_globs": lambda s, d: rounded(logs.flat(s, d).groupBy(X.path_matches(F.col("file_path"), ["src/f1?.py", "memory/**"]).alias("hit")).agg(F.count("*").alias("n"))),
     "schedule": lambda s, d: rounded(_schedule(s, d)),
     "schedule_drift": lambda s, d: rounded(DS.schedule_drift(_schedule(s, d), _schedule(s, d, without="BUILDING"))),
+    "probe_lifecycles": lambda s, d: rounded(PR.lifecycles(_asked(s.read.parquet(f"{d}/events.parquet")), patience=PATIENCE)),
+    "stream_probe_lifecycles": lambda s, d: rounded(ST.drained(_asked_stream(s, d), mode="append")),
     "windowed_rates": lambda s, d: rounded(ST.windowed_rates(_hits(s.read.parquet(f"{d}/events.parquet")))),
     "stream_windowed_rates": lambda s, d: rounded(ST.drained(ST.windowed_rates(_hits(_stream_source(s, d))))),
     "sessions": lambda s, d: rounded(ST.sessions(_hits(s.read.parquet(f"{d}/events.parquet")))),
@@ -164,7 +189,17 @@ UNION ALL SELECT id, 'guard_inside_lambda', NULL FROM c WHERE regexp_matches(con
 UNION ALL SELECT id, 'tree_grep', NULL FROM c WHERE regexp_matches(cmd, {_q(G.TREE_GREP)}) AND NOT regexp_matches(cmd, {_q(G.DIFF_SCOPED)}) UNION ALL SELECT id, 'double_quiet', NULL FROM c WHERE regexp_matches(cmd, '\\bpytest\\b([^\\n]*[^\\n\\w-])?-q([^\\w-]|$)')
 UNION ALL SELECT id, 'pipe', NULL FROM c WHERE contains(regexp_replace(regexp_replace(cmd, {_q(G.QUOTED)}, '', 'g'), '[|][|]+', '', 'g'), '|')"""
 _MULTISET = "sha256(concat_ws('|', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(sha256(l), {1 + 8 * k}, 8))::BIGINT)::VARCHAR" for k in range(8)) + "))"
+_ASKED = f"""WITH j AS (SELECT *, cast(json_extract_string(props, '$.k') AS int) AS k FROM events),
+e AS (SELECT 'u' || user_id AS run_id, event_id AS seq, ts::TIMESTAMP AS ts, CASE WHEN event_type = 'view' AND k % 2 = 0 THEN 'probe_in' WHEN event_type IN ('purchase', 'signup') THEN 'tool_use' ELSE 'assistant' END AS kind, 'p' || strftime(ts::TIMESTAMP, '%Y%m%d') AS probe_id, k % 5 < 2 AS answers, k % 7 = 1 AS refusing, CASE WHEN k % 3 > 0 THEN k % 2 = 0 END AS parse_ok FROM j),
+t AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (kind = 'probe_in') OVER w AS turn FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
+u AS (SELECT run_id, turn, any_value(probe_id) FILTER (kind = 'probe_in') AS probe_id, min(rn) FILTER (kind = 'probe_in') AS s, min(rn) FILTER (kind = 'tool_use') AS tl, min(rn) FILTER (kind = 'assistant' AND answers) AS an FROM t WHERE turn > 0 GROUP BY ALL),
+v AS (SELECT u.run_id, u.turn, u.probe_id, u.s, a.ts AS sent_ts, a.seq AS sent_seq, b.ts AS answer_ts, b.seq AS answer_seq, b.refusing AND NOT coalesce(b.parse_ok, false) AS refused FROM u JOIN t a ON a.run_id = u.run_id AND a.rn = u.s LEFT JOIN t b ON b.run_id = u.run_id AND b.rn = u.an AND (u.tl IS NULL OR u.an < u.tl)),
+f AS (SELECT *, first_value(sent_ts) OVER w + INTERVAL {PATIENCE} SECOND AS until, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY run_id, probe_id ORDER BY s)),
+g AS (SELECT run_id, probe_id, min(turn) AS turn, min_by(sent_seq, s) AS sent_seq, any_value(until) AS until, count(*) AS n_sent, min_by(answer_seq, s) FILTER (answer_ts <= until) AS answer_seq, min_by(refused, s) FILTER (answer_ts <= until) AS refused FROM f WHERE sent_ts <= until GROUP BY ALL)
+SELECT g.run_id, g.probe_id, g.sent_seq, n_sent, g.answer_seq, CASE WHEN g.refused THEN 'refused' WHEN g.answer_seq IS NOT NULL THEN 'answered' WHEN o.sent_ts <= g.until THEN 'superseded' ELSE 'unanswered' END AS outcome FROM g LEFT JOIN v o ON o.run_id = g.run_id AND o.turn = g.turn + 1"""
 ORACLE_SQL = {
+    "probe_lifecycles": _ASKED,
+    "stream_probe_lifecycles": _ASKED,
     "lint_criteria": _LINT,
     "majority": f"{_V} SELECT * FROM m",
     "judged": f"{_V}, j AS (SELECT run_id, count(*) AS t, count(met) AS g, count(*) FILTER (met) AS k FROM m GROUP BY 1) SELECT run_id, t AS criteria_total, g AS criteria_graded, t - g AS criteria_errored, round(k / nullif(g, 0), 6) AS score, CASE WHEN g = 0 THEN 'error' WHEN k = g AND t = g THEN 'accepted' WHEN k = 0 AND t = g THEN 'rejected' ELSE 'partial' END AS verdict FROM j",

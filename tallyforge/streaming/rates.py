@@ -1,13 +1,14 @@
 """The same questions over streams: windowed rates, sessions with keyed state, first-of-message usage.
 
-Late rows are bounded by a watermark, so state is too.  Each query equals its
-batch counterpart once the stream is drained.
+Late rows are bounded by a watermark, so state is too, but for running phases without a
+time, whose runs are kept.  Each query equals its batch counterpart once the stream is drained.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,28 +45,46 @@ def usage_once(events: DataFrame, *, time: str = "ts", late: str = "2 days") ->
     return rows.dropDuplicatesWithinWatermark(["run_id", "message_id"]) if events.isStreaming else rows.dropDuplicates(["run_id", "message_id"])
 
 
-PHASE_STATE = "first_edit long, last_edit long, n long, before long, tokens long"
+PHASE_STATE = "first_edit long, last_edit long, n long, before array<long>, tokens long"
 PHASE_OUT = "run_id string, first_edit long, last_edit long, n long, n_before_edit long, tokens long"
 
 
-def _phases(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first, last, n, before, tokens = state.get if state.exists else (-1, -1, 0, 0, 0)
-    for pdf in batches:
-        pdf = pdf.sort_values("seq")
-        edits = pdf.loc[pdf["is_edit"], "seq"]
-        if len(edits):
-            first = int(edits.min()) if first < 0 else min(first, int(edits.min()))
-            last = max(last, int(edits.max()))
-        n += len(pdf)
-        before += int((pdf["seq"] < first).sum()) if first >= 0 else len(pdf)
-        tokens += int(pdf["tokens_in"].sum())
-    state.update((first, last, n, before, tokens))
-    yield pd.DataFrame([(key[0], first, last, n, before, tokens)], columns=["run_id", "first_edit", "last_edit", "n", "n_before_edit", "tokens"])
-
-
-def running_phases(log: DataFrame) -> DataFrame:
-    """A run's first and last edit, events before the first, and tokens, kept as state and updated a batch at a time."""
-    return log.groupBy("run_id").applyInPandasWithState(_phases, PHASE_OUT, PHASE_STATE, "update", GroupStateTimeout.NoTimeout)
+def _phases(idle: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, n, before, tokens = state.get if state.exists else (-1, -1, 0, [], 0)
+        # only rows before the first edit can still change what is told: it never moves to a later place
+        early = [np.asarray(before, np.int64)]
+        for pdf in batches:
+            seq = pdf["seq"].to_numpy()
+            edits = seq[pdf["is_edit"].to_numpy(bool)]
+            if len(edits):
+                first = int(edits.min()) if first < 0 else min(first, int(edits.min()))
+                last = max(last, int(edits.max()))
+            n += len(pdf)
+            early.append(seq)
+            tokens += int(pdf["tokens_in"].sum())
+        early = np.concatenate(early)
+        early = early if first < 0 else early[early < first]
+        state.update((first, last, n, early.tolist(), tokens))
+        if idle is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle * 1000)
+        yield pd.DataFrame([(key[0], first, last, n, len(early), tokens)], columns=["run_id", "first_edit", "last_edit", "n", "n_before_edit", "tokens"])
+
+    return run
+
+
+def running_phases(log: DataFrame, *, idle: int | None = None, late: str = "2 days") -> DataFrame:
+    """A run's first and last edit, events before the first, and tokens, kept as state and updated a batch at a time.
+
+    An edit that comes late moves the first one back, and events are counted anew: their places are kept up to the
+    first edit. With ``idle`` seconds (and a time ``ts``) a run that the watermark left behind by as much is dropped.
+    """
+    if idle is None:
+        return log.groupBy("run_id").applyInPandasWithState(_phases(None), PHASE_OUT, PHASE_STATE, "update", GroupStateTimeout.NoTimeout)
+    return log.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(_phases(idle), PHASE_OUT, PHASE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, *, mode: str = "complete", keys: tuple[str, ...] = ()) -> DataFrame:
