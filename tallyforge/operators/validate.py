@@ -20,21 +20,22 @@ def _issues(rows: DataFrame, code: str, severity: str, message) -> DataFrame:
 class Book:
     """Postings with what the rules share: sums by transaction and uses of accounts, each made once.
 
-    With ``keep`` they are written, so that any number of rules read small tables and the postings
-    are scanned twice (and once more for closed accounts).
+    With ``keep`` the columns that rules read are written once, so that what leads to the postings runs once; sums and
+    uses come from that narrow table.
     """
 
     def __init__(self, postings: DataFrame, *, keep: bool = False):
-        self.postings, self._keep = postings, fixed if keep else lambda df, name: df
+        self._keep = fixed if keep else lambda df, name: df
+        self.postings = self._keep(postings.select("txn_id", "line_no", "ordinal", "date", "ref", "description", "account", "amount_minor", "currency"), "book")
 
     @cached_property
     def sums(self) -> DataFrame:
-        of = [F.min(c).alias(c) for c in ("line_no", "date", "ref", "description")]
-        return self._keep(self.postings.groupBy("txn_id", "currency").agg(F.sum("amount_minor").alias("net"), *of), "sums")
+        """Those of transactions that aren't balanced."""
+        return self.postings.groupBy("txn_id", "currency").agg(F.sum("amount_minor").alias("net"), F.min("line_no").alias("line_no"), F.min("ref").alias("ref")).where("net <> 0")
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return self._keep(self.sums.groupBy("txn_id").agg(*(F.min(c).alias(c) for c in ("line_no", "date", "ref", "description"))), "transactions")
+        return self._keep(self.postings.groupBy("txn_id").agg(*(F.min(c).alias(c) for c in ("line_no", "date", "ref", "description"))), "transactions")
 
     @cached_property
     def uses(self) -> DataFrame:
@@ -47,7 +48,7 @@ def book(postings: DataFrame | Book) -> Book:
 
 
 def check_balanced(postings: DataFrame | Book, chart: DataFrame | None = None) -> DataFrame:
-    return _issues(book(postings).sums.where("net <> 0"), "unbalanced", "error", F.concat(F.col("currency"), F.lit(" is off by "), F.col("net").cast("string")))
+    return _issues(book(postings).sums, "unbalanced", "error", F.concat(F.col("currency"), F.lit(" is off by "), F.col("net").cast("string")))
 
 
 def check_known_accounts(postings: DataFrame | Book, chart: DataFrame) -> DataFrame:
