@@ -15,7 +15,7 @@ from tallyforge.operators import regions as RG
 from tallyforge.operators import tables as TB
 from tallyforge.operators import telemetry as TM
 from tallyforge.operators import trace as TR
-from tallyforge.plans import frames, jobs, ledger, logs, more
+from tallyforge.plans import frames, jobs, ledger, logs, more, render
 from tallyforge.plans.jobs import _when
 from tallyforge.plans.statistics import rounded
 from tallyforge.sources import ledgers as S
@@ -99,6 +99,14 @@ def on_card(name: str):
     return lambda spark, sf_dir: rounded(TM.job_scorecard(_graded(spark, sf_dir), "E0")[name])
 
 
+def _run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record, a verdict and a description of every run, some of them lacking or broken."""
+    e = F.expr
+    record = """concat('{"tokens":{"total_input":', s, ',"total_output":', n, ',"cost_usd":', d, '.25,"accounting_version":"per_message_v2","dedupe_delta_input":', hi - lo, '},"timing":{"wall_clock_seconds":', hi, '},"operations":{"tool_calls_total":', n, ',"tool_calls_task":', n - 1, ',"probes_sent":', d, ',"probes_answered":', d - 1, '},"navigation":{"files_edited":["a.py","b.py"]}}')"""
+    judge = """concat('{"verdict":"accepted","score":0.5,"battery":{"passed":', d, ',"total":7},"criteria":[{"met":true,"criterion":"c', u, ' | x","source":"s","evidence":"e"},{"criterion":"lost","error":"no"}]}')"""
+    return jobs.base(spark, sf_dir).select(e("concat('u', u)").alias("run_id"), e(record).alias("record"), e(f"CASE u % 3 WHEN 0 THEN {judge} WHEN 1 THEN '{{broken' END").alias("judge"), e("""concat('{"agent_id":"a', u, '","run_dir":"', run_dir, '"}')""").alias("meta"), e("CASE WHEN u % 2 = 0 THEN ' done ' END").alias("analysis"))
+
+
 def _envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.export_envelope(ledger.postings(spark, sf_dir), generated_at="2024-01-01T00:00:00Z", source_system="books")
     head = F.col("json").startswith('{"schema"')
@@ -202,6 +210,7 @@ QUERIES = {
     "accounting_versions": on_card("versions"),
     "graders_by_task": on_card("graders"),
     "regrade_drift": on_card("regrade drift"),
+    "run_reports": lambda s, d: rounded(render.run_reports(_run_documents(s, d))),
     "export_envelope": lambda s, d: rounded(_envelope(s, d)),
     "chart_round_trip": lambda s, d: rounded(_chart_trip(s, d)),
     "rates_round_trip": lambda s, d: rounded(_rates_trip(s, d)),
@@ -244,7 +253,14 @@ calls AS (SELECT run_id, 'k' || turn AS id, turn AS pos FROM c WHERE role = 'ass
 ids AS (SELECT run_id, id, max(pos) AS pos FROM (SELECT * FROM calls UNION ALL SELECT * FROM answers) GROUP BY ALL),
 l AS (SELECT c.*, CASE s WHEN 1 THEN 'k' || (turn - 1) WHEN 2 THEN 'none' WHEN 6 THEN 'k' || turn END AS id FROM c),
 p AS (SELECT l.*, ids.pos AS known, coalesce(last_value(ids.pos IGNORE NULLS) OVER (PARTITION BY l.run_id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), 0) AS seq FROM l LEFT JOIN ids ON ids.run_id = l.run_id AND ids.id = l.id)"""
+_num = lambda c: f"format('{{:,}}', {c})"
+_REPORTS = f"""WITH b AS ({jobs.BASE}) SELECT 'u' || u AS run_id, concat_ws(chr(10) || chr(10), '# Run report: u' || u, '**Verdict:** ' || CASE WHEN u % 3 = 0 THEN 'ACCEPTED, score 0.50' ELSE '-, score -' END || ', agent a' || u, '- repository - at -' || chr(10) || '- started -, ended -', '## Acceptance criteria',
+  CASE WHEN u % 3 = 0 THEN '|  | criterion | source | evidence |' || chr(10) || '|---|---|---|---|' || chr(10) || '| met | c' || u || ' \\| x | s | e |' || chr(10) || '| not evaluated | lost |  | no |' ELSE 'No criteria were graded.' END,
+  CASE WHEN u % 3 = 0 THEN 'Mechanical checks: ' || d || ' of 7 passed.' END, CASE WHEN u % 3 = 0 THEN '1 of 2 criteria could not be evaluated and are left out of the score.' END, '## Cost and timing',
+  '- input ' || {_num('s')} || ', output ' || {_num('n')} || ', cache read -' || chr(10) || '- accounting per_message_v2: per message, each usage once' || chr(10) || '- measured cost $' || d || '.2500' || chr(10) || CASE WHEN hi > lo THEN '- input drifts by +' || {_num('hi - lo')} || ' from the terminal result' || chr(10) ELSE '' END || '- wall clock ' || hi || ' s, first edit after - s' || chr(10) || '- tool calls ' || n || ' (' || (n - 1) || ' of the task), turns -, lines -' || chr(10) || '- probes ' || (d - 1) || ' of ' || d || ' answered, resumes -, denials -, most calls a message -' || chr(10) || '- files edited: a.py, b.py',
+  '## Artifacts', '- diff ' || run_dir || '/git.patch' || chr(10) || '- transcript ' || run_dir || '/transcript.jsonl', CASE WHEN u % 2 = 0 THEN '## Analysis by the agent' || chr(10) || chr(10) || 'done' END) || chr(10) AS report FROM b"""
 ORACLE_SQL = {
+    "run_reports": _REPORTS,
     "transcript_regions": f"""{_DISK}, d AS (SELECT run_id, line_no, 0 AS k, seq, known IS NULL AS seq_approx, CASE s WHEN 0 THEN 'attachment_odd_kind' WHEN 1 THEN 'sidecar_only' WHEN 2 THEN 'persisted_output_ondisk' WHEN 3 THEN 'system_reminder' ELSE 'attachment_queued' END AS channel,
   CASE s WHEN 0 THEN 'odd kind' || chr(10) || 't' || (conv_id % 2) || chr(10) || 'say "x":' || chr(10) || 'é' WHEN 3 THEN '<system-reminder>r' || (turn % 2) || '</system-reminder>' ELSE '' END AS text FROM p WHERE s IN (0, 1, 2, 3, 5)
   UNION ALL SELECT run_id, line_no, 1, seq, known IS NULL, 'sidecar_only', '' FROM p WHERE s = 2),

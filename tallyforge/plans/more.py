@@ -101,6 +101,12 @@ def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "judged").otherwise("mechanical").alias("kind"), pick(_CHECKS).alias("command"), pick(_CONDITIONS).alias("pass_condition"))
 
 
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, two thirds of them with headings, boxes, tables or bare bullets after their text."""
+    more = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "\n## head\n- [x] item  \n| a | b |\n|---|:-:|\n").otherwise("\n* \n-")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "source", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+
+
 PATIENCE = 86_400
 
 
@@ -147,8 +153,8 @@ QUERIES = {
     "majority": lambda s, d: rounded(G.majority(_votes(s, d))),
     "judged": lambda s, d: rounded(G.judged(G.majority(_votes(s, d)))),
     "admission": lambda s, d: rounded(G.admission(_fires(s, d))),
-    "length_report": lambda s, d: rounded(G.length_report(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), "text"))),
-    "length_balance": lambda s, d: rounded(G.length_balance(s.read.parquet(f"{d}/documents.parquet"), "source")),
+    "length_report": lambda s, d: rounded(G.length_report(_laid_out(s, d))),
+    "length_balance": lambda s, d: rounded(G.length_balance(_laid_out(s, d), "source")),
     "content_hash": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", "n_name")),
     "content_hash_skewed": lambda s, d: rounded(G.content_hash(s.read.parquet(f"{d}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id"))), "user_id", "event_id", "event_type")),
     "scan_before_truncation": lambda s, d: rounded(IV.verdicts(logs.flat(s, d).withColumn("model_visible", F.col("event_type") != "error").withColumn("digested", F.col("k") % 97 == 0), "run_id", scanned_before_truncation=IV.scanned_before_truncation())),
@@ -197,6 +203,8 @@ v AS (SELECT u.run_id, u.turn, u.probe_id, u.s, a.ts AS sent_ts, a.seq AS sent_s
 f AS (SELECT *, first_value(sent_ts) OVER w + INTERVAL {PATIENCE} SECOND AS until, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY run_id, probe_id ORDER BY s)),
 g AS (SELECT run_id, probe_id, min(turn) AS turn, min_by(sent_seq, s) AS sent_seq, any_value(until) AS until, count(*) AS n_sent, min_by(answer_seq, s) FILTER (answer_ts <= until) AS answer_seq, min_by(refused, s) FILTER (answer_ts <= until) AS refused FROM f WHERE sent_ts <= until GROUP BY ALL)
 SELECT g.run_id, g.probe_id, g.sent_seq, n_sent, g.answer_seq, CASE WHEN g.refused THEN 'refused' WHEN g.answer_seq IS NOT NULL THEN 'answered' WHEN o.sent_ts <= g.until THEN 'superseded' ELSE 'unanswered' END AS outcome FROM g LEFT JOIN v o ON o.run_id = g.run_id AND o.turn = g.turn + 1"""
+_LENGTHS = r"""WITH d AS (SELECT doc_id::VARCHAR AS name, source, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || '## head' || chr(10) || '- [x] item  ' || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) ELSE chr(10) || '* ' || chr(10) || '-' END AS t FROM documents),
+m AS (SELECT *, len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+'))::BIGINT AS w, len(regexp_extract_all(replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \t]+$', '', 'g'), '(?m)^[|:\- \t]+$', '', 'g'), '(?m)^[ \t]*(?:#{1,6}[ \t]*)?(?:[-*+][ \t]+)?(?:\[[ xX]\][ \t]*)?', '', 'g'), '|', ' '), '[^ \t\n\x0B\f\r]+'))::BIGINT AS c FROM d)"""
 ORACLE_SQL = {
     "probe_lifecycles": _ASKED,
     "stream_probe_lifecycles": _ASKED,
@@ -204,8 +212,8 @@ ORACLE_SQL = {
     "majority": f"{_V} SELECT * FROM m",
     "judged": f"{_V}, j AS (SELECT run_id, count(*) AS t, count(met) AS g, count(*) FILTER (met) AS k FROM m GROUP BY 1) SELECT run_id, t AS criteria_total, g AS criteria_graded, t - g AS criteria_errored, round(k / nullif(g, 0), 6) AS score, CASE WHEN g = 0 THEN 'error' WHEN k = g AND t = g THEN 'accepted' WHEN k = 0 AND t = g THEN 'rejected' ELSE 'partial' END AS verdict FROM j",
     "admission": "WITH f AS (SELECT 'f' || (doc_id % 40) AS fact_id, count(toxic) AS n, count(*) FILTER (toxic = 1) AS k FROM labels GROUP BY 1), z AS (SELECT *, 1.959963984540054 AS z FROM f) SELECT fact_id, n, k, round(least(1, (k / n + z * z / (2.0 * n) + z * sqrt(greatest(k / n * (1 - k / n) / n + z * z / (4.0 * n * n), 0))) / (1 + z * z / n)), 6) AS upper, CASE WHEN n < 12 THEN 'unevaluable' WHEN k = 0 THEN 'pass' WHEN k = 1 THEN 'weak' ELSE 'fail' END AS status FROM z",
-    "length_report": r"SELECT doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, '')) AS n_chars, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_words FROM documents",
-    "length_balance": r"WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n FROM documents) SELECT source, round(max(n) / nullif(min(n), 0) - 1, 6) AS spread FROM d GROUP BY 1",
+    "length_report": _LENGTHS + " SELECT name, strlen(t)::BIGINT AS n_bytes, length(t) AS n_chars, len(t) - len(replace(t, chr(10), '')) + CASE WHEN t = '' OR ends_with(t, chr(10)) THEN 0 ELSE 1 END AS n_lines, w AS n_words, c AS n_content_words, sha256(t) AS sha256 FROM m",
+    "length_balance": _LENGTHS + " SELECT source, min(w) AS words_min, max(w) AS words_max, round(CASE WHEN min(w) > 0 THEN max(w) / min(w) - 1 END, 6) AS word_spread, min(c) AS content_words_min, max(c) AS content_words_max, round(CASE WHEN min(c) > 0 THEN max(c) / min(c) - 1 END, 6) AS content_word_spread FROM m GROUP BY 1",
     "content_hash": f"SELECT key AS n_regionkey, {_MULTISET} AS sha256 FROM (SELECT n_regionkey::BIGINT AS key, n_nationkey || '|' || n_name AS l FROM nation) GROUP BY 1",
     "content_hash_skewed": f"SELECT key AS user_id, {_MULTISET} AS sha256 FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END::BIGINT AS key, event_id || '|' || event_type AS l FROM events) GROUP BY 1",
     "scan_before_truncation": f"WITH e AS ({logs.EVENTS}) SELECT run_id, 'scanned_before_truncation' AS invariant, count(*) AS rows, count(*) FILTER (event_type <> 'error' AND k % 97 = 0) AS broken, count(*) FILTER (event_type <> 'error' AND k % 97 = 0) = 0 AS holds FROM e GROUP BY 1",

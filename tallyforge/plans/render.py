@@ -121,25 +121,64 @@ def grouped(value) -> str:
     return f"{value:,}" if isinstance(value, (int, float)) and not isinstance(value, bool) else "-"
 
 
-def run_report(record: dict, judge: dict | None = None, meta: dict | None = None) -> str:
-    """A run's scorecard as Markdown: verdict, criteria, cost and timing. What isn't known is a dash."""
+#: What a version of accounting means to a reader.
+ACCOUNTING = {"per_message_v2": "per message, each usage once", "per_line_v1": "per line, inflated: not to be compared with later runs"}
+
+
+def run_report(record: dict, judge: dict | None = None, meta: dict | None = None, analysis: str | None = None) -> str:
+    """A run's scorecard as Markdown: verdict, criteria, cost and timing, artifacts. What isn't known is a dash."""
     judge, meta = judge or {}, meta or {}
     tokens, timing, ops = (record.get(k) or {} for k in ("tokens", "timing", "operations"))
     score = judge.get("score")
-    out = [f"# Run report: {meta.get('run_id') or (record.get('run') or {}).get('run_id') or '-'}", f"**Verdict:** {VERDICTS.get(judge.get('verdict'), judge.get('verdict') or '-')}, score {f'{score:.2f}' if isinstance(score, (int, float)) else '-'}, agent {meta.get('agent_id') or '-'}", "## Acceptance criteria"]
+    known = lambda d, k: "-" if d.get(k) is None else str(d[k])
+    out = [f"# Run report: {meta.get('run_id') or (record.get('run') or {}).get('run_id') or '-'}", f"**Verdict:** {VERDICTS.get(judge.get('verdict'), judge.get('verdict') or '-')}, score {f'{score:.2f}' if isinstance(score, (int, float)) else '-'}, agent {meta.get('agent_id') or '-'}"]
+    out.append(bullets([f"repository {meta.get('repo_url') or meta.get('repo_path') or '-'} at {(meta.get('base_repo_sha') or '-')[:10]}", f"started {known(meta, 'timestamp_start')}, ended {known(meta, 'timestamp_end')}"]))
+    out.append("## Acceptance criteria")
     criteria = judge.get("criteria") or []
     rows = [[MET.get(c.get("met"), "not evaluated"), str(c.get("criterion") or "")[:80], str(c.get("source") or ""), str(c.get("evidence") or c.get("error") or "").replace("\n", " ")[:120]] for c in criteria]
     line = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
     out.append("\n".join([line(["", "criterion", "source", "evidence"]), "|---|---|---|---|", *map(line, rows)]) if rows else "No criteria were graded.")
+    battery = judge.get("battery") or {}
+    if rows and battery:
+        out.append(f"Mechanical checks: {known(battery, 'passed')} of {known(battery, 'total')} passed" + (f", {battery['errored']} not evaluable" if battery.get("errored") else "") + ".")
     lost = sum(c.get("met") is None for c in criteria)
     if lost:
         out.append(f"{lost} of {len(criteria)} criteria could not be evaluated and are left out of the score.")
-    cost = [f"input {grouped(tokens.get('total_input'))}, output {grouped(tokens.get('total_output'))}, cache read {grouped(tokens.get('cache_read'))}", f"accounting {tokens.get('accounting_version') or 'per_line_v1'}"]
+    version = tokens.get("accounting_version") or "per_line_v1"
+    cost = [f"input {grouped(tokens.get('total_input'))}, output {grouped(tokens.get('total_output'))}, cache read {grouped(tokens.get('cache_read'))}", f"accounting {version}: {ACCOUNTING.get(version, 'unknown')}"]
+    if tokens.get("cost_usd") is not None:
+        cost.append(f"measured cost ${tokens['cost_usd']:.4f}")
     cost += [f"{side} drifts by {tokens[f'dedupe_delta_{side}']:+,} from the terminal result" for side in ("input", "output") if tokens.get(f"dedupe_delta_{side}")]
-    known = lambda d, k: "-" if d.get(k) is None else str(d[k])
     cost.append(f"wall clock {known(timing, 'wall_clock_seconds')} s, first edit after {known(timing, 'time_to_first_edit_seconds')} s")
-    cost.append(f"tool calls {known(ops, 'tool_calls_total')}, turns {known(ops, 'turns_total')}, lines {known(ops, 'message_count')}")
+    own = ops.get("tool_calls_task")
+    cost.append(f"tool calls {known(ops, 'tool_calls_total')}" + (f" ({own} of the task)" if own is not None and own != ops.get("tool_calls_total") else "") + f", turns {known(ops, 'turns_total')}, lines {known(ops, 'message_count')}")
     if ops.get("probes_sent") is not None:
-        cost.append(f"probes {known(ops, 'probes_answered')} of {ops['probes_sent']} answered, resumes {known(ops, 'resumes_sent')}")
+        cost.append(f"probes {known(ops, 'probes_answered')} of {ops['probes_sent']} answered, resumes {known(ops, 'resumes_sent')}, denials {known(ops, 'permission_denials')}, most calls a message {known(ops, 'max_tool_uses_per_message')}")
     files = (record.get("navigation") or {}).get("files_edited") or []
-    return "\n\n".join([*out, "## Cost and timing", bullets([*cost, f"files edited: {', '.join(files) or '-'}"])]) + "\n"
+    out += ["## Cost and timing", bullets([*cost, f"files edited: {', '.join(files) or '-'}"])]
+    if meta.get("run_dir"):
+        out += ["## Artifacts", bullets([f"diff {meta['run_dir']}/git.patch", f"transcript {meta['run_dir']}/transcript.jsonl"])]
+    if analysis and analysis.strip():
+        out += ["## Analysis by the agent", analysis.strip()]
+    return "\n\n".join(out) + "\n"
+
+
+def run_reports(runs: DataFrame) -> DataFrame:
+    """(run_id, report) of runs (run_id, record, judge, meta: JSON or null, analysis): a report a row, made where the row lies.
+
+    A document that lacks or can't be read is an empty one.
+    """
+
+    def read(text) -> dict:
+        try:
+            doc = json.loads(text) if isinstance(text, str) else {}
+        except ValueError:
+            doc = {}
+        return doc if isinstance(doc, dict) else {}
+
+    def told(batches):
+        for pdf in batches:
+            reports = [run_report(read(r.record), read(r.judge), {"run_id": r.run_id, **read(r.meta)}, r.analysis) for r in pdf.itertuples(index=False)]
+            yield pdf[["run_id"]].assign(report=reports)
+
+    return runs.select("run_id", "record", "judge", "meta", "analysis").mapInPandas(told, "run_id string, report string")

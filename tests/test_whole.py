@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import grading as G
 from tallyforge.plans import frames, ledger, logs, more
 from tests.compare import rows
 
@@ -87,6 +88,20 @@ def test_read_sequence(spark, tmp_path, made, kept):
 def test_length_balance(spark, tmp_path):
     """Upper-case and other scripts have words; null and empty texts have none; every source stays."""
     docs = [("a", "one two three four"), ("a", "ONE"), ("b", "один два"), ("b", "один"), ("c", "one"), ("c", ""), ("d", None), ("e", "one two"), ("e", "1 2 3")]
-    spark.createDataFrame(docs, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["source"]: r["spread"] for r in more.QUERIES["length_balance"](spark, str(tmp_path)).collect()}
+    got = {r["source"]: r["word_spread"] for r in G.length_balance(spark.createDataFrame(docs, "source string, text string"), "source").collect()}
     assert got == {"a": 3.0, "b": 1.0, "c": None, "d": None, "e": 0.5}
+
+
+def test_content_words(spark):
+    """Layouts of the same words count the same; the raw lengths differ, within the looser tolerance or not."""
+    texts = {"prose": "Rates are due on Monday and paid on Friday by all", "list": "## Rates are due\n\n- on Monday\n* [x] and paid on\n+ Friday by all  ", "table": "| Rates | are due |\n|---|:-:|\n| on Monday | and paid |\n|||\n | on Friday by | all |\n-\n", "none": None, "bare": "#\n- \n[ ] x"}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    got = {r["name"]: r for r in G.length_report(df).collect()}
+    assert {n: got[n]["n_content_words"] for n in got} == {"prose": 11, "list": 11, "table": 11, "none": 0, "bare": 1}
+    assert [got[n]["n_lines"] for n in ("prose", "list", "table", "none", "bare")] == [1, 5, 6, 0, 3]
+    one = G.length_balance(df.where("name in ('prose', 'list', 'table')").withColumn("fact", F.lit("f")), "fact")
+    r = one.first()
+    assert (r["content_words_min"], r["content_words_max"], r["content_word_spread"]) == (11, 11, 0.0) and r["words_max"] > r["words_min"] == 11
+    assert G.length_balanced(one, raw=2.0).count() == 1
+    with pytest.raises(Exception, match="lengths differ"):
+        G.length_balanced(one, raw=0.1).collect()
