@@ -37,11 +37,13 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made.
+    Only where that is unset and the master is this process, as in tests, a temporary folder is made.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="tallyforge-")
@@ -73,6 +75,13 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def dealt(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` in a folder for each value of ``column``, so that those of one value are read alone."""
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.repartition(column).write.partitionBy(column).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def clear(self) -> None:
         for path in self.paths:
             deleted(self.spark, path)

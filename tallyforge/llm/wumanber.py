@@ -137,10 +137,14 @@ def passes_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
     """Broadcast blocks of the benchmark, those of one pass over the documents at a time."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
     blocks = max(1, -(-text_bytes(items, "text") // block_bytes))
-    place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    send = benchmark.sparkSession.sparkContext.broadcast
+    spark, scratch = benchmark.sparkSession, Scratch(benchmark.sparkSession)
+    if blocks > 1:  # dealt once, so that a block is read alone
+        items = scratch.dealt(items.withColumn("place", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "place", "items")
+    send = spark.sparkContext.broadcast
     for at in range(0, blocks, resident):
-        yield [send(Block([(r["item"], r["text"]) for r in items.where(place == k).collect()], length)) for k in range(at, min(at + resident, blocks))]
+        own = [items.where(F.col("place") == k) if blocks > 1 else items for k in range(at, min(at + resident, blocks))]
+        yield [send(Block([(r["item"], r["text"]) for r in block.collect()], length)) for block in own]
+    scratch.clear()
 
 
 def marked(texts: pa.Array, shared: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]]:
