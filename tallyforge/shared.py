@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests on one machine, a folder of this process."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and the master is this process, as in tests, a folder of it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="tallyforge-")
