@@ -150,7 +150,7 @@ def test_gates_of_a_task_that_never_varies(spark, tmp_path):
     # each user's use and success vary, but for the last one's
     con.execute("create table events as select u * 40 + e as event_id, timestamp '2024-01-01' + to_seconds(e) as ts, u as user_id, 'click' as event_type, 40.0::double as value, '{\"k\": ' || CASE WHEN u = 3 THEN 14 ELSE 14 + e % 20 END || '}' as props from (select range as u from range(4)) a, (select range as e from range(40)) b")
     con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
-    for name in ("gates",):
+    for name in ("gates", "gates_blocked"):
         got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
         want = con.execute(registry.ORACLE_SQL[name]).fetch_df()
         assert rows(got) == rows(want)
