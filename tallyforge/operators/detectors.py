@@ -7,7 +7,9 @@ Diffs and commands are read by state machines in Python, a batch of rows at a ti
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,53 +129,101 @@ def run_segments(commands: DataFrame) -> DataFrame:
     return rows.select("run_id", F.struct("seq", "k").alias("ordinal"), "segment")
 
 
-def _verdict(runs: DataFrame, name: str, eligible: Column, fired: Column) -> DataFrame:
-    ok = F.coalesce(eligible, F.lit(False))
-    return runs.select("run_id", F.lit(name).alias("predicate"), ok.alias("eligible"), (ok & F.coalesce(fired, F.lit(False))).alias("fired"))
+@dataclass(frozen=True)
+class Rule:
+    """A predicate: flags and places by rows of files, lines or commands, their aggregates over a run, and the verdict.
 
+    ``marks`` are columns of a row; a run's ``most`` are true if any row's is, its ``first`` are the least of all rows.
+    """
 
-def _per_run(runs: DataFrame, rows: DataFrame, **flags: Column) -> DataFrame:
-    """Runs with each flag's any() over their rows; a run without rows has nulls."""
-    by = rows.groupBy(F.col("run_id").alias("_run")).agg(*(F.bool_or(c).alias(n) for n, c in flags.items()), F.count("*").alias("n_rows"))
-    return runs.select("run_id").join(by, F.col("run_id") == F.col("_run"), "left").drop("_run")
+    of: str
+    most: dict[str, Column]
+    first: dict[str, Column]
+    eligible: Callable[[Callable[[str], Column]], Column]
+    fired: Callable[[Callable[[str], Column]], Column]
+
+
+def verdicts(runs: DataFrame, rules: list[tuple[str, Rule]], **tables: DataFrame) -> DataFrame:
+    """(run_id, predicate, eligible, fired) of every run for every rule: one aggregate over the rows of all tables.
+
+    Runs are rows of the same aggregate, so that nothing is joined and no side is sent to all executors.
+    """
+    marks = [(f"r{k}_{n}", rule.of, c, how) for k, (_, rule) in enumerate(rules) for how, columns in ((F.max, rule.most), (F.min, rule.first)) for n, c in columns.items()]
+    parts = [runs.select("run_id", F.lit(1).cast("long").alias("runs"))]
+    for of in dict.fromkeys(rule.of for _, rule in rules):
+        parts.append(tables[of].where("run_id is not null").select("run_id", *(c.alias(n) for n, at, c, _ in marks if at == of)))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    by = rows.groupBy("run_id").agg(F.sum("runs").alias("runs"), *(how(n).alias(n) for n, _, _, how in marks)).where("runs > 0")
+    told = []
+    for k, (name, rule) in enumerate(rules):
+        mark = lambda n, k=k: F.col(f"r{k}_{n}")
+        ok = F.coalesce(rule.eligible(mark), F.lit(False))
+        told.append(F.struct(F.lit(name).alias("predicate"), ok.alias("eligible"), (ok & F.coalesce(rule.fired(mark), F.lit(False))).alias("fired")))
+    # a run that is there twice is told of twice
+    each = by.select("run_id", "runs", F.explode(F.array(*told)).alias("v"))
+    each = each.withColumn("v", F.explode(F.array_repeat("v", F.col("runs").cast("int"))))
+    return each.select("run_id", "v.*")
+
+
+def untouched(paths: list[str]) -> Rule:
+    under = path_matches(F.col("path"), paths) | F.coalesce(path_matches(F.col("old_path"), paths), F.lit(False))
+    return Rule("files", {"any": F.lit(True), "touched": under}, {}, lambda m: m("any"), lambda m: ~m("touched"))
+
+
+def confined(paths: list[str]) -> Rule:
+    return Rule("files", {"any": F.lit(True), "outside": ~path_matches(F.col("path"), paths)}, {}, lambda m: m("any"), lambda m: ~m("outside"))
+
+
+def _content(pattern: str, paths: list[str] | None, present: bool, of: str) -> Rule:
+    """Over lines, or over files with the lines that were added."""
+    some, hit = (F.lit(True), F.col("text").rlike(pattern)) if of == "lines" else (F.size("added") > 0, F.exists("added", lambda a: a["text"].rlike(pattern)))
+    where = path_matches(F.col("path"), paths) if paths else F.lit(True)
+    return Rule(of, {"any": F.when(where, some), "hit": F.when(where, hit)}, {}, lambda m: m("any"), lambda m: m("hit") if present else ~m("hit"))
+
+
+def present(pattern: str, paths: list[str] | None = None, of: str = "files") -> Rule:
+    return _content(pattern, paths, True, of)
+
+
+def absent(pattern: str, paths: list[str] | None = None, of: str = "files") -> Rule:
+    return _content(pattern, paths, False, of)
+
+
+def used(pattern: str) -> Rule:
+    return Rule("segments", {"any": F.lit(True), "hit": F.col("segment").rlike(pattern)}, {}, lambda m: m("any"), lambda m: m("hit"))
+
+
+def ordered(before: str, after: str) -> Rule:
+    first = lambda p: F.when(F.col("segment").rlike(p), F.col("ordinal"))
+    return Rule("segments", {}, {"b": first(before), "a": first(after)}, lambda m: m("a").isNotNull(), lambda m: m("b") < m("a"))
 
 
 def path_untouched(runs: DataFrame, files: DataFrame, paths: list[str]) -> DataFrame:
     """Nothing under the paths changed; eligible if anything did at all."""
-    r = _per_run(runs, files, touched=path_matches(F.col("path"), paths) | F.coalesce(path_matches(F.col("old_path"), paths), F.lit(False)))
-    return _verdict(r, "path_untouched", F.col("n_rows") > 0, ~F.col("touched"))
+    return verdicts(runs, [("path_untouched", untouched(paths))], files=files)
 
 
 def diff_confined(runs: DataFrame, files: DataFrame, paths: list[str]) -> DataFrame:
     """Every changed file is under the paths."""
-    r = _per_run(runs, files, outside=~path_matches(F.col("path"), paths))
-    return _verdict(r, "diff_confined", F.col("n_rows") > 0, ~F.col("outside"))
+    return verdicts(runs, [("diff_confined", confined(paths))], files=files)
 
 
 def content_present(runs: DataFrame, lines: DataFrame, pattern: str, paths: list[str] | None = None) -> DataFrame:
     """A line (of a file or of those added: run_id, path, text) matches; eligible where such files have lines."""
-    rows = lines.where(path_matches(F.col("path"), paths)) if paths else lines
-    r = _per_run(runs, rows, hit=F.col("text").rlike(pattern))
-    return _verdict(r, "content_present", F.col("n_rows") > 0, F.col("hit"))
+    return verdicts(runs, [("content_present", present(pattern, paths, "lines"))], lines=lines)
 
 
 def content_absent(runs: DataFrame, lines: DataFrame, pattern: str, paths: list[str] | None = None) -> DataFrame:
-    rows = lines.where(path_matches(F.col("path"), paths)) if paths else lines
-    r = _per_run(runs, rows, hit=F.col("text").rlike(pattern))
-    return _verdict(r, "content_absent", F.col("n_rows") > 0, ~F.col("hit"))
+    return verdicts(runs, [("content_absent", absent(pattern, paths, "lines"))], lines=lines)
 
 
 def command_used(runs: DataFrame, segs: DataFrame, pattern: str) -> DataFrame:
-    r = _per_run(runs, segs, hit=F.col("segment").rlike(pattern))
-    return _verdict(r, "command_used", F.col("n_rows") > 0, F.col("hit"))
+    return verdicts(runs, [("command_used", used(pattern))], segments=segs)
 
 
 def command_order(runs: DataFrame, segs: DataFrame, before: str, after: str) -> DataFrame:
     """Some ``before`` precedes the first ``after``; eligible where an ``after`` ran."""
-    first = lambda p: F.min(F.when(F.col("segment").rlike(p), F.col("ordinal")))
-    by = segs.groupBy(F.col("run_id").alias("_run")).agg(first(before).alias("b"), first(after).alias("a"))
-    r = runs.select("run_id").join(by, F.col("run_id") == F.col("_run"), "left")
-    return _verdict(r, "command_order", F.col("a").isNotNull(), F.col("b") < F.col("a"))
+    return verdicts(runs, [("command_order", ordered(before, after))], segments=segs)
 
 
 PREDICATES = {f.__name__: f for f in (path_untouched, diff_confined, content_present, content_absent, command_used, command_order)}

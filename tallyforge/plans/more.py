@@ -17,7 +17,6 @@ from tallyforge.operators import store as SR
 from tallyforge.operators import tables as TB
 from tallyforge.plans import frames, ledger, logs
 from tallyforge.plans.statistics import rounded
-from tallyforge.shared import fixed
 from tallyforge.streaming import probes as PR
 from tallyforge.streaming import rates as ST
 
@@ -41,12 +40,8 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, files, segs = _runs(spark, sf_dir), fixed(D.changed_files(_diffs(spark, sf_dir)), "files"), fixed(D.run_segments(_commands(spark, sf_dir)), "segments")
-    lines = D.added_lines(files)
-    got = [D.path_untouched(runs, files, ["docs/**"]), D.diff_confined(runs, files, ["src/**"]), D.content_present(runs, lines, r"total = 2"), D.content_absent(runs, lines, "note", ["*.md"]), D.command_used(runs, segs, r"^pytest"), D.command_order(runs, segs, r"^pytest", r"^git commit")]
-    out = got[0]
-    for g in got[1:]:
-        out = out.unionByName(g)
+    rules = [("path_untouched", D.untouched(["docs/**"])), ("diff_confined", D.confined(["src/**"])), ("content_present", D.present(r"total = 2")), ("content_absent", D.absent("note", ["*.md"])), ("command_used", D.used(r"^pytest")), ("command_order", D.ordered(r"^pytest", r"^git commit"))]
+    out = D.verdicts(_runs(spark, sf_dir), rules, files=D.changed_files(_diffs(spark, sf_dir)), segments=D.run_segments(_commands(spark, sf_dir)))
     return out.groupBy("predicate").agg(F.count_if("eligible").alias("n_eligible"), F.count_if("fired").alias("n_fired"))
 
 

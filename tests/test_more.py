@@ -102,6 +102,25 @@ def test_predicates(spark):
     assert D.manifest(spark).count() == len(D.PREDICATES)
 
 
+def test_predicates_in_one_pass(spark):
+    """All rules of a run's tables at once are as each alone; nothing is joined, so no table of runs is broadcast."""
+    diff = "diff --git a/src/m.py b/src/m.py\n@@ -1,1 +1,2 @@\n+total = 2\n"
+    diffs = spark.createDataFrame([("a", diff), ("a", diff.replace("src/m.py", "docs/x.md")), ("b", diff.replace("2", "3")), ("c", None), (None, diff), ("z", diff)], "run_id string, diff string")
+    commands = spark.createDataFrame([("a", 1, "pytest -q"), ("a", 2, "git commit -m x"), ("b", 1, "git commit -m x; pytest"), (None, 1, "pytest")], "run_id string, seq int, command string")
+    runs = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "run_id string")
+    files, segs = D.changed_files(diffs), D.run_segments(commands)
+    every = D.verdicts(runs, [("path_untouched", D.untouched(["docs/**"])), ("diff_confined", D.confined(["src/**"])), ("content_present", D.present("total = 2")), ("content_absent", D.absent("total = 2", ["*.md"])), ("command_used", D.used("^pytest")), ("command_order", D.ordered("^pytest", "^git commit"))], files=files, segments=segs)
+    lines = D.added_lines(files)
+    alone = [D.path_untouched(runs, files, ["docs/**"]), D.diff_confined(runs, files, ["src/**"]), D.content_present(runs, lines, "total = 2"), D.content_absent(runs, lines, "total = 2", ["*.md"]), D.command_used(runs, segs, "^pytest"), D.command_order(runs, segs, "^pytest", "^git commit")]
+    key = lambda dfs: sorted(map(str, (tuple(r) for df in dfs for r in df.collect())))
+    assert key([every]) == key(alone) and every.count() == 30
+    fired = {(r["run_id"], r["predicate"]) for r in every.collect() if r["fired"]}
+    assert fired == {("a", "content_present"), ("a", "command_used"), ("a", "command_order"), ("b", "path_untouched"), ("b", "diff_confined"), ("b", "command_used")}
+    able = {(r["run_id"], r["predicate"]) for r in every.collect() if r["eligible"]}
+    assert able == fired | {("a", "path_untouched"), ("a", "diff_confined"), ("a", "content_absent"), ("b", "content_present"), ("b", "command_order")}
+    assert "Join" not in every._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_refusals_of_operators(spark):
     with pytest.raises(Exception, match="no token is minted"):
         spark.range(1).select(RN.with_token(F.lit("say {nonce}"), F.lit(None).cast("string"))).collect()
