@@ -216,3 +216,23 @@ def test_round_trips_keep_every_column(spark, book, tmp_path):
     assert key(S.read_postings_csv(spark, str(tmp_path / "csv"))) == key(book)
     S.transactions_json(book).select("json").write.text(str(tmp_path / "json"))
     assert key(S.read_transactions_json(spark, str(tmp_path / "json"))) == key(book)
+
+
+def test_csv_records_deal_no_lines(spark, tmp_path):
+    """Records that span splits are whole and numbered along the file, and no line is sorted into place."""
+    from tallyforge.sources import ledgers
+
+    want = ["a,b"] + [f'{k},"x{k}\n\n,""y""{"z" * (k % 50)}\nend"' if k % 3 == 0 else f"{k},plain" for k in range(400)]
+    (tmp_path / "t.csv").write_text("\n".join(want).replace("\n1,plain", "\n\n  \n1,plain") + "\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "100")
+        records = ledgers.csv_records(spark, str(tmp_path / "t.csv"))
+        got = records.collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [r["text"] for r in sorted(got, key=lambda r: r["record"])] == want and sorted(r["record"] for r in got) == list(range(1, 402))
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "line_no" not in plan and "collect_list" in plan
