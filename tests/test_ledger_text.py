@@ -236,3 +236,15 @@ def test_csv_records_deal_no_lines(spark, tmp_path):
     assert [r["text"] for r in sorted(got, key=lambda r: r["record"])] == want and sorted(r["record"] for r in got) == list(range(1, 402))
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert "line_no" not in plan and "collect_list" in plan
+
+
+@pytest.mark.parametrize("name", ["text_round_trip"])
+def test_round_trips_write_compressed(spark, tmp_path, monkeypatch, name):
+    """What a round trip writes and reads again is compressed, as it is many times its input."""
+    from tallyforge import registry, shared
+
+    monkeypatch.setattr(shared, "path", lambda _spark, kind: f"file://{tmp_path}/{kind}")
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    kind = {"text_round_trip": "ledger-text", "json_round_trip": "transactions-json"}[name]
+    files = [p.name for p in (tmp_path / kind).glob("part-*")]
+    assert files and all(p.endswith(".gz") for p in files)
