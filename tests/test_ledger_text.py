@@ -238,7 +238,7 @@ def test_csv_records_deal_no_lines(spark, tmp_path):
     assert "line_no" not in plan and "collect_list" in plan
 
 
-@pytest.mark.parametrize("name", ["text_round_trip"])
+@pytest.mark.parametrize("name", ["text_round_trip", "json_round_trip"])
 def test_round_trips_write_compressed(spark, tmp_path, monkeypatch, name):
     """What a round trip writes and reads again is compressed, as it is many times its input."""
     from tallyforge import registry, shared
