@@ -45,6 +45,8 @@ GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 3 << 20
 #: Groups that may have a minimiser, or a pair, before it is split.
 HOT = 128
+#: Text of one pass: its arrays, eight bytes a unit, are to stay in a core's cache.
+PASS_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -122,14 +124,11 @@ def runs(units: Units, unit_offs: np.ndarray, grams: np.ndarray, orders: int = 1
     first = unit_offs[:-1][have]
     change[first] = True
     change[first + windows[have]] = True
-    valid = np.zeros(len(change), np.int8)
-    valid[first] = 1
-    valid[first + windows[have]] -= 1
-    valid = np.cumsum(valid[:-1], dtype=np.int8).astype(bool)
     edges = np.flatnonzero(change)
     starts = edges[:-1]
     n = np.diff(edges)
-    keep = valid[starts]
+    of = np.searchsorted(first, starts, "right") - 1
+    keep = (of >= 0) & (starts < (first + windows[have])[of])
     starts, n = starts[keep], n[keep]
     at = [(anchor[starts] & np.uint64((1 << 31) - 1)).astype(np.int64) for anchor in anchors]
     key = own = grams[at[0]]
@@ -138,6 +137,22 @@ def runs(units: Units, unit_offs: np.ndarray, grams: np.ndarray, orders: int = 1
     return key, own, np.searchsorted(unit_offs, starts, "right") - 1, starts, n, at[0] - starts
 
 
+def _pairs(units: Units, unit_offs: np.ndarray, grams: np.ndarray, found: tuple[np.ndarray, ...], on: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Those of one minimiser's super-k-mers ``found`` that are ``on``, by two minimisers: as :func:`runs` gives them, but
+    looked for only in the stretches of windows that they are (a few hundredths of a text, where common grams are hot)."""
+    _, _, doc, start, n, _ = (x[on] for x in found)
+    at = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + n[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    first, doc = start[at], doc[at]
+    size = (np.add.reduceat(n, at) if len(at) else at) + units.length - 1
+    offs = np.concatenate([[0], np.cumsum(size)])
+    key, own, stretch, start, n, lead = runs(units, offs, grams[np.minimum(K.ranges(first, size), len(grams) - 1)], 2)
+    return key, own, doc[stretch], start - offs[stretch] + first[stretch], n, lead
+
+
+def _passes(column: pa.ChunkedArray):
+    return K.chunks(*K.flat(column), PASS_BYTES)
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     """A group's rows by (doc_id, text): the order that decides which of equal windows is first."""
     table = table.combine_chunks()
@@ -164,7 +179,7 @@ def _listed(units: Units, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.uint64)]
-        for _, _, d, o in K.chunks(*K.flat(table.column("text"))):
+        for _, _, d, o in _passes(table.column("text")):
             _, _, _, uo, grams = units.cut(d, o)
             found.append(np.unique(runs(units, uo, grams)[0]))
         return _by_bucket(table.column("g")[0].as_py(), *_keys(np.unique(np.concatenate(found)), buckets))
@@ -178,10 +193,10 @@ def _pairs_listed(units: Units, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         hot, found = _answered(answers, "hot_keys"), [np.zeros(0, np.uint64)]
         if docs.num_rows and len(hot):
-            for _, _, d, o in K.chunks(*K.flat(docs.column("text"))):
+            for _, _, d, o in _passes(docs.column("text")):
                 _, _, _, uo, grams = units.cut(d, o)
-                pair, m, *_ = runs(units, uo, grams, 2)
-                found.append(np.unique(pair[_among(_full(m, buckets), hot)]))
+                one = runs(units, uo, grams)
+                found.append(np.unique(_pairs(units, uo, grams, one, _among(_full(one[0], buckets), hot))[0]))
         return _by_bucket(docs.column("g")[0].as_py() if docs.num_rows else 0, *_keys(np.unique(np.concatenate(found)), buckets))
 
     return run
@@ -197,8 +212,8 @@ def _shared(hot: int):
         some, many = every[count > 1], every[count > hot]
         plain, hots = [], []
         for k in keys:
-            plain.append(np.intersect1d(k, some, True).tobytes())
-            hots.append(np.intersect1d(k, many, True).tobytes())
+            plain.append(k[_among(k, some)].tobytes())
+            hots.append(k[_among(k, many)].tobytes())
         return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(g), pa.int64()), "keys": pa.array(plain, pa.binary()), "hot_keys": pa.array(hots, pa.binary())})
 
     return run
@@ -225,13 +240,16 @@ def _windows_listed(units: Units, buckets: int):
     """Step 3: the hashes of windows that have a hot pair; twice where the group has two."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        hot, found = _answered(answers, "hot_keys"), [np.zeros(0, np.uint64)]
-        if docs.num_rows and len(hot):
-            for _, _, d, o in K.chunks(*K.flat(docs.column("text"))):
+        of = lambda step: _answered(answers.filter(pc.equal(answers.column("step"), step)), "hot_keys")
+        hot, hot_pairs, found = of(1), of(2), [np.zeros(0, np.uint64)]
+        if docs.num_rows and len(hot_pairs):
+            for _, _, d, o in _passes(docs.column("text")):
                 canon, us, ue, uo, grams = units.cut(d, o)
-                pair, _, _, start, n, _ = runs(units, uo, grams, 2)
-                take = _among(_full(pair, buckets), hot)
-                found.append(_window_hashes(units, canon, us, ue, K.ranges(start[take], n[take])))
+                one = runs(units, uo, grams)
+                pair, _, _, start, n, _ = _pairs(units, uo, grams, one, _among(_full(one[0], buckets), hot))
+                take = _among(_full(pair, buckets), hot_pairs)
+                if take.any():
+                    found.append(_window_hashes(units, canon, us, ue, K.ranges(start[take], n[take])))
         h, count = np.unique(np.concatenate(found), return_counts=True)
         h = np.repeat(h, np.minimum(count, 2))
         return _by_bucket(docs.column("g")[0].as_py() if docs.num_rows else 0, (K.mix(h) % np.uint64(buckets)).astype(np.int64), h)
@@ -269,17 +287,17 @@ def _packed(units: Units, buckets: int, strings_in: int, shares: int):
         of = lambda step: answers.filter(pc.equal(answers.column("step"), step))
         shared, hot, pairs, hot_pairs = _answered(of(1), "keys"), _answered(of(1), "hot_keys"), _answered(of(2), "keys"), _answered(of(2), "hot_keys")
         again = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in of(3).column("windows"))]))
-        data, offs = K.flat(docs.column("text"))
         ids = docs.column("doc_id").to_pylist()
         pieces = []
-        for a, _, d, o in K.chunks(data, offs):
+        for a, _, d, o in _passes(docs.column("text")):
             canon, us, ue, uo, grams = units.cut(d, o)
-            m, _, doc, start, n, lead = runs(units, uo, grams)
+            one = runs(units, uo, grams)
+            m, _, doc, start, n, lead = one
             found = [(m, _full(m, buckets), doc, start, n, lead)]
             if len(hot):
-                pair, m, doc, start, n, lead = runs(units, uo, grams, 2)
-                keep = _among(_full(m, buckets), hot)
-                found = [[x[~_among(found[0][1], hot)] for x in found[0]], [x[keep] for x in (pair, _full(pair, buckets), doc, start, n, lead)]]
+                on = _among(found[0][1], hot)
+                pair, _, doc, start, n, lead = _pairs(units, uo, grams, one, on)
+                found = [[x[~on] for x in found[0]], [pair, _full(pair, buckets), doc, start, n, lead]]
             pieces.append((a, canon, us, ue, uo, found))
         values, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[0] for p in pieces for x in p[5])]), return_counts=True)
         twice = values[count > 1]
@@ -440,9 +458,9 @@ def repeated_places(docs: DataFrame, units: Units, order: Callable, finish: Call
     keys = "bucket long, g long, keys binary"
     asked = lambda rows, step: rows.groupBy("bucket").applyInArrow(_shared(hot), "g long, bucket long, keys binary, hot_keys binary").withColumn("step", F.lit(step))
     minimisers = asked(own.groupBy("g").applyInArrow(_listed(units, buckets), keys), 1)
-    many = lambda answers: answers.where(F.octet_length("hot_keys") > 0).select("g", "bucket", "hot_keys").groupBy("g")
+    many = lambda answers: answers.where(F.octet_length("hot_keys") > 0).select("g", "bucket", "hot_keys", "step").groupBy("g")
     pairs = asked(own.groupBy("g").cogroup(many(minimisers)).applyInArrow(_pairs_listed(units, buckets), keys), 2)
-    windows = own.groupBy("g").cogroup(many(pairs)).applyInArrow(_windows_listed(units, buckets), keys)
+    windows = own.groupBy("g").cogroup(many(minimisers.unionByName(pairs))).applyInArrow(_windows_listed(units, buckets), keys)
     windows = windows.groupBy("bucket").applyInArrow(_windows_shared, "g long, windows binary").withColumn("step", F.lit(3))
     answers = minimisers.unionByName(pairs).unionByName(windows, allowMissingColumns=True)
     packed = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_packed(units, buckets, strings_in, shares), _PACKED_SQL)

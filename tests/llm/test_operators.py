@@ -314,3 +314,34 @@ def test_lines(spark):
     assert got[1]["kept_text"] == "own 1" and got[1]["n_lines"] == 3 and got[1]["n_removed"] == 2 and got[1]["host"] == "site.example"
     assert got[2]["kept_text"] == "own 2\nhalf" and got[0]["kept_text"] == "menu"
     assert (got[99]["n_lines"], got[99]["host"]) == (0, "") and got[97]["kept_text"] == "a\nb" and got[98]["host"] == ""
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_pairs_of_hot_stretches(monkeypatch, kind):
+    """A second minimiser is looked for only where the first is hot, and gives what it gives over whole texts."""
+    from tallyforge.llm import kernels as K
+    from tallyforge.llm import repeats as R
+
+    units = R.Units("bytes", 100, 16, R.cut_bytes(16), True) if kind == "bytes" else R.Units("words", 50, 12, R.cut_words(12), False)
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(map(str, rng.integers(0, 10**6, n)))
+    common = prose(150)
+    texts = [prose(2000) + " " + common + " " + prose(2000) if x % 3 == 0 else common + "x" if x == 1 else "" if x == 2 else prose(3000) for x in range(12)]
+    docs = pa.table({"g": pa.array([0] * len(texts)), "text": texts})
+    canon, us, ue, uo, grams = units.cut(*K.flat(docs.column("text")))
+    one = R.runs(units, uo, grams)
+    often, count = np.unique(one[0], return_counts=True)
+    often, buckets = often[count > 3], 4
+    assert len(often)
+    on = np.isin(one[0], often)
+    key, own, *rest = R.runs(units, uo, grams, 2)
+    hot = np.isin(own, often)
+    want = R._by_bucket(0, *R._keys(np.unique(key[hot]), buckets))
+    run, seen = R.runs, []
+    monkeypatch.setattr(R, "runs", lambda u, o, g, orders=1: (seen.append(len(g)) if orders == 2 else None, run(u, o, g, orders))[1])
+    bucket, keys = R._keys(often, buckets)
+    answers = pa.table({"bucket": pa.array(range(buckets)), "hot_keys": pa.array([np.sort(keys[bucket == b]).tobytes() for b in range(buckets)], pa.binary())})
+    assert R._pairs_listed(units, buckets)(docs, answers).equals(want)
+    assert 0 < sum(seen) < len(grams) / 4
+    for got, x in zip(R._pairs(units, uo, grams, one, on), (key, own, *rest)):
+        assert np.array_equal(got, x[hot])
