@@ -248,3 +248,32 @@ def test_round_trips_write_compressed(spark, tmp_path, monkeypatch, name):
     kind = {"text_round_trip": "ledger-text", "json_round_trip": "transactions-json"}[name]
     files = [p.name for p in (tmp_path / kind).glob("part-*")]
     assert files and all(p.endswith(".gz") for p in files)
+
+
+def test_json_lines_are_not_read_whole(spark, tmp_path):
+    """Only files that are one document are read as one row, whatever lies beside them and however they are called."""
+    item = {"date": "2024-01-02", "description": "x", "line_no": 1, "ref": "r", "tags": ["t"], "postings": [{"account": "a.b", "minor": 5, "currency": "USD", "tags": []}]}
+    one = json.dumps(item)
+    (tmp_path / "lines.json").write_text(f"\n{one}\n\n{one}\n{one}\n")
+    (tmp_path / "more.json").write_text(f'{{"schema":"1"}}\n{one}\n')
+    (tmp_path / "a b[1].json").write_text(json.dumps([item, item], indent=1))
+    back = S.read_transactions_json(spark, str(tmp_path))
+    assert len(back.collect()) == 6 and back.select("txn_id").distinct().count() == 6
+    leaves = back._jdf.queryExecution().executedPlan().collectLeaves()
+    assert sorted(leaves.apply(k).metrics().apply("numFiles").value() for k in range(leaves.size())) == [1, 2]
+
+
+def test_postings_by_order_deal_lines_once(spark):
+    """The rows of the ledger's postings; grouping them by transaction needs no shuffle of its own."""
+    from tallyforge.plans import ledger
+
+    a, b = (f(spark, "/root/testdata/sf0.001") for f in (ledger.postings, ledger.postings_by_order))
+    assert a.schema == b.schema and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+        plans = [S.transactions_json(p)._jdf.queryExecution().executedPlan().toString() for p in (a, b)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    lines = [sum("Exchange hashpartitioning" in x for x in p.split("\n")) for p in plans]
+    assert "Exchange hashpartitioning(txn_id" in plans[0] and "Exchange hashpartitioning(txn_id" not in plans[1] and lines[1] < lines[0]
