@@ -277,3 +277,35 @@ def test_postings_by_order_deal_lines_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     lines = [sum("Exchange hashpartitioning" in x for x in p.split("\n")) for p in plans]
     assert "Exchange hashpartitioning(txn_id" in plans[0] and "Exchange hashpartitioning(txn_id" not in plans[1] and lines[1] < lines[0]
+
+
+def test_ledgers_in_splits_deal_no_whole_transaction(spark, tmp_path, monkeypatch):
+    """Whatever splits, files and sizes of blocks, postings are those of the windows over numbered lines; lines of whole transactions are dealt nowhere."""
+    odd = "    early.one 1.00 USD\n\nnonsense\n" + TEXT + "2023-05-01;no words\n    a.b (1,250.50) usd #x\n\tc.d\n\n// gone\n    e.f 1.x USD\n2023-05-02 Two ^r\n    a.b\n    c.d\n2023-05-03 none\n2023-13-40 When #t\n    a.b 5 JPY\n    x.y 3 EUR\n    c.d ; rest\n"
+    more = "".join(f"2024-01-{k % 28 + 1:02d} buy {k}\n    assets.a  {k}.00 USD\n{'' if k % 3 else chr(10) * 3}    income.b\n" for k in range(1, 200))
+    (tmp_path / "a.ledger").write_text(odd + more + odd)
+    (tmp_path / "b.ledger").write_text(more)
+    (tmp_path / "c.ledger").write_text(odd)
+    (tmp_path / "none.ledger").write_text("")
+    import gzip
+
+    with gzip.open(tmp_path / "d.ledger.gz", "wt") as f:
+        f.write(more + odd)
+    rows = lambda df: sorted(map(repr, df.select(*S.POSTING).collect()))
+    want = rows(S.parse_ledger(S.numbered_lines(spark, str(tmp_path))))
+    assert len(want) > 1200
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, batch, most in (("128m", "7", 3), ("2k", "50", 5), ("500", "10000", 4096)):
+            monkeypatch.setattr(S, "BLOCK_LINES", most)
+            for k, v in zip(kept, (size, size, batch)):
+                spark.conf.set(k, v)
+            assert rows(S.read_ledger(spark, str(tmp_path))) == want, (size, batch, most)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    # one split: the windows get the last transaction alone, which the next split could have continued
+    dealt, windows = [], S._parsed
+    monkeypatch.setattr(S, "BLOCK_LINES", 4096)
+    monkeypatch.setattr(S, "_parsed", lambda rows: (dealt.append(rows.count()), windows(rows))[1])
+    assert S.read_ledger(spark, str(tmp_path / "b.ledger")).count() == 398 and dealt == [3]
